@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, quality, token_files, topk
+from . import bpe, bwt_dedup, exact_dedup, html_blocks, mixing, near_dedup, quality, rlz_dedup, token_files, topk
 from .common import column, shared_dir
 
 
@@ -30,6 +30,23 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents")).drop("x")
 
 
+def op3_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(_table(spark, sf_dir, "pages"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.digest(bwt_dedup.suffix_dedup(_table(spark, sf_dir, "documents")))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rlz_dedup.rlz_dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(_table(spark, sf_dir, "documents")).drop("h")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(_table(spark, sf_dir, "documents"))
 
@@ -52,7 +69,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op4_mixing, op6_token_files, op9_bpe, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_html_blocks, op4_mixing, op5_suffix_dedup, op6_token_files, op7_substring_dedup, op8_near_dedup, op9_bpe, op10_topk)}
 
 ORACLES = {
     "op2_exact_dedup": r"""
@@ -62,6 +79,18 @@ ORACLES = {
                doc_id = first_value(doc_id) OVER w AS kept, sha256(n) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY n ORDER BY length(t) DESC, doc_id)
     """,
+    "op7_substring_dedup": r"""
+        WITH d AS (SELECT n AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM (SELECT row_number() OVER () AS n, * FROM documents)),
+        g AS (SELECT r, i, hash(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+        again AS (SELECT r, list(i ORDER BY i) AS starts FROM (SELECT *, count(*) OVER (PARTITION BY h) AS c FROM g) WHERE c > 1 GROUP BY r),
+        gone AS (SELECT r, list_distinct(flatten(list_transform(starts, lambda i: range(i, i + 35)))) AS p FROM again),
+        kept AS (
+          SELECT d.r, coalesce(string_agg(word, ' ' ORDER BY pos), '') AS t, count(*) AS n
+          FROM (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d) d
+          LEFT JOIN (SELECT r, unnest(p) AS gp FROM gone) x ON x.r = d.r AND x.gp = d.pos WHERE x.gp IS NULL GROUP BY d.r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (r)
+    """,
     "op10_topk": """
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
