@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stylospark.llm import bpe, common, exact_dedup, mixing, quality
+from stylospark.llm import bpe, common, exact_dedup, mixing, near_dedup, quality
 from stylospark.session import ship
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: documents that the classifier rejects go."""
@@ -21,6 +19,11 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: of each group of near-duplicates one document stays."""
+    return near_dedup.drop_near(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: rows are repeated or left out so that sources near their targets."""
     return mixing.mix(docs).select(*docs.columns)
@@ -37,6 +40,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality", reject_low_quality),
     ("exact dedup", drop_exact_copies),
+    ("near dedup", drop_near_copies),
     ("mixing", mix_sources),
     ("bpe", encode),
 ]
