@@ -2,13 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import language_metrics as lm
+from .operators import metrics
 
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count("*").alias("n"))
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+def query(oracle: str | None = None, name: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[name or f.__name__] = f
+        if oracle:
+            ORACLES[name or f.__name__] = oracle
+        return f
+
+    return add
+
+
+for _name, _text in {"structural_features": metrics.STRUCTURAL_FEATURES, "structural_metric": metrics.STRUCTURAL, "entropy_features": metrics.ENTROPY_FEATURES, "entropy_metric": metrics.ENTROPY, "perplexity_features": metrics.PERPLEXITY_FEATURES, "perplexity_metric": metrics.PERPLEXITY, "semantic_features": lm.SEMANTIC_FEATURES, "semantic_metric": lm.SEMANTIC, "linguistic_features": lm.LINGUISTIC_FEATURES, "linguistic_metric": lm.LINGUISTIC, "stability_features": lm.STABILITY_FEATURES, "stability_metric": lm.STABILITY}.items():
+    query(metrics.duck_sql(_text), _name)(lambda spark, sf_dir, text=_text: metrics.compute(text, docs(spark, sf_dir)))
+
+
+def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
+    return QUERIES["structural_metric"](spark, sf_dir)
