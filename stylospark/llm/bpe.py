@@ -130,8 +130,9 @@ class ForcedBpe:
             new = np.cumsum(keep) - 1
             sym, pos, frag, rank = sym[keep], pos[keep], frag[keep], rank[keep]
             at = new[at]
-            touch = np.unique(np.concatenate((at, at[at > 0] - 1)))
-            touch = touch[touch + 1 < len(sym)]
+            near = np.zeros(len(sym) + 1, bool)
+            near[at] = near[at - 1] = True  # at[0] = 0 marks the spare last place
+            touch = np.flatnonzero(near[: len(sym) - 1])
             same = frag[touch] == frag[touch + 1]
             rank[touch] = NONE
             touch = touch[same]
@@ -142,13 +143,22 @@ class ForcedBpe:
 
     def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the units and the number of ids of each."""
-        pieces = [[p.encode() for p in PIECES.findall(u)] for u in units]
-        size = np.array([len(p) for ps in pieces for p in ps], np.int64)
-        data = np.frombuffer(b"".join([p for ps in pieces for p in ps]), np.uint8)
+        pieces, ends = [], []
+        for u in units:
+            if u[0] == " " and u[1:].isalpha():  # one piece by the pattern
+                pieces.append(u)
+            elif u[0] == " " and u[-1] in ".,!|" and u[1:-1].isalpha():
+                pieces += (u[:-1], u[-1])
+            else:
+                pieces += PIECES.findall(u)
+            ends.append(len(pieces))
+        pieces = [p.encode() for p in pieces]
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        data = np.frombuffer(b"".join(pieces), np.uint8)
         if not len(data):
             return np.zeros(0, np.int64), np.zeros(len(units), np.int64)
         ids, pos = self.merge(data, self.fragments(data, np.cumsum(size) - size))
-        ends = np.cumsum([sum(map(len, ps)) for ps in pieces])
+        ends = np.concatenate(([0], np.cumsum(size)))[ends]
         return ids, np.diff(np.searchsorted(pos, ends, side="left"), prepend=0)
 
     def learn(self, units: list[str]) -> None:
@@ -170,9 +180,10 @@ class ForcedBpe:
         if len(self.slot) > CACHE or self.used > 8 * CACHE:
             self.start()
         units: list[list[str | int]] = []  # an added token stands as its id
-        for t in texts:
+        marked = [bool(self.added) and any(a in t for a in self.added) for t in texts]
+        for t, m in zip(texts, marked):
             own: list[str | int] = []
-            for k, piece in enumerate(self.split.split(t) if self.split and self.split.search(t) else [t]):
+            for k, piece in enumerate(self.split.split(t) if m else [t]):
                 if k % 2:
                     own.append(self.added[piece])
                 elif not piece.isascii() and WIDE.search(piece):
@@ -180,17 +191,21 @@ class ForcedBpe:
                 else:
                     own += UNITS.findall(piece)
             units.append(own)
-        new = {u for own in units for u in own if u.__class__ is str and u not in self.slot}
+        new = set().union(*units).difference(self.slot)
+        if any(marked):
+            new = {u for u in new if u.__class__ is str}
         if new:
             self.learn(list(new))
         out, ends = [], np.zeros(len(texts) + 1, np.int64)
         get = self.slot.get
-        for i, own in enumerate(units):
-            k = np.fromiter([get(u) if u.__class__ is str else -1 - u for u in own] if self.split else map(get, own), np.int64, len(own))
-            n = np.where(k < 0, 1, self.count[np.maximum(k, 0)])
-            ids = self.flat[expand(np.where(k < 0, 0, self.at[np.maximum(k, 0)]), n)]
-            if (k < 0).any():
+        for i, (own, m) in enumerate(zip(units, marked)):
+            k = np.fromiter([get(u) if u.__class__ is str else -1 - u for u in own] if m else map(get, own), np.int64, len(own))
+            if m:
+                n = np.where(k < 0, 1, self.count[np.maximum(k, 0)])
+                ids = self.flat[expand(np.where(k < 0, 0, self.at[np.maximum(k, 0)]), n)]
                 ids[(np.cumsum(n) - n)[k < 0]] = -1 - k[k < 0]
+            else:
+                ids = self.flat[expand(self.at[k], self.count[k])]
             out.append(ids)
             ends[i + 1] = ends[i] + len(ids)
         return (np.concatenate(out) if out else np.zeros(0, np.int32)).astype(np.int32), ends
