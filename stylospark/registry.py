@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import language_metrics as lm
-from .operators import metrics
+from .functions import fixed
+from .functions import text as T
+from .operators import metrics, tokens, verdicts
+from .plans import detect
+from .sources import files
+from .streaming import events
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,5 +42,152 @@ for _name, _text in {"structural_features": metrics.STRUCTURAL_FEATURES, "struct
     query(metrics.duck_sql(_text), _name)(lambda spark, sf_dir, text=_text: metrics.compute(text, docs(spark, sf_dir)))
 
 
+_T, _C, _P, _W = (fixed.values_sql(n) for n in ("thresholds", "domain_cfg", "performance", "stopwords"))
+#: Phrases that a user's table would hold; these few serve the query.
+FINGERPRINTS = [("gpt-4", "phrase", "it's important to note that"), ("gpt-4", "starter", "notably,"), ("llama-3", "phrase", "it's worth noting"), ("llama-3", "pattern", "first of all"), ("gpt-3.5-turbo", "starter", "the "), ("gemini-pro", "pattern", " the ")]
+
+
+def _named(body: str, *clauses: str) -> str:
+    """DuckDB SQL of a text over named results of other texts."""
+    names = [c.split(" AS ", 1)[0] for c in clauses]
+    own = metrics.duck_sql(body, **{n: n for n in names}, thresholds=_T, domain_cfg=_C, performance=_P, stopwords=_W, labels="labels", documents="documents")
+    head, _, tail = own.partition("\nSELECT * FROM (\n")
+    need = {n for c in clauses for n in metrics.needed(c)} | set(metrics.needed(body))
+    extra = [tokens.DUCK[n] for n in sorted(need) if n in tokens.DUCK and tokens.DUCK[n] not in head]
+    rendered = []
+    for c in clauses:
+        for a, b in metrics.DUCKDB.items():
+            c = c.replace(a, b)
+        c = metrics._NUMBER.sub(r"\1E0", c)
+        rendered.append(metrics.re.sub(r"\{(\w+)\}", lambda m: {"thresholds": _T, "domain_cfg": _C, "performance": _P}.get(m[1], m[1]), c))
+    return ",\n".join([head, *extra, *rendered]) + "\nSELECT * FROM (\n" + tail
+
+
+_RAW = f"raw AS ({verdicts.RAW})"
+_DOM = "doc_domain AS (SELECT doc_id, 'general' AS domain FROM documents)"
+_PROB = f"prob AS MATERIALIZED ({verdicts.PROBABILITIES})"
+_BASE = (_RAW, _DOM)
+query(_named(verdicts.PROBABILITIES, *_BASE), "metric_results")(lambda s, d: detect.probabilities(docs(s, d)))
+query(_named(verdicts.ENSEMBLE, *_BASE, _PROB), "ensemble_verdict")(lambda s, d: detect.ensemble(docs(s, d)))
+query(_named(verdicts.METHODS, *_BASE, _PROB), "ensemble_methods")(lambda s, d: detect.methods(docs(s, d)))
+query(_named(verdicts.CONTRIBUTIONS, *_BASE, _PROB), "metric_contributions")(lambda s, d: detect.contributions(docs(s, d)))
+query(_named(verdicts.HIGHLIGHTS, *_BASE, _PROB), "sentence_highlights")(lambda s, d: detect.highlights(docs(s, d)))
+query(_named(verdicts.risk_sql(), *_BASE, _PROB, f"marks AS ({verdicts.HIGHLIGHTS})"), "highlight_risk")(lambda s, d: detect.risk(detect.highlights(docs(s, d))))
+query(_named(verdicts.EVALUATION, *_BASE, _PROB, f"ens AS ({verdicts.ENSEMBLE})"), "evaluation")(lambda s, d: s.sql(metrics.spark_sql(verdicts.EVALUATION), ens=detect.ensemble(docs(s, d)), labels=table(s, d, "labels"), documents=table(s, d, "documents")))
+query(metrics.duck_sql(verdicts.LANGUAGE, stopwords=_W), "language_by_words")(lambda s, d: detect.language(docs(s, d)))
+query(
+    metrics.duck_sql(verdicts.ATTRIBUTION, fingerprints="(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in FINGERPRINTS) + ") t(model, kind, phrase))", lowered="(SELECT doc_id, lower(text) AS t FROM src)"),
+    "attribution",
+)(lambda s, d: detect.attribution(docs(s, d), s.createDataFrame(FINGERPRINTS, "model string, kind string, phrase string")))
+query(name="report_json")(lambda s, d: detect.report(detect.ensemble(docs(s, d)), detect.contributions(docs(s, d))))
+
+
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
-    return QUERIES["structural_metric"](spark, sf_dir)
+    return QUERIES["ensemble_verdict"](spark, sf_dir)
+
+
+@query(r"""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2""")
+def events_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.windowed(table(spark, sf_dir, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""
+    WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+    b AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a)
+    SELECT user_id, min(ts) AS start, count(*) AS n FROM b GROUP BY user_id, s""")
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.sessions(table(spark, sf_dir, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT event_type, count(*) AS uses, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, max(ts) AS last_used FROM events GROUP BY 1")
+def usage_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.usage(table(spark, sf_dir, "events"))
+
+
+@query(r"""
+    WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<style\b.*?</style\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS t FROM pages),
+    b AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', chr(10), 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM a)
+    SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), chr(10)) AS text FROM b""")
+def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", files.html_text(F.coalesce("html", F.lit(""))).alias("text"))
+
+
+@query(r"""
+    WITH s AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '[.!?]+') AS p FROM documents)
+    SELECT doc_id, CAST(unnest(range(len(p))) AS BIGINT) AS idx, unnest(p) AS sentence FROM (SELECT doc_id, list_filter(list_transform(p, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 10) AS p FROM s)""")
+def sentences_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.sen10(docs(spark, sf_dir)).select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("s").alias("sentence"))
+
+
+@query(r"""
+    WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM documents)
+    SELECT doc_id, CAST(i // 462 AS BIGINT) AS chunk, array_to_string(w[i + 1:i + 512], ' ') AS text FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 512 THEN [0] ELSE range(0, len(w), 462) END) AS i FROM w)""")
+def word_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = docs(spark, sf_dir).select("doc_id", F.posexplode(T.chunks(T.space_words(F.coalesce("text", F.lit(""))))).alias("chunk", "ws"))
+    return c.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.array_join("ws", " ").alias("text"))
+
+
+@query(r"""
+    WITH a AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}_\s''-]', ' ', 'g'), '\s+'), lambda x: x <> ''), lambda x: regexp_replace(x, '^[''-]+|[''-]+$', '', 'g')) AS w FROM documents),
+    b AS (SELECT doc_id, list_filter(w, lambda x: (length(x) > 1 OR lower(x) IN ('a', 'i')) AND NOT regexp_full_match(regexp_replace(x, '[''-]', '', 'g'), '\p{Nd}+')) AS w FROM a)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(list_distinct(list_transform(w, lambda x: lower(x)))) AS BIGINT) AS unique_words, md5(array_to_string(w, ' ')) AS words_md5 FROM b""")
+def words_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = docs(spark, sf_dir).select("doc_id", T.words(F.coalesce("text", F.lit(""))).alias("w"))
+    return w.select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(F.array_distinct(F.transform("w", lambda x: F.lower(x)))).cast("long").alias("unique_words"), F.md5(F.array_join("w", " ")).alias("words_md5"))
+
+
+@query()
+def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.clean(docs(spark, sf_dir)).drop("words", "sentences")
+
+
+@query(r"""
+    WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), 'https?://\S+', '', 'g'), 'www\.\S+', '', 'g'), '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b', '', 'g') AS t FROM documents)
+    SELECT doc_id, md5(regexp_replace(regexp_replace(t, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS text_md5, CAST(length(regexp_replace(regexp_replace(t, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS BIGINT) AS n_chars FROM a""")
+def links_and_space_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = T.squeeze(T.drop_emails(T.drop_urls(F.coalesce("text", F.lit("")))))
+    return docs(spark, sf_dir).select("doc_id", F.md5(t).alias("text_md5"), F.length(t).cast("long").alias("n_chars"))
+
+
+@query("""
+    WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    m AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e) GROUP BY label, i),
+    c AS (SELECT label, list(m ORDER BY i) AS c FROM m GROUP BY label)
+    SELECT e.label, count(*) AS n, round(avg(list_cosine_similarity(v, c)), 6) AS cohesion FROM e JOIN c ON c.label = e.label GROUP BY e.label""")
+def label_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean cosine of each label's vectors with their mean."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    mean = v.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return v.join(mean, "label").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(dot("v", "c") / F.sqrt(dot("v", "v") * dot("c", "c"))), 6).alias("cohesion"))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (length(coalesce(text, '')) >= 50) AS successful, count(*) FILTER (length(coalesce(text, '')) < 50) AS failed, count(DISTINCT coalesce(text, '')) AS texts FROM documents")
+def batch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.coalesce("text", F.lit(""))
+    return docs(spark, sf_dir).agg(F.count("*").alias("total"), F.count_if(F.length(t) >= 50).alias("successful"), F.count_if(F.length(t) < 50).alias("failed"), F.count_distinct(F.sha2(t, 256)).alias("texts"))
+
+
+def _scripts_sql() -> str:
+    names = list(fixed.SCRIPTS)
+    counts = ", ".join(f"length(regexp_replace(t, '[^{fixed.SCRIPTS[n][0]}]', '', 'g')) AS {n}" for n in names)
+    total, top = " + ".join(names), f"greatest({', '.join(names)})"
+    several = " + ".join(f"({n} > 0)::INT" for n in names)
+    best = " ".join(f"WHEN {n} = {top} THEN '{n}'" for n in names)
+    return f"""SELECT doc_id, CASE WHEN {total} = 0 THEN 'unknown' WHEN {several} > 1 AND {top} / ({total}) < 0.7 THEN 'mixed' {best} END AS script, {", ".join(names)}
+      FROM (SELECT doc_id, {counts} FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\s[:punct:]]', '', 'g') AS t FROM documents))"""
+
+
+@query(_scripts_sql())
+def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.scripts(docs(spark, sf_dir))
+
+
+@query()
+def sentences_smart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("doc_id", F.posexplode(T.sentences_smart(F.coalesce("text", F.lit("")))).alias("idx", "sentence"))
+
+
+@query()
+def sentences_lookbehind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("doc_id", F.posexplode(T.sentences_lookbehind(F.coalesce("text", F.lit("")))).alias("idx", "sentence"))
