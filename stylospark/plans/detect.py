@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import metrics, tokens, verdicts
+from ..operators import corpus, metrics, tokens, verdicts
 
 
 def domains_of(docs: DataFrame, domain: str | None = None) -> DataFrame:
@@ -91,3 +93,31 @@ def detect(docs: DataFrame, domain: str | None = None) -> DataFrame:
 
 def frames() -> dict:
     return tokens.FRAMES
+
+
+def domain(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """doc_id, domain, secondary, confidence by the words of a lexicon (domain, term)."""
+    terms = docs.sparkSession.createDataFrame(corpus.domain_rows(), "domain string, term string") if terms is None else terms
+    return metrics.compute(corpus.DOMAIN, docs, domain_terms=terms)
+
+
+def score_once(docs: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """score() of the distinct texts, joined back to all documents that have them."""
+    key = F.sha2(F.coalesce("text", F.lit("")), 256)
+    one = docs.groupBy(key.alias("_key")).agg(F.min("doc_id").alias("_doc"))
+    own = docs.select("doc_id", key.alias("_key")).join(one, "_key").select("doc_id", "_doc")
+    few = docs.join(one.select(F.col("_doc").alias("doc_id")), "doc_id", "left_semi")
+    return own.join(score(few).withColumnRenamed("doc_id", "_doc"), "_doc").drop("_doc")
+
+
+def highlight_html(marks: DataFrame) -> DataFrame:
+    """doc_id, html: a span for each sentence, in order, with its colour class."""
+    text = F.replace(F.replace(F.replace(F.col("sentence"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    span = F.concat(F.lit('<span class="'), F.col("colour"), F.lit('" data-index="'), F.col("idx").cast("string"), F.lit('">'), text, F.lit("</span>"))
+    return marks.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", span.alias("s")))), lambda x: x["s"]), " ").alias("html"))
+
+
+def detection_events(ens: DataFrame, docs: DataFrame) -> DataFrame:
+    """One log record per verdict, to append to a table or stream."""
+    size = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("text_length"))
+    return ens.join(size, "doc_id").select(F.col("doc_id").cast("string").alias("analysis_id"), F.current_timestamp().alias("ts"), "text_length", "verdict", F.col("overall_confidence").alias("confidence"), "domain")

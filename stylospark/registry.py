@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .operators import language_metrics as lm
 from .functions import fixed
 from .functions import text as T
-from .operators import metrics, tokens, verdicts
+from .operators import corpus, metrics, tokens, verdicts
 from .plans import detect
 from .sources import files
 from .streaming import events
@@ -191,3 +191,19 @@ def sentences_smart(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def sentences_lookbehind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.posexplode(T.sentences_lookbehind(F.coalesce("text", F.lit("")))).alias("idx", "sentence"))
+
+
+for _name, _text in {"lm_bigram": corpus.LM_BIGRAM, "lm_unigram": corpus.LM_UNIGRAM, "overlapping_chunks": corpus.OVERLAPPING}.items():
+    query(metrics.duck_sql(_text), _name)(lambda spark, sf_dir, text=_text: metrics.compute(text, docs(spark, sf_dir)))
+
+_TERMS = "(SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{t}')" for d, t in corpus.domain_rows()) + ") t(domain, term))"
+_ENS = f"ens AS ({verdicts.ENSEMBLE})"
+query(metrics.duck_sql(corpus.DOMAIN, domain_terms=_TERMS), "domain_by_lexicon")(lambda s, d: detect.domain(docs(s, d)))
+query(_named(corpus.ABLATION, *_BASE, _PROB), "ablation")(lambda s, d: s.sql(metrics.spark_sql(corpus.ABLATION), prob=detect.probabilities(docs(s, d))))
+query(_named(corpus.CALIBRATION, *_BASE, _PROB, _ENS), "calibration")(lambda s, d: s.sql(metrics.spark_sql(corpus.CALIBRATION), ens=detect.ensemble(docs(s, d)), labels=table(s, d, "labels")))
+query(_named(corpus.SUMMARY, *_BASE, _PROB, _ENS), "verdict_summary")(lambda s, d: s.sql(metrics.spark_sql(corpus.SUMMARY), ens=detect.ensemble(docs(s, d))))
+query(_named(corpus.BREAKDOWN, *_BASE, _PROB, _ENS), "verdict_breakdown")(lambda s, d: s.sql(metrics.spark_sql(corpus.BREAKDOWN), ens=detect.ensemble(docs(s, d)), documents=table(s, d, "documents")))
+query(name="highlight_html")(lambda s, d: detect.highlight_html(detect.highlights(docs(s, d))))
+query(
+    """SELECT d.doc_id, e.summary_md5 FROM documents d JOIN (SELECT md5(coalesce(text, '')) AS k, md5(concat(coalesce(text, ''), '!')) AS summary_md5 FROM documents GROUP BY 1, 2) e ON e.k = md5(coalesce(d.text, ''))""", "score_identical_once"
+)(lambda s, d: detect.score_once(docs(s, d), lambda few: few.select("doc_id", F.md5(F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).alias("summary_md5"))))
