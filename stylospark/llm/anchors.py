@@ -21,15 +21,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as Sorted
 from pyspark.sql import functions as F
 
-from .common import U64, durable, keyed, mix, pieces, prefix, raw, span_hash
+from .common import U64, durable, pieces, powers, prefix, raw, span_hash
 
 HOT_MAX = 10_000
 #: Different segments of one anchor that a task takes without demotion.
-HOT_GROUP = 2_000
-SCHEMA = "doc_id long, h long, start int, len int, off int, anchor long, s1 long, s2 long"
+HOT_GROUP = 4_000
+SAMPLE = 32
+#: at: the segment's start << 24 | its length.
+SCHEMA = "doc_id long, h long, at long, anchor long, s long"
 #: tokens(data, offs) gives (token values, offsets of each document's tokens).
 Tokens = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -52,14 +56,17 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments(tok: np.ndarray, offs: np.ndarray, win: Window, hot: np.ndarray):
-    """(document, start, length, anchor's offset in it, anchor, two content
-    hashes) of every segment; positions count from the document's first token."""
+    """(document, start, length, anchor, content hash) of every segment;
+    positions count from the document's first token. Contents are equal if
+    anchor and content hash are, each of 64 bits."""
     n, spread = len(tok), win.width - win.gram + 1
-    empty = [np.zeros(0, np.int64)] * 7
+    empty = [np.zeros(0, np.int64)] * 5
     if n < win.width:
         return empty
     pre = prefix(tok + U64(1))
-    gram = span_hash(pre, np.arange(n - win.gram + 1), np.arange(win.gram, n + 1))
+    gram = (pre[win.gram :] - pre[: -win.gram]) * powers(n + 1)[1][: n - win.gram + 1]
+    gram = (gram ^ (gram >> U64(29))) * U64(0xBF58476D1CE4E5B9)
+    gram ^= gram >> U64(32)
     order = gram >> U64(1)
     if len(hot):
         i = np.minimum(np.searchsorted(hot, gram), len(hot) - 1)
@@ -74,20 +81,19 @@ def segments(tok: np.ndarray, offs: np.ndarray, win: Window, hot: np.ndarray):
     first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (valid[1:] != valid[:-1] + 1))))
     last = np.append(first[1:], len(valid)) - 1
     a, b, pos = valid[first], valid[last] + win.width, at[first]
-    pre2 = prefix(mix(tok + U64(77)))
     d = doc[a]
-    return d, a - offs[d], b - a, pos - a, gram[pos].view(np.int64), span_hash(pre, a, b).view(np.int64), span_hash(pre2, a, b).view(np.int64)
+    return d, a - offs[d], b - a, gram[pos].view(np.int64), span_hash(pre, a, b).view(np.int64)
 
 
 def _rows(win: Window, hot: np.ndarray):
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", 1 << 17):  # arrays that stay in a core's cache
                 tok, offs = win.tokens(*raw(part.column(2)))
-                d, start, size, off, anchor, s1, s2 = segments(tok, offs, win, hot)
+                d, start, size, anchor, content = segments(tok, offs, win, hot)
                 if len(d):
                     i = pa.array(d)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(i), part.column(1).take(i), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(anchor), pa.array(s1), pa.array(s2)], names=["doc_id", "h", "start", "len", "off", "anchor", "s1", "s2"])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(i), part.column(1).take(i), pa.array(start << 24 | size), pa.array(anchor), pa.array(content)], names=["doc_id", "h", "at", "anchor", "s"])
 
     return run
 
@@ -95,25 +101,36 @@ def _rows(win: Window, hot: np.ndarray):
 def repeats(docs: DataFrame, win: Window, most: int = HOT_GROUP) -> tuple[DataFrame, DataFrame]:
     """(known, open): segments of docs (keyed()) that may hold repeats. known:
     doc_id, h, start, len of segments that are repeats throughout. open: doc_id,
-    h, start, len, off, anchor, copies of segments that share their anchor with
-    other contents; of equal contents (copies > 1) one stands for all."""
-    hot = np.zeros(0, U64)
+    h, start, len, anchor, copies of segments that share their anchor with other
+    contents; of equal contents (copies > 1) one stands for all.
+
+    Segments are dealt by anchor once and looked at in order, so only neighbours
+    are compared. Which anchors to demote is first guessed from one document in
+    SAMPLE; whatever the guess missed is demoted in another round."""
+    few = docs.where(F.pmod(F.xxhash64("doc_id", "h"), F.lit(SAMPLE)) == 0).mapInArrow(_rows(win, np.zeros(0, U64)), SCHEMA)
+    guess = few.groupBy("anchor").agg(F.approx_count_distinct("s").alias("kinds")).where(F.col("kinds") > max(8, most // SAMPLE // 2))
+    hot = _hottest(guess, HOT_MAX // 2)
+    group = Sorted.partitionBy("anchor")
+    near = group.orderBy("s", "doc_id", "h", "at")
     while True:
-        found = durable(docs.mapInArrow(_rows(win, hot), SCHEMA), "segments")
-        kinds = found.groupBy("anchor", "s1", "s2").agg(F.count("*").alias("copies"))
-        groups = durable(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("copies").alias("all")).where(F.col("all") > 1), "anchor-groups")
-        large = [r["anchor"] for r in groups.where(F.col("kinds") > most).orderBy(F.desc("kinds"), "anchor").limit(HOT_MAX - len(hot)).select("anchor").collect()]
-        new = np.setdiff1d(np.array(large, np.int64).view(U64), hot)
-        if not len(new) or len(hot) >= HOT_MAX:
+        found = docs.mapInArrow(_rows(win, hot), SCHEMA)
+        seen = found.select("*", F.lag("s").over(near).alias("_a"), F.lead("s").over(near).alias("_b"), (F.min("s").over(group) < F.max("s").over(group)).alias("open"))
+        again = F.coalesce(F.col("_a") == F.col("s"), F.lit(False)) | F.coalesce(F.col("_b") == F.col("s"), F.lit(False))
+        head = ~F.coalesce(F.col("_a") == F.col("s"), F.lit(False))
+        shared = durable(seen.select("doc_id", "h", "at", "anchor", again.alias("again"), (head & F.col("open")).alias("head")).where("again or head"), "shared-segments")
+        new = np.setdiff1d(_hottest(shared.where("head").groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > most), HOT_MAX - len(hot)), hot)
+        if not len(new):
             break
         hot = np.union1d(hot, new)
-    shared = found.join(groups, "anchor")
-    kinds = shared.groupBy("anchor", "s1", "s2").agg(F.count("*").alias("copies"), F.first("kinds").alias("kinds"), F.min(F.struct("doc_id", "h", "start", "len", "off")).alias("one"))
-    kinds = durable(kinds, "segment-kinds")
-    repeated = kinds.where("copies > 1").select("anchor", "s1", "s2")
-    known = found.join(repeated, ["anchor", "s1", "s2"]).select("doc_id", "h", "start", "len")
-    rest = kinds.where("kinds > 1").select("one.*", "anchor", "copies")
-    return known, rest
+    start, size = F.shiftright("at", 24).cast("int"), (F.col("at") % (1 << 24)).cast("int")
+    parts = shared.select("doc_id", "h", start.alias("start"), size.alias("len"), "anchor", F.when(F.col("again"), 2).otherwise(1).cast("long").alias("copies"), "head", "again")
+    return parts.where("again").select("doc_id", "h", "start", "len"), parts.where("head").drop("head", "again")
+
+
+def _hottest(kinds: DataFrame, n: int) -> np.ndarray:
+    """The n anchors of most kinds, sorted: at most HOT_MAX numbers."""
+    rows = kinds.orderBy(F.desc("kinds"), "anchor").limit(max(0, n)).select("anchor").collect()
+    return np.sort(np.array([r["anchor"] for r in rows], np.int64).view(U64))
 
 
 def spans_of(known: DataFrame, found: DataFrame) -> DataFrame:
@@ -122,6 +139,36 @@ def spans_of(known: DataFrame, found: DataFrame) -> DataFrame:
     return both.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "len")).alias("spans"))
 
 
+def _pack(batches):
+    for batch in batches:
+        z = zstandard.ZstdCompressor(level=3)
+        text = pa.array([z.compress(t.as_buffer()) for t in batch.column(2)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), text], names=["doc_id", "h", "text"])
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """keyed() rows with compressed texts, for a shuffle of whole texts."""
+    return docs.mapInArrow(_pack, "doc_id long, h long, text binary")
+
+
+def unpack(run):
+    """A mapInArrow function over batches whose text column is packed, a few
+    megabytes at a time."""
+
+    def wrapped(batches):
+        def plain():
+            for batch in batches:
+                at = batch.schema.get_field_index("text")
+                for part in pieces(batch, "text", 1 << 20):
+                    z = zstandard.ZstdDecompressor()
+                    text = pa.array([z.decompress(t.as_buffer()) for t in part.column(at)], pa.binary()).cast(pa.string())
+                    yield part.set_column(at, "text", text)
+
+        yield from run(plain())
+
+    return wrapped
+
+
 def attach(docs: DataFrame, lists: DataFrame, how: str = "left") -> DataFrame:
     """docs with the columns of lists by (doc_id, h), null ids alike."""
     k = lists.withColumnRenamed("doc_id", "_d").withColumnRenamed("h", "_h")
@@ -136,6 +183,3 @@ def covered(n: int, spans) -> np.ndarray:
         step[s["start"] + s["len"]] -= 1
     return np.cumsum(step[:-1]) > 0
 
-
-def documents(docs: DataFrame) -> DataFrame:
-    return keyed(docs)

@@ -42,9 +42,19 @@ def column(df: DataFrame, name: str, kind: str):
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of whole texts: at most `rows` rows, unless the session has
+    a setting of its own. With the default of 10,000 rows a batch of long texts
+    takes most of a small executor's memory beside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def keyed(df: DataFrame) -> DataFrame:
     """(doc_id, h, text): null text is empty; h tells rows of one doc_id apart.
     Rows equal in both are interchangeable copies of one another."""
+    small_batches(df.sparkSession)
     text = F.coalesce(column(df, "text", "string"), F.lit(""))
     return df.select(column(df, "doc_id", "long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
 

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, bwt_dedup, exact_dedup, html_blocks, mixing, near_dedup, quality, rlz_dedup, token_files, topk
-from .common import column, shared_dir
+from .common import column, shared_dir, small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

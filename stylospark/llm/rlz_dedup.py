@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Window, attach, covered, repeats, spans_of
+from .anchors import Window, attach, covered, packed, repeats, spans_of, unpack
 from .bwt_dedup import runs, whole_groups
 from .common import durable, keyed, pieces, raw, word_hashes, words
 from .suffixes import doubled, lay_out, longest
@@ -92,9 +92,9 @@ def _cut(batches):
 
 def _strip(batches):
     kind = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
-    for batch in batches:
+    for part in (p for batch in batches for p in pieces(batch, "text", 1 << 21)):
         out = []
-        for d, text, spans in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+        for d, text, spans in zip(*(part.column(i).to_pylist() for i in (0, 2, 3))):
             w = text.encode().split()
             mask = covered(len(w), spans) if spans else None
             kept = w if mask is None else [x for x, gone in zip(w, mask.tolist()) if not gone]
@@ -112,7 +112,7 @@ def rlz_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     rows = keyed(docs)
     known, rest = repeats(rows, Window(width, 6, word_tokens))
     asked = rest.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "len", "anchor", "copies")).alias("segs"))
-    segs = attach(rows, asked, "inner").select("doc_id", "h", "text", "segs").mapInArrow(_cut, "doc_id long, h long, start int, anchor long, copies long, segment binary")
+    segs = attach(packed(rows), asked, "inner").select("doc_id", "h", "text", "segs").mapInArrow(unpack(_cut), "doc_id long, h long, start int, anchor long, copies long, segment binary")
     found = segs.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "h", "start").mapInPandas(_factor_rows(width), "doc_id long, h long, start int, len int")
     lists = durable(spans_of(known, found), "repeat-spans")
-    return attach(rows, lists).select("doc_id", "h", "text", "spans").mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept string")
+    return attach(packed(rows), lists).select("doc_id", "h", "text", "spans").mapInArrow(unpack(_strip), "doc_id long, n_words long, n_removed long, kept string")
