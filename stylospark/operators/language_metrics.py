@@ -21,7 +21,7 @@ coh AS (SELECT doc_id, SUM(cosine) AS s FROM adj GROUP BY doc_id),
 blk AS (SELECT doc_id, CAST(FLOOR(idx / 10) AS INT) AS b, SUM(cosine) / 10 AS m FROM adj GROUP BY 1, 2),
 vari AS (SELECT doc_id, COUNT(*) AS n, AVG(m) AS mu, VAR_POP(m) AS v FROM blk GROUP BY doc_id),
 tot AS (SELECT doc_id, SUM(s * s) AS s2 FROM (SELECT doc_id, w, SUM(x) AS s FROM e GROUP BY doc_id, w) q GROUP BY doc_id),
-sq AS (SELECT doc_id, SUM(g * g) AS g2 FROM (SELECT a.doc_id, a.w, b.w AS w2, SUM(a.x * b.x) AS g FROM e a JOIN e b ON b.doc_id = a.doc_id AND b.idx = a.idx GROUP BY a.doc_id, a.w, b.w) q GROUP BY doc_id),
+sq AS (SELECT doc_id, SUM(CASE WHEN w = w2 THEN g * g ELSE 2 * g * g END) AS g2 FROM (SELECT a.doc_id, a.w, b.w AS w2, SUM(a.x * b.x) AS g FROM e a JOIN e b ON b.doc_id = a.doc_id AND b.idx = a.idx AND b.w >= a.w GROUP BY a.doc_id, a.w, b.w) q GROUP BY doc_id),
 df AS (SELECT doc_id, w, COUNT(*) AS f FROM tf GROUP BY doc_id, w),
 pre AS (SELECT doc_id, idx, w FROM (SELECT e.doc_id, e.idx, e.w, SUM(e.x * e.x) OVER (PARTITION BY e.doc_id, e.idx ORDER BY d.f DESC, e.w) AS cum FROM e JOIN df d ON d.doc_id = e.doc_id AND d.w = e.w) q WHERE cum >= 0.6399),
 cand AS (SELECT DISTINCT p.doc_id, p.idx AS i, e.idx AS j FROM pre p JOIN e ON e.doc_id = p.doc_id AND e.w = p.w AND e.idx >= p.idx + 2),
