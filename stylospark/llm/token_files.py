@@ -153,6 +153,9 @@ class WordCache:
         self.tok, self.size = Tokenizer.from_file(path), size
         self.tok.no_padding(), self.tok.no_truncation()
         self.added = [t.content.encode()[:2].lower() for t in self.tok.get_added_tokens_decoder().values()]
+        vocabulary = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.start()
 
     def start(self) -> None:
@@ -160,8 +163,31 @@ class WordCache:
         self.flat, self.at, self.count = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.used = 0
 
+    def library(self, words: list[str]) -> list[list[int]]:
+        """Ids of words by the library. Words of letters alone are single pieces,
+        whose last token carries the end-of-word mark: they are given as texts of
+        many words and parted at the marks. The rest go one by one."""
+        out: list[list[int] | None] = [None] * len(words)
+        plain = [i for i, w in enumerate(words) if w.isalpha()]
+        for a in range(0, len(plain), 512):
+            own = plain[a : a + 512]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(words[i] for i in own)], add_special_tokens=False)[0].ids)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(own):
+                for i, x, y in zip(own, np.concatenate(([0], ends[:-1])).tolist(), ends.tolist()):
+                    out[i] = ids[x:y]
+        rest = [i for i, got in enumerate(out) if got is None]
+        for i, e in zip(rest, self.tok.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
+
     def learn(self, words: list[bytes]) -> None:
-        got = [e.ids for e in self.tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        """Cache the words. A word of letters and one sign is two pieces."""
+        text = [w.decode() for w in words]
+        cut = [w[-1] in ".,|!" and w[:-1].isalpha() for w in text]
+        parts = list(dict.fromkeys([w[:-1] if c else w for w, c in zip(text, cut)] + [w[-1] for w, c in zip(text, cut) if c]))
+        by = dict(zip(parts, self.library(parts)))
+        got = [[*by[w[:-1]], *by[w[-1]]] if c else by[w] for w, c in zip(text, cut)]
         n = np.array([len(g) for g in got], np.int64)
         k, total = len(self.slot), int(n.sum())
         while self.used + total > len(self.flat):
@@ -178,7 +204,7 @@ class WordCache:
             self.start()
         raw = [t.encode() for t in texts]
         split = [None if any(a in b for a in self.added) else b.lower().split() for b in raw]
-        if new := {w for ws in split if ws for w in ws if w not in self.slot}:
+        if new := set().union(*[ws for ws in split if ws]).difference(self.slot):
             self.learn(list(new))
         out = []
         for t, ws in zip(texts, split):
@@ -270,4 +296,6 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     inside = Window.partitionBy("shard").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
     base = segs.withColumn("own", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(shards, "shard").select("shard", "seg", (F.col("base") + F.col("own")).alias("base"))
     rows = files.select("shard", "seg", "payload").mapInArrow(_read, "shard int, seg int, doc_id long, local long, n_tokens long, ids binary")
+    if base.count() <= 1_000_000:  # a row of three numbers for each segment; more are joined by shuffling
+        base = F.broadcast(base)
     return rows.join(base, ["shard", "seg"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids")
