@@ -7,9 +7,10 @@ hash to each coordinate, so only elements hit are ever touched. Two documents
 agree at a coordinate with the probability of their weighted Jaccard similarity.
 Documents with a band of coordinates in common are compared exactly.
 
-Equal sets count once. In a bucket not all pairs are formed: members are compared
-with its first member, then, while a bucket still holds several components, with
-the next ones, pairs within one component or with clearly lower agreement aside.
+Equal sets count once. In a bucket not all pairs are formed: a member is compared
+with the first of one of its buckets, then, while a bucket still holds several
+components, members are compared with its first, its next ones and so on, pairs
+within one component or with clearly lower agreement aside.
 """
 
 from __future__ import annotations
@@ -92,6 +93,16 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key
 
 
+def low_bits(sig: np.ndarray) -> np.ndarray:
+    """Seven bits of each coordinate, seven coordinates to a number."""
+    n, size = sig.shape
+    out = np.zeros((n, -(-size // 7), 8), np.uint8)
+    flat = np.zeros((n, out.shape[1] * 7), np.uint8)
+    flat[:, :size] = sig & U64(127)
+    out[:, :, :7] = flat.reshape(n, -1, 7)
+    return out.reshape(n, -1).view("<i8")
+
+
 def _signature_rows(batches):
     for batch in batches:
         for part in pieces(batch, "text"):
@@ -99,7 +110,8 @@ def _signature_rows(batches):
             sig, n = darts(h, offs), np.diff(offs)
             bands = band_keys(sig)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
-            low = pa.array([r.tobytes() for r in (sig & U64(255)).astype(np.uint8)], pa.binary())
+            low = low_bits(sig)
+            low = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * low.shape[1]), pa.array(low.ravel()))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(sums(h, offs, 0)), pa.array(sums(h, offs, 1)), bands, low], names=["doc_id", "h", "n", "v", "v2", "bands", "sig"])
 
 
@@ -156,7 +168,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     find is verified on whole texts. Null text is empty, other columns are
     ignored, an empty table gives an empty table."""
     rows = keyed(docs)
-    sig = durable(rows.mapInArrow(_signature_rows, "doc_id long, h long, n long, v long, v2 long, bands array<long>, sig binary"), "signatures")
+    sig = durable(rows.mapInArrow(_signature_rows, "doc_id long, h long, n long, v long, v2 long, bands array<long>, sig array<long>"), "signatures")
     order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), "h", "doc_id")
     heads = durable(sig.groupBy("v", "v2", "n").agg(F.min(order).alias("head"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "sets")
     own = Window.partitionBy("b")
@@ -166,26 +178,39 @@ def near_classes(docs: DataFrame) -> DataFrame:
     used = buckets.select("v").distinct().join(heads.select("v", "head.doc_id", "head.h"), "v")
     texts = durable(attach(rows, used, "inner").select("v", "text").dropDuplicates(["v"]), "bucket-texts")
     most = buckets.agg(F.max("m")).first()[0] or 0
-    edges, labels, lo, hi = None, None, 1, 2
+    edges, labels, lo, hi, tries = None, None, 1, 2, 2
     while lo < most:
         left = buckets
         if labels is not None:
             named = buckets.join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v")).withColumn("sides", F.min("comp").over(own) != F.max("comp").over(own)).where("sides")
             left = durable(named.join(heads.select("v", "sig"), "v").drop("sides", "m"), "open-buckets")
-            if left.isEmpty():
+            most = left.agg(F.max("rn")).first()[0] or 0
+            if lo >= most:
                 break
-            most = left.agg(F.max("rn")).first()[0]
         first = left.where(f"rn >= {lo} and rn < {hi}").select("b", F.col("v").alias("a"), F.col("n").alias("an"), F.col("rn").alias("ar"), *[F.col(c).alias("a" + c) for c in ("comp", "sig") if labels is not None])
         on = (first["b"] == left["b"]) & (left["rn"] > first["ar"]) & (5 * F.least("n", "an") >= 4 * F.greatest("n", "an"))
         if labels is not None:
-            agree = F.aggregate(F.sequence(F.lit(1), F.lit(SIZE)), F.lit(0), lambda s, i: s + (F.substring("sig", i, F.lit(1)) == F.substring("asig", i, F.lit(1))).cast("int"))
-            on = on & (left["comp"] != first["acomp"]) & (agree >= LOW)
-        pairs = left.join(first, on).select("a", F.col("v").alias("b")).distinct()
+            # a byte of the sum has its top bit set where the coordinates differ
+            differ = lambda p, q: F.bit_count((p.bitwiseXOR(q) + F.lit(0x7F7F7F7F7F7F7F)).bitwiseAND(F.lit(0x80808080808080)))
+            apart = F.aggregate(F.zip_with("sig", "asig", differ), F.lit(0), lambda s, x: s + x)
+            on = on & (left["comp"] != first["acomp"]) & (apart <= SIZE - LOW)
+        other = F.lit(0) if labels is None else F.col("acomp")
+        pairs = left.join(first, on).select("a", F.col("v").alias("b"), other.alias("other"))
+        if tries:  # a member meets one of each other component: of a group of copies all meet the same
+            pairs = pairs.groupBy("b", "other").agg(F.min_by("a", F.struct(F.xxhash64("a"), "a")).alias("a"))
+        pairs = pairs.select("a", "b").distinct()
         pairs = pairs.join(texts.select(F.col("v").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("v").alias("a"), F.col("text").alias("ta")), "a")
         found = durable(pairs.select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long"), "links")
         edges = found if edges is None else edges.unionByName(found)
-        labels = components(edges)
-        lo, hi = hi, hi * hi if hi > 2 else 4
+        linked = labels is None or not found.isEmpty()
+        if labels is None:
+            hi = 4
+        elif not tries:
+            lo, hi, tries = hi, hi * 16, 2
+        else:  # then all of them
+            tries = tries - 1 if linked else 0
+        if linked:
+            labels = components(edges)
     out = sig.select("doc_id", "h", "v")
     out = out.join(labels, "v", "left") if labels is not None else out.withColumn("comp", F.lit(None).cast("long"))
     out = out.withColumn("comp", F.coalesce("comp", "v"))
