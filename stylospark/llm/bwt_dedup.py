@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Window, attach, covered, repeats, spans_of
-from .common import durable, keyed
+from .anchors import Window, attach, covered, packed, repeats, spans_of, unpack
+from .common import durable, keyed, pieces
 from .suffixes import doubled, lay_out
 
 WIDTH = 200
@@ -137,9 +137,9 @@ def _merge_rows(width: int):
 def cut_segments(batches):
     """(doc_id, h, text, segs) to the bytes of each open segment."""
     kind = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("anchor", pa.int64()), ("copies", pa.int64()), ("segment", pa.binary())])
-    for batch in batches:
+    for part in (p for batch in batches for p in pieces(batch, "text", 1 << 21)):
         out = []
-        for d, h, text, segs in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        for d, h, text, segs in zip(*(part.column(i).to_pylist() for i in range(4))):
             raw = text.encode()
             out += [{"doc_id": d, "h": h, "start": s["start"], "anchor": s["anchor"], "copies": s["copies"], "segment": raw[s["start"] : s["start"] + s["len"]]} for s in segs]
         yield pa.RecordBatch.from_pylist(out, schema=kind)
@@ -147,9 +147,9 @@ def cut_segments(batches):
 
 def _strip(batches):
     kind = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("len", pa.int64())]))), ("kept", pa.binary())])
-    for batch in batches:
+    for part in (p for batch in batches for p in pieces(batch, "text", 1 << 21)):
         out = []
-        for d, text, spans in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+        for d, text, spans in zip(*(part.column(i).to_pylist() for i in (0, 2, 3))):
             raw = text.encode()
             mask = covered(len(raw), spans)
             edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
@@ -168,10 +168,10 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     rows = keyed(docs)
     known, rest = repeats(rows, Window(width, 16, byte_tokens))
     asked = rest.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "len", "anchor", "copies")).alias("segs"))
-    segs = attach(rows, asked, "inner").mapInArrow(cut_segments, "doc_id long, h long, start int, anchor long, copies long, segment binary")
+    segs = attach(packed(rows), asked, "inner").select("doc_id", "h", "text", "segs").mapInArrow(unpack(cut_segments), "doc_id long, h long, start int, anchor long, copies long, segment binary")
     found = segs.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "h", "start").mapInPandas(_merge_rows(width), "doc_id long, h long, start int, len int")
     lists = durable(spans_of(known, found), "repeat-spans")
-    return attach(rows, lists).select("doc_id", "h", "text", "spans").mapInArrow(_strip, "doc_id long, n_bytes long, spans array<struct<start: long, len: long>>, kept binary")
+    return attach(packed(rows), lists).select("doc_id", "h", "text", "spans").mapInArrow(unpack(_strip), "doc_id long, n_bytes long, spans array<struct<start: long, len: long>>, kept binary")
 
 
 def digest(out: DataFrame) -> DataFrame:
