@@ -352,7 +352,8 @@ def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     their words to training. An empty table gives an empty table; other columns
     are ignored."""
     src = pages.select(column(pages, "page_id", "long").alias("page_id"), column(pages, "url", "string").alias("url"), F.coalesce(column(pages, "html", "string"), F.lit("")).alias("html"))
-    some = src.orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(sample).select("html").collect()
+    ids = src.select("page_id").where("page_id is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).distinct()
+    some = src.join(F.broadcast(ids), "page_id").orderBy("page_id", F.xxhash64("html")).limit(sample).select("html").collect()
     model = train([blocks(r["html"]) for r in some])
     sent = src.sparkSession.sparkContext.broadcast(model.w)
 
