@@ -144,7 +144,7 @@ p AS (SELECT b.w, b.w2, -LN(0.7E0 * b.c / b.ctx + 0.3E0 * (u.c + 1) / (t.n + t.v
 """
 PERPLEXITY_FEATURES = NLL + """,
 x AS (SELECT k.doc_id, k.pos, p.nll FROM {tok} k JOIN p ON p.w = k.w AND p.w2 = k.w2),
-whole AS (SELECT doc_id, COUNT(*) + 1 AS n, AVG(CASE WHEN pos < 1023 THEN nll END) AS ce FROM x GROUP BY doc_id),
+whole AS (SELECT doc_id, COUNT(*) + 1 AS n, AVG(nll) AS ce FROM x GROUP BY doc_id),
 blocks AS (SELECT doc_id, CAST(FLOOR(pos / 100) AS INT) AS b, SUM(nll) AS s, COUNT(*) AS c FROM x GROUP BY 1, 2),
 chunk AS (
   SELECT doc_id, k, EXP(SUM(s) / SUM(c)) AS ppl FROM (SELECT doc_id, b AS k, s, c FROM blocks UNION ALL SELECT doc_id, b - 1, s, c FROM blocks WHERE b > 0) u

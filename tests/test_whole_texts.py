@@ -1,0 +1,34 @@
+"""Metrics of the whole text against brute force: no document is cut to a prefix."""
+
+import math
+from collections import Counter
+
+from stylospark.operators import metrics
+
+
+def nlls(texts):
+    """nll of a pair by the interpolated bigram model of texts, and of a word after an unseen pair."""
+    words = [t.lower().split() for t in texts]
+    uni, bi, ctx = Counter(w for ws in words for w in ws), Counter(p for ws in words for p in zip(ws, ws[1:])), Counter(w for ws in words for w in ws[:-1])
+    n, v = sum(uni.values()), len(uni)
+    return lambda a, b: -math.log((0.7 * bi[a, b] / ctx[a] if bi[a, b] else 0) + 0.3 * (uni[b] + 1) / (n + v))
+
+
+def mean(xs):
+    xs = list(xs)
+    return sum(xs) / len(xs)
+
+
+def frame(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def test_perplexity_reads_words_after_the_1024th(spark):
+    texts = [" ".join(["the cat sat"] * 400 + [f"rare{i}" for i in range(900)]), "the cat sat on a mat and the dog ran off to the hills again"]
+    nll = nlls(texts)
+    got = {r.doc_id: r for r in metrics.compute(metrics.PERPLEXITY_FEATURES, frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        ws = t.split()
+        ce = mean(nll(a, b) for a, b in zip(ws, ws[1:]))
+        assert math.isclose(got[i].overall_perplexity, math.exp(ce), abs_tol=2e-3)
+        assert math.isclose(got[i].cross_entropy_score, min(1, ce / 5), abs_tol=2e-4)
