@@ -89,16 +89,20 @@ SELECT doc_id, {score(_LINGUISTIC, positive("pos_diversity", "syntactic_complexi
 FROM (@F) f
 """.replace("@F", LINGUISTIC_FEATURES)
 
-#: Three deletions of a tenth of the first 256 words, chosen by an arithmetic hash of document, round and place.
+#: Three deletions of a tenth of the words, chosen by an arithmetic hash of document, round and place. Words are
+#: ranked within blocks of 1,000, which lose 100 each, so that no sort holds a whole document; link joins the blocks' ends.
 STABILITY_FEATURES = NLL + """,
-base AS (SELECT doc_id, pos, w, w2 FROM {tok} WHERE pos < 256),
-size AS (SELECT doc_id, COUNT(*) AS n FROM base GROUP BY doc_id),
-orig AS (SELECT b.doc_id, greatest(0.5, least(10.0, AVG(p.nll))) AS l FROM base b JOIN p ON p.w = b.w AND p.w2 = b.w2 WHERE b.pos < 255 GROUP BY b.doc_id),
-ranked AS (SELECT b.doc_id, r.k, b.pos, b.w, s.n, ROW_NUMBER() OVER (PARTITION BY b.doc_id, r.k ORDER BY ((b.doc_id + 17) * 7919 + r.k * 104729 + CAST(b.pos AS BIGINT) * 15485863) % 1000003, b.pos) AS rn
-  FROM base b JOIN size s ON s.doc_id = b.doc_id CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3) r WHERE s.n > 5),
-kept AS (SELECT doc_id, k, w, LEAD(w) OVER (PARTITION BY doc_id, k ORDER BY pos) AS w2 FROM ranked WHERE rn > greatest(1, FLOOR(n / 10))),
+orig AS (SELECT b.doc_id, greatest(0.5, least(10.0, AVG(p.nll))) AS l FROM {tok} b JOIN p ON p.w = b.w AND p.w2 = b.w2 GROUP BY b.doc_id),
+placed AS (SELECT doc_id, CAST(FLOOR(pos / 1000) AS INT) AS blk, pos, w FROM {tok}),
+ranked AS (SELECT b.doc_id, r.k, b.blk, b.pos, b.w, COUNT(*) OVER (PARTITION BY b.doc_id, r.k, b.blk) AS n,
+    ROW_NUMBER() OVER (PARTITION BY b.doc_id, r.k, b.blk ORDER BY ((b.doc_id + 17) * 7919 + r.k * 104729 + CAST(b.pos AS BIGINT) * 15485863) % 1000003, b.pos) AS rn
+  FROM placed b CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3) r),
+kept AS (SELECT doc_id, k, blk, pos, w, LEAD(w) OVER (PARTITION BY doc_id, k, blk ORDER BY pos) AS w2 FROM ranked
+  WHERE (blk > 0 OR n > 5) AND rn > CASE WHEN blk > 0 THEN FLOOR(n / 10) ELSE greatest(1, FLOOR(n / 10)) END),
+ends AS (SELECT doc_id, k, blk, MIN_BY(w, pos) AS a, MAX_BY(w, pos) AS z FROM kept GROUP BY doc_id, k, blk),
+link AS (SELECT doc_id, k, w, w2 FROM kept WHERE w2 IS NOT NULL UNION ALL SELECT x.doc_id, x.k, x.z, y.a FROM ends x JOIN ends y ON y.doc_id = x.doc_id AND y.k = x.k AND y.blk = x.blk + 1),
 pert AS (SELECT t.doc_id, t.k, greatest(0.5, least(10.0, AVG(COALESCE(p.nll, -LN(0.3E0 * (u.c + 1) / (z.n + z.v)))))) AS l
-  FROM kept t JOIN uni u ON u.w = t.w2 CROSS JOIN tot z LEFT JOIN p ON p.w = t.w AND p.w2 = t.w2 WHERE t.w2 IS NOT NULL GROUP BY t.doc_id, t.k),
+  FROM link t JOIN uni u ON u.w = t.w2 CROSS JOIN tot z LEFT JOIN p ON p.w = t.w AND p.w2 = t.w2 GROUP BY t.doc_id, t.k),
 agg AS (SELECT o.doc_id, o.l AS orig, COUNT(*) AS m, AVG(q.l) AS mean_l, AVG(greatest(0.0, least(1.0, (o.l - q.l) / o.l))) AS drop, VAR_POP(ABS(o.l - q.l)) AS curve, VAR_POP(q.l) AS pv FROM orig o JOIN pert q ON q.doc_id = o.doc_id GROUP BY o.doc_id, o.l)
 SELECT d.doc_id, d.n_chars, ROUND(COALESCE(a.orig, 2.0), 4) AS original_likelihood, ROUND(COALESCE(a.mean_l, 1.8), 4) AS avg_perturbed_likelihood,
   ROUND(CASE WHEN a.drop IS NULL THEN 0.3 WHEN a.drop > 0.5 THEN 0.9 WHEN a.drop > 0.3 THEN 0.6 + (a.drop - 0.3) * 1.5 WHEN a.drop > 0.15 THEN 0.3 + (a.drop - 0.15) * 2 ELSE a.drop * 2 END, 4) AS stability_score,

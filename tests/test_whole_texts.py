@@ -3,6 +3,7 @@
 import math
 from collections import Counter
 
+from stylospark.operators import language_metrics as lm
 from stylospark.operators import metrics
 
 
@@ -32,3 +33,22 @@ def test_perplexity_reads_words_after_the_1024th(spark):
         ce = mean(nll(a, b) for a, b in zip(ws, ws[1:]))
         assert math.isclose(got[i].overall_perplexity, math.exp(ce), abs_tol=2e-3)
         assert math.isclose(got[i].cross_entropy_score, min(1, ce / 5), abs_tol=2e-4)
+
+
+def test_stability_reads_all_words_and_drops_a_tenth_of_each_block(spark):
+    few = "one two three four five six seven"
+    texts = [" ".join(["the cat sat"] * 100 + [f"odd{i % 97} cat" for i in range(1000)]), few, "the cat sat on a mat", "too few"]
+    nll, clip = nlls(texts), lambda x: max(0.5, min(10.0, x))
+    got = {r.doc_id: r for r in metrics.compute(lm.STABILITY_FEATURES, frame(spark, texts)).collect()}
+    for i, t in enumerate(texts[:3]):
+        ws = t.split()
+        perturbed = []
+        for k in (1, 2, 3):
+            order = lambda p: (((i + 17) * 7919 + k * 104729 + p * 15485863) % 1000003, p)  # noqa: B023, E731
+            gone = {p for at in range(0, len(ws), 1000) for p in sorted(range(at, min(at + 1000, len(ws))), key=order)[: max(at == 0, (min(at + 1000, len(ws)) - at) // 10)]}
+            assert len(gone) == max(1, len(ws) // 10)
+            left = [w for p, w in enumerate(ws) if p not in gone]
+            perturbed.append(clip(mean(nll(a, b) for a, b in zip(left, left[1:]))))
+        assert math.isclose(got[i].original_likelihood, clip(mean(nll(a, b) for a, b in zip(ws, ws[1:]))), abs_tol=2e-4)
+        assert math.isclose(got[i].avg_perturbed_likelihood, mean(perturbed), abs_tol=2e-4) and got[i].num_perturbations == 3
+    assert got[3].num_perturbations == 0
