@@ -118,15 +118,16 @@ def chunks(units: Column, size: int = 512, overlap: int = 50) -> Column:
 
 def clean(df: DataFrame, shortest: int = 50, longest: int = 500_000, **options) -> DataFrame:
     """doc_id, cleaned text, words, sentences, counts, flags and errors of
-    documents. A null text is empty; invalid rows are kept with their errors."""
-    t = df.select("doc_id", clean_text(F.coalesce("text", F.lit("")), **options).alias("full"))
-    t = t.withColumn("cleaned", F.substring("full", 1, longest)).withColumn("words", words(F.col("cleaned"))).withColumn("sentences", sentences_smart(F.col("cleaned")))
+    documents. A null text is empty; invalid rows are kept with their errors,
+    those over `longest` characters whole."""
+    t = df.select("doc_id", clean_text(F.coalesce("text", F.lit("")), **options).alias("cleaned"))
+    t = t.withColumn("words", words(F.col("cleaned"))).withColumn("sentences", sentences_smart(F.col("cleaned")))
     n, s, low = F.size("words"), F.size("sentences"), F.transform("words", lambda w: F.lower(w))
     unique = F.size(F.array_distinct(low))
     total = F.aggregate("words", F.lit(0), lambda a, w: a + F.length(w))
     errors = F.array_compact(F.array(
-        F.when(F.length("full") < shortest, F.concat(F.lit("Text too short: "), F.length("full").cast("string"), F.lit(f" chars (minimum: {shortest})"))),
-        F.when(F.length("full") > longest, F.concat(F.lit("Text too long: "), F.length("full").cast("string"), F.lit(f" chars (maximum: {longest})"))),
+        F.when(F.length("cleaned") < shortest, F.concat(F.lit("Text too short: "), F.length("cleaned").cast("string"), F.lit(f" chars (minimum: {shortest})"))),
+        F.when(F.length("cleaned") > longest, F.concat(F.lit("Text too long: "), F.length("cleaned").cast("string"), F.lit(f" chars (maximum: {longest})"))),
         F.when(s == 0, F.lit("No valid sentences found")),
         F.when(n < 10, F.concat(F.lit("Too few words: "), n.cast("string"), F.lit(" (minimum: 10)"))),
     ))

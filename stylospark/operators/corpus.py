@@ -19,7 +19,7 @@ SELECT u.doc_id, u.chunk, CAST(COUNT(*) AS BIGINT) AS n_words, CAST(COUNT(DISTIN
 #: Domain by words of its labels (a table of domain, term): share of hits per domain, the two best, and the
 #: confidence rules; general with 0.5 where nothing matches.
 DOMAIN = """
-WITH hit AS (SELECT k.doc_id, t.domain, COUNT(*) AS c FROM (SELECT doc_id, w FROM {tok} WHERE pos < 400) k JOIN {domain_terms} t ON t.term = k.w GROUP BY k.doc_id, t.domain),
+WITH hit AS (SELECT k.doc_id, t.domain, COUNT(*) AS c FROM {tok} k JOIN {domain_terms} t ON t.term = k.w GROUP BY k.doc_id, t.domain),
 sc AS (SELECT doc_id, domain, c * 1.0 / SUM(c) OVER (PARTITION BY doc_id) AS score FROM hit),
 rk AS (SELECT doc_id, domain, score, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY score DESC, domain) AS r FROM sc)
 SELECT d.doc_id, COALESCE(a.domain, 'general') AS domain, CASE WHEN b.score >= 0.1 THEN b.domain END AS secondary,

@@ -3,8 +3,10 @@
 import math
 from collections import Counter
 
+from stylospark.functions import text as T
 from stylospark.operators import language_metrics as lm
 from stylospark.operators import metrics
+from stylospark.plans import detect
 
 
 def nlls(texts):
@@ -52,3 +54,17 @@ def test_stability_reads_all_words_and_drops_a_tenth_of_each_block(spark):
         assert math.isclose(got[i].original_likelihood, clip(mean(nll(a, b) for a, b in zip(ws, ws[1:]))), abs_tol=2e-4)
         assert math.isclose(got[i].avg_perturbed_likelihood, mean(perturbed), abs_tol=2e-4) and got[i].num_perturbations == 3
     assert got[3].num_perturbations == 0
+
+
+def test_domain_counts_words_after_the_400th(spark):
+    got = {r.doc_id: r for r in detect.domain(frame(spark, [" ".join(["plain"] * 450 + ["contract", "law", "agreement"]), "research thesis " + "plain " * 450 + "law law law"])).collect()}
+    assert got[0].domain == "legal" and got[0].confidence == 1.0
+    assert got[1].domain == "legal" and got[1].secondary == "academic"
+
+
+def test_cleaned_keeps_texts_over_the_limit_whole(spark):
+    text = "Some plain words here. " * 23_000 + "Last sentence ends differently."
+    r = T.clean(frame(spark, [text])).first()
+    assert r.cleaned == text and r.char_count == len(text) > 500_000
+    assert r.word_count == 4 * 23_000 + 4 and r.unique_words == 8 and r.sentence_count == 23_001
+    assert r.errors == [f"Text too long: {len(text)} chars (maximum: 500000)"] and not r.is_valid
