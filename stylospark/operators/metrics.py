@@ -142,6 +142,7 @@ tot AS (SELECT SUM(c) AS n, COUNT(*) AS v FROM uni),
 bi AS (SELECT w, w2, COUNT(*) AS c, SUM(COUNT(*)) OVER (PARTITION BY w) AS ctx FROM {tok} WHERE w2 IS NOT NULL GROUP BY w, w2),
 p AS (SELECT b.w, b.w2, -LN(0.7E0 * b.c / b.ctx + 0.3E0 * (u.c + 1) / (t.n + t.v)) AS nll FROM bi b JOIN uni u ON u.w = b.w2 CROSS JOIN tot t)
 """
+#: Of the whole text, of chunks of 200 words, and of sentences of over 20 characters and five words at least.
 PERPLEXITY_FEATURES = NLL + """,
 x AS (SELECT k.doc_id, k.pos, p.nll FROM {tok} k JOIN p ON p.w = k.w AND p.w2 = k.w2),
 whole AS (SELECT doc_id, COUNT(*) + 1 AS n, AVG(nll) AS ce FROM x GROUP BY doc_id),
@@ -149,11 +150,14 @@ blocks AS (SELECT doc_id, CAST(FLOOR(pos / 100) AS INT) AS b, SUM(nll) AS s, COU
 chunk AS (
   SELECT doc_id, k, EXP(SUM(s) / SUM(c)) AS ppl FROM (SELECT doc_id, b AS k, s, c FROM blocks UNION ALL SELECT doc_id, b - 1, s, c FROM blocks WHERE b > 0) u
   GROUP BY doc_id, k HAVING SUM(c) >= 10 AND EXP(SUM(s) / SUM(c)) < 1000),
-chunks AS (SELECT doc_id, COUNT(*) AS n, AVG(ppl) AS mu, VAR_POP(ppl) AS var, STDDEV_POP(ppl) AS sd, MIN(ppl) AS lo, MAX(ppl) AS hi FROM chunk GROUP BY doc_id),
-f AS (SELECT d.doc_id, d.n_chars, CASE WHEN w.n >= 5 AND d.n_chars >= 10 THEN EXP(w.ce) ELSE 0 END AS ppl, CASE WHEN w.n >= 5 THEN w.ce ELSE 0 END AS ce, COALESCE(k.n, 0) AS n, COALESCE(k.mu, 0) AS mu, COALESCE(k.var, 0) AS var, COALESCE(k.sd, 0) AS sd
-  FROM {doc} d LEFT JOIN whole w ON w.doc_id = d.doc_id LEFT JOIN chunks k ON k.doc_id = d.doc_id)
+chunks AS (SELECT doc_id, COUNT(*) AS n, AVG(ppl) AS mu, VAR_POP(ppl) AS var FROM chunk GROUP BY doc_id),
+sent AS (SELECT k.doc_id, k.idx, EXP(AVG(p.nll)) AS ppl FROM {senpos} k JOIN p ON p.w = k.w AND p.w2 = k.w2 GROUP BY k.doc_id, k.idx HAVING COUNT(*) >= 4),
+sents AS (SELECT x.doc_id, COUNT(*) AS n, AVG(x.ppl) AS mu, STDDEV_POP(x.ppl) AS sd, MIN(x.ppl) AS lo, MAX(x.ppl) AS hi FROM sent x JOIN {sen} s ON s.doc_id = x.doc_id AND s.idx = x.idx WHERE LENGTH(s.s) > 20 GROUP BY x.doc_id),
+f AS (SELECT d.doc_id, d.n_chars, CASE WHEN w.n >= 5 AND d.n_chars >= 10 THEN EXP(w.ce) ELSE 0 END AS ppl, CASE WHEN w.n >= 5 THEN w.ce ELSE 0 END AS ce, COALESCE(k.n, 0) AS n, COALESCE(k.mu, 0) AS mu, COALESCE(k.var, 0) AS var, s.n AS sn, s.mu AS smu, s.sd, s.lo, s.hi
+  FROM {doc} d LEFT JOIN whole w ON w.doc_id = d.doc_id LEFT JOIN chunks k ON k.doc_id = d.doc_id LEFT JOIN sents s ON s.doc_id = d.doc_id)
 SELECT doc_id, n_chars, ROUND(ppl, 3) AS overall_perplexity, ROUND(1 / (1 + EXP((ppl - 30) / 10)), 4) AS normalized_perplexity, ROUND(var, 2) AS perplexity_variance,
-  ROUND(sd, 3) AS std_sentence_perplexity, ROUND(least(1.0, ce / 5.0), 4) AS cross_entropy_score, ROUND(mu, 3) AS avg_chunk_perplexity, CAST(n AS BIGINT) AS num_chunks_analyzed
+  ROUND(COALESCE(smu, ppl), 3) AS avg_sentence_perplexity, ROUND(COALESCE(sd, 0), 3) AS std_sentence_perplexity, ROUND(COALESCE(lo, ppl), 3) AS min_sentence_perplexity, ROUND(COALESCE(hi, ppl), 3) AS max_sentence_perplexity,
+  CAST(COALESCE(sn, 0) AS BIGINT) AS num_sentences_analyzed, ROUND(least(1.0, ce / 5.0), 4) AS cross_entropy_score, ROUND(mu, 3) AS avg_chunk_perplexity, CAST(n AS BIGINT) AS num_chunks_analyzed
 FROM f
 """
 _PERPLEXITY = bands(

@@ -1,6 +1,7 @@
 """Metrics of the whole text against brute force: no document is cut to a prefix."""
 
 import math
+import re
 from collections import Counter
 
 from stylospark.functions import text as T
@@ -68,3 +69,19 @@ def test_cleaned_keeps_texts_over_the_limit_whole(spark):
     assert r.cleaned == text and r.char_count == len(text) > 500_000
     assert r.word_count == 4 * 23_000 + 4 and r.unique_words == 8 and r.sentence_count == 23_001
     assert r.errors == [f"Text too long: {len(text)} chars (maximum: 500000)"] and not r.is_valid
+
+
+def test_perplexity_of_each_sentence(spark):
+    sentences = ["the cat sat on the mat all day", "the dog ran after the cat all day", "zebras quarrel over unripe mangoes quietly", "the cat sat", "extraordinarily unquestionable words", "a b c d e f"]
+    texts = [". ".join(sentences) + "!", "a b c d e f"]
+    nll = nlls([re.sub(r"[.!]", "", t) for t in texts])
+    got = {r.doc_id: r for r in metrics.compute(metrics.PERPLEXITY_FEATURES, frame(spark, texts)).collect()}
+    ppl = [math.exp(mean(nll(a, b) for a, b in zip(s.split(), s.split()[1:]))) for s in sentences[:3]]
+    mu = mean(ppl)
+    r = got[0]
+    assert r.num_sentences_analyzed == 3
+    for have, want in ((r.avg_sentence_perplexity, mu), (r.std_sentence_perplexity, math.sqrt(mean((x - mu) ** 2 for x in ppl))), (r.min_sentence_perplexity, min(ppl)), (r.max_sentence_perplexity, max(ppl))):
+        assert math.isclose(have, want, abs_tol=2e-3)
+    r = got[1]
+    assert r.num_sentences_analyzed == 0 and r.std_sentence_perplexity == 0
+    assert r.avg_sentence_perplexity == r.min_sentence_perplexity == r.max_sentence_perplexity == r.overall_perplexity
