@@ -36,6 +36,12 @@ def sen(df: DataFrame, longer: int = 0) -> DataFrame:
     return _rows(df).select("doc_id", F.posexplode(T.sentences(F.col("text"), longer)).alias("idx", "s")).withColumn("n", F.size(T.space_words(F.col("s"))))
 
 
+def unsplit(df: DataFrame) -> DataFrame:
+    """doc_id, idx, s, n: texts without a sentence, trimmed; empty ones as 'No text content' of 0 words."""
+    a = _rows(df).where(~F.col("text").rlike(r"[^.!?\s]")).select("doc_id", F.regexp_replace("text", r"^\s+|\s+$", "").alias("s"))
+    return a.select("doc_id", F.lit(0).alias("idx"), F.when(F.col("s") == "", "No text content").otherwise(F.col("s")).alias("s"), F.size(T.space_words(F.col("s"))).alias("n"))
+
+
 def doc(df: DataFrame) -> DataFrame:
     """doc_id and what is counted from the whole text."""
     t = F.col("text")
@@ -76,6 +82,7 @@ DUCK = {
     "pretok": r"pretok AS (SELECT doc_id, unnest(range(len(ws))) AS pos, unnest(ws) AS w, unnest(ws[2:] || [NULL]) AS w2 FROM (SELECT doc_id, regexp_extract_all(text, '''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+') AS ws FROM src) WHERE len(ws) > 0)",
     "spaced": r"spaced AS (SELECT doc_id, unnest(range(len(ws))) AS pos, unnest(ws) AS w FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM src))",
     "sen": r"sen AS (SELECT *, len(list_filter(regexp_split_to_array(s, '\s+'), lambda x: x <> '')) AS n FROM (SELECT doc_id, unnest(range(len(ss))) AS idx, unnest(ss) AS s FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ss FROM src)))",
+    "unsplit": r"unsplit AS (SELECT doc_id, 0 AS idx, CASE WHEN t = '' THEN 'No text content' ELSE t END AS s, len(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')) AS n FROM (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM src WHERE NOT regexp_matches(text, '[^.!?\s]')))",
     "sen10": r"sen10 AS (SELECT doc_id, unnest(range(len(ss))) AS idx, unnest(ss) AS s FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 10) AS ss FROM src))",
     "senw": r"senw AS (SELECT doc_id, idx, unnest(regexp_extract_all(lower(s), '[\p{L}\p{N}_]+')) AS w FROM (SELECT doc_id, unnest(range(len(ss))) AS idx, unnest(ss) AS s FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 10) AS ss FROM src)))",
     "senpos": r"senpos AS (SELECT doc_id, idx, unnest(range(len(ws))) AS pos, unnest(ws) AS w, unnest(ws[2:] || [NULL]) AS w2 FROM (SELECT doc_id, idx, regexp_extract_all(lower(s), '[\p{L}\p{N}_]+') AS ws FROM (SELECT doc_id, unnest(range(len(ss))) AS idx, unnest(ss) AS s FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ss FROM src))) WHERE len(ws) > 0)",
@@ -83,4 +90,4 @@ DUCK = {
     "doc": r"doc AS (SELECT doc_id, length(text) AS n_chars, len(regexp_extract_all(text, '[^\p{L}\p{N}_\s]')) AS n_punct, length(text) - length(replace(text, ',', '')) AS n_comma FROM src)",
     "white": r"white AS (SELECT doc_id, unnest(regexp_extract_all(text, '\s')) AS ch FROM src)",
 }
-FRAMES = {"tok": tok, "pretok": pretok, "spaced": spaced, "sen": sen, "doc": doc, "white": white, "sen10": sen10, "senw": senw, "senpos": senpos, "keyword": keyword}
+FRAMES = {"tok": tok, "pretok": pretok, "spaced": spaced, "sen": sen, "unsplit": unsplit, "doc": doc, "white": white, "sen10": sen10, "senw": senw, "senpos": senpos, "keyword": keyword}

@@ -67,10 +67,12 @@ FROM (SELECT doc_id, metric, ai, CASE WHEN error IS NULL THEN x / SUM(CASE WHEN
   FROM (SELECT *, weight / (1.0 + EXP(-10 * (confidence - 0.5))) AS x FROM {prob}) a) b
 """
 
-#: Sentences with the metrics' probabilities adjusted to them and combined (general rules).
+#: Sentences with the metrics' probabilities adjusted to them and combined (general rules). Those of one or two words take
+#: the first usable metric's; a text without sentences is one itself, an empty one has a row that says so.
 HIGHLIGHTS = """
 WITH s AS (
-  SELECT doc_id, idx, s, n, LOWER(s) AS l, @DISTINCT AS kinds, CASE WHEN n < 5 THEN 0.2 ELSE least(1.0, CASE WHEN n > 15 THEN 0.3 ELSE 0.0 END + least(0.5, 0.1 * (@INDICATORS)) + least(0.2, 0.05 * (@CLAUSES))) END AS complexity FROM {sen}),
+  SELECT doc_id, idx, s, n, LOWER(s) AS l, @DISTINCT AS kinds, CASE WHEN n < 5 THEN 0.2 ELSE least(1.0, CASE WHEN n > 15 THEN 0.3 ELSE 0.0 END + least(0.5, 0.1 * (@INDICATORS)) + least(0.2, 0.05 * (@CLAUSES))) END AS complexity
+  FROM (SELECT doc_id, idx, s, n FROM {sen} UNION ALL SELECT doc_id, idx, s, n FROM {unsplit}) z),
 a AS (
   SELECT s.doc_id, s.idx, s.n, s.s, p.weight, greatest(0.1, p.confidence * 0.8 * greatest(0.3, least(1.0, s.n / 12.0))) AS c,
     greatest(0.0, least(1.0, p.ai * CASE
@@ -80,8 +82,11 @@ a AS (
       WHEN p.metric = 'structural' THEN CASE WHEN s.n < 5 OR s.n > 40 THEN 0.8 WHEN s.n BETWEEN 8 AND 20 THEN 1.1 ELSE 1.0 END
       WHEN p.metric = 'multi_perturbation_stability' THEN CASE WHEN s.n > 15 THEN 1.1 ELSE 1.0 END ELSE 1.0 END)) AS ai
   FROM s JOIN {prob} p ON p.doc_id = s.doc_id WHERE p.error IS NULL AND s.n >= 3),
-e AS (SELECT doc_id, idx, MAX(n) AS n, MAX(s) AS s, COUNT(*) AS m, SUM(weight * ai / (1.0 + EXP(-10 * (c - 0.5)))) / SUM(weight / (1.0 + EXP(-10 * (c - 0.5)))) AS ai, AVG(c) AS confidence FROM a GROUP BY doc_id, idx)
-SELECT doc_id, CAST(idx AS BIGINT) AS idx, CAST(n AS BIGINT) AS n_words, s AS sentence, ROUND(ai, 6) AS ai_probability, ROUND(confidence, 6) AS confidence, CASE @COLOURS END AS colour FROM (SELECT *, ROUND(ai, 6) AS r FROM e) f
+e AS (SELECT doc_id, idx, MAX(n) AS n, MAX(s) AS s, COUNT(*) AS m, SUM(weight * ai / (1.0 + EXP(-10 * (c - 0.5)))) / SUM(weight / (1.0 + EXP(-10 * (c - 0.5)))) AS ai, AVG(c) AS confidence FROM a GROUP BY doc_id, idx),
+f AS (SELECT doc_id, MIN_BY(ai, @ORDER) AS ai FROM {prob} WHERE error IS NULL AND weight > 0 GROUP BY doc_id),
+few AS (SELECT s.doc_id, s.idx, s.n, s.s, CASE WHEN s.n BETWEEN 1 AND 2 THEN COALESCE(f.ai, 0.5) ELSE 0.5 END AS ai, CASE WHEN s.n = 0 THEN 0.3 WHEN s.n < 3 THEN 0.2 ELSE 0.5 END AS confidence
+  FROM s LEFT JOIN f ON f.doc_id = s.doc_id WHERE s.n < 3 OR f.doc_id IS NULL)
+SELECT doc_id, CAST(idx AS BIGINT) AS idx, CAST(n AS BIGINT) AS n_words, s AS sentence, ROUND(ai, 6) AS ai_probability, ROUND(confidence, 6) AS confidence, CASE @COLOURS END AS colour FROM (SELECT *, ROUND(ai, 6) AS r FROM (SELECT doc_id, idx, n, s, ai, confidence FROM e UNION ALL SELECT doc_id, idx, n, s, ai, confidence FROM few) g) h
 """
 
 _INDICATORS = "although because while when if since unless until which that who whom whose and but or yet so however therefore moreover furthermore nevertheless , ; : —".split()
@@ -93,7 +98,8 @@ def _highlights() -> str:
     from ..functions.fixed import COLOURS
 
     colours = " ".join(f"WHEN r < {hi} THEN '{name}'" for hi, name, _ in COLOURS)
-    return HIGHLIGHTS.replace("@INDICATORS", _HIT(_INDICATORS)).replace("@CLAUSES", _HIT(_CLAUSES)).replace("@COLOURS", colours)
+    order = "CASE metric " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(("structural", "entropy", "perplexity", "semantic_analysis", "linguistic", "multi_perturbation_stability"))) + " END"
+    return HIGHLIGHTS.replace("@ORDER", order).replace("@INDICATORS", _HIT(_INDICATORS)).replace("@CLAUSES", _HIT(_CLAUSES)).replace("@COLOURS", colours)
 
 
 HIGHLIGHTS = _highlights()

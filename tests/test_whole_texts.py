@@ -85,3 +85,18 @@ def test_perplexity_of_each_sentence(spark):
     r = got[1]
     assert r.num_sentences_analyzed == 0 and r.std_sentence_perplexity == 0
     assert r.avg_sentence_perplexity == r.min_sentence_perplexity == r.max_sentence_perplexity == r.overall_perplexity
+
+
+def test_highlights_keep_short_sentences_and_documents_without_any(spark):
+    docs = spark.createDataFrame([(1, "Yes. No way! The cat sat on the mat all day long? Go."), (2, None), (3, " \n "), (4, " ... !!"), (5, "Hello."), (6, "This one failed in all metrics.")], "doc_id long, text string")
+    ai = {"structural": 0.2, "entropy": 0.65, "perplexity": 0.9}
+    rows = [(d, m, "general", 0.2, 0.4, p, 1 - p, 0.0, 0.6, "Failed" if m == "structural" and d == 1 or d == 6 else None) for d in range(1, 7) for m, p in ai.items()]
+    prob = spark.createDataFrame(rows, "doc_id long, metric string, domain string, weight double, ensemble_threshold double, ai double, human double, mixed double, confidence double, error string")
+    marks = detect.highlights(docs, prob)
+    got = {(r.doc_id, r.idx): r for r in marks.collect()}
+    assert {k: r.sentence for k, r in got.items()} == {(1, 0): "Yes", (1, 1): "No way", (1, 2): "The cat sat on the mat all day long", (1, 3): "Go", (2, 0): "No text content", (3, 0): "No text content", (4, 0): "... !!", (5, 0): "Hello", (6, 0): "This one failed in all metrics"}
+    for k, want in {(1, 0): (0.65, 0.2), (1, 1): (0.65, 0.2), (2, 0): (0.5, 0.3), (3, 0): (0.5, 0.3), (4, 0): (0.2, 0.2), (5, 0): (0.2, 0.2), (6, 0): (0.5, 0.5)}.items():
+        assert (got[k].ai_probability, got[k].confidence) == want
+    assert got[1, 2].confidence > 0.2 and got[1, 0].colour == "medium-ai"
+    assert {r.doc_id: r.n_sentences for r in detect.risk(marks).collect()} == {1: 4, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1}
+    assert all(w in {r.doc_id: r.html for r in detect.highlight_html(marks).collect()}[1] for w in ("Yes", "No way", "Go"))
