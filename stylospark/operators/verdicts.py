@@ -144,6 +144,25 @@ def _rows(rows: list[tuple], cols: str) -> str:
     return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") t({cols}))"
 
 
+# What the metrics' features add to a generator's score: strength of the rule times the metric's weight.
+RULES = {
+    "gpt-4": [("overall_perplexity < 25", 0.6 * 0.25), ("coherence_score > 0.8", 0.7 * 0.15), ("token_diversity > 0.7", 0.5 * 0.2), ("syntactic_complexity > 3.0", 0.4 * 0.15)],
+    "gpt-4-turbo": [("overall_perplexity < 25", 0.5 * 0.25), ("coherence_score > 0.8", 0.6 * 0.15)],
+    "gpt-3.5-turbo": [("overall_perplexity >= 25 AND overall_perplexity < 35", 0.4 * 0.25)],
+    "gemini-pro": [("overall_perplexity >= 25 AND overall_perplexity < 35", 0.3 * 0.25)],
+    "claude-3-opus": [("length_uniformity > 0.7", 0.5 * 0.15), ("token_diversity > 0.7", 0.6 * 0.2), ("syntactic_complexity > 3.0", 0.5 * 0.15)],
+    "claude-3-sonnet": [("length_uniformity > 0.7", 0.4 * 0.15)],
+    "mixtral": [("stability_score BETWEEN 0.4 AND 0.6", 0.4 * 0.1)],
+    "llama-3": [("stability_score BETWEEN 0.4 AND 0.6", 0.3 * 0.1)],
+}
+_RULED = "CASE m.model " + " ".join(f"WHEN '{k}' THEN " + " + ".join(f"CASE WHEN {c} THEN {g:.6f} ELSE 0.0 END" for c, g in v) for k, v in RULES.items()) + " ELSE 0.0 END"
+#: Features that the rules read; where the metric failed, what stands for them.
+_SIGNALS = [("perplexity", "overall_perplexity", 50.0, m.PERPLEXITY_FEATURES), ("semantic", "coherence_score", 0.5, lm.SEMANTIC_FEATURES), ("entropy", "token_diversity", 0.5, m.ENTROPY_FEATURES), ("linguistic", "syntactic_complexity", 2.5, lm.LINGUISTIC_FEATURES), ("stability", "stability_score", 0.5, lm.STABILITY_FEATURES)]
+SIGNALS = (
+    "SELECT st.doc_id, st.length_uniformity, " + ", ".join(f"CASE WHEN f_{n}.n_chars < 50 THEN {default} ELSE f_{n}.{col} END AS {col}" for n, col, default, _ in _SIGNALS)
+    + f" FROM ({m.STRUCTURAL_FEATURES}) st " + " ".join(f"JOIN ({text}) f_{n} ON f_{n}.doc_id = st.doc_id" for n, _, _, text in _SIGNALS)
+)
+
 #: Style, rules and prediction of the likeliest generator; fingerprints (model, kind, phrase) are a table of the user's.
 ATTRIBUTION = f"""
 WITH s AS (SELECT doc_id, COUNT(*) AS ns FROM {{sen}} GROUP BY doc_id), w AS (SELECT doc_id, COUNT(*) AS nw, SUM(LENGTH(w) - LENGTH(REPLACE(w, '—', ''))) AS em, SUM(LENGTH(w) - LENGTH(REPLACE(w, ';', ''))) AS semicolon, SUM(LENGTH(w) - LENGTH(REPLACE(w, ':', ''))) AS colon,
@@ -156,20 +175,29 @@ fp AS (
     SELECT d.doc_id, p.model, CASE WHEN p.kind = 'phrase' THEN 3 ELSE 2 END * 1.0 AS hit FROM {{lowered}} d JOIN {{fingerprints}} p ON p.kind <> 'starter' AND INSTR(d.t, p.phrase) > 0
     UNION ALL SELECT doc_id, model, 2.0 FROM (SELECT DISTINCT x.doc_id, x.idx, p.model FROM {{sen}} x JOIN {{fingerprints}} p ON p.kind = 'starter' AND INSTR(LOWER(x.s), p.phrase) = 1) q) c
   JOIN (SELECT model, SUM(CASE WHEN kind <> 'starter' THEN 1 ELSE 0 END) AS checks, SUM(CASE WHEN kind = 'starter' THEN 1 ELSE 0 END) AS starters FROM {{fingerprints}} GROUP BY model) k ON k.model = c.model JOIN s ON s.doc_id = c.doc_id GROUP BY c.doc_id, c.model),
-every AS (SELECT d.doc_id, m.model, 0.35 * COALESCE(fp.score, 0.0) + 0.3 * least(1.0, 0.3 + COALESCE(st.gain, 0.0)) AS x FROM {{doc}} d CROSS JOIN {_rows([(x,) for x in MODELS], "model")} m
+every AS (SELECT d.doc_id, m.model, 0.35 * COALESCE(fp.score, 0.0) + 0.3 * least(1.0, 0.3 + COALESCE(st.gain, 0.0)) + 0.35 * least(1.0, {_RULED}) AS x FROM {{doc}} d JOIN ({SIGNALS}) g ON g.doc_id = d.doc_id CROSS JOIN {_rows([(x,) for x in MODELS], "model")} m
   LEFT JOIN st ON st.doc_id = d.doc_id AND st.model = m.model LEFT JOIN fp ON fp.doc_id = d.doc_id AND fp.model = m.model),
 sh AS (SELECT doc_id, model, ROUND(x / SUM(x) OVER (PARTITION BY doc_id), 6) AS p FROM every),
 rk AS (SELECT doc_id, model, p, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY p DESC, model) AS r FROM sh)
 SELECT a.doc_id, CASE WHEN a.p < 0.01 THEN 'unknown' ELSE a.model END AS model, a.p AS probability, ROUND(greatest(0.05, least(1.0, 0.8 * a.p + 1.5 * (a.p - b.p))), 6) AS confidence FROM rk a JOIN rk b ON b.doc_id = a.doc_id AND a.r = 1 AND b.r = 2
 """
 
-#: Language of Latin-script text by function words: at least three, ties by the list's order.
+#: Language by the script where that tells it, else by function words of Latin script: at least three, ties by the list's order.
 LANGUAGE = """
-SELECT d.doc_id, COALESCE(b.lang, 'en') AS language, CAST(COALESCE(b.c, 0) AS BIGINT) AS matches FROM {doc} d LEFT JOIN (
+SELECT d.doc_id, CASE c.script @SCRIPTS ELSE COALESCE(b.lang, 'en') END AS language, CAST(COALESCE(b.c, 0) AS BIGINT) AS matches FROM {doc} d JOIN {script} c ON c.doc_id = d.doc_id LEFT JOIN (
   SELECT doc_id, lang, c FROM (SELECT doc_id, lang, c, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY c DESC, ord) AS r FROM (
     SELECT w.doc_id, t.lang, t.ord, COUNT(DISTINCT t.word) AS c FROM (SELECT DISTINCT doc_id, LOWER(w) AS w FROM {spaced}) w JOIN {stopwords} t ON t.word = w.w GROUP BY w.doc_id, t.lang, t.ord) q) p WHERE r = 1 AND c > 2) b ON b.doc_id = d.doc_id
 """
 
+
+def _language() -> str:
+    from ..functions.fixed import SCRIPTS
+
+    return LANGUAGE.replace("@SCRIPTS", " ".join(f"WHEN '{name}' THEN '{lang}'" for name, (_, lang) in SCRIPTS.items() if lang))
+
+
+LANGUAGE = _language()
+
 #: Agreement of verdicts with labels (quality 0 stands for generated): counts and rates by language, with a total.
 EVALUATION = """
 SELECT COALESCE(lang, 'all') AS lang, CAST(COUNT(*) AS BIGINT) AS n, CAST(SUM(tp) AS BIGINT) AS tp, CAST(SUM(fp) AS BIGINT) AS fp, CAST(SUM(fn) AS BIGINT) AS fn, CAST(SUM(tn) AS BIGINT) AS tn,

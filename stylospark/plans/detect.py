@@ -62,7 +62,7 @@ def attribution(docs: DataFrame, fingerprints: DataFrame) -> DataFrame:
 
 
 def language(docs: DataFrame) -> DataFrame:
-    return metrics.compute(verdicts.LANGUAGE, docs, stopwords=fixed.frame(docs.sparkSession, "stopwords"))
+    return metrics.compute(verdicts.LANGUAGE, docs, script=scripts(docs), stopwords=fixed.frame(docs.sparkSession, "stopwords"))
 
 
 def scripts(docs: DataFrame) -> DataFrame:

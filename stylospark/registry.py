@@ -74,7 +74,6 @@ query(_named(verdicts.CONTRIBUTIONS, *_BASE, _PROB), "metric_contributions")(lam
 query(_named(verdicts.HIGHLIGHTS, *_BASE, _PROB), "sentence_highlights")(lambda s, d: detect.highlights(docs(s, d)))
 query(_named(verdicts.risk_sql(), *_BASE, _PROB, f"marks AS ({verdicts.HIGHLIGHTS})"), "highlight_risk")(lambda s, d: detect.risk(detect.highlights(docs(s, d))))
 query(_named(verdicts.EVALUATION, *_BASE, _PROB, f"ens AS ({verdicts.ENSEMBLE})"), "evaluation")(lambda s, d: s.sql(metrics.spark_sql(verdicts.EVALUATION), ens=detect.ensemble(docs(s, d)), labels=table(s, d, "labels"), documents=table(s, d, "documents")))
-query(metrics.duck_sql(verdicts.LANGUAGE, stopwords=_W), "language_by_words")(lambda s, d: detect.language(docs(s, d)))
 query(
     metrics.duck_sql(verdicts.ATTRIBUTION, fingerprints="(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in FINGERPRINTS) + ") t(model, kind, phrase))", lowered="(SELECT doc_id, lower(text) AS t FROM src)"),
     "attribution",
@@ -183,6 +182,9 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.scripts(docs(spark, sf_dir))
 
 
+query(metrics.duck_sql(verdicts.LANGUAGE, script=f"({_scripts_sql()})", stopwords=_W), "language_by_words")(lambda s, d: detect.language(docs(s, d)))
+
+
 @query()
 def sentences_smart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.posexplode(T.sentences_smart(F.coalesce("text", F.lit("")))).alias("idx", "sentence"))
@@ -204,6 +206,4 @@ query(_named(corpus.CALIBRATION, *_BASE, _PROB, _ENS), "calibration")(lambda s,
 query(_named(corpus.SUMMARY, *_BASE, _PROB, _ENS), "verdict_summary")(lambda s, d: s.sql(metrics.spark_sql(corpus.SUMMARY), ens=detect.ensemble(docs(s, d))))
 query(_named(corpus.BREAKDOWN, *_BASE, _PROB, _ENS), "verdict_breakdown")(lambda s, d: s.sql(metrics.spark_sql(corpus.BREAKDOWN), ens=detect.ensemble(docs(s, d)), documents=table(s, d, "documents")))
 query(name="highlight_html")(lambda s, d: detect.highlight_html(detect.highlights(docs(s, d))))
-query(
-    """SELECT d.doc_id, e.summary_md5 FROM documents d JOIN (SELECT md5(coalesce(text, '')) AS k, md5(concat(coalesce(text, ''), '!')) AS summary_md5 FROM documents GROUP BY 1, 2) e ON e.k = md5(coalesce(d.text, ''))""", "score_identical_once"
-)(lambda s, d: detect.score_once(docs(s, d), lambda few: few.select("doc_id", F.md5(F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).alias("summary_md5"))))
+query(metrics.duck_sql(metrics.ENTROPY), "score_identical_once")(lambda s, d: detect.score_once(docs(s, d), lambda few: metrics.compute(metrics.ENTROPY, few)))
