@@ -30,8 +30,11 @@ NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"
 HIDDEN_ATTR = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 # Elements of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe object svg math canvas audio video select title".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split())
+RAW = frozenset("script style template textarea iframe svg canvas audio video select title".split())
+#: Those that last to the end of the page where they don't close.
+ENDLESS = frozenset("script style textarea title".split())
+MATHML = frozenset("math mi mn mo ms mrow msup msub msubsup mfrac msqrt mroot mtext mspace mover munder munderover mtable mtr mtd mlabeledtr mfenced menclose mstyle mpadded mphantom merror mmultiscripts mprescripts maction semantics annotation annotation-xml".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split()) | MATHML
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 P_ENDS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
@@ -42,6 +45,7 @@ def blocks(page: str) -> list[tuple[str, str, float]]:
     out: list[tuple[str, str, float]] = []
     stack: list[tuple[str, str]] = []
     text: list[str] = []
+    unclosed: set[str] = set()
     linked, at, n = 0, 0, len(page)
 
     def flush() -> None:
@@ -78,12 +82,17 @@ def blocks(page: str) -> list[tuple[str, str, float]]:
             elif depth is not None:
                 del stack[depth]
             continue
-        if name in RAW:
-            if name not in ("svg", "math"):
-                flush()
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+        if name == "svg" and (m[3] or "").endswith("/"):
             continue
+        if name in RAW:
+            end = None if name in unclosed else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            if end is None:
+                unclosed.add(name)
+            if end or name in ENDLESS:
+                if name != "svg":
+                    flush()
+                at = end.end() if end else n
+                continue
         if name not in INLINE:
             flush()
             closing = CLOSES.get(name, set()) | ({"p"} if name in P_ENDS else set())
