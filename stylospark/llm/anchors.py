@@ -118,7 +118,7 @@ def repeats(docs: DataFrame, win: Window, most: int = HOT_GROUP) -> tuple[DataFr
         again = F.coalesce(F.col("_a") == F.col("s"), F.lit(False)) | F.coalesce(F.col("_b") == F.col("s"), F.lit(False))
         head = ~F.coalesce(F.col("_a") == F.col("s"), F.lit(False))
         shared = durable(seen.select("doc_id", "h", "at", "anchor", again.alias("again"), (head & F.col("open")).alias("head")).where("again or head"), "shared-segments")
-        new = np.setdiff1d(_hottest(shared.where("head").groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > most), HOT_MAX - len(hot)), hot)
+        new = _hottest(shared.where("head").groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > most), HOT_MAX - len(hot), hot)
         if not len(new):
             break
         hot = np.union1d(hot, new)
@@ -127,10 +127,14 @@ def repeats(docs: DataFrame, win: Window, most: int = HOT_GROUP) -> tuple[DataFr
     return parts.where("again").select("doc_id", "h", "start", "len"), parts.where("head").drop("head", "again")
 
 
-def _hottest(kinds: DataFrame, n: int) -> np.ndarray:
-    """The n anchors of most kinds, sorted: at most HOT_MAX numbers."""
-    rows = kinds.orderBy(F.desc("kinds"), "anchor").limit(max(0, n)).select("anchor").collect()
-    return np.sort(np.array([r["anchor"] for r in rows], np.int64).view(U64))
+def _hottest(kinds: DataFrame, n: int, known: np.ndarray = np.zeros(0, U64)) -> np.ndarray:
+    """The n anchors of most kinds that aren't known, sorted; HOT_MAX numbers at
+    most come to the driver, n + len(known) being no more."""
+    if n <= 0:
+        return np.zeros(0, U64)
+    rows = kinds.orderBy(F.desc("kinds"), "anchor").limit(n + len(known)).select("anchor").collect()
+    got = np.array([r["anchor"] for r in rows], np.int64).view(U64)
+    return np.sort(got[~np.isin(got, known)][:n])
 
 
 def spans_of(known: DataFrame, found: DataFrame) -> DataFrame:

@@ -4,8 +4,11 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+
 from stylospark import registry
 from stylospark.functions import text as T
+from stylospark.llm.anchors import _hottest
 from stylospark.llm.html_blocks import blocks
 from stylospark.operators import language_metrics as lm
 from stylospark.operators import metrics, verdicts
@@ -147,3 +150,10 @@ def test_blocks_lose_no_text_after_or_in_embedded_elements():
     assert text("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then</p>") == ["if x=1 then"]
     assert text("<p>one</p><object><p>two</p></object><noscript>three <b>four</b></noscript>") == ["one", "two", "three four"]
     assert text("<p>one <svg><text>label</text></svg> two</p><video>old</video><p>three</p>") == ["one two", "three"]
+
+
+def test_anchors_already_demoted_hide_no_colder_ones(spark):
+    kinds = spark.createDataFrame([(i, 100 - i) for i in range(10)], "anchor long, kinds long")
+    hot = np.arange(4, dtype=np.uint64)
+    assert _hottest(kinds, 3, hot).tolist() == [4, 5, 6]
+    assert _hottest(kinds, 3).tolist() == [0, 1, 2] and not len(_hottest(kinds, 0, hot)) and not len(_hottest(kinds.where("anchor < 4"), 3, hot))
