@@ -59,6 +59,15 @@ def keyed(df: DataFrame) -> DataFrame:
     return df.select(column(df, "doc_id", "long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
+def one_of(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """The rows of docs, all columns whatever their names, whose doc_id (null:
+    the least number) and hash of the text are a row (k, x) of keep; of rows equal
+    in both any one."""
+    text = F.coalesce(column(docs, "text", "string"), F.lit(""))
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(column(docs, "doc_id", "long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(text).alias("x"))
+    return marked.join(keep, ["k", "x"]).dropDuplicates(["k", "x"]).select("row.*")
+
+
 def parts(df: DataFrame) -> int:
     """Partitions for a shuffle: what the session is set to."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -1,39 +1,47 @@
 """Near-duplicates by DartMinHash signatures and banded joining.
 
-A document is a weighted set of word shingles. Hashed darts fall on the region
-of each element (its weight by a rank axis); a document takes the darts of rank
-up to t / total weight, about t in number, and keeps the earliest of those that
-hash to each coordinate, so only elements hit are ever touched. Two documents
-agree at a coordinate with the probability of their weighted Jaccard similarity.
-Documents with a band of coordinates in common are compared exactly.
-
-Equal sets count once. In a bucket not all pairs are formed: a member is compared
-with the first of one of its buckets, then, while a bucket still holds several
-components, members are compared with its first, its next ones and so on, pairs
-within one component or with clearly lower agreement aside.
+A document is a weighted set of word shingles: one that occurs tf times weighs
+floor(log2(tf)) + 1, so a line repeated without end doesn't drown the rest.
+Hashed darts fall on the region of each element (its weight, in unit cells, by a
+rank axis); a document takes the darts of rank up to t / total weight, about t in
+number, and keeps the earliest of those that hash to each coordinate, so only
+elements hit are ever touched. Two documents agree at a coordinate with the
+probability of their weighted Jaccard similarity. Documents with a band of
+coordinates in common are candidates.
+
+Equal sets count once, and no bucket forms all its pairs. Each bucket elects a
+representative, the member that shares most buckets with others; members are
+compared with it and linked. Two members of one representative r, not both linked
+with it, can still be similar. Then their differences from r, D = x ^ r in cells,
+must overlap by (|Dx| + |Dy| - (|x| + |y|) / 9) / 2 at least, which is a lot: most
+of a difference is found in no other member. So differences are joined by prefix
+filter: elements in ascending order of their frequency among the members of r,
+and only as many of the first ones as an overlap of that size can't avoid. Pairs
+in one component are left out; what passes is verified on whole texts.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import attach
-from .common import U64, durable, keyed, mix, pieces, prefix, raw, span_hash, word_hashes, words
+from .common import U64, durable, keyed, mix, one_of, parts, pieces, prefix, raw, span_hash, word_hashes, words
 
 SHINGLE, ROWS, BANDS = 5, 6, 32
 SIZE = ROWS * BANDS
 NONE = U64((1 << 64) - 1)
-#: Agreement of 192 coordinates below which a pair of similarity 0.8 is 4 deviations away.
-LOW = int(SIZE * (0.8 - 4 * (0.8 * 0.2 / SIZE) ** 0.5))
+#: Members of a representative that one task compares with it.
+PER_SALT = 500
 
 
-def shingles(data: np.ndarray, offs: np.ndarray, width: int = SHINGLE, counts: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, offsets) of each document's distinct shingles, sorted. A document
-    of fewer than `width` words is one shingle. With counts, the c-th occurrence
-    of a shingle is an element of its own: regions of integer weight."""
+def shingles(data: np.ndarray, offs: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets) of each document's cells, sorted by shingle: the regions
+    of its shingles, cut into cells of weight 1. A document of fewer than `width`
+    words is one shingle. The c-th cell of a shingle has an identity of its own,
+    so common cells of two documents weigh the lesser of both weights."""
     start, end, at = words(data, offs)
     n = np.diff(at)
     grams = np.where(n >= width, n - width + 1, (n > 0).astype(np.int64))
@@ -45,17 +53,18 @@ def shingles(data: np.ndarray, offs: np.ndarray, width: int = SHINGLE, counts: b
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     new = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))
-    if counts:
-        first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-        h = mix(h + (np.arange(len(h)) - first).astype(U64) * U64(0x632BE59BD9B4E019))
-    else:
-        h, doc = h[new], doc[new]
+    nth = np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0)) + 1
+    cell = (nth & (nth - 1)) == 0  # occurrences 1, 2, 4, 8, ... open a cell
+    h, doc, nth = h[cell], doc[cell], nth[cell]
+    more = nth > 1
+    h[more] = mix(h[more] + nth[more].astype(U64) * U64(0x632BE59BD9B4E019))
     return h, np.searchsorted(doc, np.arange(len(n) + 1))
 
 
 def darts(h: np.ndarray, offs: np.ndarray, size: int = SIZE) -> np.ndarray:
     """(documents x size) signatures: per coordinate the earliest dart, its rank
-    above its identity in one number. Documents without elements keep NONE."""
+    above its identity in one number. Darts reach a cell as a Poisson process in
+    rank, a region as that of all its cells. Documents without words keep NONE."""
     n = np.diff(offs)
     sig = np.full((len(n), size), NONE, U64)
     doc = np.repeat(np.arange(len(n)), n)
@@ -93,16 +102,6 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key
 
 
-def low_bits(sig: np.ndarray) -> np.ndarray:
-    """Seven bits of each coordinate, seven coordinates to a number."""
-    n, size = sig.shape
-    out = np.zeros((n, -(-size // 7), 8), np.uint8)
-    flat = np.zeros((n, out.shape[1] * 7), np.uint8)
-    flat[:, :size] = sig & U64(127)
-    out[:, :, :7] = flat.reshape(n, -1, 7)
-    return out.reshape(n, -1).view("<i8")
-
-
 def _signature_rows(batches):
     for batch in batches:
         for part in pieces(batch, "text"):
@@ -110,34 +109,50 @@ def _signature_rows(batches):
             sig, n = darts(h, offs), np.diff(offs)
             bands = band_keys(sig)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
-            low = low_bits(sig)
-            low = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * low.shape[1]), pa.array(low.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(sums(h, offs, 0)), pa.array(sums(h, offs, 1)), bands, low], names=["doc_id", "h", "n", "v", "v2", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(identities(h, offs)), bands], names=["doc_id", "h", "n", "v", "bands"])
 
 
-def sums(h: np.ndarray, offs: np.ndarray, kind: int) -> np.ndarray:
-    """A 64-bit identity of each document's set: a sum of mixed hashes."""
-    pre = np.concatenate((np.zeros(1, U64), np.cumsum(mix(h + U64(kind + 1)), dtype=U64)))
-    return mix(pre[offs[1:]] - pre[offs[:-1]] + U64(kind)).view(np.int64)
+def identities(h: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """A 64-bit identity of each document's cells: a sum of mixed hashes."""
+    pre = np.concatenate((np.zeros(1, U64), np.cumsum(mix(h + U64(1)), dtype=U64)))
+    return mix(pre[offs[1:]] - pre[offs[:-1]]).view(np.int64)
 
 
-def _verify(batches):
-    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _compare(batches):
+    """Rows of (rep, v, m, text), each rep's own (v = rep) before its members:
+    rep, v, rn and n (weights of both), a (weight of the difference), linked,
+    delta (the difference's cells; null where rep has no other member)."""
+    rep, own = None, np.zeros(0, U64)
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        ok, cache = [], {}
-        for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
-            if a not in cache:  # rows come sorted by a
-                cache = {a: _set_of(ta)}
-            x, y = cache[a], _set_of(tb)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(5 * both >= 4 * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=kind).filter(pa.array(ok))
+        for part in pieces(batch, "text", 1 << 19):
+            h, offs = shingles(*raw(part.column(3)))
+            out = {"rep": [], "v": [], "rn": [], "n": [], "a": [], "linked": []}
+            deltas, ends = [], [0]
+            for i, (r, v, m) in enumerate(zip(*(part.column(k).to_pylist() for k in range(3)))):
+                cells = np.sort(h[offs[i] : offs[i + 1]])
+                if v == r:
+                    rep, own = r, cells
+                    continue
+                assert rep == r, "a member came without its representative"
+                delta = np.setxor1d(own, cells, assume_unique=True)
+                both = len(own) + len(cells)
+                for k, x in zip(out, (r, v, len(own), len(cells), len(delta), 9 * len(delta) <= both)):
+                    out[k].append(x)
+                ends.append(ends[-1] + (len(delta) if m > 1 else 0))
+                deltas.append(delta.view(np.int64) if m > 1 else np.zeros(0, np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(deltas) if deltas else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.bool_() if k == "linked" else pa.int64()) for k, x in out.items()] + [lists], names=[*out, "delta"])
 
 
-def _set_of(text) -> np.ndarray:
-    return shingles(*raw(pa.array([text.as_py()], pa.string())))[0]
+def _verify(batches):
+    """Pairs (a, b, ta, tb) of similarity 0.8 or more: |x ^ y| <= (|x| + |y|) / 9."""
+    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    for batch in batches:
+        for part in pieces(batch, "ta", 1 << 19):
+            (x, at), (y, to) = shingles(*raw(part.column(2))), shingles(*raw(part.column(3)))
+            apart = [len(np.setxor1d(x[at[i] : at[i + 1]], y[to[i] : to[i + 1]], assume_unique=True)) for i in range(part.num_rows)]
+            ok = 9 * np.array(apart, np.int64) <= np.diff(at) + np.diff(to)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], schema=kind).filter(pa.array(ok))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -156,73 +171,104 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("v", F.col("new").alias("comp"))
 
 
+def _buckets(heads: DataFrame) -> DataFrame:
+    """(rep, v): every set beside the representatives of the buckets it is in."""
+    rows = heads.where("n > 0").select("v", F.explode("bands").alias("b"))
+    shared = durable(rows.join(rows.groupBy("b").agg(F.count("*").alias("m")).where("m > 1"), "b"), "buckets")
+    known = shared.groupBy("v").agg(F.sum("m").alias("near"))
+    reps = shared.join(known, "v").groupBy("b").agg(F.max(F.struct("near", "v")).alias("top")).select("b", F.col("top.v").alias("rep"))
+    return durable(shared.join(reps, "b").where("v <> rep").select("rep", "v").distinct(), "members")
+
+
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """_compare's rows of all pairs (rep, v). A representative's text goes to one
+    task for every PER_SALT members, each member's once for each representative."""
+    rows = pairs.join(pairs.groupBy("rep").agg(F.count("*").alias("m")), "rep")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.ceil(F.col("m") / PER_SALT)))
+    heads = rows.groupBy("rep", "salt").agg(F.first("m").alias("m")).select("rep", F.col("rep").alias("v"), "m", "salt")
+    rows = rows.select("rep", "v", "m", "salt").unionByName(heads).join(texts, "v")
+    rows = rows.repartition(parts(rows), "rep", "salt").sortWithinPartitions("rep", "salt", F.col("v") != F.col("rep"))
+    return rows.select("rep", "v", "m", "text").mapInArrow(_compare, "rep long, v long, rn long, n long, a long, linked boolean, delta array<long>")
+
+
+def _level(a):
+    """Weights of differences by quarters of an octave."""
+    return F.floor(4 * F.log2(a)).cast("int")
+
+
+def _crossing(compared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b): pairs of members of one representative, in two components, whose
+    differences from it can overlap enough. An element is listed by the levels of
+    both differences, so that a pair meets only where both prefixes hold it."""
+    failed = compared.groupBy("rep").agg(F.count("*").alias("m"), F.count_if(~F.col("linked")).alias("failed")).where("m > 1 and failed > 0").select("rep")
+    some = compared.join(failed, "rep")
+    cells = some.select("rep", "v", F.explode("delta").alias("e"))
+    often = cells.groupBy("rep", "e").agg(F.count("*").alias("df")).where("df > 1")
+    lists = cells.join(often, ["rep", "e"]).groupBy("rep", "v").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("els"))
+    x = some.drop("delta").join(lists, ["rep", "v"]).join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+    # |x ^ y| <= (|x| + |y|) / 9 <= |x| / 4; of a linked x the other isn't linked
+    least = F.greatest(F.lit(1.0), F.col("a") - F.col("n") / 4, F.when(F.col("linked"), (0.8 * F.col("n") + F.col("rn")) / 9).otherwise(1.0))
+    x = x.withColumn("least", least).where("least <= a + n / 4")
+    x = x.withColumn("lv", _level(F.col("a"))).withColumn("pl", F.explode(F.sequence(_level(F.col("least")), _level(F.col("a") + F.col("n") / 4))))
+    other = F.greatest(F.col("least"), F.floor(F.pow(2.0, F.col("pl") / 4)))
+    need = F.greatest(F.lit(1), F.ceil((F.col("a") + other - F.col("n") / 4) / 2 - 1e-9)).cast("int")
+    x = x.withColumn("take", F.size("els") - need + 1).where("take > 0").withColumn("c", F.size("els"))
+    x = x.select("rep", "v", "comp", "n", "a", "c", "lv", "pl", F.posexplode(F.slice("els", 1, F.col("take"))).alias("k", "el"))
+    key = ["rep", "e", "lo", "hi"]
+    x = x.select("rep", F.col("el.e").alias("e"), F.least("lv", "pl").alias("lo"), F.greatest("lv", "pl").alias("hi"), "lv", "v", "comp", "n", "a", (F.col("c") - F.col("k")).alias("left"))
+    x = durable(x, "prefixes")
+    # all pairs of two components have a side outside the group's largest one
+    most = x.groupBy(*key, "comp").agg(F.count("*").alias("m")).groupBy(*key).agg(F.count("*").alias("sides"), F.max(F.struct("m", "comp")).alias("top")).where("sides > 1").select(*key, F.col("top.comp").alias("top"))
+    open_ = durable(x.join(most, key), "open-prefixes")
+    few = open_.where("comp <> top").select(*[F.col(c).alias("_" + c) for c in (*key, "lv", "v", "comp", "n", "a", "left")])
+    same = [open_[c] == few["_" + c] for c in key]
+    sides = (open_["lv"] + few["_lv"] == open_["lo"] + open_["hi"]) & (F.col("comp") != F.col("_comp"))
+    enough = 18 * F.least("left", "_left") >= 9 * (F.col("a") + F.col("_a")) - F.col("n") - F.col("_n")
+    met = open_.join(few, [*same, sides, enough, 5 * F.least("n", "_n") >= 4 * F.greatest("n", "_n")])
+    return met.select(F.least("v", "_v").alias("a"), F.greatest("v", "_v").alias("b")).distinct()
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, h, class_id, class_size, kept.
 
-    A class is a connected component of the documents whose sets of five-word
-    shingles have a Jaccard similarity of 0.8 or more (equal sets included; all
-    documents without a word are one class; shorter documents are one shingle).
-    class_id is the smallest doc_id of the class (null first); kept marks its
-    row, or rows where that doc_id and text repeat. Signatures miss a pair of
-    similarity 0.8 with probability 6e-5, more similar ones with less; what they
-    find is verified on whole texts. Null text is empty, other columns are
-    ignored, an empty table gives an empty table."""
+    A class is a connected component of the documents whose weighted sets of
+    five-word shingles have a Jaccard similarity of 0.8 or more (equal sets
+    included; all documents without a word are one class; shorter documents are
+    one shingle). class_id is the smallest doc_id of the class (null first); kept
+    marks its row, or rows where that doc_id and text repeat. Signatures miss a
+    pair of similarity 0.8 with probability 6e-5, more similar ones with less;
+    of the pairs that share a band no link between two classes is lost. Sets are
+    told apart by 64-bit hashes. Null text is empty, other columns are ignored,
+    an empty table gives an empty table."""
     rows = keyed(docs)
-    sig = durable(rows.mapInArrow(_signature_rows, "doc_id long, h long, n long, v long, v2 long, bands array<long>, sig array<long>"), "signatures")
+    sig = durable(rows.mapInArrow(_signature_rows, "doc_id long, h long, n long, v long, bands array<long>"), "signatures")
     order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), "h", "doc_id")
-    heads = durable(sig.groupBy("v", "v2", "n").agg(F.min(order).alias("head"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "sets")
-    own = Window.partitionBy("b")
-    buckets = heads.where("n > 0").select("v", "n", F.explode("bands").alias("b")).withColumn("m", F.count("*").over(own))
-    buckets = buckets.where("m > 1").withColumn("rn", F.row_number().over(own.orderBy(F.xxhash64("v"), "v")))
-    buckets = durable(buckets, "buckets")
-    used = buckets.select("v").distinct().join(heads.select("v", "head.doc_id", "head.h"), "v")
+    heads = durable(sig.groupBy("v").agg(F.count("*").alias("copies"), F.min(order).alias("head"), F.first("n").alias("n"), F.first("bands").alias("bands")), "sets")
+    pairs = _buckets(heads)
+    used = pairs.select(F.explode(F.array("rep", "v")).alias("v")).distinct().join(heads.select("v", "head.doc_id", "head.h"), "v")
     texts = durable(attach(rows, used, "inner").select("v", "text").dropDuplicates(["v"]), "bucket-texts")
-    most = buckets.agg(F.max("m")).first()[0] or 0
-    edges, labels, lo, hi, tries = None, None, 1, 2, 2
-    while lo < most:
-        left = buckets
-        if labels is not None:
-            named = buckets.join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v")).withColumn("sides", F.min("comp").over(own) != F.max("comp").over(own)).where("sides")
-            left = durable(named.join(heads.select("v", "sig"), "v").drop("sides", "m"), "open-buckets")
-            most = left.agg(F.max("rn")).first()[0] or 0
-            if lo >= most:
-                break
-        first = left.where(f"rn >= {lo} and rn < {hi}").select("b", F.col("v").alias("a"), F.col("n").alias("an"), F.col("rn").alias("ar"), *[F.col(c).alias("a" + c) for c in ("comp", "sig") if labels is not None])
-        on = (first["b"] == left["b"]) & (left["rn"] > first["ar"]) & (5 * F.least("n", "an") >= 4 * F.greatest("n", "an"))
-        if labels is not None:
-            # a byte of the sum has its top bit set where the coordinates differ
-            differ = lambda p, q: F.bit_count((p.bitwiseXOR(q) + F.lit(0x7F7F7F7F7F7F7F)).bitwiseAND(F.lit(0x80808080808080)))
-            apart = F.aggregate(F.zip_with("sig", "asig", differ), F.lit(0), lambda s, x: s + x)
-            on = on & (left["comp"] != first["acomp"]) & (apart <= SIZE - LOW)
-        other = F.lit(0) if labels is None else F.col("acomp")
-        pairs = left.join(first, on).select("a", F.col("v").alias("b"), other.alias("other"))
-        if tries:  # a member meets one of each other component: of a group of copies all meet the same
-            pairs = pairs.groupBy("b", "other").agg(F.min_by("a", F.struct(F.xxhash64("a"), "a")).alias("a"))
-        pairs = pairs.select("a", "b").distinct()
-        pairs = pairs.join(texts.select(F.col("v").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("v").alias("a"), F.col("text").alias("ta")), "a")
-        found = durable(pairs.select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long"), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        linked = labels is None or not found.isEmpty()
-        if labels is None:
-            hi = 4
-        elif not tries:
-            lo, hi, tries = hi, hi * 16, 2
-        else:  # then all of them
-            tries = tries - 1 if linked else 0
-        if linked:
-            labels = components(edges)
-    out = sig.select("doc_id", "h", "v")
-    out = out.join(labels, "v", "left") if labels is not None else out.withColumn("comp", F.lit(None).cast("long"))
-    out = out.withColumn("comp", F.coalesce("comp", "v"))
-    best = out.groupBy("comp").agg(F.count("*").alias("class_size"), F.min(order).alias("best"))
-    out = out.join(best, "comp")
+    compared = durable(_compared(pairs, texts), "compared")
+    labels = components(compared.where("linked").select(F.col("rep").alias("a"), F.col("v").alias("b")))
+    crossing = _crossing(compared, labels)
+    crossing = crossing.join(texts.select(F.col("v").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("v").alias("b"), F.col("text").alias("tb")), "b")
+    more = durable(crossing.select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long"), "links")
+    own = heads.join(labels, "v", "left").select("v", "copies", "head", F.coalesce("comp", "v").alias("comp"))
+    if not more.isEmpty():  # links between components
+        side = lambda c: labels.select(F.col("v").alias(c), F.col("comp").alias("_" + c))
+        ends = more.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+        joined = components(ends.distinct()).select(F.col("v").alias("comp"), F.col("comp").alias("over"))
+        own = own.join(joined, "comp", "left").select("v", "copies", "head", F.coalesce("over", "comp").alias("comp"))
+    own = durable(own, "classes")
+    best = own.groupBy("comp").agg(F.sum("copies").alias("class_size"), F.min("head").alias("best"))
+    classes = durable(own.join(best, "comp").select("v", "class_size", "best"), "classes")
+    out = sig.select("doc_id", "h", "v").join(classes, "v")
     kept = (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("best.k")) & (F.col("h") == F.col("best.h"))
     return out.select("doc_id", "h", F.col("best.doc_id").alias("class_id"), "class_size", kept.alias("kept"))
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class, all its columns."""
-    keep = near_classes(docs).where("kept").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_k"), F.col("h").alias("_x")).distinct()
-    marked = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_x", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    one = F.row_number().over(Window.partitionBy("_k", "_x").orderBy(F.lit(0)))
-    return marked.join(keep, ["_k", "_x"]).withColumn("_n", one).where("_n = 1").drop("_k", "_x", "_n")
+    """docs with one row of each class of near_classes, all columns whatever their
+    names. Of rows equal in doc_id and text any one stays; null texts are empty
+    and near-duplicates of each other; an empty table gives an empty table."""
+    keep = near_classes(docs).where("kept").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.col("h").alias("x")).distinct()
+    return one_of(docs, keep)
