@@ -11,7 +11,10 @@ shared, need a closer look by the caller's own method.
 An anchor with very many different segments (a frequent short passage) would
 make one large group. Such anchors, at most `HOT_MAX` of them, are demoted: they
 are chosen only in windows that have no other; windows then meet under rarer
-anchors. Demotion depends on content alone, so equal windows still meet.
+anchors. Demotion depends on content alone, so equal windows still meet. Groups
+that are large all the same (anchors beyond that number, windows without another
+one) are dealt window by window, by a hash of the whole window: exact as well,
+and no group of theirs is ever held by one task.
 """
 
 from __future__ import annotations
@@ -30,10 +33,10 @@ from .common import U64, durable, pieces, powers, prefix, raw, span_hash
 
 HOT_MAX = 10_000
 #: Different segments of one anchor that a task takes without demotion.
-HOT_GROUP = 4_000
+HOT_GROUP = 1_000
 SAMPLE = 32
-#: at: the segment's start << 24 | its length.
-SCHEMA = "doc_id long, h long, at long, anchor long, s long"
+#: at: the segment's start << 24 | its length; rest: those of equal segments of the same document.
+SCHEMA = "doc_id long, h long, at long, anchor long, s long, rest array<long>"
 #: tokens(data, offs) gives (token values, offsets of each document's tokens).
 Tokens = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -91,50 +94,82 @@ def _rows(win: Window, hot: np.ndarray):
             for part in pieces(batch, "text", 1 << 17):  # arrays that stay in a core's cache
                 tok, offs = win.tokens(*raw(part.column(2)))
                 d, start, size, anchor, content = segments(tok, offs, win, hot)
-                if len(d):
-                    i = pa.array(d)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(i), part.column(1).take(i), pa.array(start << 24 | size), pa.array(anchor), pa.array(content)], names=["doc_id", "h", "at", "anchor", "s"])
+                if not len(d):
+                    continue
+                order = np.lexsort((start, content, anchor, d))
+                d, at, anchor, content = d[order], (start << 24 | size)[order], anchor[order], content[order]
+                new = np.concatenate(([True], (d[1:] != d[:-1]) | (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])))
+                first = np.flatnonzero(new)
+                more = np.diff(np.append(first, len(d))) - 1
+                rest = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(more))).astype(np.int32)), pa.array(at[~new]), mask=pa.array(more == 0))
+                i = pa.array(d[first])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(i), part.column(1).take(i), pa.array(at[first]), pa.array(anchor[first]), pa.array(content[first]), rest], names=["doc_id", "h", "at", "anchor", "s", "rest"])
 
     return run
 
 
-def repeats(docs: DataFrame, win: Window, most: int = HOT_GROUP) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, win: Window, most: int = HOT_GROUP, hot_max: int = HOT_MAX) -> tuple[DataFrame, DataFrame]:
     """(known, open): segments of docs (keyed()) that may hold repeats. known:
     doc_id, h, start, len of segments that are repeats throughout. open: doc_id,
-    h, start, len, anchor, copies of segments that share their anchor with other
-    contents; of equal contents (copies > 1) one stands for all.
+    h, start, len, anchor of segments that occur once and share their anchor with
+    others, and of one of each of the others (again is true).
 
     Segments are dealt by anchor once and looked at in order, so only neighbours
-    are compared. Which anchors to demote is first guessed from one document in
-    SAMPLE; whatever the guess missed is demoted in another round."""
+    are compared. Which anchors to demote is found in one document of SAMPLE;
+    windows of groups of over `most` different segments that are left are looked
+    up one by one."""
     few = docs.where(F.pmod(F.xxhash64("doc_id", "h"), F.lit(SAMPLE)) == 0).mapInArrow(_rows(win, np.zeros(0, U64)), SCHEMA)
     guess = few.groupBy("anchor").agg(F.approx_count_distinct("s").alias("kinds")).where(F.col("kinds") > max(8, most // SAMPLE // 2))
-    hot = _hottest(guess, HOT_MAX // 2)
+    found = docs.mapInArrow(_rows(win, _hottest(guess, hot_max)), SCHEMA)
     group = Sorted.partitionBy("anchor")
     near = group.orderBy("s", "doc_id", "h", "at")
-    while True:
-        found = docs.mapInArrow(_rows(win, hot), SCHEMA)
-        seen = found.select("*", F.lag("s").over(near).alias("_a"), F.lead("s").over(near).alias("_b"), (F.min("s").over(group) < F.max("s").over(group)).alias("open"))
-        again = F.coalesce(F.col("_a") == F.col("s"), F.lit(False)) | F.coalesce(F.col("_b") == F.col("s"), F.lit(False))
-        head = ~F.coalesce(F.col("_a") == F.col("s"), F.lit(False))
-        shared = durable(seen.select("doc_id", "h", "at", "anchor", again.alias("again"), (head & F.col("open")).alias("head")).where("again or head"), "shared-segments")
-        new = _hottest(shared.where("head").groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > most), HOT_MAX - len(hot), hot)
-        if not len(new):
-            break
-        hot = np.union1d(hot, new)
+    before = F.coalesce(F.lag("s").over(near) == F.col("s"), F.lit(False))
+    after = F.coalesce(F.lead("s").over(near) == F.col("s"), F.lit(False))
+    seen = found.select("*", (before | after | F.col("rest").isNotNull()).alias("again"), (~before).alias("head"))
+    seen = seen.withColumn("kinds", F.sum(F.col("head").cast("long")).over(group)).where("again or kinds > 1")
+    shared = durable(seen.withColumn("head", F.col("head") & (F.col("kinds") > 1)), "shared-segments")
     start, size = F.shiftright("at", 24).cast("int"), (F.col("at") % (1 << 24)).cast("int")
-    parts = shared.select("doc_id", "h", start.alias("start"), size.alias("len"), "anchor", F.when(F.col("again"), 2).otherwise(1).cast("long").alias("copies"), "head", "again")
-    return parts.where("again").select("doc_id", "h", "start", "len"), parts.where("head").drop("head", "again")
-
-
-def _hottest(kinds: DataFrame, n: int, known: np.ndarray = np.zeros(0, U64)) -> np.ndarray:
-    """The n anchors of most kinds that aren't known, sorted; HOT_MAX numbers at
-    most come to the driver, n + len(known) being no more."""
-    if n <= 0:
-        return np.zeros(0, U64)
-    rows = kinds.orderBy(F.desc("kinds"), "anchor").limit(n + len(known)).select("anchor").collect()
-    got = np.array([r["anchor"] for r in rows], np.int64).view(U64)
-    return np.sort(got[~np.isin(got, known)][:n])
+    known = shared.where("again").select("doc_id", "h", F.explode(F.concat(F.array("at"), F.coalesce("rest", F.array().cast("array<long>")))).alias("at")).select("doc_id", "h", start.alias("start"), size.alias("len"))
+    heads = shared.where("head").select("doc_id", "h", start.alias("start"), size.alias("len"), "anchor", "again", "kinds")
+    return known.unionByName(_by_window(docs, heads.where(F.col("kinds") > most), win)), heads.where(F.col("kinds") <= most).drop("kinds")
+
+
+def _windows(win: Window):
+    """(doc_id, h, text, segs) to a row of each window of the segments: doc_id,
+    h, start, w (hash of its tokens), again (whether its segment occurs again)."""
+
+    def run(batches):
+        for part in (p for batch in batches for p in pieces(batch, "text", 1 << 19)):
+            tok, offs = win.tokens(*raw(part.column(2)))
+            pre, row, at, again = prefix(tok + U64(1)), [], [], []
+            for i, segs in enumerate(part.column(3).to_pylist()):
+                for s in segs:
+                    own = np.arange(s["start"], s["start"] + s["len"] - win.width + 1)
+                    row.append(np.full(len(own), i)), at.append(own), again.append(np.full(len(own), s["again"]))
+            if row:
+                row, at = np.concatenate(row), np.concatenate(at)
+                w = span_hash(pre, offs[row] + at, offs[row] + at + win.width)
+                i = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(i), part.column(1).take(i), pa.array(at.astype(np.int32)), pa.array(w.view(np.int64)), pa.array(np.concatenate(again))], names=["doc_id", "h", "start", "w", "again"])
+
+    return run
+
+
+def _by_window(docs: DataFrame, heads: DataFrame, win: Window) -> DataFrame:
+    """doc_id, h, start, len of the windows of heads that start in another head
+    too, or in another copy of their own."""
+    asked = heads.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "len", "again")).alias("segs"))
+    rows = attach(docs, asked, "inner").select("doc_id", "h", "text", "segs").mapInArrow(_windows(win), "doc_id long, h long, start int, w long, again boolean")
+    rows = durable(rows, "single-windows")
+    often = rows.groupBy("w").agg(F.sum(F.when(F.col("again"), 2).otherwise(1)).alias("n")).where("n > 1").select("w")
+    return rows.join(often, "w").select("doc_id", "h", "start", F.lit(win.width).alias("len"))
+
+
+def _hottest(kinds: DataFrame, n: int) -> np.ndarray:
+    """The n anchors of most kinds, sorted: at most HOT_MAX numbers come to the
+    driver and go to the tasks."""
+    rows = kinds.orderBy(F.desc("kinds"), "anchor").limit(n).select("anchor").collect()
+    return np.sort(np.array([r["anchor"] for r in rows], np.int64).view(U64))
 
 
 def spans_of(known: DataFrame, found: DataFrame) -> DataFrame:

@@ -12,14 +12,12 @@ factors are repeats, and those at the borders are looked up.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .anchors import Window, attach, covered, packed, repeats, spans_of, unpack
-from .bwt_dedup import runs, whole_groups
-from .common import durable, keyed, pieces, raw, word_hashes, words
+from .anchors import Window, attach, covered, packed, unpack
+from .bwt_dedup import found_spans, span_rows, whole_groups
+from .common import keyed, pieces, raw, word_hashes, words
 from .suffixes import doubled, lay_out, longest
 
 WIDTH = 35
@@ -70,24 +68,18 @@ class Block:
 
 
 def _factor_rows(width: int):
-    def run(frames):
-        for pdf in whole_groups(frames, CHUNK):
-            block = Block([np.frombuffer(s, np.uint64) for s in pdf["segment"]])
-            out = [(d, h, at + a, n) for i, (d, h, at, c) in enumerate(zip(pdf["doc_id"], pdf["h"], pdf["start"], pdf["copies"])) if c == 1 for a, n in runs(block.repeats(i, width), width)]
-            yield pd.DataFrame(out, columns=["doc_id", "h", "start", "len"]).astype({"doc_id": "Int64"})
+    def run(batches):
+        for batch in whole_groups(batches, CHUNK):
+            data, offs = raw(batch.column(5))
+            tokens = np.frombuffer(data.tobytes(), np.uint64)
+            block = Block([tokens[a:b] for a, b in zip(offs[:-1] // 8, offs[1:] // 8)])
+            yield span_rows(batch, [block.repeats(i, width) for i in range(batch.num_rows)], width)
 
     return run
 
 
-def _cut(batches):
-    kind = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("anchor", pa.int64()), ("copies", pa.int64()), ("segment", pa.binary())])
-    for batch in batches:
-        for part in pieces(batch, "text"):
-            tok, at = word_tokens(*raw(part.column(2)))
-            out = []
-            for i, (d, h, segs) in enumerate(zip(*(part.column(k).to_pylist() for k in (0, 1, 3)))):
-                out += [{"doc_id": d, "h": h, "start": s["start"], "anchor": s["anchor"], "copies": s["copies"], "segment": tok[at[i] + s["start"] : at[i] + s["start"] + s["len"]].tobytes()} for s in segs]
-            yield pa.RecordBatch.from_pylist(out, schema=kind)
+def _cut(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return word_tokens(*raw(col))
 
 
 def _strip(batches):
@@ -110,9 +102,5 @@ def rlz_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     all. Repeated rows repeat each other. Other columns are ignored; an empty
     table gives an empty table."""
     rows = keyed(docs)
-    known, rest = repeats(rows, Window(width, 6, word_tokens))
-    asked = rest.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "len", "anchor", "copies")).alias("segs"))
-    segs = attach(packed(rows), asked, "inner").select("doc_id", "h", "text", "segs").mapInArrow(unpack(_cut), "doc_id long, h long, start int, anchor long, copies long, segment binary")
-    found = segs.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "h", "start").mapInPandas(_factor_rows(width), "doc_id long, h long, start int, len int")
-    lists = durable(spans_of(known, found), "repeat-spans")
+    lists = found_spans(rows, Window(width, 6, word_tokens), _cut, _factor_rows(width))
     return attach(packed(rows), lists).select("doc_id", "h", "text", "spans").mapInArrow(unpack(_strip), "doc_id long, n_words long, n_removed long, kept string")

@@ -110,23 +110,47 @@ def test_rlz_dedup(docs, empty):
     assert rlz_dedup.rlz_dedup(empty).count() == 0
 
 
-@pytest.mark.parametrize("width", [1, 2, 5, 11])
+@pytest.mark.parametrize("width", [1, 2, 5, 11, 16])
 def test_repeats_of_a_block(width):
     rng = random.Random(width)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 50))) for _ in range(30)] + [b"", b"ababab"]
     count = Counter(s[i : i + width] for s in strings for i in range(len(s) - width + 1))
     want = [[i for i in range(len(s) - width + 1) if count[s[i : i + width]] > 1] for s in strings]
-    assert [p.tolist() for p in bwt_dedup.repeated(strings, width)] == want
+    arrays = [np.frombuffer(s, np.uint8) for s in strings]
+    for shard in (np.arange(32) % 3 == 0, np.zeros(32, bool), np.ones(32, bool)):
+        assert [p.tolist() for p in bwt_dedup.repeated(arrays, shard, width)] == want
     block = rlz_dedup.Block([np.frombuffer(s, np.uint8).astype(np.uint64) for s in strings])
     assert [block.repeats(i, width).tolist() for i in range(len(strings))] == want
 
 
-def test_demotion_keeps_all_repeats(docs, monkeypatch):
+def test_merge_gives_common_prefixes():
+    """The merged interleave is the order of all suffixes, lcp their common prefixes."""
+    rng = random.Random(4)
+    strings = [bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 40))) for _ in range(9)]
+    sides = []
+    for own in (strings[:4], strings[4:]):
+        offs = np.concatenate(([0], np.cumsum([len(s) for s in own])))
+        sides.append(bwt_dedup.transform(np.frombuffer(b"".join(own), np.uint8).astype(np.int64), offs))
+    z, lcp = bwt_dedup.merge(sides[0][0], sides[1][0], 4, 5, 100)
+    sides[1][1][:] += sum(map(len, strings[:4])) + 4
+    place = np.empty(len(z), np.int64)
+    place[~z], place[z] = sides[0][1], sides[1][1]
+    suffixes = [(s[i:], k) for k, s in enumerate(strings) for i in range(len(s) + 1)]
+    order = [suffixes[p] for p in place]
+    assert order == sorted(suffixes)
+    common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert lcp.tolist() == [0] + [common(a[0], b[0]) for a, b in zip(order, order[1:])]
+
+
+@pytest.mark.parametrize("hot_max", [0, 3, 10_000])
+def test_large_groups_keep_all_repeats(docs, monkeypatch, hot_max):
+    """Demoted anchors and windows looked up one by one give what small groups give."""
     from stylospark.llm import anchors
 
-    want = rlz_dedup.rlz_dedup(docs).collect()
-    monkeypatch.setattr(rlz_dedup, "repeats", lambda rows, win: anchors.repeats(rows, win, most=2))
-    same(rlz_dedup.rlz_dedup(docs).collect(), want)
+    words, text = rlz_dedup.rlz_dedup(docs).collect(), bwt_dedup.digest(bwt_dedup.suffix_dedup(docs)).collect()
+    monkeypatch.setattr(bwt_dedup, "repeats", lambda rows, win: anchors.repeats(rows, win, most=2, hot_max=hot_max))
+    same(rlz_dedup.rlz_dedup(docs).collect(), words)
+    same(bwt_dedup.digest(bwt_dedup.suffix_dedup(docs)).collect(), text)
 
 
 def weights(text):
