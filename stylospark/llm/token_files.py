@@ -11,16 +11,20 @@ file system, and readers decode them in parallel.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_chars
 from .common import column, expand, parts
 
 MAGIC = b"RANS0001"
@@ -141,12 +145,20 @@ def unpack_segment(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return docs, counts, np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
+_LETTERS = r"a-zA-Z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF"
+#: Words whose pieces are known without the library's rules for whole texts: letters that neither normal forms nor
+#: lower-casing change other than one by one, digits, and signs other than the apostrophe.
+PLAIN = re.compile(rf"[{_LETTERS}0-9!-&(-/:-@\[-`{{-~]+")
+PIECES = re.compile(rf"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+
+
 class WordCache:
-    """Ids of white-space separated words as the library gives them, kept for
-    the words seen last; a text that may hold an added token, or upper case that
-    only a whole-text rule could treat, goes to the library whole."""
+    """Ids of white-space separated words as the library gives them, in two
+    generations: words of the older one that are met again move to the newer,
+    the rest goes when that is full. A text that may hold an added token goes to
+    the library whole."""
 
-    def __init__(self, path: str, size: int = 500_000):
+    def __init__(self, path: str, size: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -156,64 +168,99 @@ class WordCache:
         vocabulary = self.tok.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        # the model alone, over pieces that are normalised, split and written in byte characters here
+        spec = json.load(open(path, encoding="utf-8"))
+        spec["normalizer"], spec["pre_tokenizer"] = None, {"type": "WhitespaceSplit"}
+        self.model = Tokenizer.from_str(json.dumps(spec))
+        self.model.no_padding(), self.model.no_truncation()
+        self.chars = byte_chars()
+        self.old: dict[bytes, int] = {}
         self.start()
 
     def start(self) -> None:
+        """An empty newer generation: the ids of its word k are flat[at[k]:at[k] + count[k]]."""
         self.slot: dict[bytes, int] = {}
         self.flat, self.at, self.count = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.used = 0
 
-    def library(self, words: list[str]) -> list[list[int]]:
-        """Ids of words by the library. Words of letters alone are single pieces,
-        whose last token carries the end-of-word mark: they are given as texts of
-        many words and parted at the marks. The rest go one by one."""
-        out: list[list[int] | None] = [None] * len(words)
-        plain = [i for i, w in enumerate(words) if w.isalpha()]
-        for a in range(0, len(plain), 512):
-            own = plain[a : a + 512]
-            ids = np.array(self.tok.encode_batch_fast([" ".join(words[i] for i in own)], add_special_tokens=False)[0].ids)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(own):
-                for i, x, y in zip(own, np.concatenate(([0], ends[:-1])).tolist(), ends.tolist()):
-                    out[i] = ids[x:y]
-        rest = [i for i, got in enumerate(out) if got is None]
-        for i, e in zip(rest, self.tok.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)):
-            out[i] = e.ids
-        return out
-
-    def learn(self, words: list[bytes]) -> None:
-        """Cache the words. A word of letters and one sign is two pieces."""
-        text = [w.decode() for w in words]
-        cut = [w[-1] in ".,|!" and w[:-1].isalpha() for w in text]
-        parts = list(dict.fromkeys([w[:-1] if c else w for w, c in zip(text, cut)] + [w[-1] for w, c in zip(text, cut) if c]))
-        by = dict(zip(parts, self.library(parts)))
-        got = [[*by[w[:-1]], *by[w[-1]]] if c else by[w] for w, c in zip(text, cut)]
-        n = np.array([len(g) for g in got], np.int64)
-        k, total = len(self.slot), int(n.sum())
-        while self.used + total > len(self.flat):
+    def put(self, words: list[bytes], ids: np.ndarray, n: np.ndarray) -> None:
+        k = len(self.slot)
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         while k + len(words) > len(self.at):
             self.at, self.count = np.concatenate((self.at, np.zeros_like(self.at))), np.concatenate((self.count, np.zeros_like(self.count)))
-        self.flat[self.used : self.used + total] = [i for g in got for i in g]
+        self.flat[self.used : self.used + len(ids)] = ids
         self.at[k : k + len(n)], self.count[k : k + len(n)] = self.used + np.cumsum(n) - n, n
-        self.used += total
+        self.used += len(ids)
         self.slot.update(zip(words, range(k, k + len(words))))
 
+    def learn(self, words: list[bytes]) -> None:
+        """Cache the words. The pieces of those that are PLAIN go to the model many
+        in one text and are parted at the end-of-word marks; the rest goes to the
+        library one by one."""
+        bare = [w for w in words if w.isalpha()]  # letters of ASCII: one piece each
+        left = [w for w in words if not w.isalpha()]
+        rest = self._model(bare, b" ".join, [1] * len(bare), bare)
+        plain, marks, pieces = [], [], []
+        for w in left:
+            t = w.decode()
+            if not PLAIN.fullmatch(t):
+                rest.append(w)
+                continue
+            own = PIECES.findall(t)
+            if not t.isascii():
+                own = ["".join(map(self.chars.__getitem__, p.lower().encode())) for p in own]
+            plain.append(w), marks.append(len(own))
+            pieces.extend(own)
+        rest += self._model(plain, " ".join, marks, pieces)
+        if rest:
+            got = [np.array(e.ids, np.int32) for e in self.tok.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)]
+            self.put(rest, np.concatenate(got), np.array([len(g) for g in got], np.int64))
+
+    def _model(self, words: list[bytes], join, marks: list[int], pieces: list) -> list[bytes]:
+        """Cache words of so many pieces (marks) each; those that didn't part."""
+        odd, last = [], 0
+        for a in range(0, len(words), 512):
+            own, n = words[a : a + 512], np.array(marks[a : a + 512])
+            first, last = last, last + int(n.sum())
+            text = join(pieces[first:last])
+            ids = np.array(self.model.encode_batch_fast([text if isinstance(text, str) else text.decode()], add_special_tokens=False)[0].ids)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == n.sum() and ends[-1] == len(ids):
+                self.put(own, ids, np.diff(ends[np.cumsum(n) - 1], prepend=0))
+            else:
+                odd += own
+        return odd
+
+    def recall(self, words: list[bytes]) -> list[bytes]:
+        """Move words of the older generation to the newer; what isn't there."""
+        k = np.fromiter(map(self.old.get, words, repeat(-1)), np.int64, len(words))
+        here = k >= 0
+        if here.any():
+            flat, at, count = self.past
+            n = count[k[here]]
+            self.put([w for w, x in zip(words, here.tolist()) if x], flat[expand(at[k[here]], n)], n)
+        return [w for w, x in zip(words, here.tolist()) if not x]
+
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.slot) > self.size or self.used > 8 * self.size:
+            self.old, self.past = self.slot, (self.flat, self.at, self.count)
             self.start()
         raw = [t.encode() for t in texts]
-        split = [None if any(a in b for a in self.added) else b.lower().split() for b in raw]
-        if new := set().union(*[ws for ws in split if ws]).difference(self.slot):
-            self.learn(list(new))
-        out = []
-        for t, ws in zip(texts, split):
-            if ws is None:
-                out.append(np.array(self.tok.encode(t, add_special_tokens=False).ids, np.int32))
-            else:
-                k = np.fromiter(map(self.slot.__getitem__, ws), np.int64, len(ws))
-                out.append(self.flat[expand(self.at[k], self.count[k])])
-        return out
+        split = [[] if any(a in b for a in self.added) else b.lower().split() for b in raw]
+        whole = [bool(t) and any(a in b for a in self.added) for t, b in zip(texts, raw)]
+        flat = list(chain.from_iterable(split))
+        k = np.fromiter(map(self.slot.get, flat, repeat(-1)), np.int64, len(flat))
+        unseen = np.flatnonzero(k < 0).tolist()
+        if unseen:
+            new = list(dict.fromkeys([flat[i] for i in unseen]))
+            if new := self.recall(new) if self.old else new:
+                self.learn(new)
+            k[unseen] = [self.slot[flat[i]] for i in unseen]
+        n = self.count[k]
+        ids = self.flat[expand(self.at[k], n)]
+        ends = np.concatenate(([0], np.cumsum(n)))[np.cumsum([0] + [len(ws) for ws in split])]
+        return [np.array(self.tok.encode(t, add_special_tokens=False).ids, np.int32) if w else ids[a:b] for t, w, a, b in zip(texts, whole, ends[:-1].tolist(), ends[1:].tolist())]
 
 
 _MADE: dict[str, WordCache] = {}

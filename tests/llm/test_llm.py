@@ -284,8 +284,14 @@ def test_token_files(spark, docs, empty, tmp_path):
     path = public.path("word_bpe_49k.json")
     lib = tokenizers.Tokenizer.from_file(path)
     cache = token_files.WordCache(path)
-    for t, ids in zip(ODD, cache.encode_batch(ODD)):
-        assert ids.tolist() == lib.encode(t, add_special_tokens=False).ids
+    rng = random.Random(8)
+    signs = "abzAZéÉßÀÿœŒ09½.,;:!?'\"@#&*()[]|~^_-/\\<>É\u0301İΣς日 \n\x1c\x7f"
+    odd = ODD + ["".join(rng.choice(signs) for _ in range(rng.randint(1, 60))) for _ in range(400)]
+    small = token_files.WordCache(path, size=50)  # generations change all the time
+    for at in range(0, len(odd), 20):
+        for own in (cache, small):
+            for t, ids in zip(odd[at : at + 20], own.encode_batch(odd[at : at + 20])):
+                assert ids.tolist() == lib.encode(t, add_special_tokens=False).ids
     token_files.write_tokens(docs, f"{tmp_path}/a", path)
     got = token_files.read_tokens(spark, f"{tmp_path}/a").orderBy("start").collect()
     at = 0
