@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as Sorted
@@ -214,11 +215,13 @@ def attach(docs: DataFrame, lists: DataFrame, how: str = "left") -> DataFrame:
     return docs.join(k, docs["doc_id"].eqNullSafe(k["_d"]) & (docs["h"] == k["_h"]), how).drop("_d", "_h")
 
 
-def covered(n: int, spans) -> np.ndarray:
-    """Mask of n tokens that lie in a span."""
-    step = np.zeros(n + 1, np.int64)
-    for s in spans or ():
-        step[s["start"]] += 1
-        step[s["start"] + s["len"]] -= 1
+def covered(offs: np.ndarray, spans: pa.Array) -> np.ndarray:
+    """Mask of the tokens (offs: of each document) that lie in a span of their
+    document; spans: a list column of (start, len), null: none."""
+    step = np.zeros(int(offs[-1]) + 1, np.int32)
+    flat = spans.flatten()
+    sizes = pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
+    start = np.repeat(offs[:-1], sizes) + flat.field("start").to_numpy()
+    np.add.at(step, start, 1)
+    np.add.at(step, start + flat.field("len").to_numpy(), -1)
     return np.cumsum(step[:-1]) > 0
-

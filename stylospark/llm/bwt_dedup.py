@@ -216,17 +216,20 @@ def found_spans(rows: DataFrame, win: Window, cut, method) -> DataFrame:
 
 
 def _strip(batches):
-    kind = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("len", pa.int64())]))), ("kept", pa.binary())])
-    for part in (p for batch in batches for p in pieces(batch, "text", 1 << 21)):
-        out = []
-        for d, text, spans in zip(*(part.column(i).to_pylist() for i in (0, 2, 3))):
-            raw = text.encode()
-            mask = covered(len(raw), spans)
-            edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
-            found = [{"start": int(a), "len": int(b - a)} for a, b in zip(edge[::2], edge[1::2])]
-            kept = np.frombuffer(raw, np.uint8)[~mask].tobytes() if spans else raw
-            out.append({"doc_id": d, "n_bytes": len(raw), "spans": found, "kept": kept})
-        yield pa.RecordBatch.from_pylist(out, schema=kind)
+    for part in (p for batch in batches for p in pieces(batch, "text", 1 << 20)):
+        data, offs = raw(part.column(2))
+        gone = covered(offs, part.column(3))
+        cut = np.zeros(len(data) + 1, bool)
+        cut[offs] = True
+        edge = np.concatenate(([False], gone, [False]))
+        first = np.flatnonzero(gone & (~edge[:-2] | cut[:-1]))
+        last = np.flatnonzero(gone & (~edge[2:] | cut[1:])) + 1
+        row = np.searchsorted(offs, first, side="right") - 1
+        spans = pa.StructArray.from_arrays([pa.array(first - offs[row]), pa.array(last - first)], ["start", "len"])
+        ends = np.concatenate(([0], np.cumsum(~gone)))[offs].astype(np.int32)
+        kept = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data[~gone].tobytes())])
+        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)), spans)
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offs)), lists, kept], names=["doc_id", "n_bytes", "spans", "kept"])
 
 
 def suffix_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:

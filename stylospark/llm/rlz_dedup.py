@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from .anchors import Window, attach, covered, packed, unpack
 from .bwt_dedup import found_spans, span_rows, whole_groups
-from .common import keyed, pieces, raw, word_hashes, words
+from .common import expand, keyed, pieces, raw, word_hashes, words
 from .suffixes import doubled, lay_out, longest
 
 WIDTH = 35
@@ -83,15 +83,21 @@ def _cut(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _strip(batches):
-    kind = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
-    for part in (p for batch in batches for p in pieces(batch, "text", 1 << 21)):
-        out = []
-        for d, text, spans in zip(*(part.column(i).to_pylist() for i in (0, 2, 3))):
-            w = text.encode().split()
-            mask = covered(len(w), spans) if spans else None
-            kept = w if mask is None else [x for x, gone in zip(w, mask.tolist()) if not gone]
-            out.append({"doc_id": d, "n_words": len(w), "n_removed": len(w) - len(kept), "kept": b" ".join(kept).decode()})
-        yield pa.RecordBatch.from_pylist(out, schema=kind)
+    for part in (p for batch in batches for p in pieces(batch, "text", 1 << 20)):
+        data, offs = raw(part.column(2))
+        start, end, at = words(data, offs)
+        stay = ~covered(at, part.column(3))
+        left = np.concatenate(([0], np.cumsum(stay)))[at]  # words kept before each document
+        size = (end - start + 1)[stay]  # each with one space
+        joined = np.append(data, np.uint8(32))[expand(start[stay], size)]
+        joined[np.cumsum(size) - 1] = 32
+        ends = np.concatenate(([0], np.cumsum(size)))
+        some = np.diff(left) > 0
+        inside = np.ones(len(joined), bool)
+        inside[ends[left[1:][some]] - 1] = False  # none after the last
+        cut = (ends[left] - np.concatenate(([0], np.cumsum(some)))).astype(np.int32)
+        kept = pa.Array.from_buffers(pa.string(), part.num_rows, [None, pa.py_buffer(cut.tobytes()), pa.py_buffer(joined[inside].tobytes())])
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(np.diff(at) - np.diff(left)), kept], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
 def rlz_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
