@@ -36,7 +36,7 @@ HOT_MAX = 10_000
 #: Different segments of one anchor that a task takes without demotion.
 HOT_GROUP = 1_000
 SAMPLE = 32
-#: at: the segment's start << 24 | its length; rest: those of equal segments of the same document.
+#: at: the segment's start << 24 | its anchor's place in it << 12 | its length; rest: those of equal segments of the same document.
 SCHEMA = "doc_id long, h long, at long, anchor long, s long, rest array<long>"
 #: tokens(data, offs) gives (token values, offsets of each document's tokens).
 Tokens = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -44,7 +44,7 @@ Tokens = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 @dataclass(frozen=True)
 class Window:
-    width: int  # W
+    width: int  # W, 2,000 at most
     gram: int  # K
     tokens: Tokens
 
@@ -60,11 +60,11 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments(tok: np.ndarray, offs: np.ndarray, win: Window, hot: np.ndarray):
-    """(document, start, length, anchor, content hash) of every segment;
-    positions count from the document's first token. Contents are equal if
-    anchor and content hash are, each of 64 bits."""
+    """(document, start, length, anchor's place in it, anchor, content hash) of
+    every segment; starts count from the document's first token. Contents are
+    equal if anchor and content hash are, each of 64 bits."""
     n, spread = len(tok), win.width - win.gram + 1
-    empty = [np.zeros(0, np.int64)] * 5
+    empty = [np.zeros(0, np.int64)] * 6
     if n < win.width:
         return empty
     pre = prefix(tok + U64(1))
@@ -86,7 +86,7 @@ def segments(tok: np.ndarray, offs: np.ndarray, win: Window, hot: np.ndarray):
     last = np.append(first[1:], len(valid)) - 1
     a, b, pos = valid[first], valid[last] + win.width, at[first]
     d = doc[a]
-    return d, a - offs[d], b - a, gram[pos].view(np.int64), span_hash(pre, a, b).view(np.int64)
+    return d, a - offs[d], b - a, pos - a, gram[pos].view(np.int64), span_hash(pre, a, b).view(np.int64)
 
 
 def _rows(win: Window, hot: np.ndarray):
@@ -94,11 +94,11 @@ def _rows(win: Window, hot: np.ndarray):
         for batch in batches:
             for part in pieces(batch, "text", 1 << 17):  # arrays that stay in a core's cache
                 tok, offs = win.tokens(*raw(part.column(2)))
-                d, start, size, anchor, content = segments(tok, offs, win, hot)
+                d, start, size, mid, anchor, content = segments(tok, offs, win, hot)
                 if not len(d):
                     continue
                 order = np.lexsort((start, content, anchor, d))
-                d, at, anchor, content = d[order], (start << 24 | size)[order], anchor[order], content[order]
+                d, at, anchor, content = d[order], (start << 24 | mid << 12 | size)[order], anchor[order], content[order]
                 new = np.concatenate(([True], (d[1:] != d[:-1]) | (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])))
                 first = np.flatnonzero(new)
                 more = np.diff(np.append(first, len(d))) - 1
@@ -112,7 +112,7 @@ def _rows(win: Window, hot: np.ndarray):
 def repeats(docs: DataFrame, win: Window, most: int = HOT_GROUP, hot_max: int = HOT_MAX) -> tuple[DataFrame, DataFrame]:
     """(known, open): segments of docs (keyed()) that may hold repeats. known:
     doc_id, h, start, len of segments that are repeats throughout. open: doc_id,
-    h, start, len, anchor of segments that occur once and share their anchor with
+    h, start, mid (the anchor's place), len, anchor of segments that occur once and share their anchor with
     others, and of one of each of the others (again is true).
 
     Segments are dealt by anchor once and looked at in order, so only neighbours
@@ -129,12 +129,41 @@ def repeats(docs: DataFrame, win: Window, most: int = HOT_GROUP, hot_max: int =
     seen = found.select("*", (before | after | F.col("rest").isNotNull()).alias("again"), (~before).alias("head"))
     seen = seen.withColumn("kinds", F.sum(F.col("head").cast("long")).over(group)).where("again or kinds > 1")
     shared = durable(seen.withColumn("head", F.col("head") & (F.col("kinds") > 1)), "shared-segments")
-    start, size = F.shiftright("at", 24).cast("int"), (F.col("at") % (1 << 24)).cast("int")
+    start, mid, size = F.shiftright("at", 24).cast("int"), (F.shiftright("at", 12) % 4096).cast("int"), (F.col("at") % 4096).cast("int")
     known = shared.where("again").select("doc_id", "h", F.explode(F.concat(F.array("at"), F.coalesce("rest", F.array().cast("array<long>")))).alias("at")).select("doc_id", "h", start.alias("start"), size.alias("len"))
-    heads = shared.where("head").select("doc_id", "h", start.alias("start"), size.alias("len"), "anchor", "again", "kinds")
+    heads = shared.where("head").select("doc_id", "h", start.alias("start"), mid.alias("mid"), size.alias("len"), "anchor", "again", "kinds")
     return known.unionByName(_by_window(docs, heads.where(F.col("kinds") > most), win)), heads.where(F.col("kinds") <= most).drop("kinds")
 
 
+def promising(tok: np.ndarray, offs: np.ndarray, mid: np.ndarray, group: np.ndarray, win: Window, classes: int = 8):
+    """(i, from, to): the segments (tok cut at offs, their anchors at mid) that
+    can hold a window of another segment of their group, and the part of each
+    where such windows can lie. Windows are classed by the anchor's place in
+    them; those of a class all contain one stretch around the anchor, and a
+    window can only be found where that stretch is another segment's too."""
+    size, spread = np.diff(offs)[:, None], win.width - win.gram
+    step = -(-(spread + 1) // classes)
+    at = np.arange(0, spread + 1, step)[None, :]
+    mid = mid.astype(np.int64)[:, None]
+    least, most = np.maximum(at, mid + win.width - size), np.minimum(np.minimum(at + step - 1, spread), mid)
+    some = np.argwhere(least <= most)
+    i, c = some[:, 0], some[:, 1]
+    left = offs[:-1][i] + mid[i, 0] - at[0, c]
+    right = offs[:-1][i] + mid[i, 0] + win.gram + np.maximum(0, spread - at[0, c] - step + 1)
+    key = span_hash(prefix(tok.astype(U64) + U64(1)), left, right)
+    order = np.lexsort((key, c, group[i]))
+    key, g, k = key[order], group[i][order], c[order]
+    twin = (key[1:] == key[:-1]) & (g[1:] == g[:-1]) & (k[1:] == k[:-1])
+    alive = np.zeros(len(order), bool)
+    alive[order[1:][twin]] = alive[order[:-1][twin]] = True
+    i, c = i[alive], c[alive]
+    if not len(i):
+        return i, i, i
+    own, first = np.unique(i, return_index=True)
+    last = np.append(first[1:], len(i)) - 1  # classes ascend within a segment
+    return own, mid[own, 0] - most[own, c[last]], mid[own, 0] - least[own, c[first]] + win.width
+
+
 def _windows(win: Window):
     """(doc_id, h, text, segs) to a row of each window of the segments: doc_id,
     h, start, w (hash of its tokens), again (whether its segment occurs again)."""

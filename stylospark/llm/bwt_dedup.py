@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Window, attach, covered, packed, repeats, spans_of, unpack
+from .anchors import Window, attach, covered, packed, promising, repeats, spans_of, unpack
 from .common import durable, expand, keyed, parts, pieces, raw
 from .suffixes import doubled, lay_out
 
 WIDTH = 200
-#: Bytes of segments merged at a time by a task.
-CHUNK = 1 << 17
+#: Bytes of segments that a task looks at together; fewer of them are merged.
+CHUNK = 1 << 18
 
 
 def byte_tokens(data: np.ndarray, offs: np.ndarray):
@@ -161,26 +161,25 @@ def whole_groups(batches, chunk: int):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-OPEN = "doc_id long, h long, start int, anchor long, again boolean, segment binary"
+OPEN = "doc_id long, h long, start int, anchor long, again boolean, mid int, segment binary"
 SPANS = "doc_id long, h long, start int, len int"
 
 
-def span_rows(batch: pa.RecordBatch, found: list[np.ndarray], width: int) -> pa.RecordBatch:
-    """SPANS of a batch of segments from the windows found in each of them."""
-    again = batch.column(4).to_pylist()
-    spans = [(i, a, n) for i, pos in enumerate(found) if not again[i] for a, n in runs(pos, width)]
-    row, at, size = (np.array(x, np.int64) for x in zip(*spans)) if spans else [np.zeros(0, np.int64)] * 3
-    i = pa.array(row)
-    start = batch.column(2).to_numpy()[row] + at
-    return pa.RecordBatch.from_arrays([batch.column(0).take(i), batch.column(1).take(i), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], names=["doc_id", "h", "start", "len"])
+def by_anchor(win: Window, chunk: int, tokens: type, find):
+    """A mapInArrow function from OPEN rows sorted by anchor to SPANS: what
+    find(strings, rows of the batch, batch) finds in the promising parts."""
 
-
-def _merge_rows(width: int):
     def run(batches):
-        for batch in whole_groups(batches, CHUNK):
-            data, offs = raw(batch.column(5))
-            shard = (batch.column(1).to_numpy() & 1).astype(bool)
-            yield span_rows(batch, repeated([data[a:b] for a, b in zip(offs[:-1], offs[1:])], shard, width), width)
+        for batch in whole_groups(batches, chunk):
+            data, offs = raw(batch.column(6))
+            tok, offs = data.view(tokens), offs // np.dtype(tokens).itemsize
+            i, a, b = promising(tok, offs, batch.column(5).to_numpy(), batch.column(3).to_numpy(), win)
+            again = batch.column(4).to_numpy(zero_copy_only=False)
+            found = find([tok[x:y] for x, y in zip(offs[i] + a, offs[i] + b)], i, batch) if len(i) else []
+            spans = [(k, x + at, n) for k, x, pos in zip(i.tolist(), a.tolist(), found) if not again[k] for at, n in runs(pos, win.width)]
+            row, at, size = (np.array(x, np.int64) for x in zip(*spans)) if spans else [np.zeros(0, np.int64)] * 3
+            start = batch.column(2).to_numpy()[row] + at
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], names=["doc_id", "h", "start", "len"])
 
     return run
 
@@ -200,7 +199,7 @@ def open_segments(cut):
             ends = pa.array(np.concatenate(([0], np.cumsum(size * wide))).astype(np.int32))
             binary = pa.Array.from_buffers(pa.binary(), len(size), [None, ends.buffers()[1], pa.py_buffer(data.tobytes())])
             i = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(i), part.column(1).take(i), flat.field("start"), flat.field("anchor"), flat.field("again"), binary], names=["doc_id", "h", "start", "anchor", "again", "segment"])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(i), part.column(1).take(i), flat.field("start"), flat.field("anchor"), flat.field("again"), flat.field("mid"), binary], names=["doc_id", "h", "start", "anchor", "again", "mid", "segment"])
 
     return run
 
@@ -209,7 +208,7 @@ def found_spans(rows: DataFrame, win: Window, cut, method) -> DataFrame:
     """doc_id, h, spans of the rows (keyed()): known repeats, and those that
     `method`, a mapInArrow function from OPEN rows by anchor to SPANS, finds."""
     known, rest = repeats(rows, win)
-    asked = rest.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "len", "anchor", "again")).alias("segs"))
+    asked = rest.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "mid", "len", "anchor", "again")).alias("segs"))
     segs = attach(packed(rows), asked, "inner").select("doc_id", "h", "text", "segs").mapInArrow(unpack(open_segments(cut)), OPEN)
     found = segs.repartition(parts(rows), "anchor").sortWithinPartitions("anchor", "doc_id", "h", "start").mapInArrow(method, SPANS)
     return durable(spans_of(known, found), "repeat-spans")
@@ -239,7 +238,12 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     and shorter texts have no span. Repeated rows repeat each other. Other
     columns are ignored; an empty table gives an empty table."""
     rows = keyed(docs)
-    lists = found_spans(rows, Window(width, 16, byte_tokens), raw, _merge_rows(width))
+    win = Window(width, 16, byte_tokens)
+
+    def merged(strings: list[np.ndarray], i: np.ndarray, batch: pa.RecordBatch) -> list[np.ndarray]:
+        return repeated(strings, (batch.column(1).to_numpy()[i] & 1).astype(bool), width)
+
+    lists = found_spans(rows, win, raw, by_anchor(win, CHUNK, np.uint8, merged))
     return attach(packed(rows), lists).select("doc_id", "h", "text", "spans").mapInArrow(unpack(_strip), "doc_id long, n_bytes long, spans array<struct<start: long, len: long>>, kept binary")
 
 

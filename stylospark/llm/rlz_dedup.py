@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .anchors import Window, attach, covered, packed, unpack
-from .bwt_dedup import found_spans, span_rows, whole_groups
+from .bwt_dedup import by_anchor, found_spans
 from .common import expand, keyed, pieces, raw, word_hashes, words
 from .suffixes import doubled, lay_out, longest
 
@@ -67,17 +67,6 @@ class Block:
         return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
-def _factor_rows(width: int):
-    def run(batches):
-        for batch in whole_groups(batches, CHUNK):
-            data, offs = raw(batch.column(5))
-            tokens = np.frombuffer(data.tobytes(), np.uint64)
-            block = Block([tokens[a:b] for a, b in zip(offs[:-1] // 8, offs[1:] // 8)])
-            yield span_rows(batch, [block.repeats(i, width) for i in range(batch.num_rows)], width)
-
-    return run
-
-
 def _cut(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_tokens(*raw(col))
 
@@ -108,5 +97,11 @@ def rlz_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     all. Repeated rows repeat each other. Other columns are ignored; an empty
     table gives an empty table."""
     rows = keyed(docs)
-    lists = found_spans(rows, Window(width, 6, word_tokens), _cut, _factor_rows(width))
+    win = Window(width, 6, word_tokens)
+
+    def factored(strings: list[np.ndarray], i: np.ndarray, batch: pa.RecordBatch) -> list[np.ndarray]:
+        block = Block(strings)
+        return [block.repeats(k, width) for k in range(len(strings))]
+
+    lists = found_spans(rows, win, _cut, by_anchor(win, CHUNK, np.uint64, factored))
     return attach(packed(rows), lists).select("doc_id", "h", "text", "spans").mapInArrow(unpack(_strip), "doc_id long, n_words long, n_removed long, kept string")
