@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, column, durable, pieces
+from .common import WHITE, column, durable, one_of, pieces
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1664525)
@@ -144,10 +144,7 @@ def exact_dedup(docs: DataFrame, chunk: int = 1 << 14, per_salt: int = 2000) ->
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without exact copies: the row that exact_dedup keeps of each group,
-    with all its columns; of rows equal in doc_id and text, one."""
+    with all its columns, whatever their names; of rows equal in doc_id and text,
+    any one. Nulls and empty tables as in exact_dedup."""
     keep = exact_dedup(docs).where("kept").groupBy("text_sha256").agg(F.min(F.struct(_key(), "x")).alias("s"))
-    keep = keep.select(F.col("s.k").alias("_k"), F.col("s.x").alias("_x"))
-    text = F.coalesce(column(docs, "text", "string"), F.lit(""))
-    marked = docs.withColumn("_k", F.coalesce(column(docs, "doc_id", "long"), F.lit(-(1 << 63)))).withColumn("_x", F.xxhash64(text))
-    one = F.row_number().over(Window.partitionBy("_k", "_x").orderBy(F.lit(0)))
-    return marked.join(keep, ["_k", "_x"]).withColumn("_n", one).where("_n = 1").drop("_k", "_x", "_n")
+    return one_of(docs, keep.select("s.k", "s.x"))

@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import U64, column, mix, pieces, raw, word_hashes, words
 
@@ -101,11 +102,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, smooth: float
     held out, with null ids or other labels are left out. The sample's ids are
     what is broadcast. Without rows of both classes every text scores by the
     share of label 1 (a half without any)."""
-    lab = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_label")).where("_id is not null and _label in (0, 1)")
+    lab = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_label")).where("_id is not null and _label in (0, 1)")
     lab = lab.where(~held_out(F.col("_id"))).distinct()
     half = [lab.where(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id").limit(sample // 2) for k in (0, 1)]
-    rows = docs.join(F.broadcast(half[0].unionByName(half[1])), docs["doc_id"] == F.col("_id"))
-    got = rows.select(F.col("_label").alias("label"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_feature_rows, "label int, idx array<int>").toArrow()
+    texts = docs.select(column(docs, "doc_id", "long").alias("_id"), F.coalesce(column(docs, "text", "string"), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(half[0].unionByName(half[1])), "_id")
+    got = rows.select(F.col("_label").alias("label"), "text").mapInArrow(_feature_rows, "label int, idx array<int>").toArrow()
     label = np.array(got["label"].to_pylist(), np.int64)
     x = [np.asarray(r.as_py(), np.int64) for r in got["idx"]]
     if len(set(label.tolist())) < 2:
@@ -126,25 +128,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, smooth: float
     return Model(model.weights, bias, slope, shift)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs and score, 0 to 1, of each whole text (null:
-    empty). The model is sent to the tasks once; its size is fixed by DIM."""
+def score(docs: DataFrame, model: Model, keep: Column) -> DataFrame:
+    """(kept, score): the column `keep` and the score, 0 to 1, of each whole text
+    (null: empty). The model is sent to the tasks once; its size is fixed by DIM."""
     sent = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias, model.slope, model.shift))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{k}`" for k in keep]).schema)
+    rows = docs.select(keep.alias("kept"), F.coalesce(column(docs, "text", "string"), F.lit("")).alias("text"))
 
     def run(batches):
         m = Model(*sent.value)
         for batch in batches:
-            for part in pieces(batch, "_quality_text"):
-                i = part.schema.get_field_index("_quality_text")
-                s = m.score(features(*raw(part.column(i))))
-                yield pa.RecordBatch.from_arrays([part.column(k) for k in range(i)] + [pa.array(s)], [*part.schema.names[:i], "score"])
+            for part in pieces(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(m.score(features(*raw(part.column(1)))))], ["kept", "score"])
 
-    rows = docs.select(*[f"`{k}`" for k in keep], F.coalesce(column(docs, "text", "string"), F.lit("")).alias("_quality_text"))
-    return rows.mapInArrow(run, f"{kinds}, score double")
+    return rows.mapInArrow(run, StructType([rows.schema["kept"], StructField("score", DoubleType())]))
 
 
-def held_out(doc_id) -> "F.Column":
+def held_out(doc_id: Column) -> Column:
     """Rows whose crc32 of doc_id as text is divisible by 5 (a null id: not)."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
@@ -153,11 +152,16 @@ THRESHOLD = 0.3
 
 
 def quality(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
-    """doc_id, held_out, score, predicted (1 if score >= 0.3) of every row."""
-    out = score(docs, fit(docs, labels, **kw), ["doc_id"])
+    """doc_id, held_out, score, predicted (1 if score >= 0.3) of every row. Null
+    texts are empty, null ids aren't held out; equal texts score alike; without
+    labels of both classes every text scores by their share."""
+    out = score(docs, fit(docs, labels, **kw), column(docs, "doc_id", "long")).withColumnRenamed("kept", "doc_id")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
-    """docs without those that the classifier rejects; all columns stay."""
-    return score(docs, fit(docs, labels, **kw), docs.columns).where(F.col("score") >= THRESHOLD).drop("score")
+    """docs without those that the classifier rejects; all columns stay, whatever
+    their names. Null texts are judged as empty ones, repeated rows alike; an
+    empty table gives an empty table."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return score(docs, fit(docs, labels, **kw), row).where(F.col("score") >= THRESHOLD).select("kept.*")

@@ -256,10 +256,40 @@ def test_mixing(docs, empty):
     assert all(abs(by[s] - goal[s]) <= longest for s in names if size[s])
     again = mixing.mix_counts(docs.repartition(3), block_words=50).collect()
     same(got, again)
-    assert mixing.mix(docs, block_words=50).count() == sum(r.draws for r in got)
+    for kw in ({"block_words": 50}, {"block_words": 20, "shard_words": 40}):
+        drawn = mixing.mix(docs.withColumns({"target": F.lit(1), "shard": F.lit(2), "_s": F.lit(3)}), **kw)
+        rows_ = [(r.row.doc_id, r.row.text, r.shard) for r in drawn.select("row", "shard").collect()]
+        assert drawn.schema["row"].dataType.names == [*docs.columns, "target", "shard", "_s"]
+        want = Counter((r.doc_id, g) for r in mixing.mix_counts(docs, **kw).collect() for g in r.shards)
+        assert Counter((d, g) for d, _, g in rows_) == want
+    assert len({g for *_, g in rows_}) > 10  # of the last: many shards
     assert mixing.mix_counts(empty).count() == 0
 
 
+def test_shards_take_blocks_by_quota(spark):
+    """Every shard gets as many block draws as any other, of each source its share."""
+    table = [(i, "w " * 10, "ab"[i % 10 == 0]) for i in range(4000)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, source string")
+    *_, draws = mixing.plan(docs, weights=(2.0, 1.0), block_words=20, shard_words=1000)
+    got = [(r["_s"], r.shard) for r in draws.collect()]
+    per, own = Counter(g for _, g in got), defaultdict(Counter)
+    for s, g in got:
+        own[s][g] += 1
+    assert len(per) == 64 and max(per.values()) - min(per.values()) <= 1
+    for s in "ab":
+        share = sum(own[s].values()) / len(got)
+        assert all(abs(own[s][g] - share * n) < 6 * (share * (1 - share) * n) ** 0.5 + 1 for g, n in per.items())
+    whole = mixing.split_quotas(np.array([sum(own[s].values()) for s in "ab"]), 64, 11)
+    assert [[own[s][g] for g in range(64)] for s in "ab"] == whole.tolist()  # levels dealt to tasks or not
+
+
+def test_columns_of_any_name_pass(spark, docs):
+    clash = docs.withColumns({c: F.lit(7) for c in ("score", "_id", "_label", "kept", "row", "x", "_k", "label")})
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(40)], "doc_id long, quality int")
+    assert quality.keep_good(clash, labels).columns == clash.columns
+    assert exact_dedup.drop_copies(clash).columns == clash.columns
+
+
 def test_splitting_tree_keeps_quotas():
     q = np.array([1000, 3, 0, 250])
     out = mixing.split_quotas(q, 8, 1)
