@@ -192,8 +192,8 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _level(a):
-    """Weights of differences by quarters of an octave."""
-    return F.floor(4 * F.log2(a)).cast("int")
+    """Weights of differences by halves of an octave."""
+    return F.floor(2 * F.log2(a)).cast("int")
 
 
 def _crossing(compared: DataFrame, labels: DataFrame) -> DataFrame:
@@ -210,7 +210,7 @@ def _crossing(compared: DataFrame, labels: DataFrame) -> DataFrame:
     least = F.greatest(F.lit(1.0), F.col("a") - F.col("n") / 4, F.when(F.col("linked"), (0.8 * F.col("n") + F.col("rn")) / 9).otherwise(1.0))
     x = x.withColumn("least", least).where("least <= a + n / 4")
     x = x.withColumn("lv", _level(F.col("a"))).withColumn("pl", F.explode(F.sequence(_level(F.col("least")), _level(F.col("a") + F.col("n") / 4))))
-    other = F.greatest(F.col("least"), F.floor(F.pow(2.0, F.col("pl") / 4)))
+    other = F.greatest(F.col("least"), F.floor(F.pow(2.0, F.col("pl") / 2)))
     need = F.greatest(F.lit(1), F.ceil((F.col("a") + other - F.col("n") / 4) / 2 - 1e-9)).cast("int")
     x = x.withColumn("take", F.size("els") - need + 1).where("take > 0").withColumn("c", F.size("els"))
     x = x.select("rep", "v", "comp", "n", "a", "c", "lv", "pl", F.posexplode(F.slice("els", 1, F.col("take"))).alias("k", "el"))
