@@ -56,13 +56,15 @@ FROM (@F) f
 
 # Words that mark a transition, and closed classes of the coarse tagger.
 TRANSITIONS = "however therefore furthermore moreover consequently additionally nevertheless nonetheless thus hence".split()
+CLASSES = [
+    ("DET", "the a an this that these those der die das el la los las le les un une"), ("PRON", "i you he she it we they me him her us them"),
+    ("ADP", "of in on at by for with from to into over under about between"), ("CCONJ", "and or but nor yet so und y et"),
+    ("AUX", "is are was were be been am has have had do does did will would can could may might must shall should"),
+]
+SUFFIXES = [("ADV", "ly"), ("VERB", "ing ed"), ("ADJ", "ous ful ive al able")]
 _IN = lambda words: "w IN (" + ", ".join(f"'{w}'" for w in words.split()) + ")"
-POS = (
-    "CASE WHEN " + _IN("the a an this that these those der die das el la los las le les un une") + " THEN 'DET' WHEN " + _IN("i you he she it we they me him her us them") + " THEN 'PRON' WHEN "
-    + _IN("of in on at by for with from to into over under about between") + " THEN 'ADP' WHEN " + _IN("and or but nor yet so und y et") + " THEN 'CCONJ' WHEN " + _IN("is are was were be been am has have had do does did will would can could may might must shall should") + " THEN 'AUX'"
-    " WHEN w LIKE '%ly' THEN 'ADV' WHEN w LIKE '%ing' OR w LIKE '%ed' THEN 'VERB' WHEN w LIKE '%ous' OR w LIKE '%ful' OR w LIKE '%ive' OR w LIKE '%al' OR w LIKE '%able' THEN 'ADJ'"
-    " WHEN w >= '0' AND w < ':' THEN 'NUM' ELSE 'NOUN' END"
-)
+_LIKE = lambda ends: " OR ".join(f"w LIKE '%{e}'" for e in ends.split())
+POS = "CASE " + " ".join([f"WHEN {_IN(w)} THEN '{k}'" for k, w in CLASSES] + [f"WHEN {_LIKE(e)} THEN '{k}'" for k, e in SUFFIXES]) + " WHEN w >= '0' AND w < ':' THEN 'NUM' ELSE 'NOUN' END"
 LINGUISTIC_FEATURES = f"""
 WITH tg AS (SELECT doc_id, idx, pos, w, w2, {POS} AS p, CASE WHEN w2 IS NULL THEN NULL ELSE {POS.replace("w IN", "w2 IN").replace("w LIKE", "w2 LIKE").replace("w >=", "w2 >=").replace("w <", "w2 <")} END AS p2 FROM {{senpos}}),
 k AS (SELECT doc_id, COUNT(*) AS kinds, SUM(c) AS n, LOG2(SUM(c) * 1.0E0) - SUM(c * LOG2(c * 1.0E0)) / SUM(c) AS h FROM (SELECT doc_id, p, COUNT(*) AS c FROM tg GROUP BY doc_id, p) q GROUP BY doc_id),

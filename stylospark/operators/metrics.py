@@ -200,5 +200,14 @@ def duck_sql(text: str, **extra: str) -> str:
 
 
 def compute(text: str, docs: DataFrame, **frames: DataFrame) -> DataFrame:
+    """text over the tables of docs. Features that features.py computes in the row
+    stand for their SQL."""
+    from . import features
+    from . import language_metrics as lm
+
+    for sql, name, f in ((STRUCTURAL_FEATURES, "structural_f", features.structural), (ENTROPY_FEATURES, "entropy_f", features.entropies), (lm.SEMANTIC_FEATURES, "semantic_f", features.semantic), (lm.LINGUISTIC_FEATURES, "linguistic_f", features.linguistic)):
+        if sql in text:
+            text = text.replace(sql, f"SELECT * FROM {{{name}}}")
+            frames.setdefault(name, f(docs))
     have = {n: tokens.FRAMES[n](docs) for n in needed(text) if n in tokens.FRAMES and n not in frames}
     return run(docs.sparkSession, spark_sql(text), **have, **{n: f for n, f in frames.items() if n in needed(text)})
