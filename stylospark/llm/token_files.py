@@ -149,6 +149,7 @@ _LETTERS = r"a-zA-Z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF"
 #: Words whose pieces are known without the library's rules for whole texts: letters that neither normal forms nor
 #: lower-casing change other than one by one, digits, and signs other than the apostrophe.
 PLAIN = re.compile(rf"[{_LETTERS}0-9!-&(-/:-@\[-`{{-~]+")
+SIGNS = b".,;:!?|$&%*#"
 PIECES = re.compile(rf"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 
 
@@ -199,9 +200,19 @@ class WordCache:
         in one text and are parted at the end-of-word marks; the rest goes to the
         library one by one."""
         bare = [w for w in words if w.isalpha()]  # letters of ASCII: one piece each
-        left = [w for w in words if not w.isalpha()]
-        rest = self._model(bare, b" ".join, [1] * len(bare), bare)
-        plain, marks, pieces = [], [], []
+        left, joint, bases, tails = [], [], [], []
+        for w in words:
+            if not w.isalpha():
+                base = w.rstrip(SIGNS)
+                if base and len(base) < len(w) and (base[-1:].isalnum() or base[-1] > 127 and base.decode()[-1].isalpha()):
+                    joint.append(w), bases.append(base), tails.append(w[len(base) :])
+                else:
+                    left.append(w)
+        if joint:  # a word and the signs after it are pieces apart
+            new = [x for x in {*bases, *tails}.difference(words) if x not in self.slot]
+            bare += [w for w in new if w.isalpha()]
+            left += [w for w in new if not w.isalpha()]
+        rest, plain, marks, pieces = [], [], [], []
         for w in left:
             t = w.decode()
             if not PLAIN.fullmatch(t):
@@ -212,10 +223,14 @@ class WordCache:
                 own = ["".join(map(self.chars.__getitem__, p.lower().encode())) for p in own]
             plain.append(w), marks.append(len(own))
             pieces.extend(own)
-        rest += self._model(plain, " ".join, marks, pieces)
+        rest = self._model(bare, b" ".join, [1] * len(bare), bare) + rest + self._model(plain, " ".join, marks, pieces)
         if rest:
             got = [np.array(e.ids, np.int32) for e in self.tok.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)]
             self.put(rest, np.concatenate(got), np.array([len(g) for g in got], np.int64))
+        if joint:
+            k = np.stack([np.fromiter(map(self.slot.__getitem__, x), np.int64, len(joint)) for x in (bases, tails)], 1)
+            n = self.count[k]
+            self.put(joint, self.flat[expand(self.at[k].ravel(), n.ravel())], n.sum(1))
 
     def _model(self, words: list[bytes], join, marks: list[int], pieces: list) -> list[bytes]:
         """Cache words of so many pieces (marks) each; those that didn't part."""
