@@ -204,7 +204,7 @@ class WordCache:
         for w in words:
             if not w.isalpha():
                 base = w.rstrip(SIGNS)
-                if base and len(base) < len(w) and (base[-1:].isalnum() or base[-1] > 127 and base.decode()[-1].isalpha()):
+                if base and len(base) < len(w) and (base[-1:].isalnum() or base[-1] > 127 and PLAIN.fullmatch(base.decode()[-1])):
                     joint.append(w), bases.append(base), tails.append(w[len(base) :])
                 else:
                     left.append(w)
