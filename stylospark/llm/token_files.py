@@ -35,7 +35,12 @@ SCHEMA = "shard int, seg int, n_docs long, n_tokens long, payload binary"
 
 def table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(symbols, frequencies, bits): counts scaled to a sum of 2**bits, none zero."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    if len(ids) and int(ids.max()) < 1 << 22:
+        counts = np.bincount(ids)
+        symbols = np.flatnonzero(counts)
+        counts = counts[symbols]
+    else:
+        symbols, counts = np.unique(ids, return_counts=True)
     bits = max(12, int(len(symbols)).bit_length() + 2)
     if not len(symbols):
         return symbols, counts, bits
@@ -111,7 +116,10 @@ def pack_segment(doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
     """One segment: the table, its documents and its blocks. doc_ids may be null."""
     symbols, freq, bits = table(ids)
     cum = np.cumsum(freq) - freq
-    sym = np.searchsorted(symbols, ids)
+    place = np.zeros(int(symbols[-1]) + 1 if len(symbols) and symbols[-1] < 1 << 22 else 0, np.int32)
+    if len(place):
+        place[symbols] = np.arange(len(symbols))
+    sym = place[ids] if len(place) else np.searchsorted(symbols, ids)
     blocks = [encode_block(sym[a : a + BLOCK], freq, cum, bits) for a in range(0, len(sym), BLOCK)]
     index = np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes() + np.array([d is None for d in doc_ids], np.uint8).tobytes() + counts.astype("<i8").tobytes()
     head = struct.pack("<IIIQI", bits, len(symbols), len(doc_ids), len(ids), len(blocks))
