@@ -108,7 +108,7 @@ pert AS (SELECT t.doc_id, t.k, greatest(0.5, least(10.0, AVG(COALESCE(p.nll, -LN
 agg AS (SELECT o.doc_id, o.l AS orig, COUNT(*) AS m, AVG(q.l) AS mean_l, AVG(greatest(0.0, least(1.0, (o.l - q.l) / o.l))) AS drop, VAR_POP(ABS(o.l - q.l)) AS curve, VAR_POP(q.l) AS pv FROM orig o JOIN pert q ON q.doc_id = o.doc_id GROUP BY o.doc_id, o.l)
 SELECT d.doc_id, d.n_chars, ROUND(COALESCE(a.orig, 2.0), 4) AS original_likelihood, ROUND(COALESCE(a.mean_l, 1.8), 4) AS avg_perturbed_likelihood,
   ROUND(CASE WHEN a.drop IS NULL THEN 0.3 WHEN a.drop > 0.5 THEN 0.9 WHEN a.drop > 0.3 THEN 0.6 + (a.drop - 0.3) * 1.5 WHEN a.drop > 0.15 THEN 0.3 + (a.drop - 0.15) * 2 ELSE a.drop * 2 END, 4) AS stability_score,
-  ROUND(CASE WHEN a.m >= 2 THEN least(1.0, a.curve * 3) ELSE 0.3 END, 4) AS curvature_score, ROUND(COALESCE(greatest(0.33, least(3.0, a.orig / a.mean_l)) / 3, 0.55), 4) AS normalized_likelihood_ratio,
+  ROUND(CASE WHEN a.m >= 2 THEN least(1.0, a.curve * 3) ELSE 0.3 END, 4) AS curvature_score, ROUND(CASE WHEN a.m > 0 THEN greatest(0.33, least(3.0, a.orig / a.mean_l)) / 3 ELSE 0.55 END, 4) AS normalized_likelihood_ratio,
   0.1 AS stability_variance, ROUND(COALESCE(a.pv, 0.05), 4) AS perturbation_variance, CAST(COALESCE(a.m, 0) AS BIGINT) AS num_perturbations
 FROM {doc} d LEFT JOIN agg a ON a.doc_id = d.doc_id
 """

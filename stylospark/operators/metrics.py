@@ -204,10 +204,16 @@ def compute(text: str, docs: DataFrame, **frames: DataFrame) -> DataFrame:
     stand for their SQL."""
     from . import features
     from . import language_metrics as lm
+    from . import language_model as model
 
-    for sql, name, f in ((STRUCTURAL_FEATURES, "structural_f", features.structural), (ENTROPY_FEATURES, "entropy_f", features.entropies), (lm.SEMANTIC_FEATURES, "semantic_f", features.semantic), (lm.LINGUISTIC_FEATURES, "linguistic_f", features.linguistic)):
+    made = {
+        "structural_f": (STRUCTURAL_FEATURES, features.structural), "entropy_f": (ENTROPY_FEATURES, features.entropies), "semantic_f": (lm.SEMANTIC_FEATURES, features.semantic), "linguistic_f": (lm.LINGUISTIC_FEATURES, features.linguistic),
+        "perplexity_f": (PERPLEXITY_FEATURES, lambda d: model.features(d).select(*model.PERPLEXITY)), "stability_f": (lm.STABILITY_FEATURES, lambda d: model.features(d).select(*model.STABILITY)),
+    }
+    for name, (sql, f) in made.items():
         if sql in text:
             text = text.replace(sql, f"SELECT * FROM {{{name}}}")
-            frames.setdefault(name, f(docs))
+            if name not in frames:
+                frames[name] = f(docs)
     have = {n: tokens.FRAMES[n](docs) for n in needed(text) if n in tokens.FRAMES and n not in frames}
     return run(docs.sparkSession, spark_sql(text), **have, **{n: f for n, f in frames.items() if n in needed(text)})
