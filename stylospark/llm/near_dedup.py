@@ -218,7 +218,9 @@ def _crossing(compared: DataFrame, labels: DataFrame) -> DataFrame:
     x = x.select("rep", F.col("el.e").alias("e"), F.least("lv", "pl").alias("lo"), F.greatest("lv", "pl").alias("hi"), "lv", "v", "comp", "n", "a", (F.col("c") - F.col("k")).alias("left"))
     x = durable(x, "prefixes")
     # all pairs of two components have a side outside the group's largest one
-    most = x.groupBy(*key, "comp").agg(F.count("*").alias("m")).groupBy(*key).agg(F.count("*").alias("sides"), F.max(F.struct("m", "comp")).alias("top")).where("sides > 1").select(*key, F.col("top.comp").alias("top"))
+    most = x.groupBy(*key, "comp").agg(F.count("*").alias("m"), F.min("lv").alias("lv"), F.max("lv").alias("to"))
+    most = most.groupBy(*key).agg(F.count("*").alias("sides"), F.max(F.struct("m", "comp")).alias("top"), F.min("lv").alias("lv"), F.max("to").alias("to"))
+    most = most.where("sides > 1 and lv = lo and to = hi").select(*key, F.col("top.comp").alias("top"))  # both levels are there
     open_ = durable(x.join(most, key), "open-prefixes")
     few = open_.where("comp <> top").select(*[F.col(c).alias("_" + c) for c in (*key, "lv", "v", "comp", "n", "a", "left")])
     same = [open_[c] == few["_" + c] for c in key]
