@@ -3,7 +3,8 @@
 Arrays are made once per row and counted by a sort and the ends of its runs, so
 the work is linear in the text but for that sort. Only what the language model of
 the corpus gives (perplexity, stability) needs joins; see metrics.py. The SQL of
-the same features over exploded tables, also there, is what tests compare with."""
+the same features over exploded tables, also there, is what tests compare with.
+`keep` names columns of docs that pass through."""
 
 from __future__ import annotations
 
@@ -63,9 +64,9 @@ def _text(docs: DataFrame) -> Column:
     return F.coalesce("text", F.lit(""))
 
 
-def structural(docs: DataFrame) -> DataFrame:
+def structural(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     t = _text(docs)
-    a = docs.select("doc_id", t.alias("t"), T.lower_words(t).alias("ws"), F.transform(T.sentences(t), lambda s: F.size(T.space_words(s)).cast("long")).alias("sn"))
+    a = docs.select("doc_id", *keep, t.alias("t"), T.lower_words(t).alias("ws"), F.transform(T.sentences(t), lambda s: F.size(T.space_words(s)).cast("long")).alias("sn"))
     a = a.withColumns({"n": F.size("ws").cast("long"), "m": F.size("sn").cast("long"), "wl": F.transform("ws", lambda w: F.length(w).cast("long")), "bi": F.zip_with("ws", F.expr("slice(ws, 2, size(ws))"), lambda x, y: F.concat(x, F.lit(" "), y))})
     squares = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x * x)
     vowels = lambda w: F.greatest(F.lit(1), F.regexp_count(w, F.lit("[aeiouy]+")) - F.when(w.endswith("e"), 1).otherwise(0))
@@ -92,7 +93,7 @@ def structural(docs: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     cv = F.col("ssd") / F.col("smu")
     return a.select(
-        "doc_id", near(zero(F.col("smu")), 2).alias("avg_sentence_length"), near(zero(F.col("ssd")), 2).alias("std_sentence_length"), near(zero(F.col("wmu")), 2).alias("avg_word_length"), near(zero(F.col("wsd")), 2).alias("std_word_length"),
+        "doc_id", *keep, near(zero(F.col("smu")), 2).alias("avg_sentence_length"), near(zero(F.col("ssd")), 2).alias("std_sentence_length"), near(zero(F.col("wmu")), 2).alias("avg_word_length"), near(zero(F.col("wsd")), 2).alias("std_word_length"),
         F.col("vocab").alias("vocabulary_size"), F.round(zero(F.col("vocab") / n), 4).alias("type_token_ratio"), F.round(zero(F.col("n_punct") / F.col("n_chars")), 4).alias("punctuation_density"), F.round(zero(F.col("n_comma") / n), 4).alias("comma_frequency"),
         F.round(F.when((m >= 2) & (F.col("smu") > 0), F.least(F.lit(1.0), cv / 2)).otherwise(0.0), 4).alias("burstiness_score"), F.round(F.when(F.col("smu") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - cv))).otherwise(0.0), 4).alias("length_uniformity"),
         F.round(F.when((m > 0) & (n > 0), F.greatest(F.lit(0.0), F.least(F.lit(100.0), 206.835 - 1.015 * (n / m) - 84.6 * (F.col("syl") / n)))).otherwise(0.0), 2).alias("readability_score"),
@@ -101,19 +102,19 @@ def structural(docs: DataFrame) -> DataFrame:
     )
 
 
-def entropies(docs: DataFrame) -> DataFrame:
+def entropies(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     t = _text(docs)
-    a = docs.select("doc_id", F.length(t).alias("n_chars"), F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}\s]", "").alias("cs"), T.space_words(t).alias("ws"), T.pretokens(t).alias("pt"))
+    a = docs.select("doc_id", *keep, F.length(t).alias("n_chars"), F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}\s]", "").alias("cs"), T.space_words(t).alias("ws"), T.pretokens(t).alias("pt"))
     starts = F.when(F.size("ws") > 0, F.sequence(F.lit(1), F.size("ws"), F.lit(50))).otherwise(F.array().cast("array<int>"))
     chunk = F.filter(F.transform(starts, lambda i: F.array_join(F.slice("ws", i, 100), " ")), lambda c: F.length(c) > 20)
     pairs = F.slice(F.zip_with("pt", F.expr("slice(pt, 2, size(pt))"), lambda x, y: F.struct(x.alias("a"), y.alias("b"))), 1, F.greatest(F.size("pt") - 1, F.lit(0)))
-    a = a.select("doc_id", "n_chars", letters(F.col("cs")).alias("c"), tally(F.transform("ws", F.lower)).alias("w"), F.size("ws").alias("nw"), tally(F.col("pt")).alias("k"), F.size("pt").alias("n"), tally(pairs).alias("p"), F.transform(chunk, lambda c: let(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N} ]", ""), lambda s: entropy(letters(s)))).alias("h"))
+    a = a.select("doc_id", *keep, "n_chars", letters(F.col("cs")).alias("c"), tally(F.transform("ws", F.lower)).alias("w"), F.size("ws").alias("nw"), tally(F.col("pt")).alias("k"), F.size("pt").alias("n"), tally(pairs).alias("p"), F.transform(chunk, lambda c: let(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N} ]", ""), lambda s: entropy(letters(s)))).alias("h"))
     many = F.size("h")
-    a = a.select("doc_id", "n_chars", "n", "h", many.alias("nh"), entropy(F.col("c")).alias("char_h"), F.when(F.col("nw") >= 5, entropy(F.col("w"))).otherwise(0.0).alias("word_h"), F.when((F.col("n_chars") >= 10) & (F.col("n") >= 10), entropy(F.col("k"))).otherwise(0.0).alias("tok_h"), F.when(F.col("n") >= 10, F.size("k") / F.col("n")).otherwise(0.0).alias("div"), F.when(F.col("n") >= 20, F.least(F.lit(1.0), entropy(F.col("p")) / 8)).otherwise(0.0).alias("seq"), F.when(many > 0, total(F.col("h")) / many).otherwise(0.0).alias("mu"))
+    a = a.select("doc_id", *keep, "n_chars", "n", "h", many.alias("nh"), entropy(F.col("c")).alias("char_h"), F.when(F.col("nw") >= 5, entropy(F.col("w"))).otherwise(0.0).alias("word_h"), F.when((F.col("n_chars") >= 10) & (F.col("n") >= 10), entropy(F.col("k"))).otherwise(0.0).alias("tok_h"), F.when(F.col("n") >= 10, F.size("k") / F.col("n")).otherwise(0.0).alias("div"), F.when(F.col("n") >= 20, F.least(F.lit(1.0), entropy(F.col("p")) / 8)).otherwise(0.0).alias("seq"), F.when(many > 0, total(F.col("h")) / many).otherwise(0.0).alias("mu"))
     a = a.withColumn("var", F.when(F.col("nh") > 0, F.aggregate("h", F.lit(0.0), lambda s, x: s + (x - F.col("mu")) * (x - F.col("mu"))) / F.col("nh")).otherwise(0.0))
     quarter = lambda rule: F.when(rule, 0.25).otherwise(0.0)
     return a.select(
-        "doc_id", "n_chars", F.round("char_h", 4).alias("char_entropy"), F.round("word_h", 4).alias("word_entropy"), F.round("tok_h", 4).alias("token_entropy"), F.round("div", 4).alias("token_diversity"), F.round("seq", 4).alias("sequence_unpredictability"), F.round("var", 4).alias("entropy_variance"), F.round("mu", 4).alias("avg_chunk_entropy"),
+        "doc_id", *keep, "n_chars", F.round("char_h", 4).alias("char_entropy"), F.round("word_h", 4).alias("word_entropy"), F.round("tok_h", 4).alias("token_entropy"), F.round("div", 4).alias("token_diversity"), F.round("seq", 4).alias("sequence_unpredictability"), F.round("var", 4).alias("entropy_variance"), F.round("mu", 4).alias("avg_chunk_entropy"),
         F.round(1 - F.least(F.lit(1.0), F.col("char_h") / 4), 4).alias("predictability_score"), (quarter(F.col("char_h") < 3.8) + quarter(F.col("div") < 0.7) + quarter(F.col("seq") < 0.4) + quarter(F.col("var") < 0.2)).alias("ai_pattern_score"), F.col("nh").cast("long").alias("num_chunks_analyzed"),
     )
 
@@ -135,20 +136,20 @@ def _ends(w: Column, ends: str) -> Column:
     return out
 
 
-def linguistic(docs: DataFrame) -> DataFrame:
+def linguistic(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     t = _text(docs)
-    a = docs.select("doc_id", F.length(t).alias("n_chars"), F.filter(F.transform(T.sentences(t), T.lower_words), lambda s: F.size(s) > 0).alias("ss"))
+    a = docs.select("doc_id", *keep, F.length(t).alias("n_chars"), F.filter(F.transform(T.sentences(t), T.lower_words), lambda s: F.size(s) > 0).alias("ss"))
     a = a.withColumn("tags", F.transform("ss", lambda s: F.transform(s, _tag)))
     pair = lambda g: F.slice(F.zip_with(g, F.slice(g, 2, F.size(g)), lambda x, y: F.concat_ws(" ", x, y)), 1, F.size(g) - 1)
     mark = lambda w: w.isin(*TRANSITIONS)
-    a = a.select("doc_id", "n_chars", tally(F.flatten("tags")).alias("k"), tally(F.flatten(F.transform("tags", pair))).alias("b"), F.transform("ss", lambda s: F.size(F.filter(s, mark))).alias("hits"), F.transform("ss", F.size).alias("len"))
+    a = a.select("doc_id", *keep, "n_chars", tally(F.flatten("tags")).alias("k"), tally(F.flatten(F.transform("tags", pair))).alias("b"), F.transform("ss", lambda s: F.size(F.filter(s, mark))).alias("hits"), F.transform("ss", F.size).alias("len"))
     n, words = F.size("len"), total(F.col("len"), "long")
     some = n > 0
     usage = F.when(some, F.size(F.filter("hits", lambda h: h > 0)) / n)
     over = F.when(some & (total(F.col("hits"), "long") / words > 0.05), 0.2).otherwise(0.0)
     same = F.when((F.size("b") > 0) & (F.array_max("b") / total(F.col("b"), "long") > 0.1), 0.2).otherwise(0.0)
     return a.select(
-        "doc_id", "n_chars", F.round(F.when(some, F.size("k") / words).otherwise(0.5), 4).alias("pos_diversity"), F.round(F.when(some, entropy(F.col("k"))).otherwise(2.5), 4).alias("pos_entropy"), F.lit(2.5).alias("syntactic_complexity"),
+        "doc_id", *keep, "n_chars", F.round(F.when(some, F.size("k") / words).otherwise(0.5), 4).alias("pos_diversity"), F.round(F.when(some, entropy(F.col("k"))).otherwise(2.5), 4).alias("pos_entropy"), F.lit(2.5).alias("syntactic_complexity"),
         near(F.when(some, words / 10.0 / n).otherwise(2.0), 4).alias("avg_sentence_complexity"), F.round(1 - F.least(F.lit(1.0), 0.3 + F.abs(F.coalesce(usage, F.lit(0.1)) - 0.2)), 4).alias("grammatical_consistency"), F.round(F.coalesce(usage, F.lit(0.1)), 4).alias("transition_word_usage"),
         F.round(over + same, 4).alias("ai_pattern_score"), F.lit(0.2).alias("complexity_variance"), n.cast("long").alias("num_sentences"),
     )
@@ -227,18 +228,18 @@ def _semantic_rows(batches):
             values = (np.nansum(near) / (n - 1), float(blocks.var()) if len(blocks) else 0.0, (s2 - n) / (n * (n - 1.0)), (g2 - n) / (n * (n - 1.0)), like / ((n - 1.0) * (n - 2.0) / 2), ends / min(3, n // 3) ** 2, sum(share) / len(share) if share else 0.0)
             for v, x in zip(out.values(), values):
                 v.append(float(x))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pc.list_value_length(batch.column(3)).cast(pa.int64())] + [pa.array(v, pa.float64()) for v in out.values()], names=["doc_id", "n_chars", "n", *out])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pc.list_value_length(batch.column(3)).cast(pa.int64())] + [pa.array(v, pa.float64()) for v in out.values()] + batch.columns[5:], names=["doc_id", "n_chars", "n", *out, *batch.schema.names[5:]])
 
 
-def semantic(docs: DataFrame) -> DataFrame:
+def semantic(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     t = _text(docs)
-    a = docs.select("doc_id", F.length(t).alias("n_chars"), T.sentences(t, 10).alias("ss"), T.keywords(t).alias("keys"))
-    a = a.select("doc_id", "n_chars", F.transform("ss", T.lower_words).alias("words"), F.transform("ss", F.lower).alias("low"), "keys")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    f = a.mapInArrow(_semantic_rows, f"doc_id {kind}, n_chars int, n long, coh double, var double, m1 double, m2 double, rep double, drift double, ctx double")
+    a = docs.select("doc_id", F.length(t).alias("n_chars"), T.sentences(t, 10).alias("ss"), T.keywords(t).alias("keys"), *keep)
+    a = a.select("doc_id", "n_chars", F.transform("ss", T.lower_words).alias("words"), F.transform("ss", F.lower).alias("low"), "keys", *keep)
+    kind, kept = docs.schema["doc_id"].dataType.simpleString(), "".join(f", {k} {docs.schema[k].dataType.simpleString()}" for k in keep)
+    f = a.mapInArrow(_semantic_rows, f"doc_id {kind}, n_chars int, n long, coh double, var double, m1 double, m2 double, rep double, drift double, ctx double" + kept)
     few = F.col("n") < 3
     return f.select(
-        "doc_id", "n_chars", near(F.when(few, 0.5).otherwise(F.col("coh")), 4).alias("coherence_score"), near(F.when(few, 0.5).otherwise(1 - F.least(F.lit(1.0), 5 * F.greatest(F.lit(0.0), F.col("m2") - F.col("m1") * F.col("m1")))), 4).alias("consistency_score"),
+        "doc_id", *keep, "n_chars", near(F.when(few, 0.5).otherwise(F.col("coh")), 4).alias("coherence_score"), near(F.when(few, 0.5).otherwise(1 - F.least(F.lit(1.0), 5 * F.greatest(F.lit(0.0), F.col("m2") - F.col("m1") * F.col("m1")))), 4).alias("consistency_score"),
         near(F.when(F.col("n") < 5, 0.0).otherwise(F.least(F.lit(1.0), 3 * F.col("rep"))), 4).alias("repetition_score"), near(F.when(few, 0.5).otherwise(F.greatest(F.lit(0.0), 1 - F.col("drift"))), 4).alias("topic_drift_score"),
         near(F.when(few, 0.5).otherwise(F.col("ctx")), 4).alias("contextual_consistency"), near(F.when(few, 0.1).otherwise(F.col("var")), 4).alias("coherence_variance"), F.when(few, 0).otherwise(F.col("n")).cast("long").alias("num_sentences"),
     )

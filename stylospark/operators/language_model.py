@@ -93,9 +93,10 @@ def looked_up(docs: DataFrame) -> DataFrame:
     return x.select("doc_id", "pos", "sid", "k", "own", F.coalesce("nll", "floor").alias("nll")).repartition("doc_id")
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars and the features of perplexity and stability. Documents
-    without a pair of words take the defaults."""
+def features(docs: DataFrame, base: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_chars and the features of perplexity and stability, and the
+    columns `keep` of base (doc_id, n_chars, ...), if given. Documents without a
+    pair of words take the defaults."""
     x, rounds = looked_up(docs), range(1, ROUNDS + 1)
     at = lambda k: (F.col("k") == k) | (F.col("own").bitwiseAND(F.lit(1 << k)) != 0)
     whole = x.groupBy("doc_id").agg(F.count_if(F.col("k") == 0).alias("pairs"), F.avg(F.when(F.col("k") == 0, F.col("nll"))).alias("ce"), *[F.avg(F.when(at(k), F.col("nll"))).alias(f"l{k}") for k in rounds])
@@ -105,7 +106,7 @@ def features(docs: DataFrame) -> DataFrame:
     blocks = blocks.select("doc_id", F.transform(F.filter(chunk, lambda c: (c["c"] >= 10) & (c["p"] < 1000)), lambda c: c["p"]).alias("chunks"))
     sents = x.where("sid is not null").groupBy("doc_id", "sid").agg(F.exp(F.avg("nll")).alias("p"), F.count("*").alias("c")).where("c >= 4")
     sents = sents.groupBy("doc_id").agg(F.count("*").alias("sn"), F.avg("p").alias("smu"), F.stddev_pop("p").alias("sd"), F.min("p").alias("lo"), F.max("p").alias("hi"))
-    base = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n_chars"))
+    base = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n_chars")) if base is None else base.select("doc_id", "n_chars", *keep)
     f = base.join(whole, "doc_id", "left").join(blocks, "doc_id", "left").join(sents, "doc_id", "left")
     mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v) / F.size(c)
     var = lambda c: let(mean(c), lambda m: mean(F.transform(c, lambda v: (v - m) * (v - m))))
@@ -119,7 +120,7 @@ def features(docs: DataFrame) -> DataFrame:
     f = f.withColumn("curve", F.when(any_, var(F.transform("ls", lambda v: F.abs(F.col("orig") - v))))).withColumn("pv", F.when(any_, var(F.col("ls"))))
     d = F.col("drop")
     return f.select(
-        "doc_id", "n_chars", F.round("ppl", 3).alias("overall_perplexity"), F.round(1 / (1 + F.exp((F.col("ppl") - 30) / 10)), 4).alias("normalized_perplexity"), F.round(F.when(some, var(F.col("chunks"))).otherwise(0.0), 2).alias("perplexity_variance"),
+        "doc_id", "n_chars", *keep, F.round("ppl", 3).alias("overall_perplexity"), F.round(1 / (1 + F.exp((F.col("ppl") - 30) / 10)), 4).alias("normalized_perplexity"), F.round(F.when(some, var(F.col("chunks"))).otherwise(0.0), 2).alias("perplexity_variance"),
         F.round(F.coalesce("smu", "ppl"), 3).alias("avg_sentence_perplexity"), F.round(F.coalesce("sd", F.lit(0.0)), 3).alias("std_sentence_perplexity"), F.round(F.coalesce("lo", "ppl"), 3).alias("min_sentence_perplexity"), F.round(F.coalesce("hi", "ppl"), 3).alias("max_sentence_perplexity"), F.coalesce("sn", F.lit(0)).cast("long").alias("num_sentences_analyzed"),
         F.round(F.least(F.lit(1.0), F.col("ce5") / 5), 4).alias("cross_entropy_score"), F.round(F.when(some, mean(F.col("chunks"))).otherwise(0.0), 3).alias("avg_chunk_perplexity"), F.size("chunks").cast("long").alias("num_chunks_analyzed"),
         F.round(F.when(any_, F.col("orig")).otherwise(2.0), 4).alias("original_likelihood"), F.round(F.coalesce("mean_l", F.lit(1.8)), 4).alias("avg_perturbed_likelihood"),

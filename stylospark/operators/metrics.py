@@ -199,6 +199,15 @@ def duck_sql(text: str, **extra: str) -> str:
     return "WITH " + ",\n".join(clauses) + f"\nSELECT * FROM (\n{body}\n) q"
 
 
+def step(text: str, sql: str, f: DataFrame, name: str, keep: tuple[str, ...]) -> DataFrame:
+    """A metric's raw, confidence, mixed and error as the struct `name`, from the
+    table f of its features (their SQL in text is `sql`): a projection of f that
+    keeps the columns `keep`."""
+    own = spark_sql(text.replace(sql, "SELECT * FROM {f}")).replace("SELECT doc_id,", "SELECT doc_id, " + "".join(k + ", " for k in keep), 1)
+    row = "struct(CAST(raw AS DOUBLE) AS raw, CAST(confidence AS DOUBLE) AS confidence, CAST(mixed AS DOUBLE) AS mixed, CAST(error AS STRING) AS error)"
+    return run(f.sparkSession, own, f=f).selectExpr("doc_id", *keep, f"{row} AS {name}")
+
+
 def compute(text: str, docs: DataFrame, **frames: DataFrame) -> DataFrame:
     """text over the tables of docs. Features that features.py computes in the row
     stand for their SQL."""

@@ -26,6 +26,9 @@ SELECT doc_id, metric, domain, weight, ensemble_threshold, ROUND(ai / total, 6)
     JOIN {thresholds} t ON t.domain = d.domain AND t.metric = r.metric JOIN {domain_cfg} g ON g.domain = d.domain) a) b
 """
 
+#: The same for metric rows that carry their document's domain.
+PROBABILITIES_SPARK = PROBABILITIES.replace("FROM {raw} r JOIN {doc_domain} d ON d.doc_id = r.doc_id", "FROM {raw} r").replace("d.domain", "r.domain")
+
 #: Weight of each valid metric by each method: w is normalised within the document and method.
 _METHODS = {
     "confidence_calibrated": "weight / (1.0 + EXP(-10 * (confidence - 0.5)))",
@@ -59,6 +62,14 @@ SELECT doc_id, domain, CAST(n AS BIGINT) AS valid_metrics, ROUND(ai, 6) AS ai_pr
 FROM u
 """
 
+#: The same for Spark: errors are left out of the sums, so every document has its row without another join.
+ENSEMBLE_SPARK = ENSEMBLE.replace("""FROM {prob} WHERE error IS NULL),
+s AS (SELECT doc_id, MAX(domain) AS domain, MAX(ensemble_threshold) AS thr, COUNT(*) AS n, SUM(w) AS sw""", """FROM {prob}),
+s AS (SELECT doc_id, MAX(domain) AS domain, MAX(ensemble_threshold) AS thr, COUNT(*) FILTER (WHERE error IS NULL) AS n, SUM(w) FILTER (WHERE error IS NULL) AS sw""")
+for _c in ("SUM(w * ai / (1 + mixed))", "SUM(w * (1 - ai) / (1 + mixed))", "SUM(w * mixed / (1 + mixed))", "SUM(w * confidence)", "STDDEV_POP(ai)", "VAR_POP(ai)", "AVG(confidence)", "SUM(CASE WHEN confidence > 0.7 THEN 1 ELSE 0 END)"):
+    ENSEMBLE_SPARK = ENSEMBLE_SPARK.replace(_c + " AS", _c + " FILTER (WHERE error IS NULL) AS")
+ENSEMBLE_SPARK = ENSEMBLE_SPARK.replace("COALESCE(s.domain, 'general') AS domain, COALESCE(thr, 0.4) AS thr", "CASE WHEN n > 0 THEN s.domain ELSE 'general' END AS domain, CASE WHEN n > 0 THEN thr ELSE 0.4 END AS thr").replace("SELECT d.doc_id,", "SELECT s.doc_id,").replace("FROM {doc} d LEFT JOIN s ON s.doc_id = d.doc_id", "FROM s")
+
 #: One row per metric and document: weight, contribution class, share and rank in the verdict.
 CONTRIBUTIONS = """
 SELECT doc_id, metric, ROUND(w, 6) AS weight, ROUND(w * ai, 6) AS weighted_score, CASE WHEN w > 0.15 THEN 'High' WHEN w > 0.08 THEN 'Medium' ELSE 'Low' END AS contribution,

@@ -4,40 +4,69 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import corpus, metrics, tokens, verdicts
+from ..operators import corpus, features, metrics, verdicts
+from ..operators import language_metrics as lm
+from ..operators import language_model as model
 
 
-def domains_of(docs: DataFrame, domain: str | None = None) -> DataFrame:
-    """doc_id, domain: the given one, or the column `domain` where it names one
-    of the sixteen, else general."""
+def domain_of(docs: DataFrame, domain: str | None = None) -> Column:
+    """The given domain, or the column `domain` where it names one of the
+    sixteen, else general."""
     if domain is None and "domain" in docs.columns:
         d = F.lower("domain")
-        return docs.select("doc_id", F.when(d.isin(fixed.domains()), d).otherwise("general").alias("domain"))
-    return docs.select("doc_id", F.lit(domain or "general").alias("domain"))
+        return F.when(d.isin(fixed.domains()), d).otherwise("general")
+    return F.lit(domain or "general")
 
 
-def metric_rows(docs: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, metric, raw, confidence, mixed, error; metrics in `skip` give an
-    error row and aren't computed."""
-    out = None
-    for name, text in verdicts.METRIC_TEXTS.items():
-        rows = docs.select("doc_id", F.lit(0.5).alias("raw"), F.lit(0.3).alias("confidence"), F.lit(0.0).alias("mixed"), F.lit("Skipped").alias("error")) if name in skip else metrics.compute(text, docs)
-        rows = rows.select("doc_id", F.lit(name).alias("metric"), *[F.col(c).cast("double").alias(c) for c in ("raw", "confidence", "mixed")], F.col("error").cast("string").alias("error"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+#: Metrics that a document's row gives: name, SQL, that of its features, and the function that computes those.
+_IN_ROW = [
+    ("structural", metrics.STRUCTURAL, metrics.STRUCTURAL_FEATURES, features.structural), ("entropy", metrics.ENTROPY, metrics.ENTROPY_FEATURES, features.entropies),
+    ("linguistic", lm.LINGUISTIC, lm.LINGUISTIC_FEATURES, features.linguistic), ("semantic_analysis", lm.SEMANTIC, lm.SEMANTIC_FEATURES, features.semantic),
+]
+_BY_MODEL = [("perplexity", metrics.PERPLEXITY, metrics.PERPLEXITY_FEATURES), ("multi_perturbation_stability", lm.STABILITY, lm.STABILITY_FEATURES)]
 
 
-def probabilities(docs: DataFrame, raw: DataFrame | None = None, domain: str | None = None) -> DataFrame:
+def metric_rows(docs: DataFrame, skip: tuple[str, ...] = (), domain: str | None = None) -> DataFrame:
+    """doc_id, domain, metric, raw, confidence, mixed, error; metrics in `skip`
+    give an error row and aren't computed. Four metrics are projections of one
+    scan; the language model and its look-ups are the only shuffles."""
+    t = F.coalesce("text", F.lit(""))
+    a = docs.select("doc_id", "text", F.length(t).alias("_n"), domain_of(docs, domain).alias("_domain"))
+    keep, skipped = ("text", "_n", "_domain"), F.struct(F.lit(0.5).alias("raw"), F.lit(0.3).alias("confidence"), F.lit(0.0).alias("mixed"), F.lit("Skipped").alias("error"))
+    for name, text, sql, made in _IN_ROW:
+        if name == "semantic_analysis":  # the last: the text isn't needed any more
+            keep = keep[1:]
+        if name in skip:
+            a = a.select("doc_id", *keep, skipped.alias(name))
+        else:
+            a = metrics.step(text, sql, made(a, keep), name, keep)
+        keep = (*keep, name)
+    own = [x for x in _BY_MODEL if x[0] not in skip]
+    if own:
+        a = model.features(docs, a.withColumnRenamed("_n", "n_chars").select("*", F.col("n_chars").alias("_n")), keep)
+        for i, (name, text, sql) in enumerate(own):
+            rest = tuple(c for c in model.STABILITY[1:]) if i + 1 < len(own) else ()
+            a, keep = metrics.step(text, sql, a, name, (*keep, *rest)), (*keep, name)
+    for name, _, _ in _BY_MODEL:
+        if name in skip:
+            a, keep = a.withColumn(name, skipped), (*keep, name)
+    names = [n for n, *_ in (*_IN_ROW, *_BY_MODEL)]
+    rows = F.array(*[F.struct(F.lit(n).alias("metric"), f"{n}.raw", f"{n}.confidence", f"{n}.mixed", f"{n}.error") for n in names])
+    return a.select("doc_id", F.col("_domain").alias("domain"), F.explode(rows).alias("x")).select("doc_id", "domain", "x.*")
+
+
+def probabilities(docs: DataFrame, raw: DataFrame | None = None, domain: str | None = None, skip: tuple[str, ...] = ()) -> DataFrame:
     s = docs.sparkSession
-    return metrics.compute(verdicts.PROBABILITIES, docs, raw=metric_rows(docs) if raw is None else raw, doc_domain=domains_of(docs, domain), thresholds=fixed.frame(s, "thresholds"), domain_cfg=fixed.frame(s, "domain_cfg"))
+    raw = metric_rows(docs, skip, domain) if raw is None else raw
+    return metrics.run(s, metrics.spark_sql(verdicts.PROBABILITIES_SPARK), raw=raw, thresholds=fixed.frame(s, "thresholds"), domain_cfg=fixed.frame(s, "domain_cfg"))
 
 
 def ensemble(docs: DataFrame, prob: DataFrame | None = None) -> DataFrame:
-    return metrics.compute(verdicts.ENSEMBLE, docs, prob=probabilities(docs) if prob is None else prob)
+    return metrics.run(docs.sparkSession, metrics.spark_sql(verdicts.ENSEMBLE_SPARK), prob=probabilities(docs) if prob is None else prob)
 
 
 def methods(docs: DataFrame, prob: DataFrame | None = None) -> DataFrame:
@@ -91,10 +120,6 @@ def detect(docs: DataFrame, domain: str | None = None) -> DataFrame:
     return ensemble(docs, probabilities(docs, domain=domain)).join(language(docs), "doc_id").join(scripts(docs).select("doc_id", "script"), "doc_id")
 
 
-def frames() -> dict:
-    return tokens.FRAMES
-
-
 def domain(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """doc_id, domain, secondary, confidence by the words of a lexicon (domain, term)."""
     terms = docs.sparkSession.createDataFrame(corpus.domain_rows(), "domain string, term string") if terms is None else terms
