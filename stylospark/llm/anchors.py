@@ -34,7 +34,7 @@ from .common import U64, durable, pieces, powers, prefix, raw, span_hash
 
 HOT_MAX = 10_000
 #: Different segments of one anchor that a task takes without demotion.
-HOT_GROUP = 1_000
+HOT_GROUP = 4_000
 SAMPLE = 32
 #: at: the segment's start << 24 | its anchor's place in it << 12 | its length; rest: those of equal segments of the same document.
 SCHEMA = "doc_id long, h long, at long, anchor long, s long, rest array<long>"
