@@ -84,30 +84,39 @@ def pairs_of(docs: DataFrame) -> DataFrame:
 
 
 def looked_up(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, sid, k, own, nll of pairs_of, dealt by doc_id."""
+    """doc_id, pos, sid, k, own, nll of pairs_of."""
     seen, words = model(docs)
     x = pairs_of(docs).join(seen, ["w", "w2"], "left")
     # pairs that weren't seen look up their second word; keys of the others are spread and match nothing
     key = F.when(F.col("nll").isNull(), F.col("w2")).otherwise(F.concat(F.lit(" "), F.xxhash64("doc_id", "pos").cast("string")))
     x = x.withColumn("key", key).join(words.withColumnRenamed("w", "key"), "key", "left")
-    return x.select("doc_id", "pos", "sid", "k", "own", F.coalesce("nll", "floor").alias("nll")).repartition("doc_id")
+    return x.select("doc_id", "pos", "sid", "k", "own", F.coalesce("nll", "floor").alias("nll"))
 
 
 def features(docs: DataFrame, base: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_chars and the features of perplexity and stability, and the
     columns `keep` of base (doc_id, n_chars, ...), if given. Documents without a
     pair of words take the defaults."""
-    x, rounds = looked_up(docs), range(1, ROUNDS + 1)
+    x, rounds = looked_up(docs).repartition("doc_id"), range(1, ROUNDS + 1)
     at = lambda k: (F.col("k") == k) | (F.col("own").bitwiseAND(F.lit(1 << k)) != 0)
-    whole = x.groupBy("doc_id").agg(F.count_if(F.col("k") == 0).alias("pairs"), F.avg(F.when(F.col("k") == 0, F.col("nll"))).alias("ce"), *[F.avg(F.when(at(k), F.col("nll"))).alias(f"l{k}") for k in rounds])
-    blocks = x.where("k = 0").groupBy("doc_id", F.floor(F.col("pos") / 100).alias("b")).agg(F.sum("nll").alias("s"), F.count("*").alias("c")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("b", "s", "c"))).alias("bs"))
+    first = F.col("k") == 0
+    # sums by block of 100 and sentence, then by document, block or sentence: all by doc_id, in one go
+    g = x.groupBy("doc_id", F.floor(F.col("pos") / 100).alias("b"), "sid").agg(F.sum(F.when(first, F.col("nll"))).alias("s0"), F.count_if(first).alias("c0"), *[c for k in rounds for c in (F.sum(F.when(at(k), F.col("nll"))).alias(f"s{k}"), F.count_if(at(k)).alias(f"c{k}"))])
+    sums = [f"{v}{k}" for k in range(ROUNDS + 1) for v in "sc"]
+    part = F.explode(F.array(F.struct(F.lit(0).alias("of"), F.lit(None).cast("long").alias("id")), F.struct(F.lit(1).alias("of"), F.col("b").alias("id")), F.struct(F.lit(2).alias("of"), F.col("sid").cast("long").alias("id"))))
+    g = g.withColumn("x", part).where("x.of < 2 or x.id is not null").groupBy("doc_id", "x").agg(*[F.sum(c).alias(c) for c in sums])
+    whole, block, sent = (F.col("x.of") == i for i in range(3))
+    ppl = F.when(sent & (F.col("c0") >= 4), F.exp(F.col("s0") / F.col("c0")))
+    g = g.groupBy("doc_id").agg(
+        F.max(F.when(whole, F.col("c0"))).alias("pairs"), F.max(F.when(whole, F.col("s0") / F.col("c0"))).alias("ce"), *[F.max(F.when(whole & (F.col(f"c{k}") > 0), F.col(f"s{k}") / F.col(f"c{k}"))).alias(f"l{k}") for k in rounds],
+        F.sort_array(F.collect_list(F.when(block & (F.col("c0") > 0), F.struct(F.col("x.id").alias("b"), F.col("s0").alias("s"), F.col("c0").alias("c"))))).alias("bs"),
+        F.count(ppl).alias("sn"), F.avg(ppl).alias("smu"), F.stddev_pop(ppl).alias("sd"), F.min(ppl).alias("lo"), F.max(ppl).alias("hi"),
+    )
     two = lambda i, f: F.get("bs", i)[f] + F.coalesce(F.get("bs", i + 1)[f], F.lit(0))
     chunk = F.transform("bs", lambda b, i: F.struct(two(i, "c").alias("c"), F.exp(two(i, "s") / two(i, "c")).alias("p")))
-    blocks = blocks.select("doc_id", F.transform(F.filter(chunk, lambda c: (c["c"] >= 10) & (c["p"] < 1000)), lambda c: c["p"]).alias("chunks"))
-    sents = x.where("sid is not null").groupBy("doc_id", "sid").agg(F.exp(F.avg("nll")).alias("p"), F.count("*").alias("c")).where("c >= 4")
-    sents = sents.groupBy("doc_id").agg(F.count("*").alias("sn"), F.avg("p").alias("smu"), F.stddev_pop("p").alias("sd"), F.min("p").alias("lo"), F.max("p").alias("hi"))
+    g = g.withColumn("chunks", F.transform(F.filter(chunk, lambda c: (c["c"] >= 10) & (c["p"] < 1000)), lambda c: c["p"])).drop("bs")
     base = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n_chars")) if base is None else base.select("doc_id", "n_chars", *keep)
-    f = base.join(whole, "doc_id", "left").join(blocks, "doc_id", "left").join(sents, "doc_id", "left")
+    f = base.join(g, "doc_id", "left")
     mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v) / F.size(c)
     var = lambda c: let(mean(c), lambda m: mean(F.transform(c, lambda v: (v - m) * (v - m))))
     enough = F.coalesce(F.col("pairs") + 1 >= 5, F.lit(False))

@@ -223,6 +223,6 @@ def compute(text: str, docs: DataFrame, **frames: DataFrame) -> DataFrame:
         if sql in text:
             text = text.replace(sql, f"SELECT * FROM {{{name}}}")
             if name not in frames:
-                frames[name] = f(docs)
+                frames[name] = f(tokens.spread(docs.select("doc_id", "text")))
     have = {n: tokens.FRAMES[n](docs) for n in needed(text) if n in tokens.FRAMES and n not in frames}
     return run(docs.sparkSession, spark_sql(text), **have, **{n: f for n, f in frames.items() if n in needed(text)})

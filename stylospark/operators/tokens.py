@@ -12,6 +12,13 @@ def _rows(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs, dealt anew only where their files give fewer tasks than there are
+    cores: what is computed in the row would keep to those few."""
+    few = docs.rdd.getNumPartitions() < docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition("doc_id") if few else docs
+
+
 def tok(df: DataFrame) -> DataFrame:
     """doc_id, pos, w, w2, w3: lower-case words and the two that follow."""
     a = _rows(df).select("doc_id", T.lower_words(F.col("text")).alias("ws"))

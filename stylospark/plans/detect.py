@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import corpus, features, metrics, verdicts
+from ..operators import corpus, features, metrics, tokens, verdicts
 from ..operators import language_metrics as lm
 from ..operators import language_model as model
 
@@ -35,7 +35,8 @@ def metric_rows(docs: DataFrame, skip: tuple[str, ...] = (), domain: str | None
     give an error row and aren't computed. Four metrics are projections of one
     scan; the language model and its look-ups are the only shuffles."""
     t = F.coalesce("text", F.lit(""))
-    a = docs.select("doc_id", "text", F.length(t).alias("_n"), domain_of(docs, domain).alias("_domain"))
+    docs = tokens.spread(docs.select("doc_id", "text", domain_of(docs, domain).alias("_domain")))
+    a = docs.select("doc_id", "text", F.length(t).alias("_n"), "_domain")
     keep, skipped = ("text", "_n", "_domain"), F.struct(F.lit(0.5).alias("raw"), F.lit(0.3).alias("confidence"), F.lit(0.0).alias("mixed"), F.lit("Skipped").alias("error"))
     for name, text, sql, made in _IN_ROW:
         if name == "semantic_analysis":  # the last: the text isn't needed any more
