@@ -59,7 +59,7 @@ def _left(k: int):
     return lambda i: F.get("bits", i).bitwiseAND(F.lit(1 << k)) != 0
 
 
-def pairs_of(docs: DataFrame) -> DataFrame:
+def pairs_of(docs: DataFrame, n: int = ROUNDS) -> DataFrame:
     """doc_id, pos, sid, k, own, w, w2: a row for each pair of neighbouring words
     (k = 0; sid: its sentence, if that has over 20 characters; own: the bits of
     the perturbations that leave both words) and each pair that only perturbation
@@ -67,7 +67,7 @@ def pairs_of(docs: DataFrame) -> DataFrame:
     t = F.coalesce("text", F.lit(""))
     marked = F.transform(T.sentences(t), lambda s, i: F.transform(T.lower_words(s), lambda w: F.struct(w.alias("w"), i.alias("s"), (F.length(s) > 20).alias("ok"))))
     a = docs.select("doc_id", F.flatten(marked).alias("m")).withColumn("ws", F.transform("m", lambda x: x["w"])).where(F.size("ws") > 1)
-    rounds = range(1, ROUNDS + 1)
+    rounds = range(1, n + 1)
     bits = F.transform("ws", lambda w: F.lit(0))
     for k in rounds:
         bits = F.zip_with(bits, F.transform(_flags(k), _bit(k)), lambda b, f: b + f)
@@ -83,26 +83,28 @@ def pairs_of(docs: DataFrame) -> DataFrame:
     return a.select("doc_id", F.explode(F.concat(here, *new)).alias("x")).select("doc_id", "x.*")
 
 
-def looked_up(docs: DataFrame) -> DataFrame:
+def looked_up(docs: DataFrame, n: int = ROUNDS) -> DataFrame:
     """doc_id, pos, sid, k, own, nll of pairs_of."""
     seen, words = model(docs)
-    x = pairs_of(docs).join(seen, ["w", "w2"], "left")
+    x = pairs_of(docs, n).join(seen, ["w", "w2"], "left")
     # pairs that weren't seen look up their second word; keys of the others are spread and match nothing
+    if not n:
+        return x.select("doc_id", "pos", "sid", "k", "own", "nll")
     key = F.when(F.col("nll").isNull(), F.col("w2")).otherwise(F.concat(F.lit(" "), F.xxhash64("doc_id", "pos").cast("string")))
     x = x.withColumn("key", key).join(words.withColumnRenamed("w", "key"), "key", "left")
     return x.select("doc_id", "pos", "sid", "k", "own", F.coalesce("nll", "floor").alias("nll"))
 
 
-def features(docs: DataFrame, base: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_chars and the features of perplexity and stability, and the
+def features(docs: DataFrame, base: DataFrame | None = None, keep: tuple[str, ...] = (), n: int = ROUNDS) -> DataFrame:
+    """doc_id, n_chars and the features of perplexity and stability (by n perturbations), and the
     columns `keep` of base (doc_id, n_chars, ...), if given. Documents without a
     pair of words take the defaults."""
-    x, rounds = looked_up(docs).repartition("doc_id"), range(1, ROUNDS + 1)
+    x, rounds = looked_up(docs, n).repartition("doc_id"), range(1, n + 1)
     at = lambda k: (F.col("k") == k) | (F.col("own").bitwiseAND(F.lit(1 << k)) != 0)
     first = F.col("k") == 0
     # sums by block of 100 and sentence, then by document, block or sentence: all by doc_id, in one go
     g = x.groupBy("doc_id", F.floor(F.col("pos") / 100).alias("b"), "sid").agg(F.sum(F.when(first, F.col("nll"))).alias("s0"), F.count_if(first).alias("c0"), *[c for k in rounds for c in (F.sum(F.when(at(k), F.col("nll"))).alias(f"s{k}"), F.count_if(at(k)).alias(f"c{k}"))])
-    sums = [f"{v}{k}" for k in range(ROUNDS + 1) for v in "sc"]
+    sums = [f"{v}{k}" for k in range(n + 1) for v in "sc"]
     part = F.explode(F.array(F.struct(F.lit(0).alias("of"), F.lit(None).cast("long").alias("id")), F.struct(F.lit(1).alias("of"), F.col("b").alias("id")), F.struct(F.lit(2).alias("of"), F.col("sid").cast("long").alias("id"))))
     g = g.withColumn("x", part).where("x.of < 2 or x.id is not null").groupBy("doc_id", "x").agg(*[F.sum(c).alias(c) for c in sums])
     whole, block, sent = (F.col("x.of") == i for i in range(3))
@@ -123,7 +125,7 @@ def features(docs: DataFrame, base: DataFrame | None = None, keep: tuple[str, ..
     f = f.withColumn("ce5", F.when(enough, F.col("ce")).otherwise(0.0)).withColumn("ppl", F.when(enough & (F.col("n_chars") >= 10), F.exp("ce")).otherwise(0.0)).withColumn("chunks", F.coalesce("chunks", F.array().cast("array<double>")))
     some = F.size("chunks") > 0
     clamp = lambda c: F.greatest(F.lit(0.5), F.least(F.lit(10.0), c))
-    f = f.withColumn("orig", F.when(F.col("ce").isNotNull(), clamp(F.col("ce")))).withColumn("ls", F.transform(F.filter(F.array(*[f"l{k}" for k in rounds]), lambda v: v.isNotNull()), clamp)).withColumn("m", F.when(F.col("orig").isNotNull(), F.size("ls")).otherwise(0))
+    f = f.withColumn("orig", F.when(F.col("ce").isNotNull(), clamp(F.col("ce")))).withColumn("ls", F.transform(F.filter(F.array(*[f"l{k}" for k in rounds]).cast("array<double>"), lambda v: v.isNotNull()), clamp)).withColumn("m", F.when(F.col("orig").isNotNull(), F.size("ls")).otherwise(0))
     any_ = F.col("m") > 0
     f = f.withColumn("mean_l", F.when(any_, mean(F.col("ls")))).withColumn("drop", F.when(any_, mean(F.transform("ls", lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("orig") - v) / F.col("orig")))))))
     f = f.withColumn("curve", F.when(any_, var(F.transform("ls", lambda v: F.abs(F.col("orig") - v))))).withColumn("pv", F.when(any_, var(F.col("ls"))))

@@ -178,11 +178,16 @@ SPARK = {"@EXPLODE(LOWER(w))": "EXPLODE(SPLIT(LOWER(w), ''))", "@ALNUM(ch)": r"c
 DUCKDB = {"@EXPLODE(LOWER(w))": "unnest(string_split(LOWER(w), ''))", "@ALNUM(ch)": r"regexp_matches(ch, '^[\pL\pN]$')", "@G": ", 'g'", "@V": "\u0001", "AS STRING": "AS VARCHAR"}
 
 
-_NUMBER = re.compile(r"(?<![\w.'])(\d+\.\d+)(?![\dE.])")
+_NUMBER = re.compile(r"'(?:[^']|'')*'|(?<![\w.])\d+\.\d+(?![\dE.])")
+
+
+def doubles(text: str, mark: str) -> str:
+    """Decimal numbers outside of quotes as doubles."""
+    return _NUMBER.sub(lambda m: m[0] if m[0][0] == "'" else m[0] + mark, text)
 
 
 def spark_sql(text: str) -> str:
-    text = _NUMBER.sub(r"\1D", text)
+    text = doubles(text, "D")
     for a, b in SPARK.items():
         text = text.replace(a, b)
     return text
@@ -191,7 +196,7 @@ def spark_sql(text: str) -> str:
 def duck_sql(text: str, **extra: str) -> str:
     """The text for DuckDB: token tables as WITH clauses, other names as given."""
     names = needed(text)
-    text = _NUMBER.sub(r"\1E0", text)
+    text = doubles(text, "E0")
     for a, b in DUCKDB.items():
         text = text.replace(a, b)
     body = re.sub(r"\{(\w+)\}", lambda m: extra.get(m[1], m[1]), text).strip()
@@ -217,7 +222,7 @@ def compute(text: str, docs: DataFrame, **frames: DataFrame) -> DataFrame:
 
     made = {
         "structural_f": (STRUCTURAL_FEATURES, features.structural), "entropy_f": (ENTROPY_FEATURES, features.entropies), "semantic_f": (lm.SEMANTIC_FEATURES, features.semantic), "linguistic_f": (lm.LINGUISTIC_FEATURES, features.linguistic),
-        "perplexity_f": (PERPLEXITY_FEATURES, lambda d: model.features(d).select(*model.PERPLEXITY)), "stability_f": (lm.STABILITY_FEATURES, lambda d: model.features(d).select(*model.STABILITY)),
+        "perplexity_f": (PERPLEXITY_FEATURES, lambda d: model.features(d, n=0).select(*model.PERPLEXITY)), "stability_f": (lm.STABILITY_FEATURES, lambda d: model.features(d).select(*model.STABILITY)),
     }
     for name, (sql, f) in made.items():
         if sql in text:

@@ -188,7 +188,7 @@ fp AS (
   JOIN (SELECT model, SUM(CASE WHEN kind <> 'starter' THEN 1 ELSE 0 END) AS checks, SUM(CASE WHEN kind = 'starter' THEN 1 ELSE 0 END) AS starters FROM {{fingerprints}} GROUP BY model) k ON k.model = c.model JOIN s ON s.doc_id = c.doc_id GROUP BY c.doc_id, c.model),
 every AS (SELECT d.doc_id, m.model, 0.35 * COALESCE(fp.score, 0.0) + 0.3 * least(1.0, 0.3 + COALESCE(st.gain, 0.0)) + 0.35 * least(1.0, {_RULED}) AS x FROM {{doc}} d JOIN ({SIGNALS}) g ON g.doc_id = d.doc_id CROSS JOIN {_rows([(x,) for x in MODELS], "model")} m
   LEFT JOIN st ON st.doc_id = d.doc_id AND st.model = m.model LEFT JOIN fp ON fp.doc_id = d.doc_id AND fp.model = m.model),
-sh AS (SELECT doc_id, model, ROUND(x / SUM(x) OVER (PARTITION BY doc_id), 6) AS p FROM every),
+sh AS (SELECT doc_id, model, ROUND(x / SUM(x) OVER (PARTITION BY doc_id) + 1.0E-9, 6) AS p FROM (SELECT doc_id, model, ROUND(x, 9) AS x FROM every) ev),
 rk AS (SELECT doc_id, model, p, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY p DESC, model) AS r FROM sh)
 SELECT a.doc_id, CASE WHEN a.p < 0.01 THEN 'unknown' ELSE a.model END AS model, a.p AS probability, ROUND(greatest(0.05, least(1.0, 0.8 * a.p + 1.5 * (a.p - b.p))), 6) AS confidence FROM rk a JOIN rk b ON b.doc_id = a.doc_id AND a.r = 1 AND b.r = 2
 """

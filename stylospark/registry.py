@@ -58,7 +58,7 @@ def _named(body: str, *clauses: str) -> str:
     for c in clauses:
         for a, b in metrics.DUCKDB.items():
             c = c.replace(a, b)
-        c = metrics._NUMBER.sub(r"\1E0", c)
+        c = metrics.doubles(c, "E0")
         rendered.append(metrics.re.sub(r"\{(\w+)\}", lambda m: {"thresholds": _T, "domain_cfg": _C, "performance": _P}.get(m[1], m[1]), c))
     return ",\n".join([head, *extra, *rendered]) + "\nSELECT * FROM (\n" + tail
 
