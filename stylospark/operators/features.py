@@ -53,7 +53,7 @@ def letters(t: Column) -> Column:
 
 def spread(n: Column, s: Column, squares: Column) -> Column:
     """Population standard deviation of n integers from their sum and squares."""
-    return F.sqrt((n * squares - s * s).cast("double")) / n
+    return F.try_divide(F.sqrt((n * squares - s * s).cast("double")), n)
 
 
 def near(x: Column, digits: int) -> Column:
@@ -89,14 +89,14 @@ def structural(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         "rep": total(F.transform("ws", again), "long"), "n_chars": F.length("t"), "n_punct": F.regexp_count("t", F.lit(r"[^\p{L}\p{N}_\s]")), "n_comma": F.length("t") - F.length(F.replace("t", F.lit(","), F.lit(""))),
     })
     n, m = F.col("n"), F.col("m")
-    a = a.withColumns({"smu": F.col("s1") / m, "ssd": spread(m, F.col("s1"), F.col("s2")), "wmu": F.col("w1") / n, "wsd": spread(n, F.col("w1"), F.col("w2"))})
+    a = a.withColumns({"smu": F.try_divide("s1", m), "ssd": spread(m, F.col("s1"), F.col("s2")), "wmu": F.try_divide("w1", n), "wsd": spread(n, F.col("w1"), F.col("w2"))})
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    cv = F.col("ssd") / F.col("smu")
+    cv = F.try_divide("ssd", "smu")
     return a.select(
         "doc_id", *keep, near(zero(F.col("smu")), 2).alias("avg_sentence_length"), near(zero(F.col("ssd")), 2).alias("std_sentence_length"), near(zero(F.col("wmu")), 2).alias("avg_word_length"), near(zero(F.col("wsd")), 2).alias("std_word_length"),
-        F.col("vocab").alias("vocabulary_size"), F.round(zero(F.col("vocab") / n), 4).alias("type_token_ratio"), F.round(zero(F.col("n_punct") / F.col("n_chars")), 4).alias("punctuation_density"), F.round(zero(F.col("n_comma") / n), 4).alias("comma_frequency"),
+        F.col("vocab").alias("vocabulary_size"), F.round(zero(F.try_divide("vocab", n)), 4).alias("type_token_ratio"), F.round(zero(F.try_divide("n_punct", "n_chars")), 4).alias("punctuation_density"), F.round(zero(F.try_divide("n_comma", n)), 4).alias("comma_frequency"),
         F.round(F.when((m >= 2) & (F.col("smu") > 0), F.least(F.lit(1.0), cv / 2)).otherwise(0.0), 4).alias("burstiness_score"), F.round(F.when(F.col("smu") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - cv))).otherwise(0.0), 4).alias("length_uniformity"),
-        F.round(F.when((m > 0) & (n > 0), F.greatest(F.lit(0.0), F.least(F.lit(100.0), 206.835 - 1.015 * (n / m) - 84.6 * (F.col("syl") / n)))).otherwise(0.0), 2).alias("readability_score"),
+        F.round(F.when((m > 0) & (n > 0), F.greatest(F.lit(0.0), F.least(F.lit(100.0), 206.835 - 1.015 * F.try_divide(n, m) - 84.6 * F.try_divide("syl", n)))).otherwise(0.0), 2).alias("readability_score"),
         F.round(F.when(n > 10, F.col("rep") / ((n - 10) * 10)).otherwise(0.0), 4).alias("repetition_score"), F.round(F.when(n >= 2, F.col("kinds2") / (n - 1)).otherwise(0.0), 4).alias("bigram_diversity"), F.round(F.when(n >= 3, F.col("kinds3") / (n - 2)).otherwise(0.0), 4).alias("trigram_diversity"),
         m.alias("num_sentences"), n.alias("num_words"),
     )
@@ -146,8 +146,8 @@ def linguistic(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     n, words = F.size("len"), total(F.col("len"), "long")
     some = n > 0
     usage = F.when(some, F.size(F.filter("hits", lambda h: h > 0)) / n)
-    over = F.when(some & (total(F.col("hits"), "long") / words > 0.05), 0.2).otherwise(0.0)
-    same = F.when((F.size("b") > 0) & (F.array_max("b") / total(F.col("b"), "long") > 0.1), 0.2).otherwise(0.0)
+    over = F.when(some & (F.try_divide(total(F.col("hits"), "long"), words) > 0.05), 0.2).otherwise(0.0)
+    same = F.when((F.size("b") > 0) & (F.try_divide(F.array_max("b"), total(F.col("b"), "long")) > 0.1), 0.2).otherwise(0.0)
     return a.select(
         "doc_id", *keep, "n_chars", F.round(F.when(some, F.size("k") / words).otherwise(0.5), 4).alias("pos_diversity"), F.round(F.when(some, entropy(F.col("k"))).otherwise(2.5), 4).alias("pos_entropy"), F.lit(2.5).alias("syntactic_complexity"),
         near(F.when(some, words / 10.0 / n).otherwise(2.0), 4).alias("avg_sentence_complexity"), F.round(1 - F.least(F.lit(1.0), 0.3 + F.abs(F.coalesce(usage, F.lit(0.1)) - 0.2)), 4).alias("grammatical_consistency"), F.round(F.coalesce(usage, F.lit(0.1)), 4).alias("transition_word_usage"),

@@ -4,12 +4,8 @@ import math
 import re
 from collections import Counter
 
-import numpy as np
-
 from stylospark import registry
 from stylospark.functions import text as T
-from stylospark.llm.anchors import _hottest
-from stylospark.llm.html_blocks import blocks
 from stylospark.operators import language_metrics as lm
 from stylospark.operators import metrics, verdicts
 from stylospark.plans import detect
@@ -137,23 +133,3 @@ def test_identical_texts_are_scored_once(spark):
     one = detect.score_once(docs, lambda few: metrics.compute(metrics.ENTROPY, few))
     assert sorted(one.select("doc_id", "raw", "confidence", "mixed").collect()) == sorted(metrics.compute(metrics.ENTROPY, docs).select("doc_id", "raw", "confidence", "mixed").collect())
     assert {"raw", "confidence"} <= set(re.findall(r"\w+", registry.ORACLES["score_identical_once"]))
-
-
-def test_blocks_lose_no_text_after_or_in_embedded_elements():
-    text = lambda page: [b[1] for b in blocks(page)]
-    assert text('<p>one <svg width="1"/> two</p><p>three</p>') == ["one two", "three"]
-    assert text("<p>one <math/> two</p><p>three</p>") == ["one two", "three"]
-    for name in ("svg", "math", "object", "video", "audio", "canvas", "iframe", "noscript", "select", "template"):
-        assert text(f"<p>one</p><{name}><p>two</p><p>three</p>") == ["one", "two", "three"], name
-    for name in ("script", "style", "textarea", "title"):
-        assert text(f"<p>one</p><{name}>two<p>three</p>") == ["one"] and text(f"<p>one</p><{name}>x</{name}><p>two</p>") == ["one", "two"]
-    assert text("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then</p>") == ["if x=1 then"]
-    assert text("<p>one</p><object><p>two</p></object><noscript>three <b>four</b></noscript>") == ["one", "two", "three four"]
-    assert text("<p>one <svg><text>label</text></svg> two</p><video>old</video><p>three</p>") == ["one two", "three"]
-
-
-def test_anchors_already_demoted_hide_no_colder_ones(spark):
-    kinds = spark.createDataFrame([(i, 100 - i) for i in range(10)], "anchor long, kinds long")
-    hot = np.arange(4, dtype=np.uint64)
-    assert _hottest(kinds, 3, hot).tolist() == [4, 5, 6]
-    assert _hottest(kinds, 3).tolist() == [0, 1, 2] and not len(_hottest(kinds, 0, hot)) and not len(_hottest(kinds.where("anchor < 4"), 3, hot))
