@@ -81,10 +81,23 @@ def _combine_rows(batches):
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("x", pa.int64()), ("n_chars", pa.int64()), ("text_sha256", pa.string()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())]))
 
 
-def _chunks(text, size: int):
-    """Array of (idx, chunk) of a text column."""
-    n = F.greatest(F.lit(1), F.ceil(F.length(text) / F.lit(size)).cast("int"))
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("idx"), F.substring(text, i * size + 1, F.lit(size)).alias("chunk")))
+def _cut(size: int, unit: str):
+    """Rows with a column text, the last, to a row for each chunk of `size` of
+    it: idx and chunk instead of text. unit: characters of the text as it is, or
+    bytes of it without white space. Linear in the text."""
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, "text", 4 << 20):
+                row, idx, chunk = [], [], []
+                for i, t in enumerate(part.column(part.num_columns - 1).to_pylist()):
+                    t = t if unit == "characters" else t.encode().translate(None, WHITE)
+                    for k in range(max(1, -(-len(t) // size))):
+                        row.append(i), idx.append(k), chunk.append(t[k * size : (k + 1) * size])
+                at = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([c.take(at) for c in part.columns[:-1]] + [pa.array(idx, pa.int32()), pa.array(chunk, pa.string() if unit == "characters" else pa.binary())], names=[*part.schema.names[:-1], "idx", "chunk"])
+
+    return run
 
 
 def fingerprints(docs: DataFrame, huge: int = 1 << 20) -> DataFrame:
@@ -96,9 +109,9 @@ def fingerprints(docs: DataFrame, huge: int = 1 << 20) -> DataFrame:
     small = rows.where(F.col("n_chars") <= huge).mapInArrow(_hash_rows, "doc_id long, x long, n_chars long, n long, h1 long, h2 long, text_sha256 string")
     clean = F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")
     big = rows.where(F.col("n_chars") > huge).withColumn("row", F.monotonically_increasing_id())
-    sha = F.sha2(clean, 256).alias("text_sha256")
-    cut = big.select("doc_id", "x", "n_chars", "row", sha, F.explode(_chunks(F.col("text"), huge)).alias("c"))
-    cut = cut.select("doc_id", "x", "n_chars", "row", F.col("text_sha256").alias("sha"), F.col("c.idx").alias("idx"), F.col("c.chunk").alias("text")).repartition("row", "idx")
+    sha = F.sha2(clean, 256).alias("sha")
+    cut = big.select("doc_id", "x", "n_chars", "row", sha, "text").mapInArrow(_cut(huge, "characters"), "doc_id long, x long, n_chars long, row long, sha string, idx int, chunk string")
+    cut = cut.withColumnRenamed("chunk", "text").repartition("row", "idx")
     done = cut.mapInArrow(_hash_rows, "doc_id long, x long, n_chars long, row long, sha string, idx int, n long, h1 long, h2 long, text_sha256 string")
     done = done.groupBy("doc_id", "x", "n_chars", "row", "sha").agg(F.collect_list(F.struct("idx", "n", "h1", "h2")).alias("parts"))
     done = done.select("doc_id", "x", "n_chars", F.col("sha").alias("text_sha256"), "parts").mapInArrow(_combine_rows, "doc_id long, x long, n_chars long, text_sha256 string, n long, h1 long, h2 long")
@@ -114,8 +127,9 @@ def exact_dedup(docs: DataFrame, chunk: int = 1 << 14, per_salt: int = 2000) ->
 
     Texts are equal when they are identical without the characters of
     [\\x20\\x09-\\x0D]; a null text is empty, and all empty texts are one group.
-    The row with the most code points, then the smallest doc_id (null first)
-    stays; rows equal in doc_id and text are all marked alike (drop_copies
+    The row with the most code points, then the smallest doc_id (null first; of
+    one doc_id by a hash of the text) stays; rows equal in doc_id and text are
+    all marked alike (drop_copies
     leaves one of them). An empty table gives an empty table; other columns of
     docs are ignored. Hot groups: groups are pre-aggregated, and for the
     comparison the chunks of a group's representative go to one task for every
@@ -130,15 +144,14 @@ def exact_dedup(docs: DataFrame, chunk: int = 1 << 14, per_salt: int = 2000) ->
     salts = members.groupBy(*key, "salt").agg(F.first("rep").alias("rep"))
     # one join fetches the texts of members and of representatives alike
     roles = members.select(*key, "k", "x", "salt", F.lit(False).alias("is_rep")).unionByName(salts.select(*key, F.col("rep.k").alias("k"), F.col("rep.x").alias("x"), "salt", F.lit(True).alias("is_rep")))
-    clean = F.regexp_replace("t", r"[\x20\x09-\x0D]+", "")
-    cut = roles.join(texts, ["k", "x"]).select(*key, "salt", "is_rep", "k", "x", F.explode(_chunks(clean, chunk)).alias("c"))
-    cut = cut.select(*key, "salt", "is_rep", "k", "x", F.col("c.idx").alias("idx"), F.col("c.chunk").alias("chunk"))
+    cut = roles.join(texts, ["k", "x"]).select(*key, "salt", "is_rep", "k", "x", F.col("t").alias("text"))
+    cut = cut.mapInArrow(_cut(chunk, "bytes"), "n long, h1 long, h2 long, salt long, is_rep boolean, k long, x long, idx int, chunk binary")
     want = F.max(F.when(F.col("is_rep"), F.col("chunk"))).over(Window.partitionBy(*key, "salt", "idx"))
     differs = cut.withColumn("want", want).where("not is_rep and not (chunk <=> want)").select("k", "x", F.lit(True).alias("differs")).distinct()
     fp = fp.join(differs, ["k", "x"], "left").withColumn("cls", F.coalesce(F.when(F.col("differs"), F.col("text_sha256")), F.lit("")))
-    stay = fp.groupBy(*key, "cls").agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("n_chars")).alias("a"), "k", "doc_id")).alias("best"))
+    stay = fp.groupBy(*key, "cls").agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("n_chars")).alias("a"), "k", "x", "doc_id")).alias("best"))
     out = fp.join(stay, [*key, "cls"])
-    kept = (F.col("n_chars") == -F.col("best.a")) & (F.col("k") == F.col("best.k"))
+    kept = (F.col("k") == F.col("best.k")) & (F.col("x") == F.col("best.x"))
     return out.select("doc_id", "x", F.col("best.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256")
 
 

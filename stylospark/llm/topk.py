@@ -72,7 +72,7 @@ def _blocks(batches):
                 yield pa.RecordBatch.from_pylist([{"dim": int(d), "longest": float(np.sqrt((v.astype(float) ** 2).sum(1)).max()), "ids": ids.tobytes(), "vectors": v.tobytes()}], schema=kind)
 
 
-def top_k(vectors: DataFrame, k: int = 10, every: int = 100, chunk: int = 1 << 15) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 10, every: int = 100, chunk: int = 1 << 26) -> DataFrame:
     """query_id, rank, vec_id, score of the rows of (vec_id, embedding) whose
     vec_id is divisible by `every`, against all rows of another vec_id.
 
@@ -80,15 +80,15 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, chunk: int = 1 << 1
     components take no part; vectors of another dimension are no candidates of a
     query. A repeated candidate row counts again; of a repeated query vec_id the
     smallest vector asks. An empty table gives an empty table. Queries are sent
-    to the tasks in chunks of `chunk` at most, so what is broadcast is bounded;
-    the buckets are scanned once for each chunk."""
+    to the tasks in chunks of about `chunk` bytes of components, so what is
+    broadcast is bounded; the buckets are scanned once for each chunk."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), scaled(F.col("embedding")).alias("v")).where("vec_id is not null and v is not null")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     buckets = rows.withColumn("norm", norm).repartitionByRange(parts(vectors), F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
     blocks = durable(buckets.select("vec_id", "v").mapInArrow(_blocks, "dim int, longest double, ids binary, vectors binary"), "norm-buckets")
     asks = durable(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
-    n_chunks = max(1, -(-asks.count() // chunk))
+    n_chunks = max(1, -(-8 * (asks.agg(F.sum(F.size("v"))).first()[0] or 0) // chunk))
     out = None
     for c in range(n_chunks):
         own = asks.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_chunks)) == c).groupBy(F.size("v").alias("dim")).agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
