@@ -61,10 +61,29 @@ SELECT doc_id, CONCAT('Verdict ', verdict, ' with ', CASE WHEN overall_confidenc
 FROM {ens}
 """
 
-#: Thresholds between two domains, by weight.
-INTERPOLATED = """
-SELECT a.domain AS domain1, b.domain AS domain2, a.metric, ROUND(a.ai_thr * 0.7 + b.ai_thr * 0.3 + 1.0E-9, 6) AS ai_thr, ROUND(a.human_thr * 0.7 + b.human_thr * 0.3 + 1.0E-9, 6) AS human_thr, ROUND(a.weight * 0.7 + b.weight * 0.3 + 1.0E-9, 6) AS weight
-FROM (SELECT DISTINCT w.domain AS p, w.secondary AS s FROM {doms} w WHERE w.secondary IS NOT NULL) k JOIN {thresholds} a ON a.domain = k.p JOIN {thresholds} b ON b.domain = k.s AND b.metric = a.metric
+#: Thresholds of each document: those of its domain, or between its two domains by their scores, or, where the domain is
+#: unsure and single, between it and general by confidence.
+ADAPTIVE = DOMAIN[: DOMAIN.index("SELECT d.doc_id")].rstrip() + """,
+p AS (SELECT d.doc_id, COALESCE(a.domain, 'general') AS d1, CASE WHEN b.score >= 0.1 THEN b.domain END AS d2, a.score AS s1, b.score AS s2,
+  CASE WHEN a.doc_id IS NULL THEN 0.5 WHEN a.score < 0.6 THEN a.score * 0.8 ELSE a.score END AS conf
+  FROM {doc} d LEFT JOIN rk a ON a.doc_id = d.doc_id AND a.r = 1 LEFT JOIN rk b ON b.doc_id = d.doc_id AND b.r = 2),
+w AS (SELECT doc_id, d1, CASE WHEN d2 IS NOT NULL THEN d2 WHEN conf < 0.6 THEN 'general' END AS d2, CASE WHEN d2 IS NOT NULL THEN s1 / (s1 + s2) WHEN conf < 0.6 THEN conf ELSE 1.0 END AS w1 FROM p)
+SELECT w.doc_id, a.metric, ROUND(a.ai_thr * w1 + COALESCE(b.ai_thr, 0.0) * (1 - w1) + 1.0E-9, 6) AS ai_thr, ROUND(a.human_thr * w1 + COALESCE(b.human_thr, 0.0) * (1 - w1) + 1.0E-9, 6) AS human_thr, ROUND(a.weight * w1 + COALESCE(b.weight, 0.0) * (1 - w1) + 1.0E-9, 6) AS weight
+FROM w JOIN {thresholds} a ON a.domain = w.d1 LEFT JOIN {thresholds} b ON b.domain = w.d2 AND b.metric = a.metric
+"""
+
+#: The verdict's threshold by its confidence: raised where that is low, or lowered where it is high.
+ADJUSTED = """
+SELECT e.doc_id, ROUND(g.ensemble_threshold + (1 - e.overall_confidence) * 0.1 + 1.0E-9, 6) AS conservative, ROUND(g.ensemble_threshold - e.overall_confidence * 0.05 + 1.0E-9, 6) AS liberal
+FROM {ens} e JOIN {domain_cfg} g ON g.domain = e.domain
+"""
+
+#: What a reader of a verdict should know: language, script, domain and failed metrics, a row each.
+WARNINGS = """
+SELECT doc_id, 'language' AS source, CONCAT('Non-English text detected (', language, '). Detection accuracy may be reduced.') AS warning FROM {lang} WHERE language <> 'en'
+UNION ALL SELECT doc_id, 'script', 'Multilingual content detected' FROM {script} WHERE script = 'mixed'
+UNION ALL SELECT doc_id, 'domain', 'Low domain classification confidence' FROM {dom} WHERE confidence < 0.5
+UNION ALL SELECT doc_id, metric, CONCAT(metric, ' metric error: ', error) FROM {prob} WHERE error IS NOT NULL
 """
 
 #: Verdicts by language and domain, with subtotals.

@@ -123,8 +123,28 @@ def detect(docs: DataFrame, domain: str | None = None) -> DataFrame:
 
 def domain(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """doc_id, domain, secondary, confidence by the words of a lexicon (domain, term)."""
-    terms = docs.sparkSession.createDataFrame(corpus.domain_rows(), "domain string, term string") if terms is None else terms
-    return metrics.compute(corpus.DOMAIN, docs, domain_terms=terms)
+    return metrics.compute(corpus.DOMAIN, docs, domain_terms=_terms(docs, terms))
+
+
+def _terms(docs: DataFrame, terms: DataFrame | None) -> DataFrame:
+    return docs.sparkSession.createDataFrame(corpus.domain_rows(), "domain string, term string") if terms is None else terms
+
+
+def adaptive_thresholds(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """doc_id, metric, ai_thr, human_thr, weight by each document's own domains."""
+    return metrics.compute(corpus.ADAPTIVE, docs, domain_terms=_terms(docs, terms), thresholds=fixed.frame(docs.sparkSession, "thresholds"))
+
+
+def adjusted_thresholds(ens: DataFrame) -> DataFrame:
+    """doc_id and its verdict's threshold moved by confidence, both ways."""
+    s = ens.sparkSession
+    return metrics.run(s, metrics.spark_sql(corpus.ADJUSTED), ens=ens, domain_cfg=fixed.frame(s, "domain_cfg"))
+
+
+def warnings(docs: DataFrame, prob: DataFrame | None = None) -> DataFrame:
+    """doc_id, source, warning: none or several rows of a document."""
+    s = docs.sparkSession
+    return metrics.run(s, metrics.spark_sql(corpus.WARNINGS), lang=language(docs), script=scripts(docs), dom=domain(docs), prob=probabilities(docs) if prob is None else prob)
 
 
 def score_once(docs: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:

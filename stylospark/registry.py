@@ -207,3 +207,15 @@ query(_named(corpus.SUMMARY, *_BASE, _PROB, _ENS), "verdict_summary")(lambda s,
 query(_named(corpus.BREAKDOWN, *_BASE, _PROB, _ENS), "verdict_breakdown")(lambda s, d: s.sql(metrics.spark_sql(corpus.BREAKDOWN), ens=detect.ensemble(docs(s, d)), documents=table(s, d, "documents")))
 query(name="highlight_html")(lambda s, d: detect.highlight_html(detect.highlights(docs(s, d))))
 query(metrics.duck_sql(metrics.ENTROPY), "score_identical_once")(lambda s, d: detect.score_once(docs(s, d), lambda few: metrics.compute(metrics.ENTROPY, few)))
+query(metrics.duck_sql(corpus.ADAPTIVE, domain_terms=_TERMS, thresholds=_T), "adaptive_thresholds")(lambda s, d: detect.adaptive_thresholds(docs(s, d)))
+query(_named(corpus.ADJUSTED, *_BASE, _PROB, _ENS), "adjusted_thresholds")(lambda s, d: detect.adjusted_thresholds(detect.ensemble(docs(s, d))))
+_MORE = (f"lang AS (SELECT * FROM ({ORACLES['language_by_words']}) x)", f"script AS ({_scripts_sql()})", f"dom AS (SELECT * FROM ({ORACLES['domain_by_lexicon']}) x)")
+query(_named(corpus.WARNINGS, *_BASE, _PROB, *_MORE), "analysis_warnings")(lambda s, d: detect.warnings(docs(s, d)))
+
+
+@query("""
+    WITH e AS (SELECT CASE WHEN CAST(json_extract(props, '$.k') AS INTEGER) < 25 THEN 'short' WHEN CAST(json_extract(props, '$.k') AS INTEGER) < 50 THEN 'medium' ELSE 'long' END AS size_class, value FROM events)
+    SELECT size_class, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM e GROUP BY 1""")
+def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return events.latency(e.withColumn("size", F.get_json_object("props", "$.k").cast("int")), "size", "value", (25, 50))

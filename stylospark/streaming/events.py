@@ -33,3 +33,10 @@ def usage(events: DataFrame, key: str = "event_type") -> DataFrame:
 def score_stream(docs: DataFrame, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
     """Score each micro-batch of a document stream and append it to a table."""
     return docs.writeStream.foreachBatch(lambda batch, _: score(batch).write.mode("append").parquet(out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latency(events: DataFrame, size: str, value: str, bounds: tuple[float, float]) -> DataFrame:
+    """size_class (short, medium, long by bounds), n, p50, p95, p99 of value."""
+    kind = F.when(F.col(size) < bounds[0], "short").when(F.col(size) < bounds[1], "medium").otherwise("long")
+    at = lambda p: F.round(F.percentile(value, p), 6).alias(f"p{round(100 * p)}")
+    return events.groupBy(kind.alias("size_class")).agg(F.count("*").alias("n"), at(0.5), at(0.95), at(0.99))
