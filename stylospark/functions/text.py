@@ -57,6 +57,11 @@ def clean_text(t: Column, encoding=True, unicode=True, urls=True, emails=True, k
     return F.regexp_replace(t, r"\s+", " ") if keep_layout else squeeze(t)
 
 
+def language_text(t: Column) -> Column:
+    """Without links, words that hold an @ and repeated white space."""
+    return squeeze(F.regexp_replace(F.regexp_replace(t, r"https?://\S+|www\.\S+", ""), r"\S+@\S+", ""))
+
+
 def non_empty(a: Column) -> Column:
     return F.filter(F.transform(a, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
 

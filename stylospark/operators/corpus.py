@@ -41,7 +41,7 @@ def domain_rows() -> list[tuple[str, str]]:
 
 #: AI probability of each document without one metric, by the calibrated ensemble, and how verdict shares move.
 ABLATION = """
-WITH v AS (SELECT p.doc_id, x.metric AS excluded, p.ai, p.mixed, p.weight / (1.0 + EXP(-10 * (p.confidence - 0.5))) AS w FROM {prob} p JOIN (SELECT DISTINCT metric FROM {prob}) x ON x.metric <> p.metric WHERE p.error IS NULL),
+WITH v AS (SELECT p.doc_id, x.metric AS excluded, p.ai, p.mixed, p.weight / (1.0 + EXP(-10 * (p.confidence - 0.5))) AS w FROM {prob} p CROSS JOIN (SELECT * FROM (VALUES ('structural'), ('perplexity'), ('entropy'), ('semantic_analysis'), ('linguistic'), ('multi_perturbation_stability')) t(metric)) x WHERE x.metric <> p.metric AND p.error IS NULL),
 e AS (SELECT doc_id, excluded, COUNT(*) AS n, SUM(w * ai / (1 + mixed)) / SUM(w) AS ai FROM v GROUP BY doc_id, excluded)
 SELECT excluded, CAST(COUNT(*) AS BIGINT) AS n, ROUND(AVG(ai) + 1.0E-9, 5) AS mean_ai, CAST(SUM(CASE WHEN ROUND(ai, 5) >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS above_half FROM e WHERE n >= 3 GROUP BY excluded
 """

@@ -78,7 +78,13 @@ query(
     metrics.duck_sql(verdicts.ATTRIBUTION, fingerprints="(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in FINGERPRINTS) + ") t(model, kind, phrase))", lowered="(SELECT doc_id, lower(text) AS t FROM src)"),
     "attribution",
 )(lambda s, d: detect.attribution(docs(s, d), s.createDataFrame(FINGERPRINTS, "model string, kind string, phrase string")))
-query(name="report_json")(lambda s, d: detect.report(detect.ensemble(docs(s, d)), detect.contributions(docs(s, d))))
+@query()
+def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = docs(spark, sf_dir)
+    prob = detect.probabilities(own)
+    return detect.report(detect.ensemble(own, prob), detect.contributions(own, prob))
+
+
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
@@ -219,3 +225,12 @@ query(_named(corpus.WARNINGS, *_BASE, _PROB, *_MORE), "analysis_warnings")(lambd
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return events.latency(e.withColumn("size", F.get_json_object("props", "$.k").cast("int")), "size", "value", (25, 50))
+query(f"SELECT doc_id, language = 'en' AS is_english FROM ({ORACLES['language_by_words']}) x", "english")(lambda s, d: detect.language(docs(s, d)).select("doc_id", (F.col("language") == "en").alias("is_english")))
+
+
+@query(r"""
+    WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), 'https?://\S+|www\.\S+', '', 'g'), '\S+@\S+', '', 'g'), '\s+', ' ', 'g') AS t FROM documents)
+    SELECT doc_id, md5(regexp_replace(t, '^\s+|\s+$', '', 'g')) AS text_md5, CAST(length(regexp_replace(t, '^\s+|\s+$', '', 'g')) AS BIGINT) AS n_chars FROM a""")
+def cleaned_for_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = T.language_text(F.coalesce("text", F.lit("")))
+    return docs(spark, sf_dir).select("doc_id", F.md5(t).alias("text_md5"), F.length(t).cast("long").alias("n_chars"))
