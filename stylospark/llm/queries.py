@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bwt_dedup, exact_dedup, html_blocks, mixing, near_dedup, quality, rlz_dedup, token_files, topk
+from . import bpe, bwt_dedup, exact_dedup, html_blocks, mixing, near_dedup, quality, rlz_dedup, spelling, token_files, topk, warc, whitening
 from .common import column, shared_dir, small_batches
 
 
@@ -70,7 +70,21 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_html_blocks, op4_mixing, op5_suffix_dedup, op6_token_files, op7_substring_dedup, op8_near_dedup, op9_bpe, op10_topk)}
+def op11_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{token_files.fresh()}"
+    warc.write(_table(spark, sf_dir, "pages"), path)
+    return warc.history(warc.index(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_html_blocks, op4_mixing, op5_suffix_dedup, op6_token_files, op7_substring_dedup, op8_near_dedup, op9_bpe, op10_topk, op11_warc_index, op12_whitening, op13_spelling)}
 
 ORACLES = {
     "op2_exact_dedup": r"""
@@ -102,4 +116,31 @@ ORACLES = {
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op11_warc_index": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t, octet_length(encode(coalesce(html, ''))) AS b FROM pages)
+        SELECT page_id, CAST(b AS BIGINT) AS payload_bytes, sha1(t) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN last END AS refers_to
+        FROM (SELECT *, b >= 1000 AND last IS NOT NULL AND (page_id IS NULL OR page_id < last) AS again FROM (SELECT *, max(page_id) OVER (PARTITION BY t) AS last FROM p))
+    """,
+    "op13_spelling": r"""
+        WITH RECURSIVE crc AS (
+          SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+        run AS (
+          SELECT w, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS x, count(*) AS n FROM (
+            SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents) WHERE length(w) >= 5 GROUP BY w, x),
+        h AS (
+          SELECT w, n, xor(4294967295, list_reduce(list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)),
+            lambda c, b: xor(c >> 8, t[1 + xor(c & 255, b)]), 4294967295)) AS h FROM run, crc),
+        word AS (
+          SELECT w, CAST(sum(n) AS BIGINT) AS n FROM (
+            SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS w, n FROM h) WHERE length(w) >= 5 GROUP BY w HAVING sum(n) >= 3),
+        less AS (SELECT w, n, i, substr(w, 1, i - 1) || substr(w, i + 1) AS v FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM word)),
+        near AS (
+          SELECT a.w, b.w AS o, b.n FROM less a JOIN less b ON a.i = b.i AND a.v = b.v AND a.w <> b.w
+          UNION SELECT a.w, b.w, b.n FROM less a JOIN word b ON a.v = b.w UNION SELECT b.w, a.w, a.n FROM less a JOIN word b ON a.v = b.w),
+        best AS (SELECT w, count(*) AS c, first(o ORDER BY n DESC, o) AS o, max(n) AS m FROM near GROUP BY w),
+        form AS (SELECT word.w, word.n, coalesce(c, 0) AS c, CASE WHEN m >= 2 * word.n THEN o END AS f, CASE WHEN m >= 2 * word.n THEN m END AS m FROM word LEFT JOIN best USING (w)),
+        walk AS (SELECT w, w AS r FROM form UNION ALL SELECT walk.w, f FROM walk JOIN form ON form.w = walk.r WHERE f IS NOT NULL)
+        SELECT form.w AS word, form.f AS form, walk.r AS root, form.n AS n, CAST(form.c AS BIGINT) AS n_near, form.m AS form_n
+        FROM form JOIN walk ON walk.w = form.w JOIN form z ON z.w = walk.r AND z.f IS NULL
+    """,
 }
