@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .language_metrics import CLASSES, SUFFIXES, TRANSITIONS
+from .parses import features as linguistic  # noqa: F401
 
 
 def let(x: Column, f: Callable[[Column], Column]) -> Column:
@@ -119,42 +119,6 @@ def entropies(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def _tag(w: Column) -> Column:
-    """Coarse part of speech by closed classes, then by suffix."""
-    out = F.lit("NOUN")
-    rules = [(name, w.isin(*words.split())) for name, words in CLASSES] + [(name, _ends(w, ends)) for name, ends in SUFFIXES]
-    rules.append(("NUM", (w >= "0") & (w < ":")))
-    for name, rule in reversed(rules):
-        out = F.when(rule, name).otherwise(out)
-    return out
-
-
-def _ends(w: Column, ends: str) -> Column:
-    out = F.lit(False)
-    for e in ends.split():
-        out = out | w.endswith(e)
-    return out
-
-
-def linguistic(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    t = _text(docs)
-    a = docs.select("doc_id", *keep, F.length(t).alias("n_chars"), F.filter(F.transform(T.sentences(t), T.lower_words), lambda s: F.size(s) > 0).alias("ss"))
-    a = a.withColumn("tags", F.transform("ss", lambda s: F.transform(s, _tag)))
-    pair = lambda g: F.slice(F.zip_with(g, F.slice(g, 2, F.size(g)), lambda x, y: F.concat_ws(" ", x, y)), 1, F.size(g) - 1)
-    mark = lambda w: w.isin(*TRANSITIONS)
-    a = a.select("doc_id", *keep, "n_chars", tally(F.flatten("tags")).alias("k"), tally(F.flatten(F.transform("tags", pair))).alias("b"), F.transform("ss", lambda s: F.size(F.filter(s, mark))).alias("hits"), F.transform("ss", F.size).alias("len"))
-    n, words = F.size("len"), total(F.col("len"), "long")
-    some = n > 0
-    usage = F.when(some, F.size(F.filter("hits", lambda h: h > 0)) / n)
-    over = F.when(some & (F.try_divide(total(F.col("hits"), "long"), words) > 0.05), 0.2).otherwise(0.0)
-    same = F.when((F.size("b") > 0) & (F.try_divide(F.array_max("b"), total(F.col("b"), "long")) > 0.1), 0.2).otherwise(0.0)
-    return a.select(
-        "doc_id", *keep, "n_chars", F.round(F.when(some, F.size("k") / words).otherwise(0.5), 4).alias("pos_diversity"), F.round(F.when(some, entropy(F.col("k"))).otherwise(2.5), 4).alias("pos_entropy"), F.lit(2.5).alias("syntactic_complexity"),
-        near(F.when(some, words / 10.0 / n).otherwise(2.0), 4).alias("avg_sentence_complexity"), F.round(1 - F.least(F.lit(1.0), 0.3 + F.abs(F.coalesce(usage, F.lit(0.1)) - 0.2)), 4).alias("grammatical_consistency"), F.round(F.coalesce(usage, F.lit(0.1)), 4).alias("transition_word_usage"),
-        F.round(over + same, 4).alias("ai_pattern_score"), F.lit(0.2).alias("complexity_variance"), n.cast("long").alias("num_sentences"),
-    )
-
-
 #: Sentences whose similarities to all others are held at a time.
 BLOCK = 256
 

@@ -54,28 +54,18 @@ SELECT doc_id, {score(_SEMANTIC, positive("coherence_score", "consistency_score"
 FROM (@F) f
 """.replace("@F", SEMANTIC_FEATURES)
 
-# Words that mark a transition, and closed classes of the coarse tagger.
+# Words that mark a transition, and those of them whose overuse counts.
 TRANSITIONS = "however therefore furthermore moreover consequently additionally nevertheless nonetheless thus hence".split()
+OVERUSED = "however therefore moreover furthermore additionally"
+#: Closed classes of the rule-based tagger, and forms of the verb that a passive and a predicate go with.
+BE = "is are was were be been being am"
 CLASSES = [
     ("DET", "the a an this that these those der die das el la los las le les un une"), ("PRON", "i you he she it we they me him her us them"),
-    ("ADP", "of in on at by for with from to into over under about between"), ("CCONJ", "and or but nor yet so und y et"),
+    ("ADP", "of in on at by for with from to into over under about between"), ("CCONJ", "and or but nor yet so und y et"), ("SCONJ", "because if when while although though unless since weil wenn dass que si porque quand"),
     ("AUX", "is are was were be been am has have had do does did will would can could may might must shall should"),
 ]
 SUFFIXES = [("ADV", "ly"), ("VERB", "ing ed"), ("ADJ", "ous ful ive al able")]
-_IN = lambda words: "w IN (" + ", ".join(f"'{w}'" for w in words.split()) + ")"
-_LIKE = lambda ends: " OR ".join(f"w LIKE '%{e}'" for e in ends.split())
-POS = "CASE " + " ".join([f"WHEN {_IN(w)} THEN '{k}'" for k, w in CLASSES] + [f"WHEN {_LIKE(e)} THEN '{k}'" for k, e in SUFFIXES]) + " WHEN w >= '0' AND w < ':' THEN 'NUM' ELSE 'NOUN' END"
-LINGUISTIC_FEATURES = f"""
-WITH tg AS (SELECT doc_id, idx, pos, w, w2, {POS} AS p, CASE WHEN w2 IS NULL THEN NULL ELSE {POS.replace("w IN", "w2 IN").replace("w LIKE", "w2 LIKE").replace("w >=", "w2 >=").replace("w <", "w2 <")} END AS p2 FROM {{senpos}}),
-k AS (SELECT doc_id, COUNT(*) AS kinds, SUM(c) AS n, LOG2(SUM(c) * 1.0E0) - SUM(c * LOG2(c * 1.0E0)) / SUM(c) AS h FROM (SELECT doc_id, p, COUNT(*) AS c FROM tg GROUP BY doc_id, p) q GROUP BY doc_id),
-b AS (SELECT doc_id, MAX(c) / SUM(c) AS top FROM (SELECT doc_id, p, p2, COUNT(*) AS c FROM tg WHERE p2 IS NOT NULL GROUP BY doc_id, p, p2) q GROUP BY doc_id),
-t AS (SELECT doc_id, AVG(CASE WHEN {_IN(" ".join(TRANSITIONS))} THEN 1.0 ELSE 0.0 END) AS share FROM tg GROUP BY doc_id),
-s AS (SELECT doc_id, COUNT(*) AS n, AVG(CASE WHEN hit > 0 THEN 1.0 ELSE 0.0 END) AS usage, AVG(len / 10.0) AS complexity FROM (SELECT doc_id, idx, COUNT(*) AS len, SUM(CASE WHEN {_IN(" ".join(TRANSITIONS))} THEN 1 ELSE 0 END) AS hit FROM tg GROUP BY doc_id, idx) q GROUP BY doc_id)
-SELECT d.doc_id, d.n_chars, ROUND(COALESCE(k.kinds / k.n, 0.5), 4) AS pos_diversity, ROUND(COALESCE(k.h, 2.5), 4) AS pos_entropy, 2.5 AS syntactic_complexity, ROUND(COALESCE(s.complexity, 2.0) + 1.0E-9, 4) AS avg_sentence_complexity,
-  ROUND(1 - least(1.0, 0.3 + ABS(COALESCE(s.usage, 0.1) - 0.2)), 4) AS grammatical_consistency, ROUND(COALESCE(s.usage, 0.1), 4) AS transition_word_usage,
-  ROUND((CASE WHEN t.share > 0.05 THEN 0.2 ELSE 0.0 END + CASE WHEN b.top > 0.1 THEN 0.2 ELSE 0.0 END), 4) AS ai_pattern_score, 0.2 AS complexity_variance, CAST(COALESCE(s.n, 0) AS BIGINT) AS num_sentences
-FROM {{doc}} d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN s ON s.doc_id = d.doc_id
-"""
+LINGUISTIC_FEATURES = "SELECT * FROM {linguistic_features}"
 _LINGUISTIC = bands(
     "WHEN pos_diversity < 0.3 THEN 0.8 WHEN pos_diversity < 0.5 THEN 0.6 ELSE 0.2",
     "WHEN syntactic_complexity < 2.0 THEN 0.7 WHEN syntactic_complexity < 3.0 THEN 0.4 ELSE 0.2",

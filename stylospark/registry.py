@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .operators import language_metrics as lm
 from .functions import fixed
 from .functions import text as T
-from .operators import corpus, metrics, tokens, verdicts
+from .operators import corpus, metrics, parses, tokens, verdicts
 from .plans import detect
 from .sources import files
 from .streaming import events
@@ -42,6 +42,10 @@ for _name, _text in {"structural_features": metrics.STRUCTURAL_FEATURES, "struct
     query(metrics.duck_sql(_text), _name)(lambda spark, sf_dir, text=_text: metrics.compute(text, docs(spark, sf_dir)))
 
 
+query(parses.ROWS_SQL, "parses")(lambda s, d: parses.parse(docs(s, d)))
+query(f"SELECT * EXCLUDE n_chars FROM ({parses.FEATURES_SQL})", "linguistic_from_parses")(lambda s, d: parses.from_table(parses.parse(docs(s, d)), docs(s, d)))
+
+
 _T, _C, _P, _W = (fixed.values_sql(n) for n in ("thresholds", "domain_cfg", "performance", "stopwords"))
 #: Phrases that a user's table would hold; these few serve the query.
 FINGERPRINTS = [("gpt-4", "phrase", "it's important to note that"), ("gpt-4", "starter", "notably,"), ("llama-3", "phrase", "it's worth noting"), ("llama-3", "pattern", "first of all"), ("gpt-3.5-turbo", "starter", "the "), ("gemini-pro", "pattern", " the ")]

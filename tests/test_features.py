@@ -24,7 +24,7 @@ def by_sql(text, docs):
 
 
 @pytest.mark.parametrize("sql, made", [
-    (metrics.STRUCTURAL_FEATURES, features.structural), (metrics.ENTROPY_FEATURES, features.entropies), (lm.SEMANTIC_FEATURES, features.semantic), (lm.LINGUISTIC_FEATURES, features.linguistic),
+    (metrics.STRUCTURAL_FEATURES, features.structural), (metrics.ENTROPY_FEATURES, features.entropies), (lm.SEMANTIC_FEATURES, features.semantic),
     (metrics.PERPLEXITY_FEATURES, lambda d: language_model.features(d, n=0).select(*language_model.PERPLEXITY)), (lm.STABILITY_FEATURES, lambda d: language_model.features(d).select(*language_model.STABILITY)),
 ])
 def test_features_equal_their_sql(docs, sql, made):
