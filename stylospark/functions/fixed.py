@@ -57,6 +57,9 @@ LATIN_WORDS = {
     "pt": "de a o que e do da em um para é com não uma os no se na por mais",
 }
 
+# Codes of the languages that can be named.
+LANGUAGES = "en es fr de it pt ru zh ja ko ar hi nl pl tr sv vi id th el he cs ro da fi no"
+
 # Ranges of code points of ten scripts, and the language each stands for.
 SCRIPTS = {
     "latin": ("A-zÀ-ɏ", None),
@@ -82,6 +85,52 @@ COLOURS = [(0.10, "very-high-human", 0.0), (0.25, "high-human", 0.1), (0.40, "me
 MIXED_RISK = 0.7
 
 
+# Fixed values. Per domain: sensitivity of fingerprints, factor of sentence lengths, weights of perplexity, structural, entropy,
+# semantic and linguistic rules, and shares of fingerprints, style and rules in a generator's score.
+ATTRIBUTION_ROWS = """
+general        1.00 1.00  1.0 1.0 1.0 1.0 1.0  .35 .30 .35
+academic       1.20 1.10  1.2 1.0 0.9 1.1 1.3  .30 .35 .35
+creative       0.90 0.95  0.9 0.9 1.2 1.0 1.3  .40 .30 .30
+ai_ml          1.15 1.05  1.3 1.0 0.9 1.2 1.2  .28 .37 .35
+software_dev   1.15 1.05  1.2 1.1 0.9 1.1 1.0  .27 .38 .35
+technical_doc  1.10 1.05  1.2 1.1 0.9 1.2 1.1  .25 .40 .35
+engineering    1.10 1.05  1.2 1.1 0.9 1.1 1.2  .28 .37 .35
+science        1.20 1.08  1.2 1.0 0.9 1.2 1.3  .30 .35 .35
+business       1.05 1.00  1.1 1.0 1.0 1.2 1.1  .33 .35 .32
+legal          1.25 1.12  1.2 1.1 0.9 1.3 1.3  .28 .40 .32
+medical        1.20 1.08  1.2 1.0 0.9 1.2 1.2  .30 .38 .32
+journalism     1.00 0.95  1.1 1.0 1.0 1.1 1.1  .35 .33 .32
+marketing      0.95 0.92  1.0 1.0 1.1 1.1 1.2  .38 .32 .30
+social_media   0.80 0.85  1.0 0.8 1.3 0.9 0.9  .45 .35 .20
+blog_personal  0.90 0.95  1.0 0.9 1.2 1.0 1.1  .42 .32 .26
+tutorial       1.00 1.00  1.1 1.0 1.0 1.1 1.1  .33 .35 .32
+"""
+
+# What gives away the style of a sentence; phrases are looked for in its lower-case text, code in the text itself.
+SIGNS = {
+    "citation": ["et al.", "ibid.", "cf.", "e.g.", "i.e.", "vol.", "pp.", "ed.", "trans.", "reference", "cited", "according to"],
+    "informal": ["lol", "omg", "btw", "imo", "tbh", "afaik", "smh", "👋", "😂", "❤️", "haha", "wow", "awesome"],
+    "technical": ["hereinafter", "whereas", "aforementioned", "diagnosis", "prognosis", "etiology", "algorithm", "neural network", "machine learning", "api", "endpoint", "database", "quantum", "thermodynamics", "hypothesis", "methodology"],
+    "ambiguous": ["perhaps", "maybe", "possibly", "likely", "appears to", "seems to", "might be", "could be"],
+    "complex": ["which", "that", "although", "because", "while", "when", "if", "however", "therefore"],
+    "emotional": ["feel", "believe", "think", "wonder", "hope", "wish", "love", "hate", "frustrating", "exciting"],
+    "jargon": ["synergy", "leverage", "bandwidth", "circle back", "touch base", "value add", "core competency"],
+    "instruction": ["step by step", "firstly", "secondly", "finally", "note that", "remember to", "make sure"],
+    "steps": ["step 1", "step 2", "step 3", "step one", "step two", "first step", "next step"],
+    "examples": ["for example", "for instance", "such as", "e.g.", "as an example"],
+    "code": ["function", "variable", "class", "method", "import", "def ", "void ", "public ", "private "],
+}
+# Per group of domains the rules for a sentence's probability, of which the first that holds counts: a sign, or a range of its number of words, and a factor.
+SENTENCE_RULES = [
+    ("ai_ml software_dev technical_doc engineering science", [("technical", 1.1), ("code", 1.15), ((36, None), 1.05)]),
+    ("creative social_media blog_personal", [("informal", 0.7), ("emotional", 0.8), ((0, 9), 0.8)]),
+    ("academic legal medical", [("citation", 0.8), ("technical", 1.1), ((41, None), 1.1)]),
+    ("business marketing journalism", [("jargon", 1.05), ("ambiguous", 0.9), ((15, 25), 0.9)]),
+    ("tutorial", [("instruction", 0.85), ("steps", 0.8), ("examples", 0.9)]),
+    ("general", [("complex", 0.9), ("repetition", 1.1)]),
+]
+
+
 def domains() -> list[str]:
     return [line.split()[0] for line in DOMAIN_ROWS.split("\n") if line]
 
@@ -106,6 +155,10 @@ def performance_rows() -> list[tuple]:
     return [(line.split()[0], m, float(f)) for line in PERFORMANCE_ROWS.split("\n") if line for m, f in zip(METRICS, line.split()[1:])]
 
 
+def attribution_rows() -> list[tuple]:
+    return [(line.split()[0], *map(float, line.split()[1:])) for line in ATTRIBUTION_ROWS.split("\n") if line]
+
+
 def language_rows() -> list[tuple]:
     return [(lang, i, w) for i, (lang, ws) in enumerate(LATIN_WORDS.items()) for w in ws.split()]
 
@@ -114,6 +167,7 @@ SCHEMAS = {
     "thresholds": ("domain string, metric string, ai_thr double, human_thr double, conf_mult double, weight double", threshold_rows),
     "domain_cfg": ("domain string, ensemble_threshold double", ensemble_rows),
     "performance": ("domain string, metric string, factor double", performance_rows),
+    "attribution": ("domain string, sensitivity double, lengths double, perplexity double, structural double, entropy double, semantic double, linguistic double, by_phrase double, by_style double, by_rule double", attribution_rows),
     "stopwords": ("lang string, ord int, word string", language_rows),
 }
 

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.fixed import METRICS
 from . import metrics as m
 
 #: Bigram model of the corpus: counts and context totals.
@@ -26,18 +33,37 @@ SELECT d.doc_id, COALESCE(a.domain, 'general') AS domain, CASE WHEN b.score >= 0
   ROUND(CASE WHEN a.doc_id IS NULL THEN 0.5 WHEN b.score >= 0.1 AND a.score - b.score < 0.15 THEN (a.score + b.score) / 2 * 0.8 WHEN a.score < 0.6 THEN a.score * 0.8 ELSE a.score END, 6) AS confidence
 FROM {doc} d LEFT JOIN rk a ON a.doc_id = d.doc_id AND a.r = 1 LEFT JOIN rk b ON b.doc_id = d.doc_id AND b.r = 2
 """
-# Words of the domains' labels.
-DOMAIN_TERMS = {
-    "academic": "academic research scholarly thesis dissertation", "creative": "fiction story narrative poetry literary", "ai_ml": "artificial intelligence neural learning data", "software_dev": "software programming coding web application",
-    "technical_doc": "technical documentation manual api system", "engineering": "engineering mechanical electrical design", "science": "scientific physics chemistry biology experimental", "business": "business corporate executive professional",
-    "journalism": "news press media journalism reporting", "social_media": "social casual online informal post", "blog_personal": "personal blog lifestyle diary opinion", "legal": "legal contract law agreement",
-    "medical": "medical healthcare clinical health", "marketing": "marketing advertising brand promotional sales", "tutorial": "tutorial guide step instructional educational", "general": "general everyday common standard normal",
-}
+#: How many of a domain's words learn_terms keeps, and in how many documents a word must be.
+TERMS, AT_LEAST = 200, 3
+
 
+def learn_terms(labelled: DataFrame, most: int = TERMS, least: int = AT_LEAST) -> DataFrame:
+    """domain, term from documents of known domains (text, domain): the words whose
+    share of a domain's documents exceeds by most, in logarithms, that of all
+    documents, ties by the word. Each document counts a word once; a word belongs to
+    the one domain that it tells most about."""
+    own = labelled.where("domain is not null").select("domain", F.array_distinct(T.lower_words(F.coalesce("text", F.lit("")))).alias("ws"))
+    size = own.groupBy("domain").agg(F.count("*").alias("size"))
+    total = own.agg(F.count("*").alias("total"))
+    counts = own.select("domain", F.explode("ws").alias("term")).groupBy("domain", "term").agg(F.count("*").alias("c"))
+    every = counts.groupBy("term").agg(F.sum("c").alias("every")).where(F.col("every") >= least)
+    # the domains and their sizes are as few as the labels
+    scored = counts.join(every, "term").join(F.broadcast(size), "domain").crossJoin(F.broadcast(total))
+    gain = F.round(F.col("c") * F.log(F.col("c") * F.col("total") / (F.col("every") * F.col("size"))), 6)
+    scored = scored.select("domain", "term", gain.alias("gain")).where("gain > 0")
+    best = scored.groupBy("term").agg(F.min(F.struct((-F.col("gain")).alias("gain"), "domain")).alias("x")).select("term", "x.domain", "x.gain")
+    rank = F.row_number().over(Window.partitionBy("domain").orderBy("gain", "term"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= most).select("domain", "term")
 
-def domain_rows() -> list[tuple[str, str]]:
-    return [(d, t) for d, terms in DOMAIN_TERMS.items() for t in terms.split()]
 
+#: The same for DuckDB over a relation {labelled} of text and domain.
+TERMS_SQL = rf"""
+WITH w AS (SELECT domain, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+'))) AS term FROM {{labelled}}), z AS (SELECT domain, count(*) AS size FROM {{labelled}} GROUP BY domain), t AS (SELECT count(*) AS total FROM {{labelled}}),
+c AS (SELECT domain, term, count(*) AS c FROM w GROUP BY domain, term), e AS (SELECT term, sum(c) AS every FROM c GROUP BY term HAVING sum(c) >= {AT_LEAST}),
+g AS (SELECT c.domain, c.term, round(c * ln(c * total * 1.0E0 / (every * size)), 6) AS gain FROM c JOIN e ON e.term = c.term JOIN z ON z.domain = c.domain CROSS JOIN t),
+b AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY gain DESC, domain) AS own FROM g WHERE gain > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY gain DESC, term) AS rank FROM b WHERE own = 1)
+SELECT domain, term FROM r WHERE rank <= {TERMS}"""
 
 #: AI probability of each document without one metric, by the calibrated ensemble, and how verdict shares move.
 ABLATION = """
@@ -68,8 +94,9 @@ p AS (SELECT d.doc_id, COALESCE(a.domain, 'general') AS d1, CASE WHEN b.score >=
   CASE WHEN a.doc_id IS NULL THEN 0.5 WHEN a.score < 0.6 THEN a.score * 0.8 ELSE a.score END AS conf
   FROM {doc} d LEFT JOIN rk a ON a.doc_id = d.doc_id AND a.r = 1 LEFT JOIN rk b ON b.doc_id = d.doc_id AND b.r = 2),
 w AS (SELECT doc_id, d1, CASE WHEN d2 IS NOT NULL THEN d2 WHEN conf < 0.6 THEN 'general' END AS d2, CASE WHEN d2 IS NOT NULL THEN s1 / (s1 + s2) WHEN conf < 0.6 THEN conf ELSE 1.0 END AS w1 FROM p)
-SELECT w.doc_id, a.metric, ROUND(a.ai_thr * w1 + COALESCE(b.ai_thr, 0.0) * (1 - w1) + 1.0E-9, 6) AS ai_thr, ROUND(a.human_thr * w1 + COALESCE(b.human_thr, 0.0) * (1 - w1) + 1.0E-9, 6) AS human_thr, ROUND(a.weight * w1 + COALESCE(b.weight, 0.0) * (1 - w1) + 1.0E-9, 6) AS weight
-FROM w JOIN {thresholds} a ON a.domain = w.d1 LEFT JOIN {thresholds} b ON b.domain = w.d2 AND b.metric = a.metric
+SELECT w.doc_id, a.metric, ROUND(a.ai_thr * w1 + COALESCE(b.ai_thr, 0.0) * (1 - w1) + 1.0E-9, 6) AS ai_thr, ROUND(a.human_thr * w1 + COALESCE(b.human_thr, 0.0) * (1 - w1) + 1.0E-9, 6) AS human_thr, ROUND(a.weight * w1 + COALESCE(b.weight, 0.0) * (1 - w1) + 1.0E-9, 6) AS weight,
+  ROUND(g.ensemble_threshold * w1 + COALESCE(h.ensemble_threshold, 0.0) * (1 - w1) + 1.0E-9, 6) AS ensemble_threshold
+FROM w JOIN {thresholds} a ON a.domain = w.d1 JOIN {domain_cfg} g ON g.domain = w.d1 LEFT JOIN {thresholds} b ON b.domain = w.d2 AND b.metric = a.metric LEFT JOIN {domain_cfg} h ON h.domain = w.d2
 """
 
 #: The verdict's threshold by its confidence: raised where that is low, or lowered where it is high.
@@ -86,6 +113,68 @@ UNION ALL SELECT doc_id, 'domain', 'Low domain classification confidence' FROM {
 UNION ALL SELECT doc_id, metric, CONCAT(metric, ' metric error: ', error) FROM {prob} WHERE error IS NOT NULL
 """
 
+def candidates(units: int) -> list[tuple[int, ...]]:
+    """Whole weights of six metrics that sum to `units`."""
+
+    def parts(left: int, n: int):
+        if n == 1:
+            yield (left,)
+            return
+        for v in range(left + 1):
+            for rest in parts(left - v, n - 1):
+                yield (v, *rest)
+
+    return list(parts(units, 6))
+
+
+def search_weights(judged: DataFrame, labels: DataFrame, units: int = 10) -> DataFrame:
+    """The weights (in shares of `units`) with the best F1 of "generated" (quality 0)
+    for documents of labels (doc_id, quality), and its counts; ties to the first
+    weights in order. A metric that failed has no vote, a document without any
+    probability 0.5. One pass: each task adds up the counts of all candidates, of
+    which the grid has comb(units + 5, 5), whatever the number of documents."""
+    grid = np.array(candidates(units), np.int64)
+    rows = judged.join(labels.select("doc_id", (F.col("quality") == 0).alias("y")), "doc_id")
+    ai = F.transform("p", lambda x: F.when(x["error"].isNull(), F.round(x["ai"] * 1_000_000).cast("long")))
+
+    def count(batches):
+        tp, said, true = np.zeros(len(grid), np.int64), np.zeros(len(grid), np.int64), 0
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                y = part.column(0).to_numpy(zero_copy_only=False).astype(bool)
+                p = np.array([[0 if v is None else v for v in r] for r in part.column(1).to_pylist()], np.int64)
+                ok = np.array([[v is not None for v in r] for r in part.column(1).to_pylist()], np.int64)
+                votes, weight = p @ grid.T, ok @ grid.T
+                yes = (2 * votes >= 1_000_000 * weight)  # exact: the mean is one half at least
+                tp += yes[y].sum(0)
+                said += yes.sum(0)
+                true += int(y.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(grid)), pa.int32()), pa.array(tp), pa.array(said), pa.array(np.full(len(grid), true))], names=["k", "tp", "said", "y"])
+
+    sums = rows.select("y", ai.alias("p")).mapInArrow(count, "k int, tp long, said long, y long").groupBy("k").agg(*[F.sum(c).alias(c) for c in ("tp", "said", "y")])
+    f1 = F.round(F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("said") + F.col("y")), F.lit(0.0)), 6)
+    best = sums.withColumn("f1", f1).orderBy(F.desc("f1"), "k").limit(1)
+    table = judged.sparkSession.createDataFrame([(i, w) for i, w in enumerate(grid.tolist())], "k int, w array<int>")
+    return best.join(F.broadcast(table), "k").select(*[F.get("w", F.lit(i)).cast("long").alias(n) for i, n in enumerate(METRICS)], "tp", (F.col("said") - F.col("tp")).alias("fp"), (F.col("y") - F.col("tp")).alias("fn"), "f1")
+
+
+def search_sql(units: int = 10) -> str:
+    """The exhaustive search over {prob} and labels for DuckDB."""
+    names = [f"g{i}.v AS w{i}" for i in range(1, 6)]
+    used = lambda n: " + ".join(f"g{i}.v" for i in range(1, n + 1))
+    joins = " ".join(f"JOIN g g{i} ON {used(i)} <= {units}" for i in range(2, 6))
+    ai = ", ".join(f"max(CASE WHEN metric = '{m}' AND error IS NULL THEN CAST(round(ai * 1000000) AS BIGINT) END) AS p{i}" for i, m in enumerate(METRICS, 1))
+    vote = " + ".join(f"w{i} * coalesce(p{i}, 0)" for i in range(1, 7))
+    weight = " + ".join(f"CASE WHEN p{i} IS NULL THEN 0 ELSE w{i} END" for i in range(1, 7))
+    order = ", ".join(f"w{i}" for i in range(1, 7))
+    return f"""
+WITH g AS (SELECT unnest(range({units} + 1)) AS v), c AS (SELECT {", ".join(names)}, {units} - ({used(5)}) AS w6 FROM g g1 {joins}),
+d AS (SELECT p.doc_id, max(CASE WHEN l.quality = 0 THEN 1 ELSE 0 END) AS y, {ai} FROM {{prob}} p JOIN {{labels}} l ON l.doc_id = p.doc_id GROUP BY p.doc_id),
+s AS (SELECT {order}, sum(y * yes) AS tp, sum(yes) AS said, sum(y) AS y FROM (SELECT c.*, d.y, CASE WHEN 2 * ({vote}) >= 1000000 * ({weight}) THEN 1 ELSE 0 END AS yes FROM c CROSS JOIN d) GROUP BY {order})
+SELECT {", ".join(f"w{i} AS {m}" for i, m in enumerate(METRICS, 1))}, CAST(tp AS BIGINT) AS tp, CAST(said - tp AS BIGINT) AS fp, CAST(y - tp AS BIGINT) AS fn, round(coalesce(2.0E0 * tp / nullif(said + y, 0), 0), 6) AS f1 FROM s ORDER BY f1 DESC, {order} LIMIT 1"""
+
+
 #: Verdicts by language and domain, with subtotals.
 BREAKDOWN = """
 SELECT COALESCE(s.lang, 'all') AS lang, COALESCE(e.verdict, 'all') AS verdict, CAST(COUNT(*) AS BIGINT) AS n, ROUND(AVG(e.ai_probability) + 1.0E-9, 5) AS mean_ai FROM {ens} e JOIN {documents} s ON s.doc_id = e.doc_id GROUP BY CUBE (s.lang, e.verdict)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import durable
 from .features import let
 
 ROUNDS = 3
@@ -19,16 +20,19 @@ ROUNDS = 3
 def model(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pairs: w, w2, nll; words: w, floor): negative log-likelihoods of the pairs
     seen, and of a word after one that it wasn't seen after: 0.7 bigram + 0.3
-    unigram with one added."""
+    unigram with one added. The corpus is counted once, into the shared folder, and so
+    are the two tables: what uses them reads no document again."""
     ws = docs.select(T.lower_words(F.coalesce("text", F.lit(""))).alias("ws"))
     two = F.transform("ws", lambda w, i: F.struct(w.alias("w"), F.get("ws", i + 1).alias("w2")))
     seen = ws.select(F.explode(two).alias("x")).groupBy("x.w", "x.w2").agg(F.count("*").alias("c"))
+    seen = durable(seen, "pairs-counted")
     words = seen.groupBy("w").agg(F.sum("c").alias("c"), F.sum(F.when(F.col("w2").isNotNull(), F.col("c"))).alias("ctx"))
     size = words.agg(F.sum("c").alias("n"), F.count("*").alias("v"))
-    words = words.crossJoin(F.broadcast(size)).select("w", "ctx", (0.3 * (F.col("c") + 1) / (F.col("n") + F.col("v"))).alias("one"))
+    size = size.first()
+    words = durable(words.select("w", "ctx", (0.3 * (F.col("c") + 1) / ((size.n or 0) + size.v)).alias("one")), "words-counted")
     after = words.select(F.col("w").alias("w2"), "one")
     pairs = seen.where("w2 is not null").join(words.select("w", "ctx"), "w").join(after, "w2")
-    return pairs.select("w", "w2", (-F.log(0.7 * F.col("c") / F.col("ctx") + F.col("one"))).alias("nll")), words.select("w", (-F.log("one")).alias("floor"))
+    return durable(pairs.select("w", "w2", (-F.log(0.7 * F.col("c") / F.col("ctx") + F.col("one"))).alias("nll")), "pairs-model"), words.select("w", (-F.log("one")).alias("floor"))
 
 
 def _flags(k: int) -> Column:

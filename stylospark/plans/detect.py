@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed
-from ..operators import corpus, features, metrics, tokens, verdicts
+from ..functions import fingerprints, fixed
+from ..operators import corpus, features, languages, metrics, phrases, tokens, verdict_rows, verdicts
 from ..operators import language_metrics as lm
 from ..operators import language_model as model
 
@@ -30,69 +30,92 @@ _IN_ROW = [
 _BY_MODEL = [("perplexity", metrics.PERPLEXITY, metrics.PERPLEXITY_FEATURES), ("multi_perturbation_stability", lm.STABILITY, lm.STABILITY_FEATURES)]
 
 
-def metric_rows(docs: DataFrame, skip: tuple[str, ...] = (), domain: str | None = None) -> DataFrame:
-    """doc_id, domain, metric, raw, confidence, mixed, error; metrics in `skip`
-    give an error row and aren't computed. Four metrics are projections of one
-    scan; the language model and its look-ups are the only shuffles."""
+#: Features that attribution reads, by the metric whose step has them.
+_SIGNALS = {"structural": "length_uniformity", "entropy": "token_diversity", "linguistic": "syntactic_complexity", "semantic_analysis": "coherence_score", "perplexity": "overall_perplexity", "multi_perturbation_stability": "stability_score"}
+
+
+def metric_columns(docs: DataFrame, skip: tuple[str, ...] = (), domain: str | None = None, text: bool = False, signals: bool = False) -> DataFrame:
+    """doc_id, domain, _n (characters), a struct (raw, confidence, mixed, error) for
+    each metric, and the text and the features attribution reads if asked for.
+    Metrics in `skip` have an error and aren't computed. Four metrics are projections
+    of one scan; the language model and its look-ups are the only shuffles."""
     t = F.coalesce("text", F.lit(""))
     docs = tokens.spread(docs.select("doc_id", "text", domain_of(docs, domain).alias("_domain")))
-    a = docs.select("doc_id", "text", F.length(t).alias("_n"), "_domain")
-    keep, skipped = ("text", "_n", "_domain"), F.struct(F.lit(0.5).alias("raw"), F.lit(0.3).alias("confidence"), F.lit(0.0).alias("mixed"), F.lit("Skipped").alias("error"))
-    for name, text, sql, made in _IN_ROW:
+    a = docs.select("doc_id", "text", F.length(t).alias("_n"), "_domain", *([F.col("text").alias("_text")] if text else []))
+    keep = ("text", "_n", "_domain", *(["_text"] if text else []))
+    skipped = F.struct(F.lit(0.5).alias("raw"), F.lit(0.3).alias("confidence"), F.lit(0.0).alias("mixed"), F.lit("Skipped").alias("error"))
+    more = lambda name: (_SIGNALS[name],) if signals else ()
+    for name, sql_text, sql, made in _IN_ROW:
         if name == "semantic_analysis":  # the last: the text isn't needed any more
             keep = keep[1:]
         if name in skip:
-            a = a.select("doc_id", *keep, skipped.alias(name))
+            a = a.select("doc_id", *keep, skipped.alias(name), *[F.lit(None).cast("double").alias(c) for c in more(name)])
         else:
-            a = metrics.step(text, sql, made(a, keep), name, keep)
-        keep = (*keep, name)
+            a = metrics.step(sql_text, sql, made(a, keep), name, (*keep, *more(name)))
+        keep = (*keep, name, *more(name))
     own = [x for x in _BY_MODEL if x[0] not in skip]
     if own:
         a = model.features(docs, a.withColumnRenamed("_n", "n_chars").select("*", F.col("n_chars").alias("_n")), keep)
-        for i, (name, text, sql) in enumerate(own):
+        for i, (name, sql_text, sql) in enumerate(own):
             rest = tuple(c for c in model.STABILITY[1:]) if i + 1 < len(own) else ()
-            a, keep = metrics.step(text, sql, a, name, (*keep, *rest)), (*keep, name)
+            a = metrics.step(sql_text, sql, a, name, (*keep, *dict.fromkeys((*more(name), *rest))))
+            keep = (*keep, name, *more(name))
     for name, _, _ in _BY_MODEL:
         if name in skip:
-            a, keep = a.withColumn(name, skipped), (*keep, name)
-    names = [n for n, *_ in (*_IN_ROW, *_BY_MODEL)]
-    rows = F.array(*[F.struct(F.lit(n).alias("metric"), f"{n}.raw", f"{n}.confidence", f"{n}.mixed", f"{n}.error") for n in names])
-    return a.select("doc_id", F.col("_domain").alias("domain"), F.explode(rows).alias("x")).select("doc_id", "domain", "x.*")
+            a = a.withColumns({name: skipped} | {c: F.lit(None).cast("double") for c in more(name)})
+    return a.withColumnRenamed("_domain", "domain").withColumnRenamed("_text", "text")
 
 
-def probabilities(docs: DataFrame, raw: DataFrame | None = None, domain: str | None = None, skip: tuple[str, ...] = ()) -> DataFrame:
-    s = docs.sparkSession
-    raw = metric_rows(docs, skip, domain) if raw is None else raw
-    return metrics.run(s, metrics.spark_sql(verdicts.PROBABILITIES_SPARK), raw=raw, thresholds=fixed.frame(s, "thresholds"), domain_cfg=fixed.frame(s, "domain_cfg"))
+def metric_rows(docs: DataFrame, skip: tuple[str, ...] = (), domain: str | None = None) -> DataFrame:
+    """doc_id, domain, metric, raw, confidence, mixed, error."""
+    rows = F.array(*[F.struct(F.lit(n).alias("metric"), f"{n}.raw", f"{n}.confidence", f"{n}.mixed", f"{n}.error") for n in fixed.METRICS])
+    return metric_columns(docs, skip, domain).select("doc_id", "domain", F.explode(rows).alias("x")).select("doc_id", "domain", "x.*")
+
 
+def judged(docs: DataFrame, domain: str | None = None, skip: tuple[str, ...] = (), text: bool = False, signals: bool = False) -> DataFrame:
+    """A row a document with the array `p` of its metrics' probabilities: what all
+    verdicts below are expressions of."""
+    return verdict_rows.judged(metric_columns(docs, skip, domain, text, signals))
 
-def ensemble(docs: DataFrame, prob: DataFrame | None = None) -> DataFrame:
-    return metrics.run(docs.sparkSession, metrics.spark_sql(verdicts.ENSEMBLE_SPARK), prob=probabilities(docs) if prob is None else prob)
 
+def probabilities(docs: DataFrame, domain: str | None = None, skip: tuple[str, ...] = (), rows: DataFrame | None = None) -> DataFrame:
+    return verdict_rows.probabilities(judged(docs, domain, skip) if rows is None else rows)
 
-def methods(docs: DataFrame, prob: DataFrame | None = None) -> DataFrame:
-    return metrics.compute(verdicts.METHODS, docs, prob=probabilities(docs) if prob is None else prob, performance=fixed.frame(docs.sparkSession, "performance"))
 
+def ensemble(docs: DataFrame, domain: str | None = None, skip: tuple[str, ...] = (), rows: DataFrame | None = None) -> DataFrame:
+    return verdict_rows.verdict(judged(docs, domain, skip) if rows is None else rows).select("doc_id", "verdict.*")
 
-def contributions(docs: DataFrame, prob: DataFrame | None = None) -> DataFrame:
-    return metrics.compute(verdicts.CONTRIBUTIONS, docs, prob=probabilities(docs) if prob is None else prob)
 
+def methods(docs: DataFrame, domain: str | None = None) -> DataFrame:
+    return verdict_rows.methods(judged(docs, domain))
 
-def highlights(docs: DataFrame, prob: DataFrame | None = None) -> DataFrame:
-    return metrics.compute(verdicts.HIGHLIGHTS, docs, prob=probabilities(docs) if prob is None else prob)
+
+def contributions(docs: DataFrame, domain: str | None = None) -> DataFrame:
+    return verdict_rows.contributions(judged(docs, domain))
+
+
+def ablation(docs: DataFrame, domain: str | None = None) -> DataFrame:
+    return verdict_rows.ablation(judged(docs, domain))
+
+
+def highlights(docs: DataFrame, domain: str | None = None) -> DataFrame:
+    return verdict_rows.highlights(judged(docs, domain, text=True))
 
 
 def risk(marks: DataFrame) -> DataFrame:
     return marks.sparkSession.sql(metrics.spark_sql(verdicts.risk_sql()), marks=marks)
 
 
-def attribution(docs: DataFrame, fingerprints: DataFrame) -> DataFrame:
-    lowered = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("t"))
-    return metrics.compute(verdicts.ATTRIBUTION, docs, fingerprints=fingerprints, lowered=lowered)
+def attribution(docs: DataFrame, prints: DataFrame | None = None, domain: str | None = None) -> DataFrame:
+    """The likeliest generator of each document; prints (model, kind, phrase) may stand
+    for the fixed phrases."""
+    rows = fingerprints.rows() if prints is None else phrases.checked(prints)
+    return verdict_rows.attribution(metric_columns(docs, (), domain, text=True, signals=True), rows)
 
 
 def language(docs: DataFrame) -> DataFrame:
-    return metrics.compute(verdicts.LANGUAGE, docs, script=scripts(docs), stopwords=fixed.frame(docs.sparkSession, "stopwords"))
+    """doc_id, language, matches by script and function words, without a shuffle."""
+    return languages.by_words(docs)
 
 
 def scripts(docs: DataFrame) -> DataFrame:
@@ -110,29 +133,40 @@ def scripts(docs: DataFrame) -> DataFrame:
     return counts.select("doc_id", F.when(total == 0, "unknown").when(several & (top / total < 0.7), "mixed").otherwise(best).alias("script"), *names)
 
 
-def report(ens: DataFrame, parts: DataFrame) -> DataFrame:
-    """doc_id, report: the verdict and its metrics as JSON, metrics by weight."""
-    own = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "metric", "weight", "contribution", "metric_verdict"))).alias("metrics"))
-    return ens.join(own, "doc_id", "left").select("doc_id", F.to_json(F.struct("verdict", "ai_probability", "human_probability", "mixed_probability", "overall_confidence", "uncertainty", "consensus", "domain", "metrics")).alias("report"))
+def report(docs: DataFrame, domain: str | None = None) -> DataFrame:
+    """doc_id, report: the verdict, the metrics by weight, reasons and advice as JSON, all
+    from one row a document."""
+    a = verdict_rows.verdict(judged(docs, domain))
+    v = lambda c: F.col(f"verdict.{c}")
+    sections = F.struct(
+        F.struct(F.lit("1.0.0").alias("version"), F.lit("json").alias("format"), F.col("doc_id").cast("string").alias("report_id")).alias("report_metadata"),
+        F.struct(v("verdict").alias("final_verdict"), v("ai_probability"), v("human_probability"), v("mixed_probability"), v("overall_confidence"), v("uncertainty").alias("uncertainty_score"), v("consensus").alias("consensus_level"), F.col("domain"), F.col("_n").alias("text_length")).alias("overall_results"),
+        F.struct(F.lit("confidence_calibrated").alias("method_used"), v("confidence_label"), v("valid_metrics")).alias("ensemble_analysis"),
+        verdict_rows.parts().alias("detailed_metrics"), verdict_rows.reasons().alias("detection_reasoning"),
+        F.struct(F.transform(F.filter("p", lambda x: x["error"].isNotNull()), lambda x: F.concat(x["metric"], F.lit(" metric error: "), x["error"])).alias("warnings")).alias("performance_metrics"),
+    )
+    return a.select("doc_id", F.to_json(sections).alias("report"))
 
 
 def detect(docs: DataFrame, domain: str | None = None) -> DataFrame:
     """Language, script, verdict and its numbers for every document."""
-    return ensemble(docs, probabilities(docs, domain=domain)).join(language(docs), "doc_id").join(scripts(docs).select("doc_id", "script"), "doc_id")
+    return ensemble(docs, domain).join(language(docs), "doc_id").join(scripts(docs).select("doc_id", "script"), "doc_id")
 
 
-def domain(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """doc_id, domain, secondary, confidence by the words of a lexicon (domain, term)."""
-    return metrics.compute(corpus.DOMAIN, docs, domain_terms=_terms(docs, terms))
+def domain(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """doc_id, domain, secondary, confidence by the words of a lexicon (domain, term):
+    a table of the user's, or what corpus.learn_terms finds in labelled documents."""
+    return metrics.compute(corpus.DOMAIN, docs, domain_terms=terms)
 
 
-def _terms(docs: DataFrame, terms: DataFrame | None) -> DataFrame:
-    return docs.sparkSession.createDataFrame(corpus.domain_rows(), "domain string, term string") if terms is None else terms
+def adaptive_thresholds(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """doc_id, metric, ai_thr, human_thr, weight, ensemble_threshold by each document's own domains."""
+    s = docs.sparkSession
+    return metrics.compute(corpus.ADAPTIVE, docs, domain_terms=terms, thresholds=fixed.frame(s, "thresholds"), domain_cfg=fixed.frame(s, "domain_cfg"))
 
 
-def adaptive_thresholds(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """doc_id, metric, ai_thr, human_thr, weight by each document's own domains."""
-    return metrics.compute(corpus.ADAPTIVE, docs, domain_terms=_terms(docs, terms), thresholds=fixed.frame(docs.sparkSession, "thresholds"))
+def search_weights(docs: DataFrame, labels: DataFrame, units: int = 10) -> DataFrame:
+    return corpus.search_weights(judged(docs), labels, units)
 
 
 def adjusted_thresholds(ens: DataFrame) -> DataFrame:
@@ -141,10 +175,10 @@ def adjusted_thresholds(ens: DataFrame) -> DataFrame:
     return metrics.run(s, metrics.spark_sql(corpus.ADJUSTED), ens=ens, domain_cfg=fixed.frame(s, "domain_cfg"))
 
 
-def warnings(docs: DataFrame, prob: DataFrame | None = None) -> DataFrame:
+def warnings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, source, warning: none or several rows of a document."""
     s = docs.sparkSession
-    return metrics.run(s, metrics.spark_sql(corpus.WARNINGS), lang=language(docs), script=scripts(docs), dom=domain(docs), prob=probabilities(docs) if prob is None else prob)
+    return metrics.run(s, metrics.spark_sql(corpus.WARNINGS), lang=language(docs), script=scripts(docs), dom=domain(docs, terms), prob=probabilities(docs))
 
 
 def score_once(docs: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -159,7 +193,9 @@ def score_once(docs: DataFrame, score: Callable[[DataFrame], DataFrame]) -> Data
 def highlight_html(marks: DataFrame) -> DataFrame:
     """doc_id, html: a span for each sentence, in order, with its colour class."""
     text = F.replace(F.replace(F.replace(F.col("sentence"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    span = F.concat(F.lit('<span class="'), F.col("colour"), F.lit('" data-index="'), F.col("idx").cast("string"), F.lit('">'), text, F.lit("</span>"))
+    quoted = F.replace(F.replace(F.replace(F.col("tooltip"), F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit("\n"), F.lit("&#10;"))
+    data = lambda name, c: F.concat(F.lit(f'" data-{name}="'), c)
+    span = F.concat(F.lit('<span class="'), F.col("colour"), data("index", F.col("idx").cast("string")), data("ai-probability", F.format_string("%.6f", "ai_probability")), data("confidence", F.format_string("%.6f", "confidence")), F.lit('" title="'), quoted, F.lit('">'), text, F.lit("</span>"))
     return marks.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", span.alias("s")))), lambda x: x["s"]), " ").alias("html"))
 
 

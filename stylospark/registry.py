@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import language_metrics as lm
-from .functions import fixed
+from .functions import fingerprints, fixed
 from .functions import text as T
-from .operators import corpus, metrics, parses, tokens, verdicts
+from .operators import corpus, languages, metrics, parses, tokens, verdicts
 from .plans import detect
+from .session import durable
 from .sources import files
 from .streaming import events
 
@@ -46,15 +47,12 @@ query(parses.ROWS_SQL, "parses")(lambda s, d: parses.parse(docs(s, d)))
 query(f"SELECT * EXCLUDE n_chars FROM ({parses.FEATURES_SQL})", "linguistic_from_parses")(lambda s, d: parses.from_table(parses.parse(docs(s, d)), docs(s, d)))
 
 
-_T, _C, _P, _W = (fixed.values_sql(n) for n in ("thresholds", "domain_cfg", "performance", "stopwords"))
-#: Phrases that a user's table would hold; these few serve the query.
-FINGERPRINTS = [("gpt-4", "phrase", "it's important to note that"), ("gpt-4", "starter", "notably,"), ("llama-3", "phrase", "it's worth noting"), ("llama-3", "pattern", "first of all"), ("gpt-3.5-turbo", "starter", "the "), ("gemini-pro", "pattern", " the ")]
-
-
+_T, _C, _P, _W, _A = (fixed.values_sql(n) for n in ("thresholds", "domain_cfg", "performance", "stopwords", "attribution"))
+_FINGERPRINTS = "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in fingerprints.rows()) + ") t(model, kind, phrase))"
 def _named(body: str, *clauses: str) -> str:
     """DuckDB SQL of a text over named results of other texts."""
     names = [c.split(" AS ", 1)[0] for c in clauses]
-    own = metrics.duck_sql(body, **{n: n for n in names}, thresholds=_T, domain_cfg=_C, performance=_P, stopwords=_W, labels="labels", documents="documents")
+    own = metrics.duck_sql(body, **{n: n for n in names}, thresholds=_T, domain_cfg=_C, performance=_P, stopwords=_W, attribution=_A, fingerprints=_FINGERPRINTS, labels="labels", documents="documents")
     head, _, tail = own.partition("\nSELECT * FROM (\n")
     need = {n for c in clauses for n in metrics.needed(c)} | set(metrics.needed(body))
     extra = [tokens.DUCK[n] for n in sorted(need) if n in tokens.DUCK and tokens.DUCK[n] not in head]
@@ -78,17 +76,21 @@ query(_named(verdicts.CONTRIBUTIONS, *_BASE, _PROB), "metric_contributions")(lam
 query(_named(verdicts.HIGHLIGHTS, *_BASE, _PROB), "sentence_highlights")(lambda s, d: detect.highlights(docs(s, d)))
 query(_named(verdicts.risk_sql(), *_BASE, _PROB, f"marks AS ({verdicts.HIGHLIGHTS})"), "highlight_risk")(lambda s, d: detect.risk(detect.highlights(docs(s, d))))
 query(_named(verdicts.EVALUATION, *_BASE, _PROB, f"ens AS ({verdicts.ENSEMBLE})"), "evaluation")(lambda s, d: s.sql(metrics.spark_sql(verdicts.EVALUATION), ens=detect.ensemble(docs(s, d)), labels=table(s, d, "labels"), documents=table(s, d, "documents")))
-query(
-    metrics.duck_sql(verdicts.ATTRIBUTION, fingerprints="(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in FINGERPRINTS) + ") t(model, kind, phrase))", lowered="(SELECT doc_id, lower(text) AS t FROM src)"),
-    "attribution",
-)(lambda s, d: detect.attribution(docs(s, d), s.createDataFrame(FINGERPRINTS, "model string, kind string, phrase string")))
-@query()
-def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = docs(spark, sf_dir)
-    prob = detect.probabilities(own)
-    return detect.report(detect.ensemble(own, prob), detect.contributions(own, prob))
+query(_named(verdicts.ATTRIBUTION, _DOM), "attribution")(lambda s, d: detect.attribution(docs(s, d)))
+
+#: Documents whose domain is dealt by doc_id, so that every domain's settings are run over the whole table.
+_DEALT = f"doc_domain AS (SELECT doc_id, {fixed.domains()!r}[doc_id % 16 + 1] AS domain FROM documents)"
+
+
+def _dealt(s: SparkSession, d: str) -> DataFrame:
+    names = F.array(*map(F.lit, fixed.domains()))
+    return docs(s, d).withColumn("domain", F.element_at(names, (F.pmod("doc_id", F.lit(16)) + 1).cast("int")))
 
 
+query(_named(verdicts.ENSEMBLE, _RAW, _DEALT, _PROB), "verdict_by_domain")(lambda s, d: detect.ensemble(_dealt(s, d)))
+query(_named(verdicts.HIGHLIGHTS, _RAW, _DEALT, _PROB), "highlights_by_domain")(lambda s, d: detect.highlights(_dealt(s, d)))
+query(_named(verdicts.ATTRIBUTION, _DEALT), "attribution_by_domain")(lambda s, d: detect.attribution(_dealt(s, d)))
+query(name="report_json")(lambda s, d: detect.report(docs(s, d)))
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
@@ -195,7 +197,11 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 query(metrics.duck_sql(verdicts.LANGUAGE, script=f"({_scripts_sql()})", stopwords=_W), "language_by_words")(lambda s, d: detect.language(docs(s, d)))
 
 
-@query()
+@query(rf"""
+    WITH a AS (SELECT doc_id, {verdicts.smart_sql("coalesce(text, '')")} AS t FROM documents),
+    b AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(t, '[.!?]+(\s+[A-Z])', chr(1) || '\1', 'g'), '[.!?]+(\r?\n|\r)?$', chr(1)), chr(1)), lambda x: regexp_replace(replace(replace(x, '<DOT>', '.'), '<ELLIPSIS>', '...'), '^\s+|\s+$', '', 'g')),
+      lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda y: y <> '')) >= 2) AS s FROM a)
+    SELECT doc_id, CAST(unnest(range(len(s))) AS INTEGER) AS idx, unnest(s) AS sentence FROM b""")
 def sentences_smart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.posexplode(T.sentences_smart(F.coalesce("text", F.lit("")))).alias("idx", "sentence"))
 
@@ -208,19 +214,31 @@ def sentences_lookbehind(spark: SparkSession, sf_dir: str) -> DataFrame:
 for _name, _text in {"lm_bigram": corpus.LM_BIGRAM, "lm_unigram": corpus.LM_UNIGRAM, "overlapping_chunks": corpus.OVERLAPPING}.items():
     query(metrics.duck_sql(_text), _name)(lambda spark, sf_dir, text=_text: metrics.compute(text, docs(spark, sf_dir)))
 
-_TERMS = "(SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{t}')" for d, t in corpus.domain_rows()) + ") t(domain, term))"
+#: The tables label no domain: documents' sources, dealt over the sixteen, stand for labels.
+_LABELLED = f"(SELECT text, {fixed.domains()!r}[CAST(regexp_extract(source, '[0-9]+') AS INTEGER) % 16 + 1] AS domain FROM documents)"
+_TERMS = f"({corpus.TERMS_SQL.replace('{labelled}', _LABELLED)})"
+
+
+def _terms(s: SparkSession, d: str) -> DataFrame:
+    names = F.array(*map(F.lit, fixed.domains()))
+    at = F.regexp_extract("source", "[0-9]+", 0).cast("int") % 16 + 1
+    return durable(corpus.learn_terms(table(s, d, "documents").select("text", F.element_at(names, at).alias("domain"))), "domain-terms")
+
+
+query(corpus.TERMS_SQL.replace("{labelled}", _LABELLED), "domain_terms")(_terms)
+query(_named(corpus.search_sql(), *_BASE, _PROB), "weight_search")(lambda s, d: detect.search_weights(docs(s, d), table(s, d, "labels")))
 _ENS = f"ens AS ({verdicts.ENSEMBLE})"
-query(metrics.duck_sql(corpus.DOMAIN, domain_terms=_TERMS), "domain_by_lexicon")(lambda s, d: detect.domain(docs(s, d)))
-query(_named(corpus.ABLATION, *_BASE, _PROB), "ablation")(lambda s, d: s.sql(metrics.spark_sql(corpus.ABLATION), prob=detect.probabilities(docs(s, d))))
+query(metrics.duck_sql(corpus.DOMAIN, domain_terms=_TERMS), "domain_by_lexicon")(lambda s, d: detect.domain(docs(s, d), _terms(s, d)))
+query(_named(corpus.ABLATION, *_BASE, _PROB), "ablation")(lambda s, d: detect.ablation(docs(s, d)))
 query(_named(corpus.CALIBRATION, *_BASE, _PROB, _ENS), "calibration")(lambda s, d: s.sql(metrics.spark_sql(corpus.CALIBRATION), ens=detect.ensemble(docs(s, d)), labels=table(s, d, "labels")))
 query(_named(corpus.SUMMARY, *_BASE, _PROB, _ENS), "verdict_summary")(lambda s, d: s.sql(metrics.spark_sql(corpus.SUMMARY), ens=detect.ensemble(docs(s, d))))
 query(_named(corpus.BREAKDOWN, *_BASE, _PROB, _ENS), "verdict_breakdown")(lambda s, d: s.sql(metrics.spark_sql(corpus.BREAKDOWN), ens=detect.ensemble(docs(s, d)), documents=table(s, d, "documents")))
 query(name="highlight_html")(lambda s, d: detect.highlight_html(detect.highlights(docs(s, d))))
 query(metrics.duck_sql(metrics.ENTROPY), "score_identical_once")(lambda s, d: detect.score_once(docs(s, d), lambda few: metrics.compute(metrics.ENTROPY, few)))
-query(metrics.duck_sql(corpus.ADAPTIVE, domain_terms=_TERMS, thresholds=_T), "adaptive_thresholds")(lambda s, d: detect.adaptive_thresholds(docs(s, d)))
+query(metrics.duck_sql(corpus.ADAPTIVE, domain_terms=_TERMS, thresholds=_T, domain_cfg=_C), "adaptive_thresholds")(lambda s, d: detect.adaptive_thresholds(docs(s, d), _terms(s, d)))
 query(_named(corpus.ADJUSTED, *_BASE, _PROB, _ENS), "adjusted_thresholds")(lambda s, d: detect.adjusted_thresholds(detect.ensemble(docs(s, d))))
 _MORE = (f"lang AS (SELECT * FROM ({ORACLES['language_by_words']}) x)", f"script AS ({_scripts_sql()})", f"dom AS (SELECT * FROM ({ORACLES['domain_by_lexicon']}) x)")
-query(_named(corpus.WARNINGS, *_BASE, _PROB, *_MORE), "analysis_warnings")(lambda s, d: detect.warnings(docs(s, d)))
+query(_named(corpus.WARNINGS, *_BASE, _PROB, *_MORE), "analysis_warnings")(lambda s, d: detect.warnings(docs(s, d), _terms(s, d)))
 
 
 @query("""
@@ -229,6 +247,12 @@ query(_named(corpus.WARNINGS, *_BASE, _PROB, *_MORE), "analysis_warnings")(lambd
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return events.latency(e.withColumn("size", F.get_json_object("props", "$.k").cast("int")), "size", "value", (25, 50))
+_CLEAN = f"(SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), 'https?://\\S+|www\\.\\S+', '', 'g'), '\\S+@\\S+', '', 'g'), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM documents)"
+_CLEAN_SCRIPT = _scripts_sql().replace("FROM documents", f"FROM {_CLEAN} cleaned")
+_CLEAN_WORDS = f"SELECT q.doc_id, q.language, c.script NOT IN ('latin', 'mixed', 'unknown') AS by_script FROM ({metrics.duck_sql(verdicts.LANGUAGE, script=f'({_CLEAN_SCRIPT})', stopwords=_W).replace('FROM documents)', f'FROM {_CLEAN} cleaned)')}) q JOIN ({_CLEAN_SCRIPT}) c ON c.doc_id = q.doc_id"
+query(languages.CHUNKS_SQL, "language_chunks")(lambda s, d: languages.chunk_rows(docs(s, d)))
+query(languages.MODEL_SQL, "language_model")(lambda s, d: languages.train(table(s, d, "documents")))
+query(languages.DETECT_SQL.replace("{words}", _CLEAN_WORDS).replace("{script}", _CLEAN_SCRIPT), "language_detected")(lambda s, d: languages.detect(docs(s, d), languages.train(table(s, d, "documents"))))
 query(f"SELECT doc_id, language = 'en' AS is_english FROM ({ORACLES['language_by_words']}) x", "english")(lambda s, d: detect.language(docs(s, d)).select("doc_id", (F.col("language") == "en").alias("is_english")))
 
 

@@ -87,9 +87,9 @@ def test_probabilities_and_verdicts(spark):
     prob = detect.probabilities(docs).cache()
     assert prob.count() == 30 * 6
     assert all(abs(r.ai + r.human + r.mixed - 1) < 1e-5 and 0 <= r.ai <= 1 for r in prob.collect())
-    ens = detect.ensemble(docs, prob).collect()
+    ens = detect.ensemble(docs).collect()
     assert len(ens) == 30 and {r.verdict for r in ens} <= {"AI-Generated", "Human-Written", "Mixed (AI + Human)", "Uncertain"}
-    again = detect.ensemble(docs.repartition(7), prob.repartition(5)).collect()
+    again = detect.ensemble(docs.repartition(7)).collect()
     assert sorted(r.verdict for r in again) == sorted(r.verdict for r in ens)
 
 

@@ -46,5 +46,15 @@ def test_skipped_metrics_are_not_computed(docs):
     assert "Aggregate" not in rows._jdf.queryExecution().optimizedPlan().toString()
     got = rows.where("error = 'Skipped'").groupBy("metric").count().collect()
     assert {(r.metric, r["count"]) for r in got} == {("multi_perturbation_stability", len(TEXTS)), ("perplexity", len(TEXTS))}
-    assert detect.ensemble(docs, detect.probabilities(docs, skip=("perplexity",))).count() == len(TEXTS)
+    assert detect.ensemble(docs, skip=("perplexity",)).count() == len(TEXTS)
     assert detect.ensemble(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["ensemble_verdict", "ensemble_methods", "metric_contributions", "ablation", "sentence_highlights", "highlight_risk", "attribution", "report_json", "verdict_summary", "perplexity_metric", "stability_metric"])
+def test_plans_read_and_shuffle_little(spark, name):
+    from stylospark import registry
+
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[-1]
+    reads, exchanges, nested = len(re.findall(r"FileScan parquet", plan)), len(re.findall(r"Exchange hashpartitioning", plan)), len(re.findall(r"BroadcastNestedLoopJoin|CartesianProduct", plan))
+    assert reads <= 4 and exchanges <= 20 and not nested, (reads, exchanges, nested)

@@ -1,13 +1,14 @@
 """Metrics of the whole text against brute force: no document is cut to a prefix."""
 
 import math
+import random
 import re
 from collections import Counter
 
 from stylospark import registry
 from stylospark.functions import text as T
 from stylospark.operators import language_metrics as lm
-from stylospark.operators import metrics, verdicts
+from stylospark.operators import metrics, phrases, verdict_rows, verdicts
 from stylospark.plans import detect
 
 
@@ -59,7 +60,8 @@ def test_stability_reads_all_words_and_drops_a_tenth_of_each_block(spark):
 
 
 def test_domain_counts_words_after_the_400th(spark):
-    got = {r.doc_id: r for r in detect.domain(frame(spark, [" ".join(["plain"] * 450 + ["contract", "law", "agreement"]), "research thesis " + "plain " * 450 + "law law law"])).collect()}
+    terms = spark.createDataFrame([("legal", w) for w in ("contract", "law", "agreement")] + [("academic", w) for w in ("research", "thesis")], "domain string, term string")
+    got = {r.doc_id: r for r in detect.domain(frame(spark, [" ".join(["plain"] * 450 + ["contract", "law", "agreement"]), "research thesis " + "plain " * 450 + "law law law"]), terms).collect()}
     assert got[0].domain == "legal" and got[0].confidence == 1.0
     assert got[1].domain == "legal" and got[1].secondary == "academic"
 
@@ -88,19 +90,62 @@ def test_perplexity_of_each_sentence(spark):
     assert r.avg_sentence_perplexity == r.min_sentence_perplexity == r.max_sentence_perplexity == r.overall_perplexity
 
 
-def test_highlights_keep_short_sentences_and_documents_without_any(spark):
-    docs = spark.createDataFrame([(1, "Yes. No way! The cat sat on the mat all day long? Go."), (2, None), (3, " \n "), (4, " ... !!"), (5, "Hello."), (6, "This one failed in all metrics.")], "doc_id long, text string")
-    ai = {"structural": 0.2, "entropy": 0.65, "perplexity": 0.9}
-    rows = [(d, m, "general", 0.2, 0.4, p, 1 - p, 0.0, 0.6, "Failed" if m == "structural" and d == 1 or d == 6 else None) for d in range(1, 7) for m, p in ai.items()]
-    prob = spark.createDataFrame(rows, "doc_id long, metric string, domain string, weight double, ensemble_threshold double, ai double, human double, mixed double, confidence double, error string")
-    marks = detect.highlights(docs, prob)
+P = "array<struct<metric:string,ai:double,human:double,mixed:double,confidence:double,error:string,weight:double,factor:double>>"
+
+
+def judged(spark, rows, ai, failed):
+    """Rows (doc_id, text, domain) as if judged with the given probabilities."""
+    own = [(d, t, dom, [(m, p, 1 - p, 0.0, 0.6, "Failed" if failed(d, m) else None, 0.2, 1.0) for m, p in ai.items()]) for d, t, dom in rows]
+    return spark.createDataFrame(own, f"doc_id long, text string, domain string, p {P}")
+
+
+def test_highlights_of_short_sentences_and_documents_without_any(spark):
+    texts = [(1, "Yes. No way! The cat sat on the mat all day long? Go.", "general"), (2, None, "general"), (3, " \n ", "general"), (4, " ... !!", "general"), (5, "Hello.", "general"), (6, "This one failed in all metrics.", "general")]
+    a = judged(spark, texts, {"structural": 0.2, "entropy": 0.65, "perplexity": 0.9}, lambda d, m: m == "structural" and d == 1 or d == 6)
+    marks = verdict_rows.highlights(a)
     got = {(r.doc_id, r.idx): r for r in marks.collect()}
-    assert {k: r.sentence for k, r in got.items()} == {(1, 0): "Yes", (1, 1): "No way", (1, 2): "The cat sat on the mat all day long", (1, 3): "Go", (2, 0): "No text content", (3, 0): "No text content", (4, 0): "... !!", (5, 0): "Hello", (6, 0): "This one failed in all metrics"}
-    for k, want in {(1, 0): (0.65, 0.2), (1, 1): (0.65, 0.2), (2, 0): (0.5, 0.3), (3, 0): (0.5, 0.3), (4, 0): (0.2, 0.2), (5, 0): (0.2, 0.2), (6, 0): (0.5, 0.5)}.items():
+    assert {k: r.sentence for k, r in got.items()} == {(1, 0): "No way", (1, 1): "The cat sat on the mat all day long", (2, 0): "No text content", (3, 0): "No text content", (4, 0): "... !!", (5, 0): "Hello", (6, 0): "This one failed in all metrics"}
+    for k, want in {(1, 0): (0.65, 0.2), (2, 0): (0.5, 0.3), (3, 0): (0.5, 0.3), (4, 0): (0.2, 0.2), (5, 0): (0.2, 0.2), (6, 0): (0.5, 0.5)}.items():
         assert (got[k].ai_probability, got[k].confidence) == want
-    assert got[1, 2].confidence > 0.2 and got[1, 0].colour == "medium-ai"
-    assert {r.doc_id: r.n_sentences for r in detect.risk(marks).collect()} == {1: 4, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1}
-    assert all(w in {r.doc_id: r.html for r in detect.highlight_html(marks).collect()}[1] for w in ("Yes", "No way", "Go"))
+    assert got[1, 1].confidence > 0.2 and got[1, 0].colour == "medium-ai" and "entropy: " in got[1, 1].tooltip and "Length: 9 words" in got[1, 1].tooltip
+    assert {r.doc_id: r.n_sentences for r in detect.risk(marks).collect()} == {1: 2, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1}
+    html = {r.doc_id: r.html for r in detect.highlight_html(marks).collect()}[1]
+    assert "No way</span>" in html and 'data-index="0"' in html and 'data-ai-probability="0.650000"' in html
+
+
+def test_rules_of_each_domain_adjust_a_sentence(spark):
+    plain = "Some people walked over green fields all day today"
+    cases = {
+        ("science", "Our algorithm walked over green fields all day"): 1.1, ("ai_ml", "This function walked over green fields all day"): 1.15, ("engineering", " ".join(["word"] * 36)): 1.05, ("creative", "Wow people walked over green fields all day"): 0.7,
+        ("social_media", "They hope people walked over green fields again"): 0.8, ("blog_personal", "Some people walked over fields"): 0.8, ("legal", "According to people they walked over green fields"): 0.8, ("medical", "The diagnosis walked over green fields all day"): 1.1,
+        ("academic", " ".join(["word"] * 41)): 1.1, ("business", "They leverage people walked over green fields all"): 1.05, ("marketing", "Perhaps people walked over green fields all day"): 0.9, ("journalism", " ".join(["word"] * 20)): 0.9, ("tutorial", "Firstly people walked over green fields all day"): 0.85,
+        ("tutorial", "See step 1 over green fields all day long"): 0.8, ("tutorial", "People such as those over green fields all day"): 0.9, ("general", "People walked because fields all day were so green"): 0.9, ("general", "green fields green fields green fields over hills"): 1.1, ("general", plain): 1.0, ("legal", plain): 1.0,
+    }
+    ai = {"entropy": 0.5}
+    rows = [(i, s + ".", d) for i, (d, s) in enumerate(cases)]
+    got = {r.doc_id: r.ai_probability for r in verdict_rows.highlights(judged(spark, rows, ai, lambda d, m: False)).collect()}
+    base = {r.doc_id: r.ai_probability for r in verdict_rows.highlights(judged(spark, [(i, t, "none") for i, t, _ in rows], ai, lambda d, m: False)).collect()}
+    for i, factor in enumerate(cases.values()):
+        assert math.isclose(got[i], max(base[i] - 0.3, min(base[i] + 0.3, base[i] * factor)), abs_tol=2e-6), (list(cases)[i], got[i], base[i])
+
+
+def test_fingerprints_by_one_automaton():
+    rows = [("a", "phrase", "of the"), ("a", "pattern", "the"), ("a", "starter", "so,"), ("b", "phrase", "he t"), ("b", "starter", "so,"), ("b", "starter", "now,"), ("c", "pattern", "zzz")]
+    own = phrases.Fingerprints(rows)
+    rng = random.Random(1)
+    for _ in range(300):
+        text = "".join(rng.choice(["of the ", "the", " t", "so, ", "now, ", ". ", "!", " x "]) for _ in range(rng.randint(0, 12)))
+        want = []
+        for m in "abc":
+            hit = sum((3 if k == "phrase" else 2) for n, k, p in rows if n == m and k != "starter" and p in text)
+            checks = sum(n == m and k != "starter" for n, k, _ in rows)
+            first = [p for n, k, p in rows if n == m and k == "starter"]
+            if first:
+                pieces = re.split(r"[.!?]+", text)
+                hit, checks = hit + 2 * sum(any(s.strip().startswith(p) for p in first) for s in pieces), checks + len(pieces)
+            want.append(min(1.0, hit / (checks * 0.5)))
+        assert own.scores(text) == want
+    assert phrases.Fingerprints([]).scores("any") == []
 
 
 def test_attribution_adds_the_rules_of_the_metrics(spark):
