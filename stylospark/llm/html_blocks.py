@@ -2,9 +2,13 @@
 
 A page becomes a sequence of leaf blocks. A bidirectional LSTM in numpy reads of
 each block a vector of its tag path (elements, classes, ids, hashed), one of its
-hashed words and a few numbers, and labels every block with the whole page as
-context. It is trained here: on pages laid out by rule, whose labels are known,
-filled with words of a bounded sample of the given pages.
+hashed words and some numbers (its length, links and place, and how much of the
+page's text, links and headings the two boxes around it hold), and labels every
+block with the whole page as context. It is trained here: on pages laid out by
+rule, whose labels are known, filled with words of a bounded sample of the given
+pages. Half the layouts have neutral class names and few telling elements, and a
+quarter of the rest are read without any class or id, so that a page whose names say
+nothing is labelled by its structure.
 """
 
 from __future__ import annotations
@@ -20,12 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import U64, column, word_hashes, words
 
-PATH_DIM, WORD_DIM, NUM_DIM, HIDDEN = 48, 16, 6, 20
+PATH_DIM, WORD_DIM, NUM_DIM, HIDDEN = 48, 24, 17, 24
 DIM = PATH_DIM + WORD_DIM + NUM_DIM
 #: Pages whose words fill the training layouts, and the number of layouts.
-SAMPLE, LAYOUTS = 100, 400
+SAMPLE, LAYOUTS = 100, 700
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPEN, _NEXT = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)"), re.compile("[>\"']")
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN_ATTR = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 # Elements of the HTML standard.
@@ -39,11 +43,68 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 P_ENDS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 
-def blocks(page: str) -> list[tuple[str, str, float]]:
-    """(tag path, text, share of the text in links) of each leaf block with text,
-    in order. White space is one space; markup that doesn't close is tolerated."""
-    out: list[tuple[str, str, float]] = []
+#: Elements that hold blocks together, those nested deeper than browsers keep apart, and how much of a path is read.
+BOXES = frozenset("div section article main aside nav header footer form body".split())
+DEEPEST, OUTER, INNER = 512, 6, 14
+
+
+class Block(tuple):
+    """(tag path, text, share of the text in links), and the numbers of the boxes
+    around it, innermost first."""
+
+    boxes: tuple[int, int] = (0, 0)
+
+
+def tags(page: str):
+    """(start, end, slash, name, attributes) of tags, comments and declarations (whose
+    name is empty), in order. A tag ends at the first > outside of quotes, or is text.
+    Where a search fails from some place, later searches that come there fail at
+    once, so the work is linear in the page."""
+    at, n = 0, len(page)
+    last = {c: page.rfind(c) for c in ">\"'"}
+    dead: set[int] = set()
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at) or page.startswith("<![CDATA[", at):
+            close = "-->" if page[at + 2] == "-" else "]]>"
+            end = page.find(close, at + (4 if close == "-->" else 9))
+            end = n if end < 0 else end + 3
+            yield at, end, "", "", ""
+            at = end
+            continue
+        if page[at + 1 : at + 2] in ("!", "?"):
+            end = page.find(">", at) if at < last[">"] else -1
+            end = n if end < 0 else end + 1
+            yield at, end, "", "", ""
+            at = end
+            continue
+        m = _OPEN.match(page, at)
+        end = m.end() if m else n
+        seen: list[int] = []
+        while m and end not in dead:
+            seen.append(end)
+            q = _NEXT.search(page, end) if end <= last[">"] else None
+            if q is None:
+                break
+            if q[0] == ">":
+                yield at, q.end(), m[1], m[2], page[m.end() : q.start()]
+                at = q.end()
+                break
+            shut = page.find(q[0], q.end()) if q.start() < last[q[0]] else -1
+            if shut < 0:
+                break
+            end = shut + 1
+        if not m or at < m.end():
+            dead.update(seen)
+            at += 1
+
+
+def blocks(page: str) -> list[Block]:
+    """Each leaf block with text, in order. White space is one space; markup that
+    doesn't close is tolerated. Of a path the outermost and innermost elements are
+    kept, and elements nested deeper than DEEPEST lie beside one another."""
+    out: list[Block] = []
     stack: list[tuple[str, str]] = []
+    held, over, box, made = {}, {}, [0, 0], 0
     text: list[str] = []
     unclosed: set[str] = set()
     linked, at, n = 0, 0, len(page)
@@ -53,36 +114,48 @@ def blocks(page: str) -> list[tuple[str, str, float]]:
         if text:
             got = " ".join("".join(text).split())
             if got:
-                out.append((" ".join(x[1] for x in stack if x[0] not in INLINE or x[1] != x[0]), got, min(1.0, linked / len(got))))
+                near = stack if len(stack) <= OUTER + INNER else stack[:OUTER] + stack[-INNER:]
+                b = Block((" ".join(x[1] for x in near if x[0] not in INLINE or x[1] != x[0]), got, min(1.0, linked / len(got))))
+                b.boxes = (box[-1], box[-2])
+                out.append(b)
             text.clear()
         linked = 0
 
+    def drop(a: int, b: int | None = None) -> None:
+        for x in stack[a:b]:
+            held[x[0]] -= 1
+            if x[0] in BOXES:
+                box.pop()
+        del stack[a:b]
+
     def say(piece: str) -> None:
         nonlocal linked
         if piece:
             got = html.unescape(piece)
             text.append(got)
-            if any(x[0] == "a" for x in stack):
+            if held.get("a"):
                 linked += len(got.strip())
 
-    for m in TOKEN.finditer(page):
-        if m.start() < at:
+    for start, stop, slash, name, attrs in tags(page):
+        if start < at:
             continue
-        say(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
+        say(page[at:start])
+        at, name = stop, name.lower()
         if not name:
             continue
-        if m[1]:
+        if slash:
             if name not in INLINE:
                 flush()
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            if over.get(name):
+                over[name] -= 1
+                continue
+            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None) if held.get(name) else None
             if depth is not None and not (name in INLINE and any(x[0] not in INLINE for x in stack[depth:])):
-                del stack[depth:]
+                drop(depth)
             elif depth is not None:
-                del stack[depth]
+                drop(depth, depth + 1)
             continue
-        if name == "svg" and (m[3] or "").endswith("/"):
+        if name == "svg" and attrs.endswith("/"):
             continue
         if name in RAW:
             end = None if name in unclosed else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
@@ -96,19 +169,26 @@ def blocks(page: str) -> list[tuple[str, str, float]]:
         if name not in INLINE:
             flush()
             closing = CLOSES.get(name, set()) | ({"p"} if name in P_ENDS else set())
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if any(held.get(c) for c in closing) else ():
                 if stack[i][0] in closing:
-                    del stack[i:]
+                    drop(i)
                     break
                 if stack[i][0] in ("ul", "ol", "table", "div", "article", "section", "body") and name != "p":
                     break
         elif name == "br":
             text.append(" ")
-        if name in VOID or (m[3] or "").endswith("/") and name in INLINE:
+        if name in VOID or attrs.endswith("/") and name in INLINE:
             continue
-        names = " ".join("." + w for g in NAMES.findall(m[3] or "") for w in re.split(r"[\s_-]+", "".join(g).lower()) if w)
-        hide = " .hidden" if HIDDEN_ATTR.search(m[3] or "") else ""
+        if len(stack) >= DEEPEST:
+            over[name] = over.get(name, 0) + 1
+            continue
+        names = " ".join("." + w for g in NAMES.findall(attrs) for w in re.split(r"[\s_-]+", "".join(g).lower()) if w)
+        hide = " .hidden" if HIDDEN_ATTR.search(attrs) else ""
         stack.append((name, f"{name} {names}{hide}".strip() if names or hide else name))
+        held[name] = held.get(name, 0) + 1
+        if name in BOXES:
+            made += 1
+            box.append(made)
     say(page[at:])
     flush()
     return out
@@ -132,8 +212,20 @@ def path_vector(path: str) -> np.ndarray:
     return got
 
 
-def vectors(page: list[tuple[str, str, float]]) -> np.ndarray:
-    """(blocks x DIM) input of the labeller."""
+def _boxes(page: list[Block], size: np.ndarray, heads: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """For both boxes around each block: its share of the page's text, its number of
+    blocks, the share of links in it, whether it has a heading; and whether each box is that of the block before."""
+    out = []
+    for level in range(2):
+        ids = np.array([getattr(b, "boxes", (0, 0))[level] for b in page])
+        _, own = np.unique(ids, return_inverse=True)
+        text = np.bincount(own, size)
+        out += [(text / max(1.0, size.sum()))[own], np.minimum(1.2, np.log1p(np.bincount(own)) / 3)[own], (np.bincount(own, size * linked) / np.maximum(1, text))[own], (np.bincount(own, heads) > 0)[own].astype(float), np.concatenate(([0.0], ids[1:] == ids[:-1]))]
+    return np.stack(out, 1)
+
+
+def vectors(page: list[Block], names: bool = True) -> np.ndarray:
+    """(blocks x DIM) input of the labeller, with or without classes and ids."""
     n = len(page)
     x = np.zeros((n, DIM), np.float64)
     if not n:
@@ -147,10 +239,14 @@ def vectors(page: list[tuple[str, str, float]]) -> np.ndarray:
     own = np.repeat(np.arange(n), count)
     hashed = np.zeros((n, WORD_DIM))
     np.add.at(hashed, (own, (h % U64(WORD_DIM)).astype(np.int64)), np.where(h >> U64(63), 1.0, -1.0))
-    x[:, :PATH_DIM] = [path_vector(p) for p, _, _ in page]
+    paths = [p if names else re.sub(r" ?\.\S+", "", p) for p, _, _ in page]
+    x[:, :PATH_DIM] = [path_vector(p) for p in paths]
     x[:, PATH_DIM : PATH_DIM + WORD_DIM] = 0.3 * hashed / np.sqrt(np.maximum(count, 1))[:, None]
     signs = [sum(map(t.count, ".,;!?")) for _, t, _ in page]
-    x[:, -NUM_DIM:] = np.stack((np.minimum(1.5, np.log1p(count) / 3), np.minimum(1.3, np.log1p(np.diff(offs)) / 5), np.array([s for _, _, s in page]), np.minimum(1, np.array(signs) / np.maximum(count, 1)), np.arange(n) / n, np.ones(n)), 1)
+    share, length = np.array([s for _, _, s in page]), np.diff(offs).astype(float)
+    heads = np.array([bool(re.search(r"\bh[1-3]$", p)) for p in paths], float)
+    first = np.stack((np.minimum(1.5, np.log1p(count) / 3), np.minimum(1.3, np.log1p(np.diff(offs)) / 5), share, np.minimum(1, np.array(signs) / np.maximum(count, 1)), np.arange(n) / n, np.ones(n), np.minimum(1.0, n / 40) * np.ones(n)), 1)
+    x[:, -NUM_DIM:] = np.concatenate((first, _boxes(page, length, heads, share)), 1)
     return x
 
 
@@ -253,8 +349,9 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def layout(rng: np.random.Generator, vocabulary: list[str]) -> tuple[str, list[int]]:
-    """A page by rule and the labels of its blocks, 1 for the main text."""
+def layout(rng: np.random.Generator, vocabulary: list[str], plain: bool = False) -> tuple[str, list[int]]:
+    """A page by rule and the labels of its blocks, 1 for the main text. A plain one
+    has class names that say nothing, and boxes instead of most telling elements."""
     say = lambda lo, hi: " ".join(vocabulary[i] for i in rng.integers(0, len(vocabulary), rng.integers(lo, hi + 1)))
     pick = lambda *xs: xs[rng.integers(len(xs))]
     maybe = lambda p: rng.random() < p
@@ -269,11 +366,15 @@ def layout(rng: np.random.Generator, vocabulary: list[str]) -> tuple[str, list[i
             put('<li><a href="/x">@</a></li>', say(1, 2), 0)
 
     def group(tag: str, attr: str, fill) -> None:
+        if plain and tag in BOXES and tag != "form" and maybe(0.75):
+            tag = "div"
         out.append(f"<{tag}{attr}>")
         fill()
         out.append(f"</{tag}>")
 
     def attr(*names: str) -> str:
+        if plain and maybe(0.85):
+            return pick("", f' class="{pick("k", "c", "x", "b", "box", "m", "t")}{rng.integers(0, 40)}"', f' id="{pick("k", "c", "x", "b", "e")}{rng.integers(0, 40)}"')
         return f' {pick("class", "class", "id")}="{pick(*names)}"'
 
     def notice():
@@ -301,7 +402,7 @@ def layout(rng: np.random.Generator, vocabulary: list[str]) -> tuple[str, list[i
         if maybe(0.9):
             put(pick("<h1>@</h1>", "<h1>@</h1>", "<header><h1>@</h1></header>", '<h1 class="title">@</h1>'), say(2, 12), 1)
         for _ in range(rng.integers(1, 60 if maybe(0.1) else 14)):
-            if maybe(0.1):
+            if maybe(0.2):
                 pick(advert, advert, related, form, sidebar, notice)()
             kind = rng.random()
             if kind < 0.72:
@@ -333,7 +434,7 @@ def layout(rng: np.random.Generator, vocabulary: list[str]) -> tuple[str, list[i
     return "".join(out) + "</body></html>", y
 
 
-def train(given: list[list[tuple[str, str, float]]], layouts: int = LAYOUTS, seed: int = 9) -> Labeller:
+def train(given: list[list[Block]], layouts: int = LAYOUTS, seed: int = 9) -> Labeller:
     """A labeller of generated pages, filled with the words of the given ones;
     given pages whose only candidate is one article element, without parts that
     a layout would call boilerplate, join them. A layout whose blocks the parser
@@ -344,11 +445,11 @@ def train(given: list[list[tuple[str, str, float]]], layouts: int = LAYOUTS, see
         inside = [p for p, _, _ in page if " article" in p]
         if inside and all(p.count("article") == 1 and p.split("article", 1)[1].strip() in ("", "p", "h1", "h2", "h3", "ul li", "ol li", "blockquote") for p in inside):
             pages.append(vectors(page)), labels.append(np.array([float(" article" in p) for p, _, _ in page]))
-    for _ in range(layouts):
-        page, y = layout(rng, vocabulary)
+    for i in range(layouts):
+        page, y = layout(rng, vocabulary, plain=i % 2 == 1)
         found = blocks(page)
         if len(found) == len(y):
-            pages.append(vectors(found)), labels.append(np.array(y, float))
+            pages.append(vectors(found, names=i % 8 != 0)), labels.append(np.array(y, float))
     model = Labeller()
     model.fit(pages, labels)
     return model

@@ -1,6 +1,11 @@
 """Embedded elements and broken markup in pages."""
 
-from stylospark.llm.html_blocks import blocks
+import time
+
+import numpy as np
+import pytest
+
+from stylospark.llm.html_blocks import blocks, layout, train, vectors
 
 
 def test_blocks_lose_no_text_after_or_in_embedded_elements():
@@ -14,3 +19,53 @@ def test_blocks_lose_no_text_after_or_in_embedded_elements():
     assert text("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then</p>") == ["if x=1 then"]
     assert text("<p>one</p><object><p>two</p></object><noscript>three <b>four</b></noscript>") == ["one", "two", "three four"]
     assert text("<p>one <svg><text>label</text></svg> two</p><video>old</video><p>three</p>") == ["one two", "three"]
+
+
+P = "The river ran past the old mill where children used to play every summer. "
+#: Pages written by hand: markup, what the article says, what it doesn't.
+PAGES = [
+    (f"<body><div id='c1'><h1>The old mill</h1><p>{P * 3}</p><p>{P * 2}</p><p>{P}</p></div><div class='x9'><p>We use cookies to make this site work. Accept or leave.</p></div></body>", [P * 3, P * 2, "The old mill"], ["cookies"]),
+    (f"<body><div class='masthead'><a href='/'>Home</a> <a href='/n'>News</a></div><div class='k'><p>{P * 3}</p><p>{P * 2}</p></div><div class='k2'><div><p>Nice story, thanks!</p></div><div><p>I agree with that.</p></div></div></body>", [P * 3, P * 2], ["Home", "Nice story", "agree"]),
+    (f"<html><body><table><tr><td><h1>Mill</h1><p>{P * 4}</p><p>{P * 2}</p></td></tr></table></body></html>", [P * 4, P * 2], []),
+    (f"<body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article><h1>Mill</h1><p>{P * 3}</p><div class='ad'>Buy now cheap shoes</div><p>{P}</p></article><section class='comments'><p>first!</p></section><footer>(c) 2020</footer></body>", ["Mill", P * 3], ["Home", "shoes", "first!", "2020"]),
+    (f"<body><div class='a1'><ul><li><a href='/'>Home</a></li><li><a href='/b'>Blog</a></li><li><a href='/c'>About</a></li></ul></div><div class='a2'><h1>Title here</h1><p>{P * 3}</p><h2>More</h2><p>{P * 3}</p><ul><li>One thing about mills</li><li>Another thing about rivers</li></ul><p>{P}</p></div>"
+     "<div class='a3'><h3>Latest</h3><ul><li><a href='/1'>Some post</a></li><li><a href='/2'>Other post</a></li></ul></div><div class='a4'>All rights reserved</div></body>", ["Title here", "More", "One thing", P * 3], ["Home", "Latest", "Some post", "rights"]),
+]
+
+
+@pytest.fixture(scope="module")
+def model():
+    given = [f"<html><body><nav><ul><li><a href='/'>word</a></li></ul></nav><article><h1>alpha beta {i}</h1><p>gamma delta one, two three. {w}</p></article></body></html>" for i, w in enumerate(P.split())]
+    return train([blocks(g) for g in given])
+
+
+@pytest.mark.parametrize("page, inside, outside", PAGES)
+def test_pages_written_by_hand(model, page, inside, outside):
+    found = blocks(page)
+    text = " ".join(b[1] for b, good in zip(found, model.label([vectors(found)])[0]) if good)
+    assert all(x.strip() in text for x in inside) and not any(x in text for x in outside)
+
+
+def test_pages_whose_names_say_nothing(model):
+    rng, good, n = np.random.default_rng(12), 0, 0
+    for _ in range(120):
+        page, y = layout(rng, P.split(), plain=True)
+        found = blocks(page)
+        if len(found) == len(y):
+            good, n = good + int((model.label([vectors(found)])[0] == np.array(y, bool)).sum()), n + len(y)
+    assert good / n > 0.94
+
+
+def test_broken_markup_takes_linear_time():
+    for bad in ("<a " * 300_000, '<p title="' * 100_000, "<div>" * 200_000 + "x", "<a '>'\"" * 100_000, "<!-- " * 200_000, "<p " * 200_000 + ">x", "<b>" * 20_000 + "<div>" * 20_000 + "</b>" * 20_000 + "x"):
+        began = time.process_time()
+        found = blocks(bad)
+        assert len(found) <= 1 and time.process_time() - began < 10 and all(len(b[0]) < 500 for b in found)
+
+
+def test_tags_end_outside_of_quotes():
+    text = lambda page: [b[1] for b in blocks(page)]
+    assert text("<p title='a > b'>one</p><p title=\"x > 'y'\">two</p>") == ["one", "two"]
+    assert text("a < b and c > d <p>x</p>") == ["a < b and c > d", "x"]
+    assert text("<p>x <b title='open>y</p><p>z</p>") == ["x <b title='open>y", "z"]
+    assert text("<!-- <p>no</p> --><p>yes</p><![CDATA[<p>no</p>]]><!doctype x><?php no ?>") == ["yes"]
