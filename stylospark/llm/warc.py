@@ -144,7 +144,7 @@ def captures(content: bytes) -> Iterator[tuple]:
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
-    """CAPTURE rows of all archives below path: each file's are a sorted run."""
+    """CAPTURE rows of all archives below path, written once: each file's are a sorted run."""
     schema = pa.schema([(f.split()[0], {"string": pa.string(), "long": pa.int64()}[f.split()[1]]) for f in CAPTURE.split(", ")])
 
     def read(batches):
@@ -156,7 +156,7 @@ def index(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows[k : k + 10_000]), schema)], schema=schema)
 
     files = spark.read.format("binaryFile").load(path).where("length > 0")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("run"), "content").mapInArrow(read, CAPTURE)
+    return durable(files.select(F.element_at(F.split("path", "/"), -1).alias("run"), "content").mapInArrow(read, CAPTURE), "warc-runs")
 
 
 class LoserTree:
@@ -207,7 +207,7 @@ def history(runs: DataFrame) -> DataFrame:
     are in order of URL key, time and id over all runs. A range has about RANGE
     captures, which one task merges."""
     ranges = max(1, min(parts(runs), 1 << 14), -(-runs.count() // RANGE))
-    cuts = bounds(runs, ranges)
+    cuts = bounds(runs, ranges) if ranges > 1 else []
     names = [f.split()[0] for f in CAPTURE.split(", ")]
 
     def deal(batches):
