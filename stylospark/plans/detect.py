@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fingerprints, fixed
-from ..operators import corpus, features, languages, metrics, phrases, tokens, verdict_rows, verdicts
+from ..operators import corpus, features, forest, languages, metrics, phrases, tokens, verdict_rows, verdicts
 from ..operators import language_metrics as lm
 from ..operators import language_model as model
+from ..session import durable
 
 
 def domain_of(docs: DataFrame, domain: str | None = None) -> Column:
@@ -165,6 +166,17 @@ def adaptive_thresholds(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return metrics.compute(corpus.ADAPTIVE, docs, domain_terms=terms, thresholds=fixed.frame(s, "thresholds"), domain_cfg=fixed.frame(s, "domain_cfg"))
 
 
+def forest_scores(docs: DataFrame, labels: DataFrame, path: str | None = None, domain: str | None = None) -> DataFrame:
+    """doc_id, ai_probability, human_probability, method by a forest learned from labels
+    (doc_id, y); with a path the model is saved there and read back."""
+    rows = durable(verdict_rows.verdict(judged(docs, domain)).select("doc_id", "p", "verdict"), "judged")
+    model = forest.fit(rows, labels)
+    if model is not None and path:
+        forest.save(model, path)
+        model = forest.load(path)
+    return forest.score(rows, model)
+
+
 def search_weights(docs: DataFrame, labels: DataFrame, units: int = 10) -> DataFrame:
     return corpus.search_weights(judged(docs), labels, units)
 

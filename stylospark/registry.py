@@ -12,7 +12,7 @@ from .functions import fingerprints, fixed
 from .functions import text as T
 from .operators import corpus, languages, metrics, parses, tokens, verdicts
 from .plans import detect
-from .session import durable
+from .session import durable, shared
 from .sources import files
 from .streaming import events
 
@@ -262,3 +262,11 @@ query(f"SELECT doc_id, language = 'en' AS is_english FROM ({ORACLES['language_by
 def cleaned_for_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = T.language_text(F.coalesce("text", F.lit("")))
     return docs(spark, sf_dir).select("doc_id", F.md5(t).alias("text_md5"), F.length(t).cast("long").alias("n_chars"))
+
+
+@query()
+def forest_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on four fifths of the labels; held_out tells the other documents."""
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    labels = table(spark, sf_dir, "labels").where(~held).select("doc_id", (F.col("quality") == 0).cast("int").alias("y"))
+    return detect.forest_scores(docs(spark, sf_dir), labels, shared(spark, "forest")).withColumn("held_out", held)

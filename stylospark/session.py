@@ -28,17 +28,21 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the folder that all executors share (spark.checkpoint.dir) and read
-    it back. Where that is unset, a temporary folder on one machine, as in tests, or
-    an error on a cluster."""
-    spark = df.sparkSession
+def shared(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir). Where
+    that is unset, a temporary folder on one machine, as in tests, or an error on a
+    cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
-    path = f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back."""
+    path = shared(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
