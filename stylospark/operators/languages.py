@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
+from .features import let
 
 BUCKETS, SHARP = 1 << 16, 20.0
 #: Shares of known trigrams from which a chunk, and a whole text, have a score.
@@ -144,27 +145,27 @@ class Profile:
 def heuristics(t: Column) -> tuple[Column, Column, Column]:
     """(script, language, matches) of a text, in its row: the script tells the
     language, else the function words do, at least three, ties by the list's order."""
-    letters = F.regexp_replace(t, r"[\s\p{Punct}]", "")
     names = list(fixed.SCRIPTS)
-    counts = F.array(*[F.length(F.regexp_replace(letters, f"[^{fixed.SCRIPTS[n][0]}]", "")).cast("long") for n in names])
+    counts = lambda x: F.array(*[F.length(F.regexp_replace(x, f"[^{fixed.SCRIPTS[n][0]}]+", "")).cast("long") for n in names])
 
     def name(c: Column) -> Column:
         total, top = F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x), F.array_max(c)
         several = F.size(F.filter(c, lambda x: x > 0)) > 1
         return F.when(total == 0, "unknown").when(several & (top / total < 0.7), "mixed").otherwise(F.element_at(F.array(*map(F.lit, names)), F.array_position(c, top).cast("int")))
 
-    script = F.element_at(F.transform(F.array(counts), name), 1)
-    words = F.array_distinct(F.transform(T.space_words(t), F.lower))
+    script = let(let(F.regexp_replace(t, r"[\s\p{Punct}]+", ""), counts), name)
     langs: dict[str, list[str]] = {}
     for lang, _, w in fixed.language_rows():
         langs.setdefault(lang, []).append(w)
+    listed = sorted({w for ws in langs.values() for w in ws})
+    words = F.array_distinct(F.filter(F.split(F.lower(t), r"\s+"), lambda w: w.isin(*listed)))
 
     def vote(own: Column) -> Column:
         hits = F.array(*[F.size(F.array_intersect(own, F.array(*map(F.lit, ws)))) for ws in langs.values()])
         best = lambda h: F.struct(F.array_max(h).alias("c"), F.element_at(F.array(*map(F.lit, langs)), F.array_position(h, F.array_max(h)).cast("int")).alias("lang"))
-        return F.element_at(F.transform(F.array(hits), best), 1)
+        return let(hits, best)
 
-    voted = F.element_at(F.transform(F.array(words), vote), 1)
+    voted = let(words, vote)
     return script, voted, F.when(voted["c"] > 2, voted["c"]).otherwise(0).cast("long")
 
 

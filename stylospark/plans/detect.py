@@ -123,9 +123,9 @@ def scripts(docs: DataFrame) -> DataFrame:
     """doc_id, script, and the characters of each script: the dominant one,
     mixed if several and none has 70 %, unknown without any."""
     t = F.coalesce("text", F.lit(""))
-    t = F.regexp_replace(t, r"[\s\p{Punct}]", "")
+    t = F.regexp_replace(t, r"[\s\p{Punct}]+", "")
     names = list(fixed.SCRIPTS)
-    counts = docs.select("doc_id", *[F.length(F.regexp_replace(t, f"[^{fixed.SCRIPTS[n][0]}]", "")).cast("long").alias(n) for n in names])
+    counts = docs.select("doc_id", *[F.length(F.regexp_replace(t, f"[^{fixed.SCRIPTS[n][0]}]+", "")).cast("long").alias(n) for n in names])
     total, top = sum((F.col(n) for n in names), F.lit(0)), F.greatest(*names)
     best = F.lit(None).cast("string")
     for n in reversed(names):
