@@ -10,27 +10,33 @@ from stylospark.session import ship
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: documents that the classifier rejects go."""
+    """Operator 1: documents that the classifier rejects go. Null texts are judged as
+    empty ones, repeated rows alike; without labels of both classes, or without rows,
+    it does as quality.keep_good says."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: of equal texts one row stays."""
+    """Operator 2: of equal texts one row stays, the longest, then that of the smallest
+    doc_id; null texts equal empty ones, and of rows repeated whole any one stays."""
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: of each group of near-duplicates one document stays."""
+    """Operator 8: of each group of near-duplicates one document stays, that of the
+    smallest doc_id (null first); texts without a word are one group."""
     return near_dedup.drop_near(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: rows are repeated or left out so that sources near their targets."""
+    """Operator 4: rows are repeated, three times at most, or left out so that sources
+    near their targets; a null source is one, null texts have no words."""
     return mixing.mix(docs).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: token ids of each row."""
+    """Operator 9: token ids of each row; a null text has none. Empty tables pass through
+    all stages as empty ones."""
     import public_tokenizers
 
     ids = bpe.encode(F.col("text"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -44,7 +50,7 @@ STAGES = [
     ("mixing", mix_sources),
     ("bpe", encode),
 ]
-#: The classifier, the signatures and the draws have no SQL; tests/llm hold the pipeline against a brute-force version.
+#: The classifier, the signatures and the draws have no SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
