@@ -91,16 +91,20 @@ ranked AS (SELECT b.doc_id, r.k, b.blk, b.pos, b.w, COUNT(*) OVER (PARTITION BY
   FROM placed b CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3) r),
 kept AS (SELECT doc_id, k, blk, pos, w, LEAD(w) OVER (PARTITION BY doc_id, k, blk ORDER BY pos) AS w2 FROM ranked
   WHERE (blk > 0 OR n > 5) AND rn > CASE WHEN blk > 0 THEN FLOOR(n / 10) ELSE greatest(1, FLOOR(n / 10)) END),
-ends AS (SELECT doc_id, k, blk, MIN_BY(w, pos) AS a, MAX_BY(w, pos) AS z FROM kept GROUP BY doc_id, k, blk),
-link AS (SELECT doc_id, k, w, w2 FROM kept WHERE w2 IS NOT NULL UNION ALL SELECT x.doc_id, x.k, x.z, y.a FROM ends x JOIN ends y ON y.doc_id = x.doc_id AND y.k = x.k AND y.blk = x.blk + 1),
-pert AS (SELECT t.doc_id, t.k, greatest(0.5, least(10.0, AVG(COALESCE(p.nll, -LN(0.3E0 * (u.c + 1) / (z.n + z.v)))))) AS l
-  FROM link t JOIN uni u ON u.w = t.w2 CROSS JOIN tot z LEFT JOIN p ON p.w = t.w AND p.w2 = t.w2 GROUP BY t.doc_id, t.k),
+ends AS (SELECT doc_id, k, blk, MIN_BY(w, pos) AS a, MAX_BY(w, pos) AS z, MAX(pos) AS at FROM kept GROUP BY doc_id, k, blk),
+link AS (SELECT doc_id, k, pos, w, w2 FROM kept WHERE w2 IS NOT NULL UNION ALL SELECT x.doc_id, x.k, x.at, x.z, y.a FROM ends x JOIN ends y ON y.doc_id = x.doc_id AND y.k = x.k AND y.blk = x.blk + 1),
+scored AS (SELECT t.doc_id, t.k, t.pos, COALESCE(p.nll, -LN(0.3E0 * (u.c + 1) / (z.n + z.v))) AS nll FROM link t JOIN uni u ON u.w = t.w2 CROSS JOIN tot z LEFT JOIN p ON p.w = t.w AND p.w2 = t.w2),
+pert AS (SELECT doc_id, k, greatest(0.5, least(10.0, AVG(nll))) AS l FROM scored GROUP BY doc_id, k),
+half AS (SELECT doc_id, CAST(FLOOR(pos / 75) AS INT) AS b, SUM(s) AS s, SUM(c) AS c, SUM(s1) AS s1, SUM(c1) AS c1 FROM (
+  SELECT b.doc_id, b.pos, p.nll AS s, 1 AS c, 0.0 AS s1, 0 AS c1 FROM {tok} b JOIN p ON p.w = b.w AND p.w2 = b.w2 UNION ALL SELECT doc_id, pos, 0.0, 0, nll, 1 FROM scored WHERE k = 1) u GROUP BY 1, 2),
+part AS (SELECT doc_id, k, greatest(0.5, least(10.0, SUM(s) / SUM(c))) AS l, greatest(0.5, least(10.0, SUM(s1) / SUM(c1))) AS l1 FROM (SELECT doc_id, b AS k, s, c, s1, c1 FROM half UNION ALL SELECT doc_id, b - 1, s, c, s1, c1 FROM half WHERE b > 0) u GROUP BY doc_id, k HAVING SUM(c) >= 10 AND SUM(c1) > 0),
+spread AS (SELECT doc_id, VAR_POP(greatest(0.0, least(1.0, (l - l1) / l))) AS v FROM part GROUP BY doc_id),
 agg AS (SELECT o.doc_id, o.l AS orig, COUNT(*) AS m, AVG(q.l) AS mean_l, AVG(greatest(0.0, least(1.0, (o.l - q.l) / o.l))) AS drop, VAR_POP(ABS(o.l - q.l)) AS curve, VAR_POP(q.l) AS pv FROM orig o JOIN pert q ON q.doc_id = o.doc_id GROUP BY o.doc_id, o.l)
 SELECT d.doc_id, d.n_chars, ROUND(COALESCE(a.orig, 2.0), 4) AS original_likelihood, ROUND(COALESCE(a.mean_l, 1.8), 4) AS avg_perturbed_likelihood,
   ROUND(CASE WHEN a.drop IS NULL THEN 0.3 WHEN a.drop > 0.5 THEN 0.9 WHEN a.drop > 0.3 THEN 0.6 + (a.drop - 0.3) * 1.5 WHEN a.drop > 0.15 THEN 0.3 + (a.drop - 0.15) * 2 ELSE a.drop * 2 END, 4) AS stability_score,
   ROUND(CASE WHEN a.m >= 2 THEN least(1.0, a.curve * 3) ELSE 0.3 END, 4) AS curvature_score, ROUND(CASE WHEN a.m > 0 THEN greatest(0.33, least(3.0, a.orig / a.mean_l)) / 3 ELSE 0.55 END, 4) AS normalized_likelihood_ratio,
-  0.1 AS stability_variance, ROUND(COALESCE(a.pv, 0.05), 4) AS perturbation_variance, CAST(COALESCE(a.m, 0) AS BIGINT) AS num_perturbations
-FROM {doc} d LEFT JOIN agg a ON a.doc_id = d.doc_id
+  ROUND(COALESCE(s.v, 0.1), 6) AS stability_variance, ROUND(COALESCE(a.pv, 0.05), 4) AS perturbation_variance, CAST(COALESCE(a.m, 0) AS BIGINT) AS num_perturbations
+FROM {doc} d LEFT JOIN agg a ON a.doc_id = d.doc_id LEFT JOIN spread s ON s.doc_id = d.doc_id
 """
 _WEIGHTED = [
     (0.3, "(CASE WHEN stability_score > 0.7 THEN 0.9 WHEN stability_score > 0.5 THEN 0.7 WHEN stability_score > 0.3 THEN 0.5 ELSE 0.2 END)"),

@@ -87,9 +87,9 @@ def pairs_of(docs: DataFrame, n: int = ROUNDS) -> DataFrame:
     return a.select("doc_id", F.explode(F.concat(here, *new)).alias("x")).select("doc_id", "x.*")
 
 
-def looked_up(docs: DataFrame, n: int = ROUNDS) -> DataFrame:
-    """doc_id, pos, sid, k, own, nll of pairs_of."""
-    seen, words = model(docs)
+def looked_up(docs: DataFrame, n: int = ROUNDS, counted: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """doc_id, pos, sid, k, own, nll of pairs_of, by a model that was counted before, if given."""
+    seen, words = model(docs) if counted is None else counted
     x = pairs_of(docs, n).join(seen, ["w", "w2"], "left")
     # pairs that weren't seen look up their second word; keys of the others are spread and match nothing
     if not n:
@@ -106,29 +106,35 @@ def features(docs: DataFrame, base: DataFrame | None = None, keep: tuple[str, ..
     x, rounds = looked_up(docs, n).repartition("doc_id"), range(1, n + 1)
     at = lambda k: (F.col("k") == k) | (F.col("own").bitwiseAND(F.lit(1 << k)) != 0)
     first = F.col("k") == 0
-    # sums by block of 100 and sentence, then by document, block or sentence: all by doc_id, in one go
-    g = x.groupBy("doc_id", F.floor(F.col("pos") / 100).alias("b"), "sid").agg(F.sum(F.when(first, F.col("nll"))).alias("s0"), F.count_if(first).alias("c0"), *[c for k in rounds for c in (F.sum(F.when(at(k), F.col("nll"))).alias(f"s{k}"), F.count_if(at(k)).alias(f"c{k}"))])
+    # sums by 25 words and sentence, then by document, block of 100, sentence or block of 75: all by doc_id, in one go
+    g = x.groupBy("doc_id", F.floor(F.col("pos") / 25).alias("b"), "sid").agg(F.sum(F.when(first, F.col("nll"))).alias("s0"), F.count_if(first).alias("c0"), *[c for k in rounds for c in (F.sum(F.when(at(k), F.col("nll"))).alias(f"s{k}"), F.count_if(at(k)).alias(f"c{k}"))])
     sums = [f"{v}{k}" for k in range(n + 1) for v in "sc"]
-    part = F.explode(F.array(F.struct(F.lit(0).alias("of"), F.lit(None).cast("long").alias("id")), F.struct(F.lit(1).alias("of"), F.col("b").alias("id")), F.struct(F.lit(2).alias("of"), F.col("sid").cast("long").alias("id"))))
-    g = g.withColumn("x", part).where("x.of < 2 or x.id is not null").groupBy("doc_id", "x").agg(*[F.sum(c).alias(c) for c in sums])
-    whole, block, sent = (F.col("x.of") == i for i in range(3))
+    part = F.explode(F.array(F.struct(F.lit(0).alias("of"), F.lit(None).cast("long").alias("id")), F.struct(F.lit(1).alias("of"), F.floor(F.col("b") / 4).alias("id")), F.struct(F.lit(2).alias("of"), F.col("sid").cast("long").alias("id")), F.struct(F.lit(3).alias("of"), F.floor(F.col("b") / 3).alias("id"))))
+    g = g.withColumn("x", part).where("x.of <> 2 or x.id is not null").groupBy("doc_id", "x").agg(*[F.sum(c).alias(c) for c in sums])
+    whole, block, sent, part = (F.col("x.of") == i for i in range(4))
     ppl = F.when(sent & (F.col("c0") >= 4), F.exp(F.col("s0") / F.col("c0")))
     g = g.groupBy("doc_id").agg(
         F.max(F.when(whole, F.col("c0"))).alias("pairs"), F.max(F.when(whole, F.col("s0") / F.col("c0"))).alias("ce"), *[F.max(F.when(whole & (F.col(f"c{k}") > 0), F.col(f"s{k}") / F.col(f"c{k}"))).alias(f"l{k}") for k in rounds],
         F.sort_array(F.collect_list(F.when(block & (F.col("c0") > 0), F.struct(F.col("x.id").alias("b"), F.col("s0").alias("s"), F.col("c0").alias("c"))))).alias("bs"),
+        *([F.sort_array(F.collect_list(F.when(part & (F.col("c0") > 0), F.struct(F.col("x.id").alias("b"), F.col("s0").alias("s"), F.col("c0").alias("c"), F.coalesce("s1", F.lit(0.0)).alias("s1"), F.col("c1").alias("c1"))))).alias("ps")] if n else []),
         F.count(ppl).alias("sn"), F.avg(ppl).alias("smu"), F.stddev_pop(ppl).alias("sd"), F.min(ppl).alias("lo"), F.max(ppl).alias("hi"),
     )
     two = lambda i, f: F.get("bs", i)[f] + F.coalesce(F.get("bs", i + 1)[f], F.lit(0))
     chunk = F.transform("bs", lambda b, i: F.struct(two(i, "c").alias("c"), F.exp(two(i, "s") / two(i, "c")).alias("p")))
     g = g.withColumn("chunks", F.transform(F.filter(chunk, lambda c: (c["c"] >= 10) & (c["p"] < 1000)), lambda c: c["p"])).drop("bs")
+    # a chunk of 150 words, from every 75th: the relative drop of its likelihood where the first deletion goes through it
+    clamp = lambda c: F.greatest(F.lit(0.5), F.least(F.lit(10.0), c))
+    pair = lambda i, f: F.get("ps", i)[f] + F.coalesce(F.get("ps", i + 1)[f], F.lit(0))
+    rates = F.transform("ps", lambda b, i: F.struct(pair(i, "c").alias("c"), pair(i, "c1").alias("c1"), clamp(pair(i, "s") / pair(i, "c")).alias("l"), clamp(F.try_divide(pair(i, "s1"), pair(i, "c1"))).alias("l1")))
+    spread = F.transform(F.filter(rates, lambda c: (c["c"] >= 10) & (c["c1"] > 0)), lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (c["l"] - c["l1"]) / c["l"])))
+    g = g.withColumn("spread", spread).drop("ps") if n else g.withColumn("spread", F.array().cast("array<double>"))
     base = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n_chars")) if base is None else base.select("doc_id", "n_chars", *keep)
     f = base.join(g, "doc_id", "left")
     mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v) / F.size(c)
     var = lambda c: let(mean(c), lambda m: mean(F.transform(c, lambda v: (v - m) * (v - m))))
     enough = F.coalesce(F.col("pairs") + 1 >= 5, F.lit(False))
     f = f.withColumn("ce5", F.when(enough, F.col("ce")).otherwise(0.0)).withColumn("ppl", F.when(enough & (F.col("n_chars") >= 10), F.exp("ce")).otherwise(0.0)).withColumn("chunks", F.coalesce("chunks", F.array().cast("array<double>")))
-    some = F.size("chunks") > 0
-    clamp = lambda c: F.greatest(F.lit(0.5), F.least(F.lit(10.0), c))
+    some, parts = F.size("chunks") > 0, F.coalesce(F.size("spread") > 0, F.lit(False))
     f = f.withColumn("orig", F.when(F.col("ce").isNotNull(), clamp(F.col("ce")))).withColumn("ls", F.transform(F.filter(F.array(*[f"l{k}" for k in rounds]).cast("array<double>"), lambda v: v.isNotNull()), clamp)).withColumn("m", F.when(F.col("orig").isNotNull(), F.size("ls")).otherwise(0))
     any_ = F.col("m") > 0
     f = f.withColumn("mean_l", F.when(any_, mean(F.col("ls")))).withColumn("drop", F.when(any_, mean(F.transform("ls", lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("orig") - v) / F.col("orig")))))))
@@ -141,7 +147,7 @@ def features(docs: DataFrame, base: DataFrame | None = None, keep: tuple[str, ..
         F.round(F.when(any_, F.col("orig")).otherwise(2.0), 4).alias("original_likelihood"), F.round(F.coalesce("mean_l", F.lit(1.8)), 4).alias("avg_perturbed_likelihood"),
         F.round(F.when(d.isNull(), 0.3).when(d > 0.5, 0.9).when(d > 0.3, 0.6 + (d - 0.3) * 1.5).when(d > 0.15, 0.3 + (d - 0.15) * 2).otherwise(d * 2), 4).alias("stability_score"),
         F.round(F.when(F.col("m") >= 2, F.least(F.lit(1.0), F.col("curve") * 3)).otherwise(0.3), 4).alias("curvature_score"), F.round(F.when(any_, F.greatest(F.lit(0.33), F.least(F.lit(3.0), F.col("orig") / F.col("mean_l"))) / 3).otherwise(0.55), 4).alias("normalized_likelihood_ratio"),
-        F.lit(0.1).alias("stability_variance"), F.round(F.coalesce("pv", F.lit(0.05)), 4).alias("perturbation_variance"), F.col("m").cast("long").alias("num_perturbations"),
+        F.round(F.when(parts, var(F.col("spread"))).otherwise(0.1), 6).alias("stability_variance"), F.round(F.coalesce("pv", F.lit(0.05)), 4).alias("perturbation_variance"), F.col("m").cast("long").alias("num_perturbations"),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .operators import language_metrics as lm
 from .functions import fingerprints, fixed
 from .functions import text as T
-from .operators import corpus, languages, metrics, parses, tokens, verdicts
+from .operators import corpus, languages, metrics, parses, perturbations, tokens, verdicts
 from .plans import detect
 from .session import durable, shared
 from .sources import files
@@ -45,6 +45,8 @@ for _name, _text in {"structural_features": metrics.STRUCTURAL_FEATURES, "struct
 
 query(parses.ROWS_SQL, "parses")(lambda s, d: parses.parse(docs(s, d)))
 query(f"SELECT * EXCLUDE n_chars FROM ({parses.FEATURES_SQL})", "linguistic_from_parses")(lambda s, d: parses.from_table(parses.parse(docs(s, d)), docs(s, d)))
+query(metrics.duck_sql(perturbations.ROWS_SQL), "perturbations")(lambda s, d: perturbations.rows(docs(s, d)))
+query(metrics.duck_sql(perturbations.STABILITY_SQL), "perturbation_stability")(lambda s, d: perturbations.stability(docs(s, d)))
 
 
 _T, _C, _P, _W, _A = (fixed.values_sql(n) for n in ("thresholds", "domain_cfg", "performance", "stopwords", "attribution"))
