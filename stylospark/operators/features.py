@@ -169,6 +169,16 @@ def cosines(rows: np.ndarray, codes: np.ndarray, n: int) -> tuple:
     return near, float((sums**2).sum()), squares, like, float(head @ tail)
 
 
+def context(keys: list[str], low: list[str]) -> float:
+    """Mean share of the sentences that hold a keyword, of the ten most frequent ones used twice at least."""
+    order = {w: i for i, w in reversed(list(enumerate(keys)))}
+    count: dict[str, int] = {}
+    for w in keys:
+        count[w] = count.get(w, 0) + 1
+    best = sorted((w for w in count if count[w] > 1), key=lambda w: (-count[w], order[w]))[:10]
+    return sum(sum(w in s for s in low) / len(low) for w in best) / len(best) if best else 0.0
+
+
 def _semantic_rows(batches):
     for batch in batches:
         out = {k: [] for k in ("coh", "var", "m1", "m2", "rep", "drift", "ctx")}
@@ -183,13 +193,7 @@ def _semantic_rows(batches):
             near, s2, g2, like, ends = cosines(rows, flat.astype(np.int64), n)
             some = np.flatnonzero(~np.isnan(near))
             blocks = np.bincount(some // 10, near[some])[np.unique(some // 10)] / 10 if len(some) else np.zeros(0)
-            order = {w: i for i, w in reversed(list(enumerate(keys)))}
-            count: dict[str, int] = {}
-            for w in keys:
-                count[w] = count.get(w, 0) + 1
-            best = sorted((w for w in count if count[w] > 1), key=lambda w: (-count[w], order[w]))[:10]
-            share = [sum(w in s for s in low) / n for w in best]
-            values = (np.nansum(near) / (n - 1), float(blocks.var()) if len(blocks) else 0.0, (s2 - n) / (n * (n - 1.0)), (g2 - n) / (n * (n - 1.0)), like / ((n - 1.0) * (n - 2.0) / 2), ends / min(3, n // 3) ** 2, sum(share) / len(share) if share else 0.0)
+            values = (np.nansum(near) / (n - 1), float(blocks.var()) if len(blocks) else 0.0, (s2 - n) / (n * (n - 1.0)), (g2 - n) / (n * (n - 1.0)), like / ((n - 1.0) * (n - 2.0) / 2), ends / min(3, n // 3) ** 2, context(keys, low))
             for v, x in zip(out.values(), values):
                 v.append(float(x))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pc.list_value_length(batch.column(3)).cast(pa.int64())] + [pa.array(v, pa.float64()) for v in out.values()] + batch.columns[5:], names=["doc_id", "n_chars", "n", *out, *batch.schema.names[5:]])
@@ -199,8 +203,16 @@ def semantic(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     t = _text(docs)
     a = docs.select("doc_id", F.length(t).alias("n_chars"), T.sentences(t, 10).alias("ss"), T.keywords(t).alias("keys"), *keep)
     a = a.select("doc_id", "n_chars", F.transform("ss", T.lower_words).alias("words"), F.transform("ss", F.lower).alias("low"), "keys", *keep)
+    return semantic_scores(a.mapInArrow(_semantic_rows, semantic_schema(docs, keep)), keep)
+
+
+def semantic_schema(docs: DataFrame, keep: tuple[str, ...] = ()) -> str:
     kind, kept = docs.schema["doc_id"].dataType.simpleString(), "".join(f", {k} {docs.schema[k].dataType.simpleString()}" for k in keep)
-    f = a.mapInArrow(_semantic_rows, f"doc_id {kind}, n_chars int, n long, coh double, var double, m1 double, m2 double, rep double, drift double, ctx double" + kept)
+    return f"doc_id {kind}, n_chars int, n long, coh double, var double, m1 double, m2 double, rep double, drift double, ctx double" + kept
+
+
+def semantic_scores(f: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The features of sentence similarities from rows of semantic_schema."""
     few = F.col("n") < 3
     return f.select(
         "doc_id", *keep, "n_chars", near(F.when(few, 0.5).otherwise(F.col("coh")), 4).alias("coherence_score"), near(F.when(few, 0.5).otherwise(1 - F.least(F.lit(1.0), 5 * F.greatest(F.lit(0.0), F.col("m2") - F.col("m1") * F.col("m1")))), 4).alias("consistency_score"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fingerprints, fixed
-from ..operators import corpus, features, forest, languages, metrics, phrases, tokens, verdict_rows, verdicts
+from ..operators import corpus, features, forest, languages, metrics, phrases, sentence_vectors, tokens, verdict_rows, verdicts
 from ..operators import language_metrics as lm
 from ..operators import language_model as model
 from ..session import durable
@@ -35,11 +35,13 @@ _BY_MODEL = [("perplexity", metrics.PERPLEXITY, metrics.PERPLEXITY_FEATURES), ("
 _SIGNALS = {"structural": "length_uniformity", "entropy": "token_diversity", "linguistic": "syntactic_complexity", "semantic_analysis": "coherence_score", "perplexity": "overall_perplexity", "multi_perturbation_stability": "stability_score"}
 
 
-def metric_columns(docs: DataFrame, skip: tuple[str, ...] = (), domain: str | None = None, text: bool = False, signals: bool = False) -> DataFrame:
+def metric_columns(docs: DataFrame, skip: tuple[str, ...] = (), domain: str | None = None, text: bool = False, signals: bool = False, vectors: sentence_vectors.Basis | DataFrame | None = None) -> DataFrame:
     """doc_id, domain, _n (characters), a struct (raw, confidence, mixed, error) for
     each metric, and the text and the features attribution reads if asked for.
     Metrics in `skip` have an error and aren't computed. Four metrics are projections
-    of one scan; the language model and its look-ups are the only shuffles."""
+    of one scan; the language model and its look-ups are the only shuffles. Sentences
+    are compared by their words, or by vectors: a learned basis, or a table (doc_id,
+    idx, vec) that is joined."""
     t = F.coalesce("text", F.lit(""))
     docs = tokens.spread(docs.select("doc_id", "text", domain_of(docs, domain).alias("_domain")))
     a = docs.select("doc_id", "text", F.length(t).alias("_n"), "_domain", *([F.col("text").alias("_text")] if text else []))
@@ -49,6 +51,9 @@ def metric_columns(docs: DataFrame, skip: tuple[str, ...] = (), domain: str | No
     for name, sql_text, sql, made in _IN_ROW:
         if name == "semantic_analysis":  # the last: the text isn't needed any more
             keep = keep[1:]
+            if vectors is not None:
+                by = sentence_vectors.supplied if isinstance(vectors, DataFrame) else sentence_vectors.semantic
+                made = lambda d, k: by(d, vectors, k)  # noqa: B023, E731
         if name in skip:
             a = a.select("doc_id", *keep, skipped.alias(name), *[F.lit(None).cast("double").alias(c) for c in more(name)])
         else:
@@ -73,18 +78,18 @@ def metric_rows(docs: DataFrame, skip: tuple[str, ...] = (), domain: str | None
     return metric_columns(docs, skip, domain).select("doc_id", "domain", F.explode(rows).alias("x")).select("doc_id", "domain", "x.*")
 
 
-def judged(docs: DataFrame, domain: str | None = None, skip: tuple[str, ...] = (), text: bool = False, signals: bool = False) -> DataFrame:
+def judged(docs: DataFrame, domain: str | None = None, skip: tuple[str, ...] = (), text: bool = False, signals: bool = False, vectors: sentence_vectors.Basis | DataFrame | None = None) -> DataFrame:
     """A row a document with the array `p` of its metrics' probabilities: what all
     verdicts below are expressions of."""
-    return verdict_rows.judged(metric_columns(docs, skip, domain, text, signals))
+    return verdict_rows.judged(metric_columns(docs, skip, domain, text, signals, vectors))
 
 
 def probabilities(docs: DataFrame, domain: str | None = None, skip: tuple[str, ...] = (), rows: DataFrame | None = None) -> DataFrame:
     return verdict_rows.probabilities(judged(docs, domain, skip) if rows is None else rows)
 
 
-def ensemble(docs: DataFrame, domain: str | None = None, skip: tuple[str, ...] = (), rows: DataFrame | None = None) -> DataFrame:
-    return verdict_rows.verdict(judged(docs, domain, skip) if rows is None else rows).select("doc_id", "verdict.*")
+def ensemble(docs: DataFrame, domain: str | None = None, skip: tuple[str, ...] = (), rows: DataFrame | None = None, vectors: sentence_vectors.Basis | DataFrame | None = None) -> DataFrame:
+    return verdict_rows.verdict(judged(docs, domain, skip, vectors=vectors) if rows is None else rows).select("doc_id", "verdict.*")
 
 
 def methods(docs: DataFrame, domain: str | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .operators import language_metrics as lm
 from .functions import fingerprints, fixed
 from .functions import text as T
-from .operators import corpus, languages, metrics, parses, perturbations, tokens, verdicts
+from .operators import corpus, languages, metrics, parses, perturbations, sentence_vectors, tokens, verdicts
 from .plans import detect
 from .session import durable, shared
 from .sources import files
@@ -272,3 +272,26 @@ def forest_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     labels = table(spark, sf_dir, "labels").where(~held).select("doc_id", (F.col("quality") == 0).cast("int").alias("y"))
     return detect.forest_scores(docs(spark, sf_dir), labels, shared(spark, "forest")).withColumn("held_out", held)
+
+
+query(name="semantic_by_factors")(lambda s, d: sentence_vectors.semantic(docs(s, d), sentence_vectors.learn(docs(s, d))))
+
+#: The tables supply no sentences' vectors: those of `embeddings` are dealt over the sentences.
+_DEAL = "v.vec_id = (s.doc_id * 31 + s.idx) % (SELECT count(*) FROM embeddings)"
+
+
+@query("WITH " + ",\n".join(tokens.DUCK[n] for n in ("src", "sen10", "keyword")) + "," + sentence_vectors.SUPPLIED_SQL.replace("{deal}", _DEAL))
+def semantic_by_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    sentences = tokens.sen10(docs(spark, sf_dir)).select("doc_id", "idx", F.pmod(F.col("doc_id") * 31 + F.col("idx"), F.lit(v.count())).alias("vec_id"))
+    return sentence_vectors.supplied(docs(spark, sf_dir), sentences.join(v, "vec_id").drop("vec_id"))
+
+
+@query("""
+    WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    p AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.v, e.v), 9) AS c FROM e q JOIN e ON e.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rank FROM p)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(c, 6) AS cosine FROM r WHERE rank <= 5""")
+def vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    return sentence_vectors.nearest(v, v.where("vec_id % 100 = 0"))
