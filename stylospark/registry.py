@@ -14,7 +14,7 @@ from .operators import corpus, languages, metrics, parses, perturbations, senten
 from .plans import detect
 from .session import durable, shared
 from .sources import files
-from .streaming import events
+from .streaming import events, repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -295,3 +295,24 @@ def semantic_by_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     return sentence_vectors.nearest(v, v.where("vec_id % 100 = 0"))
+
+
+@query("SELECT sha256(coalesce(text, '')) AS text_key, min(doc_id) AS first_id, count(*) AS total FROM documents GROUP BY 1")
+def stream_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a stream; as the table has no times all have one, so none is late."""
+    path = f"{sf_dir}/documents.parquet"
+    d = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path[:-1] + "?")  # a pattern: a stream's plain path must be a folder
+    d = d.select("doc_id", F.timestamp_seconds(F.lit(0)).alias("ts"), "text")
+    spark.conf.set(*repeats.STORE)
+    out = shared(spark, "repeats")
+    q = repeats.write_batches(repeats.repeats(d), out, shared(spark, "repeats-state"), "update")
+    q.awaitTermination()
+    return repeats.totals(spark.read.parquet(out))
+
+
+_EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, " + ", ".join(f"round(count(*) FILTER (event_type = '{t}') / count(*), 6) AS share_{i}" for i, t in enumerate(_EVENT_TYPES)) + " FROM events GROUP BY 1")
+def event_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.shares(table(spark, sf_dir, "events"), _EVENT_TYPES, key="event_type").withColumn("start", F.col("start").cast("timestamp_ntz"))
