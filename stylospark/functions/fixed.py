@@ -183,3 +183,28 @@ def values_sql(name: str) -> str:
     cols = ", ".join(c.split()[0] for c in schema.split(", "))
     lit = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"{v!r}::DOUBLE" if isinstance(v, float) else repr(v)
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows())}) t({cols}))"
+
+# Other names of the domains, in the order in which parts of names are matched.
+DOMAIN_ALIASES = """
+general default generic
+academic education research university scholarly
+creative fiction literature story narrative
+ai_ml ai machinelearning ml artificialintelligence neural
+software_dev software code programming development dev
+technical_doc technical tech documentation docs manual
+engineering engineer technical_engineering
+science scientific research_science
+business corporate commercial enterprise
+legal law contract court juridical
+medical healthcare clinical medicine health
+journalism news reporting media press
+marketing advertising promotional brand sales
+social_media social casual informal posts
+blog_personal blog personal diary lifestyle
+tutorial guide howto instructional educational walkthrough
+"""
+
+
+def domain_aliases() -> list[tuple[str, str]]:
+    """Pairs of a name and its domain, the first name on each line."""
+    return [(a, line.split()[0]) for line in DOMAIN_ALIASES.strip().splitlines() for a in line.split()]

@@ -8,19 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fingerprints, fixed
-from ..operators import corpus, features, forest, languages, metrics, phrases, sentence_vectors, tokens, verdict_rows, verdicts
+from ..operators import corpus, evaluation, features, forest, languages, metrics, phrases, sentence_vectors, tokens, verdict_rows, verdicts
 from ..operators import language_metrics as lm
 from ..operators import language_model as model
 from ..session import durable
 
 
 def domain_of(docs: DataFrame, domain: str | None = None) -> Column:
-    """The given domain, or the column `domain` where it names one of the
-    sixteen, else general."""
+    """The given domain, or what the column `domain` means, else general."""
     if domain is None and "domain" in docs.columns:
-        d = F.lower("domain")
-        return F.when(d.isin(fixed.domains()), d).otherwise("general")
-    return F.lit(domain or "general")
+        return F.coalesce(evaluation.domain_named(F.col("domain")), F.lit("general"))
+    return F.coalesce(evaluation.domain_named(F.lit(domain or "general")), F.lit("general"))
 
 
 #: Metrics that a document's row gives: name, SQL, that of its features, and the function that computes those.

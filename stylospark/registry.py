@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .operators import language_metrics as lm
 from .functions import fingerprints, fixed
 from .functions import text as T
-from .operators import corpus, languages, metrics, parses, perturbations, sentence_vectors, tokens, verdicts
+from .operators import corpus, evaluation, languages, metrics, parses, perturbations, sentence_vectors, tokens, verdicts
 from .plans import detect
 from .session import durable, shared
 from .sources import files
@@ -316,3 +316,41 @@ _EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, " + ", ".join(f"round(count(*) FILTER (event_type = '{t}') / count(*), 6) AS share_{i}" for i, t in enumerate(_EVENT_TYPES)) + " FROM events GROUP BY 1")
 def event_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.shares(table(spark, sf_dir, "events"), _EVENT_TYPES, key="event_type").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+#: The tables mark no mixed texts: toxic ones stand for them, of the others those of quality 0 for generated ones.
+_ACTUAL = "CASE WHEN toxic = 1 THEN 'mixed' WHEN quality = 0 THEN 'ai' ELSE 'human' END"
+_OUTCOMES = f"SELECT l.lang, l.actual, e.verdict, CASE e.verdict WHEN 'AI-Generated' THEN 'ai' WHEN 'Human-Written' THEN 'human' WHEN 'Mixed (AI + Human)' THEN 'mixed' ELSE 'uncertain' END AS p FROM ens e JOIN (SELECT l.doc_id, d.lang, {_ACTUAL} AS actual FROM labels l JOIN documents d ON d.doc_id = l.doc_id) l ON l.doc_id = e.doc_id"
+
+
+def _actual(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "labels").select("doc_id", F.expr(_ACTUAL).alias("actual")).join(table(s, d, "documents").select("doc_id", "lang"), "doc_id")
+
+
+query(_named(f"""SELECT lang, actual, COUNT(*) AS n, COUNT(*) FILTER (p = 'ai') AS predicted_ai, COUNT(*) FILTER (p = 'human') AS predicted_human, COUNT(*) FILTER (p = 'mixed') AS predicted_mixed,
+    COUNT(*) FILTER (p = 'uncertain') AS predicted_uncertain, ROUND(COUNT(*) FILTER (p = actual) / COUNT(*), 6) AS right FROM ({_OUTCOMES}) q GROUP BY lang, actual""", *_BASE, _PROB, _ENS), "confusion")(
+    lambda s, d: evaluation.confusion(detect.ensemble(docs(s, d)), _actual(s, d), ("lang",)))
+query(_named(f"""SELECT lang, COUNT(*) AS n, ROUND(AVG(CAST(p = actual AS INT)), 6) AS accuracy, ROUND(SUM(CAST(p = 'ai' AND actual = 'ai' AS INT)) / NULLIF(SUM(CAST(p = 'ai' AS INT)), 0), 6) AS precision,
+    ROUND(SUM(CAST(p = 'ai' AND actual = 'ai' AS INT)) / NULLIF(SUM(CAST(actual = 'ai' AS INT)), 0), 6) AS recall, ROUND(2 * SUM(CAST(p = 'ai' AND actual = 'ai' AS INT)) / NULLIF(SUM(CAST(p = 'ai' AS INT)) + SUM(CAST(actual = 'ai' AS INT)), 0), 6) AS f1,
+    ROUND(SUM(CAST(p = 'ai' AND actual <> 'ai' AS INT)) / NULLIF(SUM(CAST(actual <> 'ai' AS INT)), 0), 6) AS false_positive_rate, ROUND(SUM(CAST(p <> 'ai' AND actual = 'ai' AS INT)) / NULLIF(SUM(CAST(actual = 'ai' AS INT)), 0), 6) AS false_negative_rate
+    FROM ({_OUTCOMES}) q GROUP BY lang""", *_BASE, _PROB, _ENS), "detection_rates")(lambda s, d: evaluation.rates(detect.ensemble(docs(s, d)), _actual(s, d), ("lang",)))
+
+_ALIASES = "(SELECT * FROM (VALUES " + ", ".join(f"({i}, '{a}', '{x}')" for i, (a, x) in enumerate(fixed.domain_aliases())) + ") t(ord, alias, domain))"
+
+
+@query("WITH " + ", ".join(tokens.DUCK[n] for n in ("src", "tok")) + ", names AS (SELECT DISTINCT w AS name FROM tok UNION SELECT w || ' ' || w2 FROM tok WHERE pos = 0 AND w2 IS NOT NULL)" + evaluation.NAMED_SQL.replace("{names}", "names").replace("{aliases}", _ALIASES))
+def domains_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus' words, and the first two of each document, taken as names of domains."""
+    t = tokens.tok(docs(spark, sf_dir))
+    names = t.select(F.explode(F.array("w", F.when((F.col("pos") == 0) & F.col("w2").isNotNull(), F.concat_ws(" ", "w", "w2")))).alias("name")).where("name is not null").distinct()
+    return names.select("name", evaluation.domain_named(F.col("name")).alias("domain"))
+
+
+@query("""
+    WITH e AS (SELECT value, 200 + 100 * (CAST(json_extract(props, '$.k') AS INTEGER) % 4) AS status FROM events)
+    SELECT CASE WHEN status < 400 THEN 'info' WHEN status < 500 THEN 'warning' ELSE 'error' END AS level, count(*) AS n, round(avg(value), 6) AS mean_duration FROM e GROUP BY 1""")
+def request_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests: 200 to 500 by props.k stands for the status."""
+    status = (200 + 100 * (F.get_json_object("props", "$.k").cast("int") % 4)).alias("status")
+    r = table(spark, sf_dir, "events").select("ts", F.lit("POST").alias("method"), F.col("event_type").alias("path"), status, F.col("value").alias("duration"), "value")
+    return r.groupBy(events.severity(F.col("status")).alias("level")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_duration"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -40,3 +40,15 @@ def latency(events: DataFrame, size: str, value: str, bounds: tuple[float, float
     kind = F.when(F.col(size) < bounds[0], "short").when(F.col(size) < bounds[1], "medium").otherwise("long")
     at = lambda p: F.round(F.percentile(value, p), 6).alias(f"p{round(100 * p)}")
     return events.groupBy(kind.alias("size_class")).agg(F.count("*").alias("n"), at(0.5), at(0.95), at(0.99))
+
+
+def severity(status: Column) -> Column:
+    """Level of a request's log record: info under 400, warning under 500, else error; null without a status."""
+    return F.when(status < 400, "info").when(status < 500, "warning").when(status >= 500, "error")
+
+
+def request_log(requests: DataFrame) -> DataFrame:
+    """ts, method, path, status, duration as log records: level, message, duration of 4 digits."""
+    s = F.col("status")
+    kind = F.when(s < 400, "API Request").when(s < 500, "API Client Error").when(s >= 500, "API Server Error").otherwise("API Request")
+    return requests.select("ts", severity(s).alias("level"), F.concat(kind, F.lit(": "), F.coalesce("method", F.lit("")), F.lit(" "), F.coalesce("path", F.lit("")), F.lit(" -> "), F.coalesce(s.cast("string"), F.lit("none"))).alias("message"), F.round("duration", 4).alias("duration"))
