@@ -54,6 +54,13 @@ def domain_named(name: Column) -> Column:
     return F.when(name != "", F.coalesce(exact, F.try_element_at(of, F.get(part, F.lit(0)))))
 
 
+def domain_meant(name: str) -> str | None:
+    """domain_named of one name, for plans whose domain is the same for all documents."""
+    pairs, n = fixed.domain_aliases(), name.lower().strip()
+    exact = dict(pairs).get(n) or dict(pairs).get(n.replace(" ", "_"))
+    return exact or next((d for a, d in pairs if n in a or a in n), None) if name else None
+
+
 #: DuckDB: domain_named of the table {names} (name), by joins with the table {aliases} (ord, alias, domain).
 NAMED_SQL = """
 SELECT n.name, CASE WHEN n.name <> '' THEN COALESCE(a.domain, b.domain, c.domain) END AS domain

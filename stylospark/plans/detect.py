@@ -18,7 +18,7 @@ def domain_of(docs: DataFrame, domain: str | None = None) -> Column:
     """The given domain, or what the column `domain` means, else general."""
     if domain is None and "domain" in docs.columns:
         return F.coalesce(evaluation.domain_named(F.col("domain")), F.lit("general"))
-    return F.coalesce(evaluation.domain_named(F.lit(domain or "general")), F.lit("general"))
+    return F.lit(evaluation.domain_meant(domain or "general") or "general")
 
 
 #: Metrics that a document's row gives: name, SQL, that of its features, and the function that computes those.
