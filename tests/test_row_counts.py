@@ -33,3 +33,18 @@ def test_entropies_against_brute_force(spark):
 def test_entropies_are_not_counted_by_lambdas(spark):
     plan = features.entropies(spark.createDataFrame([(1, "a b")], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
     assert "lambdafunction" not in plan
+
+
+def test_parses_are_made_and_read_as_arrays(spark):
+    """Rows of many documents at a time: sentences of several documents, empty texts between them, and no list of tokens."""
+    from stylospark.operators import parses
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["the", "dog", "was", "walked", "by", "people.", "and", "quickly", "However,", "12", "!"]) for _ in range(rng.choice([0, 1, 3, 30, 200]))) for _ in range(50)]
+    docs = spark.createDataFrame([*enumerate(texts), (998, None)], "doc_id long, text string").repartition(1)
+    one = {r.doc_id: r[2:] for r in parses.features(docs).collect()}
+    each = {r.doc_id: r[2:] for r in parses.features(docs.repartition(40, "doc_id")).collect()}
+    assert len(one) == 51 and one == each
+    table = parses.from_table(parses.parse(docs), docs)
+    assert {r.doc_id: r[1:] for r in table.collect()} == one
+    assert "collect_list" not in table._jdf.queryExecution().optimizedPlan().toString()
