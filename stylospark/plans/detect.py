@@ -26,6 +26,8 @@ _IN_ROW = [
     ("structural", metrics.STRUCTURAL, metrics.STRUCTURAL_FEATURES, features.structural), ("entropy", metrics.ENTROPY, metrics.ENTROPY_FEATURES, features.entropies),
     ("linguistic", lm.LINGUISTIC, lm.LINGUISTIC_FEATURES, features.linguistic), ("semantic_analysis", lm.SEMANTIC, lm.SEMANTIC_FEATURES, features.semantic),
 ]
+#: Of these, what features.counted() counts in one scan.
+_COUNTED = {"structural": "structural", "entropy": "entropy", "linguistic": "linguistic", "semantic_analysis": "semantic"}
 _BY_MODEL = [("perplexity", metrics.PERPLEXITY, metrics.PERPLEXITY_FEATURES), ("multi_perturbation_stability", lm.STABILITY, lm.STABILITY_FEATURES)]
 
 
@@ -46,17 +48,25 @@ def metric_columns(docs: DataFrame, skip: tuple[str, ...] = (), domain: str | No
     keep = ("text", "_n", "_domain", *(["_text"] if text else []))
     skipped = F.struct(F.lit(0.5).alias("raw"), F.lit(0.3).alias("confidence"), F.lit(0.0).alias("mixed"), F.lit("Skipped").alias("error"))
     more = lambda name: (_SIGNALS[name],) if signals else ()
+    parts = {n: p for n, p in _COUNTED.items() if n not in skip and (n != "semantic_analysis" or vectors is None)}
+    if parts:  # of one scan; only supplied or learned vectors need the text again
+        again = vectors is not None and "semantic_analysis" not in skip
+        a = features.counted(a, tuple(parts.values()), keep if again else keep[1:])
+        keep = tuple(a.columns[1:])
     for name, sql_text, sql, made in _IN_ROW:
         if name == "semantic_analysis":  # the last: the text isn't needed any more
-            keep = keep[1:]
+            keep = tuple(c for c in keep if c != "text")
             if vectors is not None:
                 by = sentence_vectors.supplied if isinstance(vectors, DataFrame) else sentence_vectors.semantic
                 made = lambda d, k: by(d, vectors, k)  # noqa: B023, E731
+        if name in parts:
+            keep = tuple(c for c in keep if not c.startswith(f"_{parts[name]}_"))
         if name in skip:
             a = a.select("doc_id", *keep, skipped.alias(name), *[F.lit(None).cast("double").alias(c) for c in more(name)])
         else:
             a = metrics.step(sql_text, sql, made(a, keep), name, (*keep, *more(name)))
         keep = (*keep, name, *more(name))
+    a, keep = a.drop("_chars"), tuple(c for c in keep if c != "_chars")
     own = [x for x in _BY_MODEL if x[0] not in skip]
     if own:
         a = model.features(docs, a.withColumnRenamed("_n", "n_chars").select("*", F.col("n_chars").alias("_n")), keep)
