@@ -6,8 +6,7 @@ from __future__ import annotations
 import re
 
 import ahocorasick
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A table of more phrases is refused: it is sent to every worker.
@@ -25,6 +24,7 @@ class Fingerprints:
         at = {m: i for i, m in enumerate(self.models)}
         self.checks = [sum(1 for m, k, _ in rows if m == own and k != "starter") for own in self.models]
         self.starters = [tuple(p for m, k, p in rows if m == own and k == "starter") for own in self.models]
+        self.openings = tuple(p for own in self.starters for p in own)
         self.gains: dict[str, list[tuple[int, int]]] = {}
         for m, k, p in rows:
             if k != "starter" and p:
@@ -43,7 +43,7 @@ class Fingerprints:
         pieces = _SPLIT.split(text)
         for s in pieces:
             s = s.strip(_SPACE)
-            for i, own in enumerate(self.starters):
+            for i, own in enumerate(self.starters) if s.startswith(self.openings) else ():
                 if own and s.startswith(own):
                     hits[i] += OTHER
         checks = [c + (len(pieces) if own else 0) for c, own in zip(self.checks, self.starters)]
@@ -56,17 +56,3 @@ def checked(table: DataFrame) -> list[tuple[str, str, str]]:
     if len(rows) > MOST:
         raise ValueError(f"more than {MOST} phrases")
     return rows
-
-
-def fingerprint_scores(docs: DataFrame, lowered: Column, rows: list[tuple[str, str, str]], name: str = "fingerprints") -> DataFrame:
-    """docs with a column more: the score of each generator of the table, by name."""
-    shared: dict[str, Fingerprints] = {}
-
-    def score(batches):
-        own = shared.setdefault("own", Fingerprints(rows))
-        for b in batches:
-            found = [list(zip(own.models, own.scores(t.as_py() or ""))) for t in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.map_(pa.string(), pa.float64()))], names=[*b.schema.names[:-1], name])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.select("*", lowered.alias("_lowered")).mapInArrow(score, f"{schema}, {name} map<string,double>")

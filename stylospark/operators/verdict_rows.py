@@ -8,16 +8,18 @@ verdicts.py says the same over exploded tables, and is what tests compare with."
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
-from . import phrases, verdicts
-from .features import let
+from . import phrases, scan, verdicts
+from .features import Part, let
 
 METRICS = fixed.METRICS
 
@@ -269,16 +271,39 @@ SIGNALS = {"overall_perplexity": 50.0, "coherence_score": 0.5, "token_diversity"
 PUNCTUATION = {"em": "—", "semicolon": ";", "colon": ":", "comma": ",", "question": "?", "exclaim": "!"}
 
 
+def style(rows: list[tuple[str, str, str]]) -> Part:
+    """What attribution() reads of a text, for features.counted(): words, sentences, marks, and scores of the phrases."""
+    shared: dict[str, phrases.Fingerprints] = {}
+    models = sorted({m for m, _, _ in rows})
+
+    def scores(low: Iterable[str]) -> list[np.ndarray]:
+        own = shared.get("own")
+        if own is None:
+            own = shared["own"] = phrases.Fingerprints(rows)
+        found = [own.scores(t) for t in low]
+        return [*np.array(found, float).reshape(len(found), len(models)).T]
+
+    def plain(x: scan.Plain) -> list[np.ndarray]:
+        marks = [x.per_text(np.flatnonzero(x.raw == ord(c))) for c in PUNCTUATION.values()]
+        return [x.per_text(scan.begins(x.body & ~x.space)), x.scan.sents, *marks, *scores(x.lower_texts())]
+
+    def split(t: Column) -> list[Column]:
+        marks = [F.length(t) - F.length(F.replace(t, F.lit(c), F.lit(""))) for c in PUNCTUATION.values()]
+        return [F.size(T.space_words(t)), F.size(T.sentences(t)), *marks, F.lower(t)]
+
+    def other(n: np.ndarray, *made: pa.Array) -> list[np.ndarray]:
+        return [*[c.to_numpy() for c in made[:-1]], *scores(made[-1].to_pylist())]
+
+    return Part(dict.fromkeys(("nw", "ns", *PUNCTUATION), "long") | {f"model{i}": "double" for i in range(len(models))}, plain, split, other)
+
+
 def attribution(a: DataFrame, rows: list[tuple[str, str, str]]) -> DataFrame:
-    """doc_id, model, probability, confidence, fingerprints, reasoning of a (text,
-    domain, _n and the features the rules read): shares of phrases, style and rules
-    by the domain's weights."""
+    """doc_id, model, probability, confidence, fingerprints, reasoning of a (domain, _n, what style() counts
+    and the features the rules read): shares of phrases, style and rules by the domain's weights."""
     s = a.sparkSession
-    t = F.coalesce("text", F.lit(""))
-    count = lambda c: (F.length("t") - F.length(F.replace("t", F.lit(c), F.lit("")))).cast("double")
-    a = phrases.fingerprint_scores(a.drop(*METRICS).withColumn("text", t), F.lower("text"), rows)
-    a = a.withColumnRenamed("text", "t").withColumns({"nw": F.size(T.space_words(F.col("t"))), "ns": F.size(T.sentences(F.col("t")))})
-    a = a.withColumns({"len": F.try_divide("nw", "ns")} | {k: F.try_divide(count(c), "ns" if k in ("question", "exclaim") else "nw") for k, c in PUNCTUATION.items()}).drop("t")
+    place = {m: f"_style_model{i}" for i, m in enumerate(sorted({m for m, _, _ in rows}))}
+    own = lambda c: F.col(f"_style_{c}")
+    a = a.drop(*METRICS).withColumns({"nw": own("nw"), "ns": own("ns"), "len": F.try_divide(own("nw"), own("ns"))} | {k: F.try_divide(own(k).cast("double"), own("ns" if k in ("question", "exclaim") else "nw")) for k in PUNCTUATION})
     w = F.broadcast(fixed.frame(s, "attribution").withColumnRenamed("domain", "_d"))
     a = a.join(w, F.col("domain") == F.col("_d")).drop("_d").withColumns({f: F.when(F.col("_n") < 50, d).otherwise(F.col(f)) for f, d in SIGNALS.items()})
     ranges: dict[str, list[Column]] = {}
@@ -288,7 +313,7 @@ def attribution(a: DataFrame, rows: list[tuple[str, str, str]]) -> DataFrame:
     add = lambda cs: reduce(lambda x, y: x + y, cs, F.lit(0.0))
 
     def score(model: str) -> Column:
-        phrase = F.least(F.lit(1.0), F.coalesce(F.element_at("fingerprints", F.lit(model)), F.lit(0.0)) * F.col("sensitivity"))
+        phrase = F.least(F.lit(1.0), (F.col(place[model]) if model in place else F.lit(0.0)) * F.col("sensitivity"))
         style = F.least(F.lit(1.0), 0.3 + add(ranges.get(model, [])))
         rule = F.least(F.lit(1.0), add([F.when(F.expr(cond), strength * verdicts.RULE_WEIGHTS[kind] * (F.col(kind) if kind != "stability" else F.lit(1.0))).otherwise(0.0) for cond, strength, kind in verdicts.RULES.get(model, [])]))
         return F.struct(F.lit(model).alias("model"), F.round(F.col("by_phrase") * phrase + F.col("by_style") * style + F.col("by_rule") * rule, 9).alias("x"), phrase.alias("f"))

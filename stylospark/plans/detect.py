@@ -35,13 +35,13 @@ _BY_MODEL = [("perplexity", metrics.PERPLEXITY, metrics.PERPLEXITY_FEATURES), ("
 _SIGNALS = {"structural": "length_uniformity", "entropy": "token_diversity", "linguistic": "syntactic_complexity", "semantic_analysis": "coherence_score", "perplexity": "overall_perplexity", "multi_perturbation_stability": "stability_score"}
 
 
-def metric_columns(docs: DataFrame, skip: tuple[str, ...] = (), domain: str | None = None, text: bool = False, signals: bool = False, vectors: sentence_vectors.Basis | DataFrame | None = None) -> DataFrame:
+def metric_columns(docs: DataFrame, skip: tuple[str, ...] = (), domain: str | None = None, text: bool = False, signals: bool = False, vectors: sentence_vectors.Basis | DataFrame | None = None, style: features.Part | None = None) -> DataFrame:
     """doc_id, domain, _n (characters), a struct (raw, confidence, mixed, error) for
     each metric, and the text and the features attribution reads if asked for.
     Metrics in `skip` have an error and aren't computed. Four metrics are projections
     of one scan; the language model and its look-ups are the only shuffles. Sentences
     are compared by their words, or by vectors: a learned basis, or a table (doc_id,
-    idx, vec) that is joined."""
+    idx, vec) that is joined. style: what else is counted of the texts, as _style_ columns."""
     t = F.coalesce("text", F.lit(""))
     docs = tokens.spread(docs.select("doc_id", "text", domain_of(docs, domain).alias("_domain")))
     a = docs.select("doc_id", "text", F.length(t).alias("_n"), "_domain", *([F.col("text").alias("_text")] if text else []))
@@ -49,9 +49,9 @@ def metric_columns(docs: DataFrame, skip: tuple[str, ...] = (), domain: str | No
     skipped = F.struct(F.lit(0.5).alias("raw"), F.lit(0.3).alias("confidence"), F.lit(0.0).alias("mixed"), F.lit("Skipped").alias("error"))
     more = lambda name: (_SIGNALS[name],) if signals else ()
     parts = {n: p for n, p in _COUNTED.items() if n not in skip and (n != "semantic_analysis" or vectors is None)}
-    if parts:  # of one scan; only supplied or learned vectors need the text again
+    if parts or style:  # of one scan; only supplied or learned vectors need the text again
         again = vectors is not None and "semantic_analysis" not in skip
-        a = features.counted(a, tuple(parts.values()), keep if again else keep[1:])
+        a = features.counted(a, tuple(parts.values()), keep if again else keep[1:], {"style": style} if style else None)
         keep = tuple(a.columns[1:])
     for name, sql_text, sql, made in _IN_ROW:
         if name == "semantic_analysis":  # the last: the text isn't needed any more
@@ -124,7 +124,7 @@ def attribution(docs: DataFrame, prints: DataFrame | None = None, domain: str |
     """The likeliest generator of each document; prints (model, kind, phrase) may stand
     for the fixed phrases."""
     rows = fingerprints.rows() if prints is None else phrases.checked(prints)
-    return verdict_rows.attribution(metric_columns(docs, (), domain, text=True, signals=True), rows)
+    return verdict_rows.attribution(metric_columns(docs, (), domain, signals=True, style=verdict_rows.style(rows)), rows)
 
 
 def language(docs: DataFrame) -> DataFrame:

@@ -78,3 +78,19 @@ def test_blocks_of_sentences_give_what_all_give(monkeypatch):
     g = e @ e.T
     above = sum(g[i, j] > 0.8000001 for i in range(30) for j in range(i + 2, 30))
     assert np.isclose(got[5][2], above / (29 * 28 / 2)) and np.isclose(got[4][2], ((g**2).sum() - 30) / (30 * 29)) and np.isclose(got[3][2], (g.sum() - 30) / (30 * 29))
+
+
+def test_attribution_reads_the_text_in_the_same_scan(spark):
+    from stylospark.functions import fingerprints
+    from stylospark.operators import verdict_rows
+
+    part = verdict_rows.style(fingerprints.rows())
+    own = ["However, it's worth noting that. So, firstly; this: is?! — an example.", "", "Well, in other words. Now, then", " ...", "in terms of Été"]
+    b = spark.createDataFrame([(t,) for t in own], "text string").repartition(1).select("text", *part.split(F.col("text"))).toArrow().combine_chunks()
+    got = part.plain(scan.Plain(b["text"].combine_chunks()))
+    want = part.other(np.array([len(v) for v in b["text"].to_pylist()]), *[c.combine_chunks() for c in b.columns[1:]])
+    assert len(got) == len(want) == len(part.made) and all(v.tolist() == w.tolist() for v, w in zip(got, want))
+    assert sum(v.sum() for v in got[-7:]) > 0
+    docs = spark.createDataFrame([*enumerate(own)], "doc_id long, text string")
+    a = detect.metric_columns(docs, ("perplexity", "multi_perturbation_stability"), signals=True, style=part)
+    assert verdict_rows.attribution(a, fingerprints.rows())._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
