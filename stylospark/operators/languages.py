@@ -142,11 +142,21 @@ class Profile:
         return None if p is None else {self.names[i]: float(p[i]) for i in np.argsort(-p, kind="stable")[:3]}
 
 
+def beyond_latin(t: Column) -> Column:
+    """The characters after the Latin ones: all other scripts lie there, and most texts have few."""
+    return F.regexp_replace(t, r"[\x{0}-\x{24F}]+", "")
+
+
+def script_counts(t: Column, rest: Column) -> list[Column]:
+    """How many characters of each script a text has; rest: beyond_latin() of it."""
+    return [F.length(F.regexp_replace(t if n == "latin" else rest, f"[^{chars}]+", "")).cast("long").alias(n) for n, (chars, _) in fixed.SCRIPTS.items()]
+
+
 def heuristics(t: Column) -> tuple[Column, Column, Column]:
     """(script, language, matches) of a text, in its row: the script tells the
     language, else the function words do, at least three, ties by the list's order."""
     names = list(fixed.SCRIPTS)
-    counts = lambda x: F.array(*[F.length(F.regexp_replace(x, f"[^{fixed.SCRIPTS[n][0]}]+", "")).cast("long") for n in names])
+    counts = lambda x: let(beyond_latin(x), lambda rest: F.array(*script_counts(x, rest)))
 
     def name(c: Column) -> Column:
         total, top = F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x), F.array_max(c)

@@ -138,7 +138,8 @@ def scripts(docs: DataFrame) -> DataFrame:
     t = F.coalesce("text", F.lit(""))
     t = F.regexp_replace(t, r"[\s\p{Punct}]+", "")
     names = list(fixed.SCRIPTS)
-    counts = docs.select("doc_id", *[F.length(F.regexp_replace(t, f"[^{fixed.SCRIPTS[n][0]}]+", "")).cast("long").alias(n) for n in names])
+    a = docs.select("doc_id", t.alias("t")).select("doc_id", "t", languages.beyond_latin(F.col("t")).alias("rest"))
+    counts = a.select("doc_id", *languages.script_counts(F.col("t"), F.col("rest")))
     total, top = sum((F.col(n) for n in names), F.lit(0)), F.greatest(*names)
     best = F.lit(None).cast("string")
     for n in reversed(names):

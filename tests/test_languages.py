@@ -1,6 +1,7 @@
 """Language of documents: packing of chunks, the model, and each step of the cascade."""
 
 import random
+import re
 
 import pytest
 
@@ -69,3 +70,17 @@ def test_by_words_needs_no_shuffle(spark):
     df = languages.by_words(docs)
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
     assert {(r.doc_id, r.language) for r in df.collect()} == {(1, "en"), (2, "de"), (3, "ru"), (4, "en"), (5, "en")}
+
+
+def test_scripts_beyond_latin_are_counted_on_what_is_left(spark):
+    """Each pattern but that of Latin letters reads what the Latin ones leave."""
+    from stylospark.functions import fixed
+    from stylospark.plans import detect
+
+    made = ["", "Latin only, ÉŸɏ.", "Ѐя mixed латиница", "日本語 ひらがな カタカナ text", "한국어", "ɐ ʰ Ͱ Ω", "שלום abc", "ไทย", "مرحبا ݐ", "हिन्दी", "😀 ẞ ℡"]
+    got = {r.doc_id: r for r in detect.scripts(spark.createDataFrame([*enumerate(made)], "doc_id long, text string")).collect()}
+    for i, t in enumerate(made):
+        for n, (chars, _) in fixed.SCRIPTS.items():
+            assert got[i][n] == len(re.findall(f"[{chars}]", re.sub(r"[\s!-/:-@\[-`{-~]+", "", t))), (t, n)
+    plan = detect.scripts(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(rest") == len(fixed.SCRIPTS) - 1
