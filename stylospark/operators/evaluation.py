@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from .features import let
 
 CLASSES = {"ai": "AI-Generated", "human": "Human-Written", "mixed": "Mixed (AI + Human)"}
 
@@ -48,10 +49,14 @@ def domain_named(name: Column) -> Column:
     or that it is part of; null for none, a null or an empty name."""
     pairs = fixed.domain_aliases()
     of = F.create_map(*[F.lit(x) for p in pairs for x in p])
-    n = F.regexp_replace(F.lower(name), r"^\s+|\s+$", "")
-    part = F.filter(F.array(*[F.lit(a) for a, _ in pairs]), lambda a: F.contains(a, n) | F.contains(n, a))
-    exact = F.coalesce(F.try_element_at(of, n), F.try_element_at(of, F.replace(n, F.lit(" "), F.lit("_"))))
-    return F.when(name != "", F.coalesce(exact, F.try_element_at(of, F.get(part, F.lit(0)))))
+
+    def meant(n: Column) -> Column:
+        part = F.filter(F.array(*[F.lit(a) for a, _ in pairs]), lambda a: F.contains(a, n) | F.contains(n, a))
+        exact = F.coalesce(F.try_element_at(of, n), F.try_element_at(of, F.replace(n, F.lit(" "), F.lit("_"))))
+        return F.coalesce(exact, F.try_element_at(of, F.get(part, F.lit(0))))
+
+    # trimmed once a name, not once an alias
+    return F.when(name != "", let(F.regexp_replace(F.lower(name), r"^\s+|\s+$", ""), meant))
 
 
 def domain_meant(name: str) -> str | None:

@@ -75,3 +75,8 @@ def test_request_log(spark):
     got = events.request_log(spark.createDataFrame(rows, "ts timestamp, method string, path string, status int, duration double")).collect()
     assert [(r.level, r.duration) for r in got] == [("info", 0.1235), ("warning", 1.0), ("error", 2.0), ("info", None), (None, 0.0)]
     assert [r.message for r in got][:4] == ["API Request: GET /a -> 200", "API Client Error: POST /b -> 404", "API Server Error: GET /c -> 500", "API Request:   -> 399"]
+
+
+def test_a_name_is_trimmed_once(spark):
+    plan = spark.createDataFrame([("a",)], "name string").select(evaluation.domain_named(F.col("name")).alias("d"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
