@@ -306,7 +306,8 @@ def features(docs: DataFrame, base: DataFrame | None = None, keep: tuple[str, ..
     g = g.groupBy("doc_id").agg(F.min(F.struct(*g.columns[1:])).alias("x")).select("doc_id", "x.*").withColumnRenamed("c", "pairs").withColumn("ce", F.col("s") / F.col("pairs"))
     clamp = lambda c: F.greatest(F.lit(0.5), F.least(F.lit(10.0), c))
     base = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n_chars")) if base is None else base.select("doc_id", "n_chars", *keep)
-    f = base.join(g, "doc_id", "left")
+    # a stated number: what follows is all computing, for which joined partitions of few bytes would be too few tasks
+    f = base.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id").join(g, "doc_id", "left")
     mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v) / F.size(c)
     var = lambda c: let(mean(c), lambda m: mean(F.transform(c, lambda v: (v - m) * (v - m))))
     enough = F.coalesce(F.col("pairs") + 1 >= 5, F.lit(False))

@@ -161,12 +161,10 @@ def scores(sents: np.ndarray, size: np.ndarray, vocab: pa.Array, code: np.ndarra
     first, doc = np.cumsum(size) - size, of[sent]
     by = lambda mask: np.bincount(sent[mask], minlength=k)
     total = lambda x: np.bincount(of, x, d)
-    words_of = vocab.to_pylist()
-    table = lambda f: np.array([f(w) for w in words_of], bool)
     named = lambda *names: np.isin(dep, [i for i, name in enumerate(deps) if name in names])
     tokens_, sentences = np.bincount(doc, minlength=d), np.maximum(sents, 1)
-    over = np.bincount(doc[table(frozenset(OVERUSED.split()).__contains__)[code]], minlength=d)
-    moved, passive = by(table(_HAS.__getitem__)[code]) > 0, by(named("nsubjpass")) > 0
+    over = np.bincount(doc[_true(pc.is_in(vocab, pa.array(OVERUSED.split())))[code]], minlength=d)
+    moved, passive = by(_true(pc.match_substring_regex(vocab, "|".join(map(regex.escape, TRANSITIONS))))[code]) > 0, by(named("nsubjpass")) > 0
     # parts of speech and their neighbouring pairs
     pos = np.bincount(doc * kinds + tags, minlength=d * kinds).reshape(d, kinds)
     at = np.flatnonzero(sent[:-1] == sent[1:])
@@ -230,20 +228,23 @@ _KINDS = [pa.float64()] * 11 + [pa.int64()] * 2
 _MADE = ", ".join(f"{f} {'long' if f.startswith('num') else 'double'}" for f in FEATURES)
 
 
-class _Memo(dict):
-    def __init__(self, f):
-        super().__init__()
-        self.f = f
+def _true(mask: pa.Array) -> np.ndarray:
+    return mask.to_numpy(zero_copy_only=False).astype(bool)
 
-    def __missing__(self, k):
-        if len(self) > 500_000:
-            self.clear()
-        self[k] = v = self.f(k)
-        return v
 
-
-_TAG = _Memo(lambda w: TAGS.index(tag(w)))
-_HAS = _Memo(lambda w: any(t in w for t in TRANSITIONS))
+def tags_of(vocab: pa.Array) -> np.ndarray:
+    """tag() of many tokens, as places in TAGS: only those that begin beyond ASCII are taken one by one."""
+    out = np.full(len(vocab), TAGS.index("NOUN"))
+    out[_true(pc.match_substring_regex(vocab, r"\A[0-9]"))] = TAGS.index("NUM")
+    for ends, name in reversed(_ENDS):
+        for e in ends:
+            out[_true(pc.ends_with(vocab, e))] = TAGS.index(name)
+    own = pc.index_in(vocab, pa.array(list(_WORDS))).fill_null(-1).to_numpy()
+    out[own >= 0] = np.array([TAGS.index(name) for name in _WORDS.values()])[own[own >= 0]]
+    out[_true(pc.match_substring_regex(vocab, r"\A[\x00-/:-@\[-^`{-\x7F]"))] = TAGS.index("PUNCT")
+    for i in np.flatnonzero(~_true(pc.match_substring_regex(vocab, r"\A[\x00-\x7F]"))):
+        out[i] = TAGS.index(tag(vocab[i].as_py()))
+    return out
 
 
 def _pieces(col: pa.Array):
@@ -263,11 +264,10 @@ def _parsed(sizes: np.ndarray, words: pa.Array):
     """vocab, codes, tags, start of each token's sentence, head, dep, np_id of sentences of tokens."""
     d = pc.dictionary_encode(words)
     vocab, code = d.dictionary, d.indices.to_numpy().astype(np.int64)
-    lemmas = vocab.to_pylist()
-    tags = np.array([_TAG[w] for w in lemmas], np.int64)[code]
+    tags = tags_of(vocab)[code]
     first = np.cumsum(sizes) - sizes
     start, end = np.repeat(first, sizes), np.repeat(first + sizes, sizes)
-    be, ed = np.array([w in _BE for w in lemmas], bool)[code], np.array([w.endswith("ed") for w in lemmas], bool)[code]
+    be, ed = _true(pc.is_in(vocab, pa.array(list(_BE))))[code], _true(pc.ends_with(vocab, "ed"))[code]
     return vocab, code, tags, start, *attach(tags, be, ed, start, end)
 
 

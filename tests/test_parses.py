@@ -74,3 +74,10 @@ def test_table_of_another_parser(spark):
     assert got[1].num_sentences == 2 and got[1].passive_voice_ratio == 0.5 and got[1].syntactic_complexity == pytest.approx(((1 / 4 + 1) / 2 + 0) / 2, abs=1e-4)
     assert got[1].ai_pattern_score == pytest.approx(0.4) and got[2].num_sentences == 1 and got[3].pos_diversity == 0.5 and got[3].num_sentences == 0
     assert parses.from_table(table.limit(0)).count() == 0 and parses.from_table(spark.createDataFrame([], parses.SCHEMA)).columns == ["doc_id", *parses.FEATURES]
+
+
+def test_tags_of_many_tokens_are_those_of_each():
+    import pyarrow as pa
+
+    words = ["the", "running", "ed", "_", "_a", "1a", "10th", "½", "²x", "éed", "—", "\0", "a\nb", ":", "/", "0", "ſed", "٣", "\x7f", "however", "was", "naïvely", "çing", ""]
+    assert [parses.TAGS[i] for i in parses.tags_of(pa.array(words))] == [parses.tag(w) for w in words]
