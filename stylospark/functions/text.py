@@ -62,8 +62,13 @@ def language_text(t: Column) -> Column:
     return squeeze(F.regexp_replace(F.regexp_replace(t, r"https?://\S+|www\.\S+", ""), r"\S+@\S+", ""))
 
 
+def trim(t: Column) -> Column:
+    """Without white space at its ends. Of ASCII this is a trim of characters; beyond it a pattern's end may be before a line end."""
+    return F.when(F.octet_length(t) == F.length(t), F.btrim(t, F.lit(" \t\n\x0b\f\r"))).otherwise(F.regexp_replace(t, r"^\s+|\s+$", ""))
+
+
 def non_empty(a: Column) -> Column:
-    return F.filter(F.transform(a, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    return F.filter(F.transform(a, trim), lambda x: x != "")
 
 
 def space_words(t: Column) -> Column:
@@ -96,11 +101,12 @@ def sentences_smart(t: Column) -> Column:
     whole, names = t, sorted(fixed.ABBREVIATIONS)
     for a in names:
         t = F.regexp_replace(t, rf"(?i)\b{re.escape(a)}\.", a.replace(".", "<DOT>"))
-    t = F.when(whole.rlike(rf"(?i)\b(?:{'|'.join(map(re.escape, names))})\."), t).otherwise(whole)
+    # looked back for from a period: the names need not be tried at each character
+    t = F.when(whole.rlike(rf"(?i)\.(?<=\b(?:{'|'.join(map(re.escape, names))})\.)"), t).otherwise(whole)
     t = F.replace(F.regexp_replace(t, r"(\d+)\.(\d+)", "$1<DOT>$2"), F.lit("..."), F.lit("<ELLIPSIS>"))
     back = lambda s: F.replace(F.replace(s, F.lit("<DOT>"), F.lit(".")), F.lit("<ELLIPSIS>"), F.lit("..."))
     pieces = non_empty(F.transform(F.split(t, r"[.!?]+(?=\s+[A-Z]|$)"), back))
-    return F.filter(pieces, lambda s: F.size(space_words(s)) >= 2)
+    return F.filter(pieces, lambda s: s.rlike(r"\S\s+\S"))
 
 
 def paragraphs(t: Column) -> Column:
