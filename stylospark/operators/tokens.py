@@ -26,6 +26,11 @@ def tok(df: DataFrame) -> DataFrame:
     return a.select("doc_id", F.explode(item).alias("x")).select("doc_id", "x.*")
 
 
+def each_word(df: DataFrame) -> DataFrame:
+    """doc_id, w of tok(), for what asks for no neighbours: without a struct a word."""
+    return _rows(df).select("doc_id", F.explode(T.lower_words(F.col("text"))).alias("w"))
+
+
 def pretok(df: DataFrame) -> DataFrame:
     """doc_id, pos, w, w2: case-sensitive tokens with their leading space."""
     a = _rows(df).select("doc_id", T.pretokens(F.col("text")).alias("ws"))

@@ -171,13 +171,13 @@ def detect(docs: DataFrame, domain: str | None = None) -> DataFrame:
 def domain(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, domain, secondary, confidence by the words of a lexicon (domain, term):
     a table of the user's, or what corpus.learn_terms finds in labelled documents."""
-    return metrics.compute(corpus.DOMAIN, docs, domain_terms=terms)
+    return metrics.compute(corpus.DOMAIN, docs, domain_terms=terms, tok=tokens.each_word(tokens.spread(docs)))
 
 
 def adaptive_thresholds(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, metric, ai_thr, human_thr, weight, ensemble_threshold by each document's own domains."""
     s = docs.sparkSession
-    return metrics.compute(corpus.ADAPTIVE, docs, domain_terms=terms, thresholds=fixed.frame(s, "thresholds"), domain_cfg=fixed.frame(s, "domain_cfg"))
+    return metrics.compute(corpus.ADAPTIVE, docs, domain_terms=terms, tok=tokens.each_word(tokens.spread(docs)), thresholds=fixed.frame(s, "thresholds"), domain_cfg=fixed.frame(s, "domain_cfg"))
 
 
 def forest_scores(docs: DataFrame, labels: DataFrame, path: str | None = None, domain: str | None = None) -> DataFrame:

@@ -26,3 +26,11 @@ def test_pairs_are_not_joined_by_occurrence(spark):
 def test_rows_that_share_an_id_stay_rows(spark):
     twice = docs(spark, 3).unionAll(docs(spark, 2))
     assert model.features(twice).count() == 128
+
+
+def test_each_word_is_that_of_tok_without_its_neighbours(spark):
+    from stylospark.operators import tokens
+
+    docs = spark.createDataFrame([(1, "One two, two three."), (2, None), (3, " ... "), (4, "Éa_1 x")], "doc_id long, text string")
+    got = tokens.each_word(docs)
+    assert got.columns == ["doc_id", "w"] and sorted(got.collect()) == sorted(tokens.tok(docs).select("doc_id", "w").collect())
