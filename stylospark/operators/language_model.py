@@ -5,7 +5,8 @@ keeps its words as codes, its different pairs of neighbours with their counts, a
 them each place has, also after a perturbation. A block's pairs are dealt by hash into
 buckets, one row a block and bucket, which add up the counts of equal pairs; a block gets
 back those that others have too. So a pair of words is shuffled once a block, not once an
-occurrence, and the sums of a document are made where its block is.
+occurrence, and the sums of a document are made where its block is. Arrays leave their task
+packed: the JVM, which holds whole rows, and the shuffle get a fraction of their bytes.
 
 model() counts the same as two tables, for what asks for pairs of any words."""
 
@@ -19,13 +20,40 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, small_batches
 from . import scan, tokens
 from .features import let
 
 ROUNDS = 3
 #: Words of a block.
 BLOCK = 1 << 20
+#: Rows of pairs in a batch.
+_ROWS = 1 << 17
+#: Bytes of blocks that the writer holds, and after how many of them it looks: by default after a hundred.
+_WRITTEN = {"compression": "none", "parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "4"}
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """An array of integers, the first bytes of all before the second ones, compressed."""
+    x = np.ascontiguousarray(x)
+    return len(x).to_bytes(8, "little") + pa.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), "zstd", asbytes=True)
+
+
+def _ints(x: pa.Scalar | bytes, kind: type = np.int32) -> np.ndarray:
+    """What was packed."""
+    x = memoryview(x.as_buffer() if isinstance(x, pa.Scalar) else x)
+    n, width = int.from_bytes(x[:8], "little"), np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(x[8:], n * width, "zstd"), np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, n).T).view(kind).ravel()
+
+
+def _rising(x: np.ndarray) -> bytes:
+    """_packed() of an array of mostly small steps, which _risen() reads."""
+    return _packed(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def _risen(x: pa.Scalar | bytes, kind: type = np.int32) -> np.ndarray:
+    return np.cumsum(_ints(x, kind), dtype=kind)
 
 
 def _pair_rows(batches):
@@ -33,7 +61,10 @@ def _pair_rows(batches):
         for vocab, p1, p2, c in zip(*b.columns):
             c = _ints(c)
             on = c > 0
-            yield pa.RecordBatch.from_arrays([vocab.values.take(pa.array(_ints(p)[on])) for p in (p1, p2)] + [pa.array(c[on], pa.int64())], names=["w", "w2", "c"])
+            p1, p2, c = _risen(p1)[on], _ints(p2)[on], c[on]
+            for a in range(0, len(c), _ROWS):
+                own = slice(a, a + _ROWS)
+                yield pa.RecordBatch.from_arrays([vocab.values.take(pa.array(p[own])) for p in (p1, p2)] + [pa.array(c[own], pa.int64())], names=["w", "w2", "c"])
 
 
 def _word_rows(batches):
@@ -78,13 +109,18 @@ def _left(doc: np.ndarray, at: np.ndarray, size: np.ndarray, ids: np.ndarray, k:
 
 _INTS = ("p1", "p2", "count", "words", "last", "size", "slot", "sid", "made_slot", "made_at")
 _BYTES = ("own", "made_k")
+_RISING = ("p1", "made_at")
 _COUNTED = "block long, n long, vocab array<string>, ids array<{}>, " + ", ".join(f"{c} binary" for c in (*_INTS, *_BYTES))
 
 
 def _block(number: int, ids: pa.Array, sents: np.ndarray, sizes: np.ndarray, ok: np.ndarray, words: pa.Array, n: int) -> pa.RecordBatch:
     """The row of a block: documents of `sents` sentences of `sizes` words, ok: of over 20 characters."""
     code = pc.dictionary_encode(words)
-    vocab, code = code.dictionary, code.indices.to_numpy().astype(np.int64)
+    # in order, words next to each other are alike, which packs them better
+    order = pc.sort_indices(code.dictionary).to_numpy().astype(np.int64)
+    vocab, rank = code.dictionary.take(pa.array(order)), np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    code = rank[code.indices.to_numpy()]
     v, of = len(vocab), np.repeat(np.arange(len(ids)), sents)
     size = np.bincount(of, sizes, len(ids)).astype(np.int64)
     doc, sent = np.repeat(np.arange(len(ids)), size), np.repeat(np.arange(len(sizes)), sizes)
@@ -110,7 +146,7 @@ def _block(number: int, ids: pa.Array, sents: np.ndarray, sizes: np.ndarray, ok:
         "size": size[many] - 1, "slot": slot[: len(here)], "sid": sid, "made_slot": slot[len(here) :], "made_at": place[p],
     }
     small = {"own": bits[here] & bits[here + 1], "made_k": np.repeat(np.arange(len(made)), [len(x[0]) for x in made]).astype(np.uint8)}
-    data = [out[c].astype(np.int32).tobytes() for c in _INTS] + [small[c].tobytes() for c in _BYTES]
+    data = [(_rising if c in _RISING else _packed)(out[c].astype(np.int32)) for c in _INTS] + [_packed(small[c]) for c in _BYTES]
     kept = ids.filter(pa.array(many))
     lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (vocab, kept)]
     return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([len(code)]), *lists, *[pa.array([d], pa.binary()) for d in data]], names=["block", "n", "vocab", "ids", *_INTS, *_BYTES])
@@ -141,16 +177,24 @@ def blocks(docs: DataFrame, n: int = ROUNDS) -> DataFrame:
         ids, sents, sizes, ok, words = zip(*held)
         return _block(number, pa.concat_arrays(ids), np.concatenate(sents), np.concatenate(sizes), np.concatenate(ok), pa.concat_arrays(words), n)
 
+    small_batches(docs.sparkSession)
     a = tokens.spread(docs.select("doc_id", "text")).select("doc_id", *scan.columns(F.coalesce("text", F.lit(""))))
-    return durable(a.mapInArrow(made, _COUNTED.format(docs.schema["doc_id"].dataType.simpleString())), "blocks", compression="zstd")
+    return durable(a.mapInArrow(made, _COUNTED.format(docs.schema["doc_id"].dataType.simpleString())), "blocks", **_WRITTEN)
 
 
-_DEALT = "bucket long, block long, words array<string>, a binary, b binary, slot binary, c binary"
+_DEALT = "bucket long, block long, words binary, a binary, b binary, slot binary, c binary"
 _SUMMED = "block long, slot binary, total binary"
 
 
-def _ints(x: pa.Scalar | bytes, kind: type = np.int32) -> np.ndarray:
-    return np.frombuffer(x.as_buffer() if isinstance(x, pa.Scalar) else x, kind)
+def _joined(words: pa.Array) -> bytes:
+    """Words, packed: none of them has a line end."""
+    text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")[0].as_buffer()
+    return text.size.to_bytes(8, "little") + pa.compress(text, "zstd", asbytes=True)
+
+
+def _parted(x: pa.Scalar) -> pa.Array:
+    text = _ints(x, np.uint8).tobytes().decode()
+    return pc.split_pattern(pa.array([text] if text else [], pa.string()), "\n").values
 
 
 def _dealt(buckets: int):
@@ -164,44 +208,53 @@ def _dealt(buckets: int):
                 v = len(vocab)
                 h = pd.util.hash_array(np.append(vocab.to_numpy(zero_copy_only=False), ["", " "]).astype(object), categorize=False)
                 every = np.arange(v, dtype=np.int32)
-                one = np.concatenate((_ints(x["p1"]), every, every))
+                one = np.concatenate((_risen(x["p1"]), every, every))
                 two = np.concatenate((_ints(x["p2"]), np.full(v, -1, np.int32), np.full(v, -2, np.int32)))
                 c = np.concatenate([_ints(x[k]) for k in ("count", "words", "last")])
-                to = (((h[one] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[two] * np.uint64(0xBF58476D1CE4E5B9))) >> np.uint64(33)).astype(np.int64) % buckets
-                order = np.argsort(to, kind="stable")
-                ends = np.searchsorted(to[order], np.arange(buckets + 1))
-                out = []
+                to = (((h[one] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[two] * np.uint64(0xBF58476D1CE4E5B9))) >> np.uint64(33)) % np.uint64(buckets)
+                order = np.argsort(to.astype(np.int32), kind="stable").astype(np.int32)
+                ends = np.append(0, np.cumsum(np.bincount(to.astype(np.int32), minlength=buckets)))
+                near, used, out, block = np.zeros(v + 2, np.int32), np.zeros(v + 2, bool), [], x["block"].as_py()
+                near[v], near[v + 1] = -2, -1
                 for k in range(buckets):
                     s = order[ends[k] : ends[k + 1]]
-                    used = np.zeros(v + 2, bool)
                     used[one[s]] = used[two[s]] = True
                     used[v:] = False
                     local = np.flatnonzero(used)
-                    near = np.full(v + 2, -1, np.int32)
-                    near[local], near[v], near[v + 1] = np.arange(len(local)), -2, -1
-                    out.append((k, x["block"].as_py(), vocab.take(pa.array(local)), near[one[s]].tobytes(), near[two[s]].tobytes(), s.astype(np.int32).tobytes(), c[s].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out]), pa.array([r[1] for r in out]), pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(r[2]) for r in out]), pa.int32()), pa.concat_arrays([r[2] for r in out])), *[pa.array([r[j] for r in out], pa.binary()) for j in range(3, 7)]], names=[c.split()[0] for c in _DEALT.split(", ")])
+                    near[local], used[local] = np.arange(len(local)), False
+                    out.append((k, block, _joined(vocab.take(pa.array(local))), _rising(near[one[s]]), _packed(near[two[s]]), _rising(s), _packed(c[s])))
+                yield pa.RecordBatch.from_arrays([pa.array(y, pa.int64() if j < 2 else pa.binary()) for j, y in enumerate(zip(*out))], names=[c.split()[0] for c in _DEALT.split(", ")])
 
     return rows
 
 
+#: Of a bucket one in so many words at a time is looked at as the first of a pair.
+_TURNS = 4
+
+
 def _summed(t: pa.Table) -> pa.Table:
     """Of a bucket, the counts over all blocks of what several blocks have, by block."""
-    t = t.combine_chunks()
-    words = pc.dictionary_encode(pc.list_flatten(t["words"]).combine_chunks())
-    v, code = len(words.dictionary), words.indices.to_numpy().astype(np.int64)
-    part = lambda c: [_ints(x) for x in t[c]]
-    first, n = part("a"), pc.list_value_length(t["words"]).to_numpy()
-    size = np.array([len(x) for x in first])
-    shift = np.repeat(np.cumsum(n) - n, size)
-    one, two = np.concatenate(first), np.concatenate(part("b"))
-    key = code[one + shift] * (v + 2) + np.where(two < 0, two + v + 2, code[np.where(two < 0, 0, two + shift)])
-    c = np.concatenate(part("c")).astype(np.int64)
-    _, kind = np.unique(key, return_inverse=True)
-    total = np.bincount(kind, c)[kind].astype(np.int64)
-    more, slot = total > c, np.concatenate(part("slot"))
-    at = np.cumsum(size) - size
-    rows = [(slot[i : i + m][k].tobytes(), total[i : i + m][k].tobytes()) for i, m in zip(at, size) for k in [more[i : i + m]]]
+    part = lambda c, f: [f(x) for x in t[c]]
+    words = [_parted(x) for x in t["words"]]
+    n = np.array([len(w) for w in words])
+    words = pc.dictionary_encode(pa.concat_arrays(words))
+    v, code = len(words.dictionary), words.indices.to_numpy()
+    first, second = part("a", _risen), part("b", _ints)
+    size, shift = np.array([len(x) for x in first]), np.cumsum(n) - n
+    one = np.concatenate([code[x + k] for x, k in zip(first, shift)])
+    two = np.concatenate([np.where(x < 0, x + v + 2, code[np.maximum(x, 0) + k]) for x, k in zip(second, shift)]).astype(np.int32)
+    del words, first, second
+    c = np.concatenate(part("c", _ints))
+    total = np.empty(len(c), np.int64)
+    for turn in range(_TURNS):
+        i = np.flatnonzero(one % _TURNS == turn)
+        _, kind = np.unique(one[i].astype(np.int64) * (v + 2) + two[i], return_inverse=True)
+        total[i] = np.bincount(kind, c[i])[kind]
+    rows = []
+    for x, e, m in zip(t["slot"], np.cumsum(size), size):
+        own = slice(e - m, e)
+        more = total[own] > c[own]
+        rows.append((_rising(_risen(x)[more]), _packed(total[own][more])))
     return pa.table({"block": t["block"], "slot": pa.array([r[0] for r in rows], pa.binary()), "total": pa.array([r[1] for r in rows], pa.binary())})
 
 
@@ -224,11 +277,11 @@ def _sums(n: int, size: float):
 
 
 def _of_block(x: dict, right: pa.Table, n: int, size: float) -> pa.Table:
-    a = {c: _ints(x[c]) for c in _INTS} | {c: _ints(x[c], np.uint8) for c in _BYTES}
+    a = {c: (_risen if c in _RISING else _ints)(x[c]) for c in _INTS} | {c: _ints(x[c], np.uint8) for c in _BYTES}
     u, v, ids = len(a["p1"]), len(a["words"]), x["ids"].values
     c = np.concatenate((a["count"], a["words"], a["last"])).astype(np.int64)
     for s, t in zip(right["slot"], right["total"]):
-        c[_ints(s)] = _ints(t, np.int64)
+        c[_risen(s)] = _ints(t, np.int64)
     seen, words, ctx = c[:u], c[u : u + v], c[u : u + v] - c[u + v :]
     nll = -np.log(0.7 * seen / np.maximum(ctx, 1)[a["p1"]] + 0.3 * (words[a["p2"]] + 1) / size)
     d, pairs = len(ids), a["size"].astype(np.int64)

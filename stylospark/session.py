@@ -44,5 +44,13 @@ def shared(spark: SparkSession, name: str) -> str:
 def durable(df: DataFrame, name: str, **options) -> DataFrame:
     """Write df to the shared folder and read it back."""
     path = shared(df.sparkSession, name)
-    df.write.parquet(path, **options)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Arrow batches of whole texts: at most `rows` rows, unless the session has a setting
+    of its own. A batch is held by the JVM, outside of its heap, and by the Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
