@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import small_batches
 from . import parses, scan
 
 
@@ -413,6 +414,7 @@ def counted(docs: DataFrame, names: tuple[str, ...], keep: tuple[str, ...] = (),
                 yield row(own, [v for p, x in zip(parts.values(), split) for v in p.other(n[rest[a:e]], *x.flatten())])
                 a = e
 
+    small_batches(docs.sparkSession)
     other = [F.when(scan.other(t), F.struct(*[c.alias(f"c{i}") for i, c in enumerate(x.split(t))])).alias(f"_{p}") for p, x in parts.items()]
     kept = "".join(f", {k} {docs.schema[k].dataType.simpleString()}" for k in keep)
     made = "".join(f", {c} {k}" for c, k in columns)

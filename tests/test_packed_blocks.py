@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from stylospark.operators import language_model as model
+from stylospark.operators import features, language_model as model
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -42,7 +42,7 @@ def test_dealt_words_and_pairs_take_few_bytes(spark):
 
 def test_whole_texts_come_in_small_batches(spark):
     given = spark.conf.get(BATCH)
-    for plan in (model.blocks,):
+    for plan in (lambda d: features.counted(d, ("structural",)), model.blocks):
         spark.conf.set(BATCH, "10000")
         plan(docs(spark, 3))
         assert int(spark.conf.get(BATCH)) <= 1000
