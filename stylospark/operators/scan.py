@@ -25,7 +25,7 @@ from ..functions import text as T
 PLAIN = r"\A[\x{0}-\x{84}\x{86}-\x{12F}\x{131}-\x{17F}\x{2000}-\x{2027}\x{202A}-\x{206F}]*+\z"
 _KNOWN = 0x180
 #: Characters of texts that are read at a time.
-PIECE = 2_000_000
+PIECE = 1_000_000
 
 
 def _table(f) -> np.ndarray:

@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from stylospark.operators import features, language_model as model
+from stylospark.operators import features, language_model as model, scan
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -50,3 +51,8 @@ def test_whole_texts_come_in_small_batches(spark):
         plan(docs(spark, 3))
         assert spark.conf.get(BATCH) == "7000"
     spark.conf.set(BATCH, given)
+
+
+def test_a_million_characters_are_read_at_a_time():
+    runs = [(own.to_pylist(), x.n) for own, x in scan.runs(pa.array(["one two. " * 50_000] * 4))]
+    assert runs == [([0, 1], 2), ([2, 3], 2)]
